@@ -154,6 +154,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, n_copies (rows of the same set, itself included)."""
     base = written(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "base")
+    out = _classified(base)
+    drop(base)
+    return out.drop("rid", "component")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one left of each component (the least doc_id's first row); rows with an empty set all stay."""
+    base = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "base")
+    found = _classified(base.select("doc_id", "text", F.col("__rid").alias("rid")))
+    whole = found.filter("n_shingles > 0")
+    kept = whole.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("__rid"))
+    kept = written(kept.unionByName(found.filter("n_shingles = 0").select(F.col("rid").alias("__rid"))), "kept")
+    return base.join(kept, "__rid", "left_semi").drop("__rid")
+
+
+def _classified(base: DataFrame) -> DataFrame:
+    """(rid, doc_id, text) -> rid, doc_id, n_shingles, component (a rid), component_id, n_copies."""
     described = written(_describe(base), "described")
     rows = described.filter("rid IS NOT NULL").select("rid", "doc_id", "n", "key")
     frequent = [
@@ -167,7 +184,6 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     shared = written(postings.join(several, "token"), "shared")
     drop(prefixes)
     sets = written(_sets(base.join(shared.select("rid").distinct(), "rid", "left_semi")), "sets")
-    drop(base)
 
     links, tested, turn = None, None, 0
     label = None
@@ -202,9 +218,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     drop(shared)
     grouped = classes.join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = grouped.join(least, "component").select("key", "component_id", "n_copies")
-    out = rows.filter("n > 0").join(known, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    known = grouped.join(least, "component").select("key", "component", "component_id", "n_copies")
+    out = rows.filter("n > 0").join(known, "key").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id", "n_copies")
+    alone = rows.filter("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("rid").alias("component"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone)
 
 

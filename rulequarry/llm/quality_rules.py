@@ -198,3 +198,23 @@ def quality_rules(docs: DataFrame, model: Crf, min_words: int = MIN_WORDS, min_s
             )
 
     return docs.select("doc_id", "text").mapInArrow(judge, schema)
+
+
+def kept_rows(docs: DataFrame, model: Crf, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns."""
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            verdict = []
+            for text in batch.column(at).cast(pa.large_binary()).to_pylist():
+                text = text or b""
+                found = base(text)
+                ok = found[0] >= min_words and 100 * found[4] <= 50 * found[0]
+                if ok:
+                    x, sizes = line_features(text)
+                    ok = int((model.viterbi(x) * sizes).sum()) >= min_share * found[0]
+                verdict.append(ok)
+            yield batch.filter(pa.array(verdict, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

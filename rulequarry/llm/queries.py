@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm import decontaminate, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, token_counts
+from rulequarry.llm import decontaminate, fingerprint_index, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents")).drop("kept_bytes", "spans")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it is contaminated, its best coverage and the items covered enough."""
     found = decontaminate.coverage(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -33,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op5_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.incremental_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontaminate, op3_token_counts, op4_quality_rules, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources)}
 
 
 def oracle_sql():
