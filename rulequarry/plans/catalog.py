@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from rulequarry.plans import checking, mining, patterns, projection, reports, scoring, text, verification  # noqa: F401
+from rulequarry.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
