@@ -7,11 +7,12 @@ the fingerprint, each with the least document that has it. A batch of documents
 every run; what it adds becomes a new run, and when there are more than MAX_RUNS of them they are compacted into one
 by a merge join. Neither rewrites old text, and a batch costs its own size plus one pass of the runs.
 
-A fingerprint that several documents have only says that windows may be equal. Those windows are
-then verified: of each, the hash of its 13 words in 128 bits is joined with the least document that
-has it (combined on the map side, so a passage that very many documents have is no large group),
-and a window is removed if that document is a smaller one. Fingerprints that nothing shares, which
-are most, never reach that step.
+A fingerprint that several documents have only says that windows may be equal, so those are verified,
+in 128 bits of their words. First come whole stretches of windows of one fingerprint: one that a
+smaller document has too is removed. The distinct stretches of a fingerprint that has several are then
+compared window by window, each against the least document that has the window. Both take the
+least on the map side, so a passage that very many documents have is no large group. Fingerprints that
+nothing shares, which are most, never reach these steps.
 
 Null or empty text has no words. Rows of one doc_id never remove each other's windows; a null
 doc_id counts as larger than all others, and its rows as one document.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulequarry.llm._scratch import bucketed, drop, release, written
-from rulequarry.llm._text import STEP, Words, buffers, grams, mix, slices, sliding_min
+from rulequarry.llm._text import STEP, Words, buffers, grams, mix, powers, slices, sliding_min
 
 WINDOW, GRAM = 13, 5
 BATCHES, MAX_RUNS = 4, 2
@@ -46,9 +47,8 @@ class Windows:
         self.prints = least[self.at].view(np.int64)
         self.row = np.searchsorted(self.words.first, self.at, side="right") - 1
 
-    def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the words of the chosen windows."""
-        at = self.at[chosen]
+    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the words of the windows that start at some words."""
         x, y = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for j in range(WINDOW):
             h = self.hashes[at + j]
@@ -113,8 +113,9 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _window_keys(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, prints) -> (rid, doc_id, word, x, y): the windows whose fingerprint is among prints."""
+def _stretches(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, text, prints) -> (rid, doc_id, word, n, print, x, y): runs of n windows of one fingerprint among prints, from a word on; x, y: 128 bits of their words."""
+    names = ["rid", "doc_id", "word", "n", "print", "x", "y"]
 
     def judge(batches):
         for batch in batches:
@@ -123,17 +124,54 @@ def _window_keys(rows: DataFrame) -> DataFrame:
             wanted = batch.column(3)
             for first, last in slices(offsets):
                 w = Windows(raw, offsets, first, last)
-                chosen = np.zeros(len(w.at), bool)
-                ends = np.searchsorted(w.row, np.arange(last - first + 1))
+                if not len(w.at):
+                    continue
+                new = np.ones(len(w.at), bool)
+                new[1:] = (w.prints[1:] != w.prints[:-1]) | (w.row[1:] != w.row[:-1])
+                k = np.flatnonzero(new)
+                n, row, prints = np.diff(np.append(k, len(w.at))), w.row[k], w.prints[k]
+                chosen = np.zeros(len(k), bool)
+                ends = np.searchsorted(row, np.arange(last - first + 1))
                 for i in range(last - first):
                     a, b = ends[i], ends[i + 1]
-                    chosen[a:b] = np.isin(w.prints[a:b], wanted[first + i].values.to_numpy())
-                x, y = w.keys(chosen)
-                row = w.row[chosen]
-                word = w.at[chosen] - w.words.first[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + first]), pa.array(docs_[row + first]), pa.array(word), pa.array(x), pa.array(y)], names=["rid", "doc_id", "word", "x", "y"])
+                    if b > a:
+                        chosen[a:b] = np.isin(prints[a:b], wanted[first + i].values.to_numpy())
+                k, n, row, prints = k[chosen], n[chosen], row[chosen], prints[chosen]
+                if not len(k):
+                    continue
+                at = w.at[k]
+                # hashes of the words from at[i] to at[i] + n[i] + WINDOW - 1, by sums of powers
+                words = n + WINDOW - 1
+                up, down = powers(len(w.hashes) + 1)
+                keys = []
+                for seed in (np.uint64(0), _SECOND):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hashes ^ seed) * up[:-1])])
+                    keys.append(mix((sums[at + words] - sums[at]) * down[at] + words.astype(np.uint64) * STEP[40]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[row + first], docs_[row + first], at - w.words.first[row], n, prints, *keys)], names=names)
+
+    return rows.select("rid", "doc_id", "text", "prints").mapInArrow(judge, "rid long, doc_id long, word long, n long, print long, x long, y long")
+
+
+def _windows_of(rows: DataFrame) -> DataFrame:
+    """(text, runs of (doc_id, word, n, x, y)) -> (x, y, doc_id, k, u, v): the k-th window of each run in 128 bits."""
+    names = ["x", "y", "doc_id", "k", "u", "v"]
+
+    def judge(batches):
+        for batch in batches:
+            raw, offsets = buffers(batch.column(0))
+            runs = batch.column(1)
+            for first, last in slices(offsets):
+                w = Windows(raw, offsets, first, last)
+                some = runs.slice(first, last - first)
+                flat = some.flatten()
+                row = np.repeat(np.arange(last - first), some.value_lengths().to_numpy(zero_copy_only=False))
+                doc, word, n, x, y = (flat.field(c).to_numpy() for c in ("doc_id", "word", "n", "x", "y"))
+                run = np.repeat(np.arange(len(n)), n)
+                k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                u, v = w.keys((w.words.first[row] + word)[run] + k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[run], y[run], doc[run], k, u, v)], names=names)
 
-    return rows.select("rid", "doc_id", "text", "prints").mapInArrow(judge, "rid long, doc_id long, word long, x long, y long")
+    return rows.select("text", "runs").mapInArrow(judge, "x long, y long, doc_id long, k long, u long, v long")
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -146,8 +184,10 @@ def _kept(rows: DataFrame) -> DataFrame:
                 words = (text or b"").split()
                 if starts:
                     gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, np.minimum(np.array(starts) + WINDOW, len(words)), -1)
+                    for r in starts:
+                        at = np.arange(r["n"]) if r["some"] is None else np.array(r["some"])
+                        np.add.at(gone, r["word"] + at, 1)
+                        np.add.at(gone, r["word"] + at + WINDOW, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                     out.append((doc_id, len(words), int(gone.sum()), kept))
@@ -188,10 +228,21 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     wanted = written(wanted, "wanted")
     drop(prints)
     rows = table.join(wanted, "rid").select("rid", F.col("order_id").alias("doc_id"), "text", "prints")
-    keys = written(_window_keys(rows), "keys")
+    found = written(_stretches(rows), "stretches")
     drop(wanted)
-    least = keys.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("x", "y", "least")
-    gone = keys.join(least, ["x", "y"]).filter("doc_id > least").groupBy("rid").agg(F.collect_list("word").alias("starts"))
+    distinct = written(found.groupBy("print", "x", "y").agg(F.min(F.struct("doc_id", "rid", "word", "n")).alias("first")), "distinct")
+    mixed = distinct.groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
+    runs = distinct.join(mixed, "print").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "x", "y")).alias("runs"))
+    windows = written(_windows_of(table.join(written(runs, "runs"), "rid")), "windows")
+    least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
+    some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
+    known = written(distinct.select("x", "y", F.col("first.doc_id").alias("least")).join(some, ["x", "y"], "left"), "known")
+    drop(windows)
+    drop(distinct)
+    # a run that a smaller document has goes whole; in the least document that has it, those of its windows that a smaller one has elsewhere
+    gone = found.join(known, ["x", "y"]).filter("doc_id > least OR some IS NOT NULL")
+    gone = gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", F.when(F.col("doc_id") == F.col("least"), F.col("some")).alias("some"))).alias("starts"))
     gone = written(gone, "gone")
-    drop(keys)
+    drop(found)
+    drop(known)
     return _kept(table.join(gone, "rid", "left"))
