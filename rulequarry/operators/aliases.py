@@ -23,12 +23,24 @@ def forms(names: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same)."""
-    a = rows.select(F.col("id").alias("a"), F.col("form").alias("fa"))
-    b = rows.select(F.col("id").alias("b"), F.col("form").alias("fb"))
-    both = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    both = both.withColumns({"same": F.col("fa") == F.col("fb"), "jaccard": T.token_jaccard("fa", "fb"), "distance": T.levenshtein_bounded("fa", "fb", EDIT), "cosine": F.round(T.trigram_cosine("fa", "fb"), 6)})
-    return both.filter((F.col("same")) | (F.col("jaccard") >= JACCARD) | (F.col("distance") <= EDIT) | (F.col("cosine") >= COSINE))
+    """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same).
+
+    Shared trigrams and tokens are equi-joins; only the edit distance looks at every pair of names.
+    """
+    grams = rows.select("id", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    norm = grams.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).cast("double").alias("nn"))
+    ga, gb = grams.select(F.col("id").alias("a"), "g", F.col("c").alias("ca")), grams.select(F.col("id").alias("b"), "g", F.col("c").alias("cb"))
+    dot = ga.join(gb, "g").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
+    dot = dot.join(norm.select(F.col("id").alias("a"), F.col("nn").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("nn").alias("nb")), "b")
+    dot = dot.select("a", "b", F.round(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
+    ready = rows.withColumn("tokens", T.token_set("form"))
+    a = ready.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("tokens").alias("ta"))
+    b = ready.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("tokens").alias("tb"))
+    both = a.join(F.broadcast(b), F.col("a") < F.col("b")).join(dot, ["a", "b"], "left")
+    union = F.size(F.array_union("ta", "tb"))
+    jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("ta", "tb")) / union)
+    both = both.withColumns({"same": F.col("fa") == F.col("fb"), "jaccard": jaccard, "distance": T.levenshtein_bounded("fa", "fb", EDIT), "cosine": F.coalesce("cosine", F.lit(0.0))})
+    return both.filter(F.col("same") | (F.col("jaccard") >= JACCARD) | (F.col("distance") <= EDIT) | (F.col("cosine") >= COSINE))
 
 
 def clusters(rows: DataFrame, found: DataFrame) -> DataFrame:

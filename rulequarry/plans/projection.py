@@ -144,14 +144,14 @@ def alias_table_replace(spark, sf_dir):
 SELECT trace_id, bad OR roll < CAST(0.25 AS DOUBLE) AS kept FROM r""")
 def sample_traces(spark, sf_dir):
     """A stable sample of traces; those with an error always stay."""
-    bad = F.expr("exists(steps, s -> s.result_status = 'error')")
+    bad = F.expr("exists(steps, s -> coalesce(s.result_status, '') = 'error')")
     return event_traces(spark, sf_dir).select("trace_id", (bad | (T.sampling_roll("trace_id") < 0.25)).alias("kept"))
 
 
 @query(f"WITH {EVENTS} SELECT trace_id, version, segment, len(tools) AS turns, CASE WHEN list_contains(statuses, 'error') THEN 'error' ELSE 'success' END AS status FROM tr")
 def trace_status(spark, sf_dir):
     return event_traces(spark, sf_dir).select(
-        "trace_id", "version", "segment", (F.size("steps") - 1).cast("long").alias("turns"), F.expr("IF(exists(steps, s -> s.result_status = 'error'), 'error', 'success')").alias("status")
+        "trace_id", "version", "segment", (F.size("steps") - 1).cast("long").alias("turns"), F.expr("IF(exists(steps, s -> coalesce(s.result_status, '') = 'error'), 'error', 'success')").alias("status")
     )
 
 

@@ -29,7 +29,7 @@ def fol_verify(spark, sf_dir):
     return V.verify(event_traces(spark, sf_dir), rules)
 
 
-@query("""SELECT * FROM (VALUES ('r01', true, 'purchase'), ('r02', true, 'purchase'), ('r03', true, ''), ('r05', true, 'Sign'), ('r06', true, 'view'), ('r07', true, 'click'), ('r08', true, 'purchase>view'), ('r09', true, 'signup'), ('r12', true, 'view')) t(rule_id, violable, counterexample)""")
+@query("""SELECT * FROM (VALUES ('r01', true, 'purchase'), ('r02', true, 'purchase'), ('r03', true, ''), ('r05', true, 'Sign'), ('r06', true, 'view'), ('r07', true, 'click'), ('r08', true, 'purchase>signup'), ('r09', true, 'signup'), ('r12', true, 'view')) t(rule_id, violable, counterexample)""")
 def bounded_counterexample(spark, sf_dir):
     """The smallest trace over a rule's tools that violates it; up to two calls decide every template."""
     return V.counterexamples(rules_table(spark).filter("type IN ('ordering', 'composition', 'conditional', 'negative', 'statistical', 'state', 'tool_selection') AND rule_id NOT IN ('r04', 'r10', 'r11')"))
@@ -52,7 +52,7 @@ def certificate_evidence(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    return event_steps(spark, sf_dir).select("session_id", F.struct("ts", "event_id").alias("ord"), F.when(F.col("status") == "success", 1.0).otherwise(0.0).alias("x"))
+    return event_steps(spark, sf_dir).select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), F.when(F.col("status") == "success", 1.0).otherwise(0.0).alias("x"))
 
 
 _OBS = f"WITH RECURSIVE {EVENTS}, o AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i, CASE WHEN status = 'success' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x FROM st)"

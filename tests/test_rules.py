@@ -1,0 +1,172 @@
+"""Rules, sources and detectors on small hand-made traces."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from rulequarry.functions import text as T
+from rulequarry.operators import candidates, checks, drift, graphs, regress, sequences
+from rulequarry.schema import RULE, TRACE
+from rulequarry.sources import normalize, store
+from rulequarry.streaming import pipelines
+
+
+def tool(name, latency=None, status=None):
+    return {"type": "tool_call", "content": None, "tool": name, "latency_ms": latency, "result_status": status}
+
+
+def user(text):
+    return {"type": "user_input", "content": text, "tool": None, "latency_ms": None, "result_status": None}
+
+
+def outcome(spark, kind, steps, trace_segment=None, **params):
+    traces = spark.createDataFrame([("t", "s", "v1", trace_segment, None, steps)], TRACE)
+    rules = spark.createDataFrame([{"rule_id": "r", "type": kind, "description": "", "severity": "high", "params": params}], RULE)
+    return checks.check_all(traces, rules).first().outcome
+
+
+CASES = [
+    ("ordering", [tool("auth"), tool("db_write")], {"tool_a": "auth", "tool_b": "db_write"}, "pass"),
+    ("ordering", [tool("b"), tool("a")], {"tool_a": "a", "tool_b": "b"}, "fail"),
+    ("ordering", [tool("a")], {"tool_a": "a", "tool_b": "b"}, "not_applicable"),
+    ("ordering", [tool("a")], {}, "not_applicable"),
+    ("ordering", [tool("a"), tool("a")], {"tool_a": "a", "tool_b": "a"}, "not_applicable"),
+    ("conditional", [user("I want a REFUND now"), tool("refund_order")], {"keyword": "refund", "tool": "refund_order"}, "pass"),
+    ("conditional", [user("refunds please"), tool("x")], {"keyword": "refund", "tool": "refund_order"}, "fail"),
+    ("conditional", [user("hello")], {"keyword": "refund", "tool": "refund_order"}, "not_applicable"),
+    ("negative", [tool("delete_user")], {"forbidden_patterns": ["DELETE"]}, "fail"),
+    ("negative", [tool("a")], {"allowed_repertoire": ["a", "b"], "forbidden_patterns": ["a"]}, "pass"),
+    ("negative", [], {"allowed_repertoire": ["a"]}, "pass"),
+    ("statistical", [tool("s", 120)], {"metric": "latency_ms", "tool": "s", "threshold": 100.0}, "warn"),
+    ("statistical", [tool("s", -5)], {"metric": "latency_ms", "tool": "s", "threshold": 100.0}, "pass"),
+    ("statistical", [tool("s", None)], {"metric": "latency_ms", "tool": "s", "threshold": 100.0}, "pass"),
+    ("statistical", [tool("s", 1, "error"), tool("s", 1, "")], {"metric": "success_rate", "tool": "s", "rate": 0.9}, "fail"),
+    ("statistical", [tool("s", 1, ""), tool("s", 1, None)], {"metric": "success_rate", "tool": "s", "rate": 0.0}, "pass"),
+    ("statistical", [tool("s", 1, "error"), tool("s")], {"metric": "success_rate", "tool": "s", "rate": 0.0}, "fail"),
+    ("statistical", [tool("a")] * 9, {"metric": "feature_envelope", "feature": "tool_count", "p1": 1.0, "p99": 6.0}, "warn"),
+    ("state", [tool("close"), tool("pay")], {"terminator_tool": "close", "forbidden_after": ["pay"]}, "fail"),
+    ("state", [tool("pay"), tool("close")], {"terminator_tool": "close", "forbidden_after": ["pay"]}, "pass"),
+    ("state", [tool("pay")], {"terminator_tool": "close", "forbidden_after": ["pay"]}, "not_applicable"),
+    ("composition", [tool("down")], {"upstream_tool": "up", "downstream_tool": "down"}, "fail"),
+    ("output_format", [tool("a")], {"rubric": "x"}, "not_applicable"),
+    ("unknown", [tool("a")], {}, "not_applicable"),
+]
+
+
+@pytest.mark.parametrize("kind, steps, params, want", CASES)
+def test_check(spark, kind, steps, params, want):
+    assert outcome(spark, kind, steps, **params) == want
+
+
+@pytest.mark.parametrize("segment, steps, want", [("EU", ["pay_eu"], "pass"), ("eu", ["pay_us"], "fail"), ("US", ["pay_us"], "not_applicable"), ("eu", ["x"], "not_applicable"), (None, ["pay_us"], "not_applicable")])
+def test_tool_selection(spark, segment, steps, want):
+    assert outcome(spark, "tool_selection", [tool(s) for s in steps], segment, segment="eu", expected_tool="pay_eu", forbidden_tool="pay_us") == want
+
+
+def test_regression_of_reversed_calls(spark):
+    good, bad = [tool("auth"), tool("db_write")], [tool("db_write"), tool("auth")]
+    rows = [(f"a{k}", "s", "v1", None, None, good) for k in range(20)] + [(f"b{k}", "s", "v2", None, None, bad) for k in range(20)]
+    rules = spark.createDataFrame([{"rule_id": "r", "type": "ordering", "description": "", "severity": "high", "params": {"tool_a": "auth", "tool_b": "db_write"}}], RULE)
+    summary = regress.batch_summary(checks.check_all(spark.createDataFrame(rows, TRACE), rules), ("rule_id", "version"))
+    found = regress.compare(summary, rules)
+    assert found.first().verdict == "fail" and found.first().c_fail_rate == 1.0
+    assert [regress.exit_code(found, f).first()[0] for f in ("never", "warn", "any", "high", "critical")] == [0, 1, 1, 1, 0]
+
+
+@pytest.mark.parametrize(
+    "name, form",
+    [("Payments_v2", "payments"), ("payments-v1", "payments"), ("payments.v2.1", "payments"), ("payments_v2.execute", "payments_v2_execute"), ("CHECK_INVENTORY", "check_inventory"), ("search-flights", "search_flights")],
+)
+def test_canonical_form(spark, name, form):
+    assert spark.range(1).select(T.canonical_form(F.lit(name))).first()[0] == form
+
+
+def test_subsequences(spark):
+    rows = spark.createDataFrame([(k, ["check_inventory", "create_order"]) for k in range(40)], "trace_id long, tools array<string>")
+    found = {tuple(r.pattern): r.n_traces for r in sequences.closed_patterns(sequences.frequent_subsequences(rows)).collect()}
+    assert found == {("check_inventory", "create_order"): 40}
+    assert sequences.frequent_subsequences(rows.limit(0)).count() == 0
+
+
+def test_drift_detectors(spark):
+    falling = spark.createDataFrame([("k", i, 1.0 if i < 100 else 0.0) for i in range(160)], "key string, ord int, x double")
+    r = drift.page_hinkley(falling, "key", 2.0, 0.001, 0.05, 10).first()
+    assert 100 < r.fired_at <= 160
+    jump = spark.createDataFrame([("k", i, 0.5 if i < 50 else 0.95) for i in range(100)], "key string, ord int, x double")
+    c = drift.cusum(jump, "key", 0.5, 0.05, 2.0).first()
+    assert c.fired_at > 50 and c.direction == "up"
+    steady = spark.createDataFrame([("k", i, 0.0 if i % 20 == 7 else 1.0) for i in range(500)], "key string, ord int, x double")
+    assert drift.page_hinkley(steady, "key").first().fired_at == 0
+    two = falling.union(steady.withColumn("key", F.lit("other")))
+    assert {r.key for r in drift.drift_events(two, "key").filter("detector = 'page_hinkley'").collect()} == {"k"}
+
+
+def test_linear_order():
+    nodes = [{"id": "d", "started_at": "4"}, {"id": "c", "started_at": "3"}, {"id": "b", "started_at": "2"}, {"id": "a", "started_at": "1"}]
+    edges = [{"source": "a", "target": "b"}, {"source": "a", "target": "c"}, {"source": "b", "target": "d"}, {"source": "c", "target": "d"}, {"source": "d", "target": "a", "kind": "loop"}, {"source": "a", "target": "zz"}]
+    assert [nodes[i]["id"] for i in graphs.linear_order(nodes, edges)] == ["a", "b", "c", "d"]
+    cycle = [{"id": 1}, {"id": 2}, {"id": 3}]
+    assert graphs.linear_order(cycle, [{"source": 1, "target": 2}, {"source": 2, "target": 1}]) == [2, 0, 1]
+
+
+def test_normalisers(spark):
+    raw = {"trace_id": "x", "timestamp": "2024-01-02T03:04:05Z", "metadata": {"version": "v9", "user_segment": "eu"}, "steps": [{"type": "user_input", "content": "hi"}, {"type": "tool_call", "tool": "a", "latency_ms": 5}]}
+    chain = {
+        "id": "run", "run_type": "chain", "start_time": "2024-01-01T00:00:00Z", "inputs": {"messages": [{"role": "user", "content": "first"}, {"role": "user", "content": "book a flight"}]}, "outputs": {"output": "done"},
+        "child_runs": [
+            {"name": "b", "run_type": "tool", "start_time": "2024-01-01T00:00:02Z", "end_time": "2024-01-01T00:00:03Z", "error": "boom"},
+            {"name": "a", "run_type": "tool", "start_time": "2024-01-01T00:00:01Z", "end_time": "2024-01-01T00:00:01.5Z"},
+        ],
+    }
+    dag = {"trace_id": "g", "nodes": [{"id": 2, "started_at": "2", "step": {"type": "tool_call", "tool": "z"}}, {"id": 1, "started_at": "1", "step": {"type": "user_input", "content": "q"}}], "edges": [{"source": 1, "target": 2}]}
+    rows = spark.createDataFrame([(json.dumps(p),) for p in (raw, chain, dag, {"foo": 1})], "payload string")
+    got = {r.trace_id: r for r in normalize.normalise(rows).collect()}
+    assert [s.tool for s in got["x"].steps] == [None, "a"] and got["x"].version == "v9" and got["x"].started_at.year == 2024
+    assert [(s.type, s.tool or s.content, s.latency_ms, s.result_status) for s in got["run"].steps] == [("user_input", "book a flight", None, None), ("tool_call", "a", 500, "success"), ("tool_call", "b", 1000, "error"), ("agent_response", "done", None, None)]
+    assert [s.type for s in got["g"].steps] == ["user_input", "tool_call"]
+    assert sum(r.error is not None for r in got.values()) == 1
+    with pytest.raises(ValueError):
+        normalize.normalise(rows, "xml")
+
+
+def test_stores(spark, tmp_path):
+    (tmp_path / "traces.json").write_text(json.dumps([{"trace_id": "a", "version": "v1", "started_at": "2024-01-01T00:00:00", "steps": [{"type": "tool_call", "tool": "t"}]}]))
+    traces = store.read_traces(spark, str(tmp_path / "traces.json"))
+    store.write_traces(traces.drop("_corrupt_record"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).filter("version = 'v1'").count() == 1
+    (tmp_path / "rules.json").write_text(json.dumps([{"invariant_id": "i", "type": "ordering", "params": {"tool_a": "x", "tool_b": "y"}}, {"type": "state"}]))
+    rules = {r.type: r for r in store.read_rules(spark, str(tmp_path / "rules.json")).collect()}
+    assert rules["ordering"].rule_id == "i" and rules["state"].severity == "medium" and len(rules["state"].rule_id) == 32
+
+
+def test_candidate_clusters(spark):
+    rows = spark.createDataFrame([(1, "o", "tool a always precedes tool b", "statistical", 1.0, 1.0), (2, "o", "tool a precedes tool b always", "llm", 0.5, 0.9), (3, "o", "something else entirely different", "llm", 0.2, 0.1)], "item_id long, type string, description string, track string, support double, consistency double")
+    merged = {r.cluster: r for r in candidates.merged(rows, candidates.clusters(rows, candidates.similarity(candidates.tfidf(rows)))).collect()}
+    assert merged[1].track == "both" and merged[1].n == 2 and merged[3].n == 1
+
+
+def test_streams(spark, tmp_path):
+    """A replayed stream gives what a batch gives; detector state lasts across micro-batches."""
+    rows = [(f"t{k}", "s", "v1", "eu", None, [tool("a"), tool("b")] if k % 3 else [tool("b")]) for k in range(12)]
+    traces = spark.createDataFrame(rows, TRACE).withColumn("started_at", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+    traces.repartition(3).write.parquet(str(tmp_path / "in"))
+    rules = spark.createDataFrame([{"rule_id": "r", "type": "ordering", "description": "", "severity": "high", "params": {"tool_a": "a", "tool_b": "b"}}], RULE)
+    live = spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted((r.trace_id, r.outcome) for r in run(pipelines.check_stream(live, rules), "live_checks", "append")) == sorted((r.trace_id, r.outcome) for r in checks.check_all(traces, rules).collect())
+    assert {r.fingerprint: r.n for r in run(pipelines.fingerprint_counts(live), "live_prints", "complete")} == {r.fingerprint: r.n for r in pipelines.fingerprint_counts(traces).collect()}
+    rates = run(pipelines.windowed_pass_rate(pipelines.check_stream(live, rules)), "live_rates", "complete")
+    assert [(r.n, round(r.pass_rate, 4)) for r in rates] == [(12, 0.6667)]
+    obs = [("k", i, 1.0 if i < 60 else 0.0) for i in range(160)]
+    for part in range(4):
+        spark.createDataFrame(obs[part * 40 : part * 40 + 40], "key string, ord int, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "obs"))
+        live_obs = spark.readStream.schema("key string, ord int, x double").parquet(str(tmp_path / "obs"))
+        pipelines.drift(live_obs).writeStream.format("parquet").option("path", str(tmp_path / "events")).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.detector, r.n) for r in spark.read.parquet(str(tmp_path / "events")).collect())
+    want = sorted((r.detector, r.n) for r in drift.drift_events(spark.createDataFrame(obs, "key string, ord int, x double"), "key").collect())
+    assert got == want and got
