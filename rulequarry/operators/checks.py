@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.operators.features import with_features
+from rulequarry.schema import severity_rank
 
 MAX_RULES = 20_000
 NA = "'not_applicable'"
@@ -93,8 +94,7 @@ def check_all(traces: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("ver
     def part(k: int) -> DataFrame:
         some = rules if parts == 1 else rules.filter(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k)
         some = some.select("rule_id", "type", "severity", F.col("params").alias("p"))
-        joined = ready.hint("rebalance") if False else ready
-        return joined.crossJoin(F.broadcast(some)).select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
+        return ready.crossJoin(F.broadcast(some)).select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
 
     return reduce(DataFrame.unionByName, [part(k) for k in range(parts)])
 
@@ -119,10 +119,8 @@ def details(traces: DataFrame, rules: DataFrame) -> DataFrame:
 
 def guardrail_replay(traces: DataFrame, rules: DataFrame, least_rank: int = 1) -> DataFrame:
     """The first call of each trace and rule at which a check of the calls so far, without results, fails."""
-    from rulequarry.schema import severity_rank
-
     some = rules.filter(severity_rank("severity") >= least_rank).select("rule_id", "type", "severity", F.col("params").alias("p"))
-    full = with_features(traces).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("calls")))) .filter("size(calls) > 0")
+    full = with_features(traces).filter("size(calls) > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.size("calls"))))
     prefix = full.withColumns(
         {
             "calls": F.expr("transform(slice(calls, 1, n), (c, k) -> IF(k = n - 1, named_struct('i', c.i, 'type', c.type, 'tool', c.tool, 'latency_ms', CAST(NULL AS int), 'ok', true), c))"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulequarry.plans import checking, mining, patterns, projection, reports, scoring, text, verification  # noqa: F401
+from rulequarry.plans import checking, extras, mining, patterns, projection, reports, scoring, text, verification  # noqa: F401
 from rulequarry.plans.registry import ORACLES, QUERIES
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +43,3 @@ def retention(traces: DataFrame, now: str, compress_days: int = 30, drop_days: i
     age = F.date_diff(F.to_date(F.lit(now)), F.to_date("started_at"))
     return traces.withColumn("tier", F.when(age > drop_days, "drop").when(age > compress_days, "cold").otherwise("hot"))
 
-
-def with_any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

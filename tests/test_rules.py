@@ -170,3 +170,17 @@ def test_streams(spark, tmp_path):
     got = sorted((r.detector, r.n) for r in spark.read.parquet(str(tmp_path / "events")).collect())
     want = sorted((r.detector, r.n) for r in drift.drift_events(spark.createDataFrame(obs, "key string, ord int, x double"), "key").collect())
     assert got == want and got
+
+
+def test_generators_and_certificates(spark):
+    from rulequarry.operators import certificates
+    from rulequarry.sources.generate import booking_agent, tool_loops
+
+    rows = booking_agent(spark, 200)
+    assert rows.filter("steps[1].tool = 'validate_input' AND steps[2].tool = 'load_session'").count() == 200
+    assert sorted(map(str, rows.collect())) == sorted(map(str, booking_agent(spark, 200).repartition(3).collect()))
+    sizes = [len(r.steps) - 1 for r in tool_loops(spark, 100, ["a", "b"], 2, 5).collect()]
+    assert min(sizes) == 2 and max(sizes) == 5
+    signed = certificates.sign({"rule": "r", "checked": 3}, b"key")
+    assert certificates.verify(signed, b"key") and not certificates.verify(signed | {"checked": 4}, b"key")
+    assert certificates.review_threshold([k / 100 for k in range(100)], 0.2) == pytest.approx(0.8, abs=0.02)
