@@ -5,7 +5,7 @@
    combined on the map side; about one byte in 85 gives a row.
 2. Pieces. Consecutive windows of one anchor make a piece of up to 368 bytes. Equal pieces become
    one with a count, combined on the map side: copies of documents and passages go no further, however many.
-3. Merged transforms. The distinct pieces of an anchor come together. Tasks put them into shards,
+3. Merged transforms. The distinct pieces of an anchor come together, cut to what another one may share. Tasks put them into shards,
    sort each shard's suffixes to 200 bytes, keep its Burrows-Wheeler transform, and merge the transforms
    by interleave refinement (Holt and McMillan, 2014), k ways at once: the interleave, a shard number
    for each suffix, is dealt out stably by the symbol before each suffix, which orders it by one symbol more; what
@@ -184,11 +184,11 @@ def _chunks(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
 
 
 def _anchored(raw: np.ndarray, offsets: np.ndarray):
-    """Runs of windows of one anchor: (row, first window, windows, anchor)."""
+    """Runs of windows of one anchor: (row, first window, windows, anchor, place of the anchor)."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none
+        return none, none, none, none, none
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE[raw] * up[:n], out=sums[1:])
@@ -198,12 +198,12 @@ def _anchored(raw: np.ndarray, offsets: np.ndarray):
     end = np.repeat(offsets[1:], np.diff(offsets))
     at = np.flatnonzero(np.arange(len(place)) + LENGTH <= end[: len(place)])
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     place = place[at]
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     k = np.flatnonzero(new)
-    return np.searchsorted(offsets, at[k], side="right") - 1, at[k], np.diff(np.append(k, len(at))), hashes[place[k]].view(np.int64)
+    return np.searchsorted(offsets, at[k], side="right") - 1, at[k], np.diff(np.append(k, len(at))), hashes[place[k]].view(np.int64), place[k]
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -212,37 +212,37 @@ def _anchors(docs: DataFrame) -> DataFrame:
             raw, offsets = buffers(batch.column(1))
             ids = batch.column(0).to_numpy()
             for first, _, part, own in _chunks(raw, offsets):
-                row, _, _, anchor = _anchored(part, own)
+                row, _, _, anchor, _ = _anchored(part, own)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row + first]), pa.array(anchor)], names=["rid", "anchor"])
 
     return docs.select("rid", "text").mapInArrow(judge, "rid long, anchor long")
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
-    """(rid, text, anchors) -> (anchor, x, y, rid, start, body) of the runs whose anchor is among anchors; x, y: 128 bits of the body."""
-    names = ["anchor", "x", "y", "rid", "start", "body"]
+    """(rid, text, anchors) -> (anchor, x, y, rid, start, place, body) of the runs whose anchor is among anchors; x, y: 128 bits of the body, place: of the anchor in it."""
+    names = ["anchor", "x", "y", "rid", "start", "place", "body"]
 
     def judge(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
             ids, wanted = batch.column(0).to_numpy(), batch.column(2)
             for first, shift, part, own in _chunks(raw, offsets):
-                row, at, n, anchor = _anchored(part, own)
+                row, at, n, anchor, place = _anchored(part, own)
                 chosen = np.zeros(len(row), bool)
                 ends = np.searchsorted(row, np.arange(len(own)))
                 for i in range(len(own) - 1):
                     a, b = ends[i], ends[i + 1]
                     if b > a:
                         chosen[a:b] = np.isin(anchor[a:b], wanted[first + i].values.to_numpy())
-                row, at, n, anchor = row[chosen], at[chosen], n[chosen], anchor[chosen]
+                row, at, n, anchor, place = row[chosen], at[chosen], n[chosen], anchor[chosen], place[chosen]
                 data = part.tobytes()
                 body = [data[a : a + k + LENGTH - 1] for a, k in zip(at.tolist(), n.tolist())]
                 keys = np.frombuffer(b"".join(hashlib.blake2b(b, digest_size=16).digest() for b in body), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(ids[row + first]), pa.array(at - own[row] + shift), pa.array(body, pa.binary())], names=names
+                    [pa.array(anchor), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(ids[row + first]), pa.array(at - own[row] + shift), pa.array(place - at), pa.array(body, pa.binary())], names=names
                 )
 
-    return rows.select("rid", "text", "anchors").mapInArrow(judge, "anchor long, x long, y long, rid long, start long, body binary")
+    return rows.select("rid", "text", "anchors").mapInArrow(judge, "anchor long, x long, y long, rid long, start long, place long, body binary")
 
 
 def _ranges(flags: np.ndarray) -> list[int]:
@@ -251,37 +251,88 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+def _reach(group: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """How many first bytes of each text another text of its group shares, at most."""
+    size = np.array([len(t) for t in texts], np.int64)
+    width = int(size.max(initial=0))
+    if not width:
+        return np.zeros(len(texts), np.int64)
+    table = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width)
+    keyed = np.concatenate([group.astype(">u8")[:, None].view(np.uint8), table], 1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{width + 8}").ravel(), kind="stable")
+    differ = table[order[1:]] != table[order[:-1]]
+    same = np.where(differ.any(1), differ.argmax(1), width)
+    same = np.minimum(same, np.minimum(size[order[1:]], size[order[:-1]]))
+    same[group[order[1:]] != group[order[:-1]]] = 0
+    out = np.zeros(len(texts), np.int64)
+    out[order[1:]] = same
+    out[order[:-1]] = np.maximum(out[order[:-1]], same)
+    return out
+
+
+def repeated_in_groups(held: list[tuple[int, int, int, bytes]]) -> list[list[int]]:
+    """(anchor, place, copies, body) with equal anchors next to each other -> starts and ends of each piece's repeated windows.
+
+    Equal windows have the anchor at the same place, so what two pieces share lies around it. Each piece is cut
+    to the bytes around its anchor that some other piece of the anchor has to the left and, maybe another one, to
+    the right; no repeated window reaches beyond. Cut pieces that are equal become one. Where an anchor
+    keeps several, their transforms are merged.
+    """
+    anchors = np.array([h[0] for h in held], np.int64)
+    group = np.cumsum(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(held) else anchors
+    right = _reach(group, [h[3][h[1] :] for h in held])
+    left = _reach(group, [h[3][: h[1]][::-1] for h in held])
+    cut: dict[tuple[int, bytes], list[int]] = {}
+    shift = [0] * len(held)
+    for i, (_, place, copies, body) in enumerate(held):
+        if copies > 1:
+            # all its windows are repeated; the others are held against the whole of it that they may share
+            left[i], right[i] = place, len(body) - place
+        if left[i] + right[i] >= LENGTH:
+            shift[i] = place - int(left[i])
+            cut.setdefault((int(group[i]), body[shift[i] : place + int(right[i])]), []).append(i)
+    several: dict[int, int] = {}
+    for g, _ in cut:
+        several[g] = several.get(g, 0) + 1
+    open_ = {k[0] for k, members in cut.items() if several[k[0]] > 1 and len(members) == 1 and held[members[0]][2] == 1}
+    merged = [k for k in cut if k[0] in open_]
+    flags = dict(zip(merged, repeated_windows([t for _, t in merged]))) if merged else {}
+    out: list[list[int]] = [[] for _ in held]
+    for key, members in cut.items():
+        if len(members) > 1 or held[members[0]][2] > 1:
+            found = [0, len(key[1]) - LENGTH + 1]
+        else:
+            found = _ranges(flags[key]) if key in flags else []
+        for i in members:
+            out[i] = [a + shift[i] for a in found]
+    return out
+
+
 def _merged(rows: DataFrame) -> DataFrame:
-    """Rows (anchor, x, y, n_copies, body) with those of an anchor next to each other -> (x, y, ranges of repeated windows)."""
+    """Rows (anchor, x, y, n_copies, place, body) with those of an anchor next to each other -> (x, y, ranges of repeated windows)."""
 
     def judge(batches):
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def flush():
-            bodies = [h[4] for h in held]
-            out = []
-            for (_, x, y, copies, body), flags in zip(held, repeated_windows(bodies)):
-                if copies > 1:
-                    flags = np.ones(len(body) - LENGTH + 1, bool)
-                found = _ranges(flags)
-                if found:
-                    out.append((x, y, found))
+            found = repeated_in_groups([(h[0], h[4], h[3], h[5]) for h in held])
+            out = [(h[1], h[2], f) for h, f in zip(held, found) if f]
             x, y, found = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["x", "y", "ranges"])
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if size > BIN_BYTES and held[-1][0] != r[0]:
                     yield flush()
                     held.clear()
                     size = 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if held:
             yield flush()
 
-    return rows.select("anchor", "x", "y", "n_copies", "body").mapInArrow(judge, "x long, y long, ranges array<long>")
+    return rows.select("anchor", "x", "y", "n_copies", "place", "body").mapInArrow(judge, "x long, y long, ranges array<long>")
 
 
 def _hashed_windows(rows: DataFrame) -> DataFrame:
@@ -299,9 +350,9 @@ def _hashed_windows(rows: DataFrame) -> DataFrame:
     return rows.select("x", "y", "n_copies", "body").mapInArrow(judge, "x long, y long, at long, n_copies long, u long, v long")
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, found) -> the digest, kept bytes and removed spans; found: array of (start, ranges)."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "spans"]
+def _cut(rows: DataFrame, texts: bool) -> DataFrame:
+    """(doc_id, text, found) -> the digest and, if texts, kept bytes and removed spans; found: array of (start, ranges)."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "spans"][: 7 if texts else 5]
 
     def judge(batches):
         for batch in batches:
@@ -320,32 +371,35 @@ def _cut(rows: DataFrame) -> DataFrame:
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     edge = _ranges(gone)
                     spans = [[a, b] for a, b in zip(edge[0::2], edge[1::2])]
-                out.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans))
+                out.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans)[: len(names)])
             types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-            cols = zip(*out) if out else [()] * 7
+            cols = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return rows.select("doc_id", "text", "found").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<array<long>>")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary, spans array<array<long>>" if texts else "")
+    return rows.select("doc_id", "text", "found").mapInArrow(judge, schema)
 
 
-def suffix_dedup(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, spans (start, end in bytes)."""
+def suffix_dedup(docs: DataFrame, max_pieces: int = MAX_PIECES, texts: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept_bytes and spans (start, end in bytes)."""
     spark = docs.sparkSession
     table = bucketed(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rid", "docs")
     anchors = written(_anchors(table), "anchors")
-    several = anchors.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # written, so that the join has two plain exchanges and the partition of a common anchor can be split
+    several = written(anchors.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "several")
     wanted = written(anchors.join(several, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     drop(anchors)
     pieces = written(_pieces(table.join(wanted, "rid")), "pieces")
     drop(wanted)
-    distinct = written(pieces.groupBy("anchor", "x", "y").agg(F.count("*").alias("n_copies"), F.min("body").alias("body")), "distinct")
+    distinct = written(pieces.groupBy("anchor", "x", "y").agg(F.count("*").alias("n_copies"), F.min("place").alias("place"), F.min("body").alias("body")), "distinct")
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("c"))
     alone = distinct.join(sizes.filter("c = 1").select("anchor"), "anchor", "left_semi").filter("n_copies > 1").select("x", "y", F.array(F.lit(0).cast("long"), (F.octet_length("body") - LENGTH + 1).cast("long")).alias("ranges"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = distinct.join(sizes.filter(F.col("c").between(2, max_pieces)).select("anchor"), "anchor", "left_semi")
     merged = _merged(some.repartition(n, "anchor").sortWithinPartitions("anchor"))
     windows = _hashed_windows(distinct.join(sizes.filter(F.col("c") > max_pieces).select("anchor"), "anchor", "left_semi"))
-    twice = windows.groupBy("u", "v").agg(F.sum("n_copies").alias("c")).filter("c > 1").select("u", "v")
+    windows = written(windows, "windows")
+    twice = written(windows.groupBy("u", "v").agg(F.sum("n_copies").alias("c")).filter("c > 1").select("u", "v"), "twice")
     single = F.array(F.col("at"), F.col("at") + 1)
     many = windows.join(twice, ["u", "v"]).groupBy("x", "y").agg(F.flatten(F.collect_list(single)).alias("ranges"))
     found = written(alone.unionByName(merged).unionByName(many), "found")
@@ -355,4 +409,4 @@ def suffix_dedup(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     gone = written(gone, "gone")
     drop(pieces)
     drop(found)
-    return _cut(table.join(gone, "rid", "left"))
+    return _cut(table.join(gone, "rid", "left"), texts)
