@@ -174,9 +174,11 @@ def _windows_of(rows: DataFrame) -> DataFrame:
     return rows.select("text", "runs").mapInArrow(judge, "x long, y long, doc_id long, k long, u long, v long")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def _kept(rows: DataFrame, texts: bool) -> DataFrame:
     """(doc_id, text, starts) -> the digest and the kept words; starts: of the windows to remove."""
 
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if texts else 4]
+
     def judge(batches):
         for batch in batches:
             out = []
@@ -195,15 +197,15 @@ def _kept(rows: DataFrame) -> DataFrame:
                     out.append((doc_id, len(words), 0, b" ".join(words)))
             ids, n, removed, kept = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept], pa.string())],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept] if texts else [None] * len(kept), pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+            ).select(names)
 
-    return rows.select("doc_id", "text", "starts").mapInArrow(judge, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.select("doc_id", "text", "starts").mapInArrow(judge, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def incremental_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, kept_text.
+def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, if texts, kept_text.
 
     The documents come to the index in `batches` batches by rising doc_id; the result is the same for any number.
     """
@@ -224,7 +226,9 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         shared = found if shared is None else shared.unionByName(found)
     index.drop()
     release(spark)
-    wanted = prints.join(shared.distinct(), "print").groupBy("rid").agg(F.collect_set("print").alias("prints"))
+    # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
+    shared = written(shared.distinct(), "hits")
+    wanted = prints.join(shared, "print").groupBy("rid").agg(F.collect_set("print").alias("prints"))
     wanted = written(wanted, "wanted")
     drop(prints)
     rows = table.join(wanted, "rid").select("rid", F.col("order_id").alias("doc_id"), "text", "prints")
@@ -235,6 +239,7 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     runs = distinct.join(mixed, "print").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "x", "y")).alias("runs"))
     windows = written(_windows_of(table.join(written(runs, "runs"), "rid")), "windows")
     least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
+    least = written(least, "least")
     some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
     known = written(distinct.select("x", "y", F.col("first.doc_id").alias("least")).join(some, ["x", "y"], "left"), "known")
     drop(windows)
@@ -245,4 +250,4 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     gone = written(gone, "gone")
     drop(found)
     drop(known)
-    return _kept(table.join(gone, "rid", "left"))
+    return _kept(table.join(gone, "rid", "left"), texts)

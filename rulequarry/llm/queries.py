@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents")).drop("kept_bytes", "spans")
+    return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), texts=False)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_index.incremental_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+    return fingerprint_index.incremental_dedup(_read(spark, sf_dir, "documents"), texts=False)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
