@@ -156,20 +156,20 @@ class Crf:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> Crf:
-    """Weights from at most max_docs labelled documents of at most max_bytes bytes, those of least id hash.
+    """Weights from at most max_docs labelled documents, those of least id hash, without texts of over max_bytes bytes.
 
-    Rows with a null id, text or label are not used. With none left, every line counts as content.
+    Of an id's rows the least label and the least text count; rows with a null id, text or label are
+    not used. With none left, every line counts as content.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = (
-        docs.select("doc_id", "text")
-        .filter(F.octet_length("text").between(1, max_bytes))
-        .join(known, "doc_id")
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "quality")
-        .orderBy("h", "doc_id", "text")
-        .limit(max_docs)
-        .collect()
-    )
+    # ids first: of them at most max_docs leave a task, and texts are only read for those that were chosen
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    if not chosen:
+        return Crf.fit([])
+    ids = docs.sparkSession.createDataFrame(chosen, known.schema)
+    found = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     chains = []
     for r in rows:
         x, _ = line_features(r.text.encode())
