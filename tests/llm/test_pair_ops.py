@@ -38,10 +38,11 @@ def docs(spark):
     return given.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(2000, 2100)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), few).collect()}
     parent = {}
 
     def find(x):
@@ -81,6 +82,33 @@ def test_merged_transforms_sort_all_suffixes():
     assert [g.tolist() for g in got] == [[count[p[i : i + 16]] > 1 for i in range(max(0, len(p) - 15))] for p in pieces]
 
 
+def test_repeated_in_groups():
+    """Pieces around one anchor, cut and merged, against all windows."""
+    rng = random.Random(13)
+    core = bytes(rng.choice(b"xyz") for _ in range(400))
+    held = []
+    for _ in range(120):
+        a, b = rng.randint(0, 168), rng.randint(232, 400)
+        body = bytearray(core[a:b])
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(body))
+            if not 168 - a <= k < 232 - a:
+                body[k] = rng.choice(b"xyz")
+        held.append((7, 200 - a, rng.choice((1, 1, 1, 2)), bytes(body)))
+    held = list({h[3]: h for h in held if len(h[3]) >= 200}.values())
+    other = bytes(rng.choice(b"uvw") for _ in range(250))
+    held += [(9, 100, 1, other), (9, 100, 1, other[:240])]
+    count = Counter()
+    for _, place, copies, body in held:
+        for i in range(len(body) - 199):
+            count[(body[i : i + 200])] += copies
+    got = suffix_dedup.repeated_in_groups(held)
+    for (anchor, place, copies, body), found in zip(held, got):
+        flags = [any(a <= i < b for a, b in zip(found[0::2], found[1::2])) for i in range(len(body) - 199)]
+        inside = [i + 200 > place and i <= place for i in range(len(body) - 199)]
+        assert [f for f, x in zip(flags, inside) if x] == [count[body[i : i + 200]] > 1 for i, x in enumerate(inside) if x]
+
+
 @pytest.mark.parametrize("max_pieces", [suffix_dedup.MAX_PIECES, 1])
 def test_suffix_dedup(spark, docs, max_pieces):
     rows = docs.filter("doc_id IS NULL OR doc_id < 1100")
@@ -154,7 +182,8 @@ def test_jaccard_classes(spark, docs):
     assert Counter(tuple(r)[:3] for r in jaccard_join.jaccard_classes(docs).collect()) == want
 
 
-def test_jaccard_near_copies_at_the_border(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [8, 256])
+def test_jaccard_near_copies_at_the_border(spark, monkeypatch, dense):
     """Chains and groups around J = 0.8, with several rounds of stars."""
     rng = random.Random(11)
     base = [f"w{k}" for k in range(120)]
@@ -165,6 +194,8 @@ def test_jaccard_near_copies_at_the_border(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"z{rng.randrange(1000)}"
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", 20)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
     got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(tuple(r)[:3] for r in got.collect()) == plain_components(rows)
 
