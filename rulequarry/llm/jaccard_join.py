@@ -7,14 +7,16 @@ other hashes must share a prefix token too before a pair is verified on its whol
 
 Documents with equal sets are one class, of which only one goes on. Tokens that a single class
 has in its prefix are dropped by a count that is combined on the map side. Candidates are first
-stars: each class and the one pivot that it shares most prefix tokens with, so a group of any size gives
+stars: each class and the one pivot that it shares most prefix tokens with (pivots have the most
+common tokens, as the original of a group of copies does), so a group of any size gives
 as many pairs as it has members. What is linked so becomes one component. Then every pair of
 classes that share a prefix token, but not yet a component, is verified; before that, more rounds of
-stars around other pivots are made as long as those pairs would outnumber the postings. No pair is
-left out, so components are exact.
+stars around other pivots are made as long as those pairs would outnumber the postings and stars still find links. Pairs whose sizes, or whose number of common
+prefix tokens, rule out a link are not verified. No other pair is left out, so components are exact.
 
-The frequent tokens are the MAX_FREQUENT most common ones at most. They are found by counts within
-slices of text; any order gives the same links, so they only decide how many candidates there are.
+Frequent tokens are those in FREQUENT_FROM prefixes or more by hash alone, the MAX_FREQUENT most common
+ones at most (1.6 MB, shipped to the tasks). Any order gives the same links, so they only decide how many
+candidates there are.
 
 Documents without words have an empty set and link with nothing; with fewer than five words the
 whole sequence is one shingle. Rows repeated in full are copies of each other; a null doc_id takes part
@@ -35,7 +37,14 @@ from rulequarry.llm._scratch import drop, written
 from rulequarry.llm._text import FOLD, STEP, Words, buffers, grams, mix, slices
 
 SHINGLE, PERCENT = 5, 80
-MAX_FREQUENT, FREQUENT_FROM = 50_000, 64
+MAX_FREQUENT, FREQUENT_FROM = 200_000, 12
+#: Of candidates with prefixes of c common tokens: whether their sizes allow a link, and whether c does. The tokens
+#: after the shorter-reaching prefix are at most n less its length, and all others that are shared are in both prefixes.
+SIZES = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+_REST = "({n} * {p} + 99) DIV 100 - 1"
+ENOUGH = f"{100 + PERCENT} * (c + greatest({_REST.format(n='n_a', p=PERCENT)}, {_REST.format(n='n_b', p=PERCENT)})) >= {PERCENT} * (n_a + n_b)"
+#: Tokens that more classes share are compared in blocks of so many, by parity sketches of so many bits.
+DENSE, BLOCK, BITS = 256, 2048, 2048
 ORDERS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E6C63D0676A9A99))
 
 
@@ -68,49 +77,64 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return tokens[:k]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether sorted sets link: size filter, two more prefix filters, then the whole sets."""
-    small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < PERCENT * large:
-        return False
-    for seed in ORDERS:
-        x, y = np.sort(mix(a ^ seed))[: prefix_length(len(a))], np.sort(mix(b ^ seed))[: prefix_length(len(b))]
-        if not len(np.intersect1d(x, y, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def reaches(tokens: np.ndarray) -> list[int]:
+    """Under each further order, the last place of the set's prefix: a token's place is its mixed hash."""
+    k = prefix_length(len(tokens))
+    return [int(np.partition(mix(tokens ^ seed), k - 1)[k - 1]) if k else 0 for seed in ORDERS]
+
+
+def linked(x: np.ndarray, reach: list[int], ys: list[np.ndarray], reaches_: np.ndarray) -> np.ndarray:
+    """Whether the sorted set x links to each set of ys: sizes, then a common prefix token under each further order, then the whole sets."""
+    sizes = np.array([len(y) for y in ys], np.int64)
+    small, large = np.minimum(sizes, len(x)), np.maximum(sizes, len(x))
+    ok = (small > 0) & (100 * small >= PERCENT * large)
+    for k, seed in enumerate(ORDERS):
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return ok
+        flat, row = np.concatenate([ys[i] for i in at]), np.repeat(at, sizes[at])
+        own = flat[early := mix(flat ^ seed) <= reaches_[row, k]]
+        first = x[mix(x ^ seed) <= np.uint64(reach[k])]
+        ok &= np.bincount(row[early][_among(own, first)], minlength=len(ys)) > 0
+    at = np.flatnonzero(ok)
+    if len(at):
+        flat, row = np.concatenate([ys[i] for i in at]), np.repeat(at, sizes[at])
+        both = np.bincount(row[_among(flat, x)], minlength=len(ys))
+        ok &= 100 * both >= PERCENT * (len(x) + sizes - both)
+    return ok
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each of x: whether it is in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _describe(base: DataFrame) -> DataFrame:
-    """(rid, doc_id, n, key) of each row, and (token, seen) of tokens that several rows of a slice have, in one pass."""
+    """(rid, doc_id, n, key, tokens) of each row: its set's size and 128-bit digest, and its prefix in the order of hashes alone."""
+    names = ["rid", "doc_id", "n", "key", "tokens"]
 
     def judge(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(2))
-            n, keys = [], []
+            n, keys, tokens = [], [], []
             for first, last in slices(offsets, 1 << 22):
-                sets = list(shingle_sets(raw, offsets, first, last))
-                for s in sets:
+                for s in shingle_sets(raw, offsets, first, last):
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if sets:
-                    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                    often = counts >= 4
-                    if often.any():
-                        k = int(often.sum())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                            names=["rid", "doc_id", "n", "key", "token", "seen"],
-                        )
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["rid", "doc_id", "n", "key", "token", "seen"])
-
-    return base.select("rid", "doc_id", "text").mapInArrow(judge, "rid long, doc_id long, n long, key binary, token long, seen long")
-
-
-def _prefixes(base: DataFrame, frequent: list[int]) -> DataFrame:
+                    tokens.append(s[: prefix_length(len(s))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(tokens)], names=names)
+
+    return base.select("rid", "doc_id", "text").mapInArrow(judge, "rid long, doc_id long, n long, key binary, tokens array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _prefixes(base: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(rid, n, tokens): the prefix of each row with a set."""
-    shipped = base.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
+    shipped = base.sparkSession.sparkContext.broadcast(np.sort(frequent.astype(np.int64).view(np.uint64)))
 
     def judge(batches):
         for batch in batches:
@@ -120,35 +144,128 @@ def _prefixes(base: DataFrame, frequent: list[int]) -> DataFrame:
                 for s in shingle_sets(raw, offsets, first, last):
                     n.append(len(s))
                     tokens.append(_prefix(s, shipped.value).view(np.int64))
-            ends = np.cumsum([0, *map(len, tokens)])
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["rid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _lists(tokens)], names=["rid", "n", "tokens"])
 
     return base.select("rid", "text").mapInArrow(judge, "rid long, n long, tokens array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
+    """(rid, text) -> (rid, tokens, reach): the whole set, and where its prefixes under the further orders end."""
+
     def judge(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            out = [s.tobytes() for first, last in slices(offsets) for s in shingle_sets(raw, offsets, first, last)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rid", "tokens"])
+            sets = [s for first, last in slices(offsets) for s in shingle_sets(raw, offsets, first, last)]
+            reach = [np.array(reaches(s), np.uint64).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(reach, pa.binary())], names=["rid", "tokens", "reach"])
 
-    return rows.select("rid", "text").mapInArrow(judge, "rid long, tokens binary")
+    return rows.select("rid", "text").mapInArrow(judge, "rid long, tokens binary, reach binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link; those of one a that come together are judged together."""
 
     def judge(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            for part in range(0, batch.num_rows, 1024):  # bounds the sets that are held at once
+                some = batch.slice(part, 1024)
+                a = some.column(0).to_numpy()
+                ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a))
+                ok = np.zeros(len(a), bool)
+                for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    x = np.frombuffer(some.column(2)[i].as_py(), np.uint64)
+                    reach = np.frombuffer(some.column(3)[i].as_py(), np.uint64).tolist()
+                    ys = [np.frombuffer(y, np.uint64) for y in some.column(4).slice(i, j - i).to_pylist()]
+                    ok[i:j] = linked(x, reach, ys, np.frombuffer(b"".join(some.column(5).slice(i, j - i).to_pylist()), np.uint64).reshape(-1, len(ORDERS)))
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(keep), some.column(1).filter(keep)], names=["a", "b"])
+
+    y = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y"), F.col("reach").alias("y_reach"))
+    x = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x"), F.col("reach").alias("x_reach"))
+    joined = pairs.select("a", "b").join(y, "b").join(x, "a")
+    return joined.select("a", "b", "x", "x_reach", "y", "y_reach").mapInArrow(judge, "a long, b long")
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """(rid, text) -> (rid, sketch): for each of BITS cells, the parity of the set's tokens in it."""
 
-    joined = pairs.select("a", "b").join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y")), "b")
-    joined = joined.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    def judge(batches):
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            out = []
+            for first, last in slices(offsets):
+                for s in shingle_sets(raw, offsets, first, last):
+                    out.append(np.packbits(np.bincount((mix(s ^ ORDERS[0]) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rid", "sketch"])
+
+    return rows.select("rid", "text").mapInArrow(judge, "rid long, sketch binary")
+
+
+def near_pairs(rid: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (left, right) that may link: another component, fitting sizes, and no more odd cells in both sketches together than tokens that may differ."""
+    out_a, out_b = [], []
+    for i in left.tolist():
+        total = n[i] + n[right]
+        ok = (component[right] != component[i]) & (rid[right] != rid[i]) & (100 * np.minimum(n[i], n[right]) >= PERCENT * np.maximum(n[i], n[right]))
+        j = right[ok]
+        differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+        j = j[differ <= total[ok] - 2 * (-(-PERCENT * total[ok] // (100 + PERCENT)))]
+        out_a.append(np.minimum(rid[i], rid[j]))
+        out_b.append(np.maximum(rid[i], rid[j]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(token, x, y, block, rid, n, component, sketch), equal (token, x, y) next to each other -> pairs (a, b) of block x with block y."""
+
+    def judge(batches):
+        held: list[tuple] = []
+
+        def flush():
+            rid, n, component = (np.array([h[k] for h in held], np.int64) for k in (4, 5, 6))
+            sketch = np.frombuffer(b"".join(h[7] for h in held), np.uint64).reshape(len(held), -1)
+            block = np.array([h[3] for h in held])
+            a, b = near_pairs(rid, n, component, sketch, np.flatnonzero(block == held[0][1]), np.flatnonzero(block == held[0][2]))
+            key = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1])], names=["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r[:3] != held[0][:3]:
+                    yield flush()
+                    held.clear()
+                held.append(r)
+        if held:
+            yield flush()
+
+    return rows.select("token", "x", "y", "block", "rid", "n", "component", "sketch").mapInArrow(judge, "a long, b long")
+
+
+def _open_pairs(open_: DataFrame, base: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a prefix token and may link.
+
+    Tokens of up to DENSE classes are joined; of the many that a token of more gives, a task compares two blocks by
+    sketches and lets out those that these don't rule out.
+    """
+    spark = open_.sparkSession
+    dense = open_.filter(F.col("c") > DENSE)
+    rows = open_.withColumn("dense", (F.col("c") > DENSE).cast("int"))
+    d = rows.groupBy("rid").agg(F.sum("dense").alias("d"))
+    sparse = rows.filter("dense = 0").join(d, "rid")
+    x = sparse.select("token", F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("d").alias("d_a"))
+    y = sparse.select("token", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("d").alias("d_b"))
+    pairs = x.join(y, "token").filter("a < b AND c_a <> c_b").filter(SIZES).groupBy("a", "b", "n_a", "n_b", "d_a", "d_b").agg(F.count("*").alias("shared"))
+    # they may share dense tokens as well, of which the lesser number of either is the most
+    pairs = pairs.withColumn("c", F.col("shared") + F.least("d_a", "d_b")).filter(ENOUGH).select("a", "b")
+    sketches = written(_sketches(base.join(dense.select("rid").distinct(), "rid", "left_semi")), "sketches")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
+    dealt = dense.select("token", "rid", "n", "component", own.alias("block"), F.explode(cells).alias("cell")).select("token", "cell.x", "cell.y", "block", "rid", "n", "component")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(sketches, "rid").repartition(n, "token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return pairs.unionByName(_block_pairs(dealt)).distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -172,41 +289,52 @@ def representatives(docs: DataFrame) -> DataFrame:
 def _classified(base: DataFrame) -> DataFrame:
     """(rid, doc_id, text) -> rid, doc_id, n_shingles, component (a rid), component_id, n_copies."""
     described = written(_describe(base), "described")
-    rows = described.filter("rid IS NOT NULL").select("rid", "doc_id", "n", "key")
-    frequent = [
-        r.token
-        for r in described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT_FROM).orderBy(F.desc("seen"), "token").limit(MAX_FREQUENT).collect()
-    ]
+    rows = described.select("rid", "doc_id", "n", "key")
     classes = written(rows.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
+    counts = described.join(classes.select("rid"), "rid", "left_semi").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    often = counts.filter(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    frequent = often.column("token").to_numpy()
+    slim = written(rows, "rows")
+    drop(described)
+    rows = slim
     prefixes = written(_prefixes(base, frequent).filter("n > 0").join(classes.select("rid"), "rid", "left_semi"), "prefixes")
     postings = prefixes.select(F.explode("tokens").alias("token"), "rid", "n")
-    several = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    # written, so that the join below has two plain exchanges and a common token's partition can be split
+    several = written(postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "several")
     shared = written(postings.join(several, "token"), "shared")
+    # the document that others were copied from has the most common tokens, and most of its copies link to it
+    score = written(shared.groupBy("rid", "n").agg((F.sum("c") / F.col("n")).alias("score")).select("rid", "score"), "score")
+    shared = written(shared.drop("c").join(score, "rid"), "shared")
     drop(prefixes)
-    sets = written(_sets(base.join(shared.select("rid").distinct(), "rid", "left_semi")), "sets")
-
-    links, tested, turn = None, None, 0
+    links, tested, turn, new = None, None, 0, []
     label = None
     while True:
         now = shared.withColumn("component", F.col("rid")) if label is None else shared.join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        # later pivots are other documents: the score counts less with each round
+        rank = F.col("score") if not turn else F.col("score") * (F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(1000)) / 1000.0)
         stats = now.groupBy("token").agg(
-            F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "component")).alias("pivot")
+            F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(rank.alias("h"), "rid", "n", "component")).alias("pivot")
         ).filter("low < high")
-        open_ = written(now.join(stats.select("token", "c", "pivot"), "token"), "open")
-        size = open_.groupBy("token").agg(F.first("c").alias("c")).agg(F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
-        last = turn >= 8 or (turn > 0 and size.pairs <= 8 * size.rows)
+        stats = written(stats.select("token", "c", "pivot"), "stats")
+        open_ = written(now.join(stats, "token"), "open")
+        size = stats.agg(F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
+        last = turn > 0 and (size.pairs <= 8 * size.rows or new[-1] <= 0.1 * new[0])
         if last:
-            x = open_.select("token", F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = open_.select("token", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "token").filter("a < b AND c_a <> c_b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b").distinct()
+            pairs = _open_pairs(open_, base)
         else:
-            star = open_.filter("component <> pivot.component").filter(f"100 * least(n, pivot.n) >= {PERCENT} * greatest(n, pivot.n)")
-            best = star.groupBy("rid", F.col("pivot.rid").alias("pivot")).agg(F.count("*").alias("c")).groupBy("rid").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+            star = open_.filter("component <> pivot.component").select("rid", F.col("n").alias("n_a"), F.col("pivot.rid").alias("pivot"), F.col("pivot.n").alias("n_b")).filter(SIZES)
+            # here c counts only tokens of which the other is the pivot: too few, at worst, and then the last round has the pair
+            star = star.groupBy("rid", "pivot", "n_a", "n_b").agg(F.count("*").alias("c")).filter(ENOUGH)
+            best = star.groupBy("rid").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
             pairs = best.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        sets = written(_sets(base.join(ids, "rid", "left_semi")), "sets")
         found = written(_verified(pairs, sets), "links")
+        drop(sets)
+        new.append(found.count())
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         label = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rid"), "label")
@@ -214,7 +342,6 @@ def _classified(base: DataFrame) -> DataFrame:
         turn += 1
         if last:
             break
-    drop(sets)
     drop(shared)
     grouped = classes.join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
