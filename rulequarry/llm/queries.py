@@ -63,13 +63,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_sources(docs, columns=["doc_id", "source"])
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def mix_sources_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_mix_sources that its SQL statement has."""
+    return op10_mix_sources(spark, sf_dir).select("doc_id", "source", "copy", "order_key")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources, mix_sources_ids)}
 
 
 def oracle_sql():
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"mix_sources_ids": mixing.ORACLE}

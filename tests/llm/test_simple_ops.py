@@ -252,6 +252,17 @@ def test_mixing(spark, docs):
     assert {r.source for r in only} <= {"src1"}
 
 
+def test_mixing_returns_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = queries.op10_mix_sources(spark, SF)
+    assert mixed.columns == [*docs.columns, "copy", "order_key"]
+    whole, rows, copies = {tuple(r) for r in docs.collect()}, mixed.collect(), Counter()
+    for r in rows:
+        assert tuple(r)[:-2] in whole
+        copies[tuple(r)[:-2]] = max(copies[tuple(r)[:-2]], r.copy)
+    assert sum(copies.values()) == len(rows) and [r.order_key for r in rows] == sorted(r.order_key for r in rows)
+
+
 def test_poisson_counts_have_the_mean_and_variance(spark):
     rows = spark.range(20000).selectExpr("id AS doc_id", "'x' AS text", "IF(id % 4 = 0, 'a', 'b') AS source")
     counts = mixing.mix_sources(rows, columns=["doc_id", "source"], shuffle=False).groupBy("source").count().collect()
