@@ -3,9 +3,11 @@
 Markup is stripped to lines, one for each block element's own text. Lines inside elements that
 never hold the article (menus, headers and footers of the page, sidebars, forms, scripts, and
 those whose class or id says so) count as empty. The length of text is summed over sliding windows
-of lines; the article starts where the sum surges and ends where it dives to nothing, and the stretch
-with most text is kept. Where the page has an article or main element, its edges are the surge
-and the dive, as its markup says where the text rises from and falls to nothing.
+of lines, on every page; the article starts where the sum surges, with the unbroken lines of text right
+before it, and ends where it dives to nothing, and the stretch with most text is kept.
+Article and main elements only refine the edges found: if an outermost one holds more than half of the
+stretch's text, or all of them together do, the stretch grows to its edges, and what lies before or after
+them stays only if its own sum surges.
 
 Character references are decoded, white space within a block becomes one space, blocks are
 joined by an empty line in page order. Null or empty html, and pages without text, give an empty
@@ -39,12 +41,12 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in boilerplate, in an article element) for each block of the page, empty ones left out."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+def lines(page: str) -> list[tuple[str, bool, int]]:
+    """(text, in boilerplate, number of the outermost article or main element or 0) for each block of the page, empty ones left out."""
+    out: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, article
     text: list[str] = []
-    state = (False, False)
+    state, articles = (False, 0), 0
 
     def flush():
         if text:
@@ -79,49 +81,72 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         elif name not in VOID and not m["attrs"].endswith("/"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            boiler, article = stack[-1][1:] if stack else (False, False)
-            if name in ("article", "main"):
-                article = True
+            boiler, article = stack[-1][1:] if stack else (False, 0)
+            if name in ("article", "main") and not article:
+                article = articles = articles + 1
             if not (name == "header" and article):
                 boiler = boiler or name in BOILER
             if m["attrs"] and name not in ("html", "body", "article", "main"):
                 boiler = boiler or any(WORDS.search(next(filter(None, v), "")) for v in _NAMED.findall(m["attrs"]))
             stack.append((name, boiler, article))
-        state = stack[-1][1:] if stack else (False, False)
+        state = stack[-1][1:] if stack else (False, 0)
     if at < len(page):
         text.append(re.sub(r"<[a-zA-Z/!][^>]*$", "", page[at:]))
     flush()
     return out
 
 
+def _sums(size: np.ndarray, window: int) -> np.ndarray:
+    return np.convolve(np.concatenate([size, np.zeros(window - 1, size.dtype)]), np.ones(window, size.dtype), "valid")
+
+
+def _stretch(size: np.ndarray, window: int, surge: int) -> tuple[int, int]:
+    """The stretch from surge to dive with most text; empty if there is no text."""
+    sums = _sums(size, window)
+    level, best = min(surge, float(sums.max())), (0, 0, 0)
+    k = 0
+    while level and k < len(sums):
+        if sums[k] < level:
+            k += 1
+            continue
+        start = k
+        while start > 0 and size[start - 1] > 0:
+            start -= 1
+        while k < len(sums) and sums[k] > 0:
+            k += 1
+        total = int(size[start:k].sum())
+        if total > best[0]:
+            best = (total, start, k)
+    return best[1:]
+
+
+def _refined(first: int, last: int, size: np.ndarray, article: np.ndarray, window: int, surge: int) -> tuple[int, int]:
+    """The stretch with its edges at those of the article or main element that holds most of its text, if one does."""
+    total = int(size[first:last].sum())
+    shares = np.bincount(article[first:last], size[first:last])
+    inside = article == int(shares.argmax())
+    if not article[inside].any() or 2 * shares.max() <= total:
+        inside = article > 0
+        if 2 * int(size[first:last][inside[first:last]].sum()) <= total:
+            return first, last
+    at = np.flatnonzero(inside & (size > 0))
+    start, end = int(at[0]), int(at[-1]) + 1
+    if first < start and _sums(size[first:start], window).max() >= surge:
+        start = first
+    if end < last and _sums(size[end:last], window).max() >= surge:
+        end = last
+    return start, end
+
+
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page."""
     found = lines(page or "")
     if not found:
         return ""
     size = np.array([0 if boiler else len(t) for t, boiler, _ in found])
-    inside = np.array([a and not b for _, b, a in found])
-    if inside.any():
-        first, last = int(np.flatnonzero(inside)[0]), int(np.flatnonzero(inside)[-1]) + 1
-    else:
-        padded = np.concatenate([size, np.zeros(window - 1, size.dtype)])
-        sums = np.convolve(padded, np.ones(window, size.dtype), "valid")
-        high = float(sums.max())
-        if not high:
-            return ""
-        level, best = min(surge, high), (0, 0, 0)
-        k = 0
-        while k < len(sums):
-            if sums[k] < level:
-                k += 1
-                continue
-            start = k
-            while k < len(sums) and sums[k] > 0:
-                k += 1
-            total = int(size[start:k].sum())
-            if total > best[0]:
-                best = (total, start, k)
-        first, last = best[1], best[2]
+    first, last = _stretch(size, window, surge)
+    if first < last:
+        first, last = _refined(first, last, size, np.array([a for _, _, a in found]), window, surge)
     return "\n\n".join(t for (t, boiler, _) in found[first:last] if not boiler)
 
 

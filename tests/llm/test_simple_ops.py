@@ -239,6 +239,23 @@ def test_extraction_on_pages(spark):
         assert html_extract.extract(r.html) == "\n\n".join(b for b in blocks if b)
 
 
+def test_extraction_without_article_tags_and_with_teasers(spark):
+    """The sliding windows find the same text on pages whose article tags are gone, and beside short articles."""
+    teaser = "<article><p>Another story of the week.</p></article>"
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = html_extract.extract(r.html)
+        bare = re.sub(r"</?article>", "", r.html)
+        assert html_extract.extract(bare) == want
+        if len(want) > 200:
+            assert html_extract.extract(bare.replace("<body>", "<body>" + teaser)) == want
+            assert html_extract.extract(r.html.replace("<body>", "<body>" + teaser)) == want
+    long = "This sentence is long enough to be the text of a page, and goes on for a while. "
+    body = f"<div>{long}</div><div>{long * 3}</div>"
+    assert html_extract.extract(f"<body><article><p>Intro.</p></article>{body}</body>").count(long.strip()) == 4
+    rest = f"<body><div>{long}</div><nav>a</nav><nav>b</nav><nav>c</nav><main><p>{long * 2}</p></main><div>Next</div></body>"
+    assert html_extract.extract(rest) == (long * 2).strip()
+
+
 def test_mixing(spark, docs):
     table = {r.source: r for r in mixing.rates(docs, scale=2.0).collect()}
     total = sum(r.size for r in table.values())
