@@ -66,9 +66,20 @@ def user_tokens_clustering(spark, sf_dir):
 
 @query("""SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(string_split_regex(lower(substr(text, 1, 400)), '\\s+')) AS raw FROM documents),
   LATERAL (SELECT regexp_replace(raw, '[^a-z0-9_]', '', 'g') AS token) WHERE token <> ''""")
+def user_tokens_verification_head(spark, sf_dir):
+    """user_tokens_verification of the first 400 characters, with the SQL of those."""
+    return _verification_tokens(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text")))
+
+
+@query()
 def user_tokens_verification(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.substring("text", 1, 400)), r"\s+")).alias("raw"))
-    return docs.select("doc_id", F.regexp_replace("raw", "[^a-z0-9_]", "").alias("token")).filter("token <> ''").distinct()
+    """Distinct tokens of whole texts, split at white space."""
+    return _verification_tokens(table(spark, sf_dir, "documents"))
+
+
+def _verification_tokens(docs):
+    raw = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
+    return raw.select("doc_id", F.regexp_replace("raw", "[^a-z0-9_]", "").alias("token")).filter("token <> ''").distinct()
 
 
 @query("""SELECT rule_id, type, severity FROM (VALUES """ + ", ".join(f"('{r['rule_id']}', '{r['type']}', '{r['severity']}')" for r in RULES) + """) t(rule_id, type, severity)

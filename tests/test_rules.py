@@ -184,3 +184,15 @@ def test_generators_and_certificates(spark):
     signed = certificates.sign({"rule": "r", "checked": 3}, b"key")
     assert certificates.verify(signed, b"key") and not certificates.verify(signed | {"checked": 4}, b"key")
     assert certificates.review_threshold([k / 100 for k in range(100)], 0.2) == pytest.approx(0.8, abs=0.02)
+
+
+def test_verification_tokens_are_of_whole_texts(spark):
+    import re
+
+    from rulequarry.plans import projection
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.doc_id, t) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for raw in re.split(r"[ \t\n\f\r\v]+", (r.text or "").lower()) if (t := re.sub("[^a-z0-9_]", "", raw))}
+    got = projection.user_tokens_verification(spark, sf).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert projection.user_tokens_verification_head(spark, sf).count() < len(want)
