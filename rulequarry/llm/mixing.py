@@ -2,7 +2,8 @@
 
 A source of share w of the target is repeated at the mean rate w * T / size, where size is its
 characters and T those of the whole corpus times `scale`. A document's uniform number comes from
-the MD5 of a seed, its id and its text, and the inverse Poisson distribution turns it into a count;
+the MD5 of a seed, its id and its text, and the inverse Poisson distribution turns it into a count
+(rates over MOST are split into equal parts, and the counts of as many numbers summed);
 so the result is the same for any partitioning, and a source of any size needs no state but its rate.
 The copies are then put in a global random order by a hash, as ranges over all tasks.
 
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 17
+#: The largest rate of one draw; exp(-rate) must not vanish.
+MOST = 512.0
 #: The inverse distribution is tabulated up to mean + 12 deviations + 30; beyond that mass is under 1e-12.
-_TERMS = "CAST(ceil(rate + 12 * sqrt(rate) + 30) AS int)"
+_TERMS = "CAST(ceil(part + 12 * sqrt(part) + 30) AS int)"
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -26,8 +29,8 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, scale: float = 1.0, max_rate: float = 16.0) -> DataFrame:
-    """(source, rate, cdf): the mean repetitions of each source, at most max_rate, and its cumulative Poisson terms.
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, scale: float = 1.0, max_rate: float | None = None) -> DataFrame:
+    """(source, size, rate, parts, cdf): the mean repetitions of each source, at most max_rate if given, in how many parts they are drawn, and the cumulative Poisson terms of a part.
 
     weights: target shares by source, any positive scale, sources left out get 0; none: all sources alike.
     """
@@ -41,14 +44,15 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, scale
                 weight = F.when(F.col("source") == k, float(v)).otherwise(weight)
     total = sizes.withColumn("weight", weight)
     sums = total.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight")).otherwise(0.0)).alias("all_weight"))
-    rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), F.least(F.lit(max_rate), F.lit(scale) * F.col("weight") * F.col("all_size") / (F.col("all_weight") * F.col("size")))).otherwise(0.0)
-    out = total.crossJoin(F.broadcast(sums)).select("source", "size", rate.alias("rate"))
+    rate = F.lit(scale) * F.col("weight") * F.col("all_size") / (F.col("all_weight") * F.col("size"))
+    rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), rate if max_rate is None else F.least(F.lit(max_rate), rate)).otherwise(0.0)
+    out = total.crossJoin(F.broadcast(sums)).select("source", "size", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST).cast("int")))
     cdf = F.expr(f"""
         aggregate(sequence(1, {_TERMS}),
-          named_struct('term', exp(-rate), 'cdf', array(exp(-rate))),
-          (s, k) -> named_struct('term', s.term * rate / k, 'cdf', concat(s.cdf, array(element_at(s.cdf, -1) + s.term * rate / k))),
+          named_struct('term', exp(-part), 'cdf', array(exp(-part))),
+          (s, k) -> named_struct('term', s.term * part / k, 'cdf', concat(s.cdf, array(element_at(s.cdf, -1) + s.term * part / k))),
           s -> s.cdf)""")
-    return out.withColumn("cdf", cdf)
+    return out.withColumn("part", F.col("rate") / F.col("parts")).withColumn("cdf", cdf).drop("part")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, scale: float = 1.0, seed: int = SEED, shuffle: bool = True, columns: list[str] | None = None) -> DataFrame:
@@ -56,10 +60,17 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     order_key and copy replace columns of these names.
     """
-    table = rates(docs, weights, scale).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    u = uniform(F.lit(f"{seed}"), "doc_id", F.md5(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("__u", u).join(table, F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).filter("__n > 0")
+    table = rates(docs, weights, scale).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"), F.col("parts").alias("__parts"))
+
+    def u(of: Column) -> Column:
+        return uniform(of, "doc_id", "__text")
+
+    def count(of: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda c: c <= of))
+
+    rows = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).withColumn("__u", u(F.lit(f"{seed}"))).join(table, F.col("source").eqNullSafe(F.col("__source")))
+    others = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, k: n + count(u(F.concat(F.lit(f"{seed}/"), k.cast("string")))))
+    rows = rows.withColumn("__n", count(F.col("__u")) + F.when(F.col("__parts") > 1, others).otherwise(0)).filter("__n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
     rows = rows.select(*[c for c in columns or docs.columns if c not in ("copy", "order_key")], "copy", "order_key")

@@ -287,6 +287,15 @@ def test_poisson_counts_have_the_mean_and_variance(spark):
     assert n["a"] == pytest.approx(10000, rel=0.05) and n["b"] == pytest.approx(10000, rel=0.05)
 
 
+def test_small_sources_reach_their_weight(spark):
+    """Sources of 1 in 50 and 1 in 2,000 of the characters weigh as much as a hot one, at rates of 17 and 667."""
+    rows = spark.range(200_000).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id < 100 THEN 'least' WHEN id < 4100 THEN 'small' ELSE 'hot' END AS source")
+    rates = {r.source: (r.rate, r.parts) for r in mixing.rates(rows).collect()}
+    assert rates["least"] == (pytest.approx(200_000 / 300), 2) and rates["small"] == (pytest.approx(200_000 / 12_000), 1)
+    n = {r.source: r["count"] for r in mixing.mix_sources(rows, columns=["doc_id", "source"], shuffle=False).groupBy("source").count().collect()}
+    assert all(n[k] == pytest.approx(200_000 / 3, rel=0.03) for k in ("least", "small", "hot"))
+
+
 def test_clashing_columns_and_empty_tables(spark):
     empty = spark.createDataFrame([], COLUMNS + ", found string, copy int, rid long, token string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
