@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over runs of encoding characters.
 
-Everything is built of SQL functions. A run of 20 or more of `[A-Za-z0-9+/_-]` is a candidate if it
-holds two digits and a letter, and in mixed case letters of both cases; the narrowest of hex, base 32,
-lower-case base 36, base 62 and base 64 that holds it is its encoding, of k characters. Three tests look for departures from independent uniform draws:
+Everything is built of SQL functions. A run of 20 or more of `[A-Za-z0-9+/_-]` has as its encoding the
+narrowest of hex, base 32, lower-case base 36, base 62 and base 64 that holds it, of k characters. It is a
+candidate unless it lacks upper case, lower case or digits where its encoding has them and a uniform run of its
+length would lack them less than once in 500 times (so digits must be there from 20 characters in base 36, 30 in
+base 32, 36 in base 62 and 38 in base 64). Three tests look for departures from independent uniform draws:
 
 * chi-squared of the character counts against n/k, less its mean k-1 over its deviation;
 * the number of runs of one class (upper, lower, digit or sign), against its mean and deviation
@@ -21,6 +23,9 @@ Null and empty texts have no spans. Repeated rows are scanned and ranked one by
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +46,11 @@ ALPHABETS = {
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-",
 }
 
+#: What each encoding holds, narrowest first.
+ENCODINGS = {"hex": "^[0-9a-f]+$", "base32": "^[A-Z2-7]+$", "base36": "^[0-9a-z]+$", "base62": "^[0-9A-Za-z]+$", "base64": "^[A-Za-z0-9+/_-]+$"}
+#: A class of characters must be there if a uniform run lacks it less often than this.
+MISS = 0.002
+
 
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -72,7 +82,7 @@ def _tail(z: str) -> str:
 
 _STEPS = [
     {
-        "encoding": "CASE WHEN x.hit RLIKE '^[0-9a-f]+$' THEN 'hex' WHEN x.hit RLIKE '^[A-Z2-7]+$' THEN 'base32' WHEN x.hit RLIKE '^[0-9a-z]+$' THEN 'base36' WHEN x.hit RLIKE '^[0-9A-Za-z]+$' THEN 'base62' ELSE 'base64' END",
+        "encoding": "CASE " + " ".join(f"WHEN x.hit RLIKE '{v}' THEN '{k}'" for k, v in ENCODINGS.items()) + " END",
         "n": "CAST(length(x.hit) AS double)",
         "letters": "split(x.hit, '')",
         "classes": "split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x.hit, '[A-Z]', 'U'), '[a-z]', 'l'), '[0-9]', '9'), '[+/_-]', '-'), '')",
@@ -106,10 +116,19 @@ _STEPS = [
     {"p": "least(1D, exp(-x.half) * (1 + x.half + x.half * x.half / 2))", "length_class": "CASE WHEN x.n < 24 THEN 0 WHEN x.n < 32 THEN 1 WHEN x.n < 48 THEN 2 ELSE 3 END"},
 ]
 _KEPT = ("start", "end", "kind", "hit")
-RANDOM_KEEP = (
-    "x.hit RLIKE '[0-9][^0-9]*[0-9]' AND x.hit RLIKE '[A-Za-z]' AND "
-    "(x.hit RLIKE '^[0-9a-z]+$' OR x.hit RLIKE '^[0-9A-Z]+$' OR (x.hit RLIKE '[a-z]' AND x.hit RLIKE '[A-Z]'))"
-)
+
+
+def _keep() -> str:
+    """Whether a run has all classes that a uniform run of its encoding and length would lack less often than MISS."""
+    cases = []
+    for name, pattern in ENCODINGS.items():
+        shares = [(c, sum(bool(re.match(c, x)) for x in ALPHABETS[name]) / len(ALPHABETS[name])) for c in ("[0-9]", "[a-z]", "[A-Z]")]
+        needed = [f"(x.hit RLIKE '{c}' OR length(x.hit) < {math.ceil(math.log(MISS) / math.log(1 - q))})" for c, q in shares if 0 < q < 1]
+        cases.append(f"WHEN x.hit RLIKE '{pattern}' THEN {' AND '.join(needed)}")
+    return f"CASE {' '.join(cases)} END"
+
+
+RANDOM_KEEP = _keep()
 
 
 def battery(docs: DataFrame, out: str = "tested") -> DataFrame:
