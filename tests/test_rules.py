@@ -196,3 +196,18 @@ def test_verification_tokens_are_of_whole_texts(spark):
     got = projection.user_tokens_verification(spark, sf).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert projection.user_tokens_verification_head(spark, sf).count() < len(want)
+
+
+def test_isolation_cut_and_trees_are_of_all_traces(spark):
+    import numpy as np
+
+    from rulequarry.operators import anomaly
+
+    rows = spark.range(20000).selectExpr("CAST(id AS string) AS trace_id", "CAST(id % 97 AS double) AS a", "CAST(hash(id) % 1000 AS double) AS b").cache()
+    got = anomaly.inliers(rows).collect()
+    scores = np.array([r.score for r in got])
+    cut = np.quantile(scores, 1 - anomaly.CONTAMINATION)
+    assert len(got) == 20000 and all(r.inlier == (r.score <= cut + 1e-12) for r in got)
+    trees = anomaly.drawn(rows, 20000)
+    assert len(trees) == anomaly.TREES and all(len(x) == anomaly.SAMPLE for x in trees.values())
+    assert len({tuple(x) for t in trees.values() for x in t}) > 8192
