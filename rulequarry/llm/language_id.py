@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from rulequarry.llm._text import buffers, slices
 
-#: Bounds of the samples: rows drawn of a language, bytes of its text, languages.
-SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGS = 48, 24_000, 64
+#: Bounds of each language's sample: rows drawn, bytes of text.
+SAMPLE_ROWS, SAMPLE_BYTES = 48, 24_000
+#: Languages whose tables stay in memory; those of others are laid out from their ways when used.
+LAID_OUT = 16
 BLOCK = 1024
 #: A-Z as a-z; any other ASCII byte that isn't a letter as a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -81,24 +83,31 @@ class Automata:
         self.cls = np.zeros(256, np.int64)
         self.cls[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        self.tables, self.cost = [], []
-        for lang in self.langs:
+        self.ways, self.tables, self.cost = [], [], []
+        for k, lang in enumerate(self.langs):
             to = suffix_automaton(samples[lang])
-            table = np.full((len(to), self.width), -1, np.int32)
-            for state, ways in enumerate(to):
-                for c, t in ways.items():
-                    table[state, self.cls[c]] = t
-            root = np.where(table[0] >= 0, table[0], 0)
-            # no way on: the phrase ends and the byte starts the next one, if any holds it
-            table = np.where(table >= 0, table, -1 - root[None, :]).astype(np.int32)
-            table[0] = -1 - root
-            self.tables.append(table.ravel())
+            at = np.array([state * self.width + self.cls[c] for state, ways in enumerate(to) for c in ways], np.int64)
+            self.ways.append((len(to), at, np.array([t for ways in to for t in ways.values()], np.int32)))
+            if k < LAID_OUT:
+                self.tables.append(self._table(k))
             self.cost.append(np.log2(max(2, len(samples[lang]))))
 
+    def _table(self, k: int) -> np.ndarray:
+        states, at, to = self.ways[k]
+        table = np.full(states * self.width, -1, np.int32)
+        table[at] = to
+        table = table.reshape(states, self.width)
+        root = np.where(table[0] >= 0, table[0], 0)
+        # no way on: the phrase ends and the byte starts the next one, if any holds it
+        table = np.where(table >= 0, table, -1 - root[None, :]).astype(np.int32)
+        table[0] = -1 - root
+        return table.ravel()
+
     def phrases(self, lanes: np.ndarray, width: np.ndarray) -> np.ndarray:
         """lanes: (step, lane) byte classes, longest lanes first; width: lanes still on at each step -> phrases by language and lane."""
         out = np.zeros((len(self.langs), lanes.shape[1]), np.int64)
-        for k, table in enumerate(self.tables):
+        for k in range(len(self.langs)):
+            table = self.tables[k] if k < len(self.tables) else self._table(k)
             state, count = np.zeros(lanes.shape[1], np.int64), np.zeros(lanes.shape[1], np.int64)
             for t, w in enumerate(width.tolist()):
                 step = table[state[:w] * self.width + lanes[t, :w]]
@@ -121,14 +130,14 @@ def held_out() -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
 
 
-def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, langs: int = MAX_LANGS) -> dict[str, bytes]:
-    """Up to `size` bytes of text for each of the `langs` most frequent languages, from documents that aren't held out.
+def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """Up to `size` bytes of text for each language, from documents that aren't held out.
 
     Rows are drawn by a hash of the id at a rate that gives about `rows` of a language, so what
-    reaches the driver is bounded by rows * langs documents on average; each language's rows are used in hash order.
+    reaches the driver is bounded by `rows` documents of a language on average; each language's rows are used in hash order.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~F.coalesce(held_out(), F.lit(False)))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])[F.col("lang")]

@@ -134,6 +134,19 @@ def test_language(spark, docs):
     assert language_id.samples(empty) == {} and language_id.identify(docs, {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """Of 80 languages of words of their own, those of fewest documents too are told apart."""
+    rng = np.random.default_rng(6)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(20)] for _ in range(80)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, " ".join(rng.choice(words[k % 80], 30)), f"l{k % 80:02}") for k, i in enumerate(ids[:400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.samples(df)
+    assert len(learned) == 80
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, learned).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_cross_parsing_counts_greedy_phrases():
     samples = {"a": b"abracadabra", "b": b"hocus pocus"}
     known = language_id.Automata(samples)
