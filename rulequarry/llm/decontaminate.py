@@ -2,12 +2,13 @@
 
 Tokens are the words of a text with A-Z as a-z and without punctuation at either end. A document
 and a benchmark item that share a run of five tokens (a seed) are tiled: the longest common run of
-unmarked tokens is found by Karp-Rabin at falling lengths, marked in both, and so on until no
+unmarked tokens is found by running Karp-Rabin sums, marked in both, and so on until no
 common run of five is left. The share of the item's tokens in tiles is its coverage, which does not
 depend on the order in which passages were copied. An item shorter than five tokens is one tile
 or none. Coverage of 0.5 or more of an item's tokens makes a document contaminated.
 
-Null or empty texts, and items without tokens, match nothing. Repeated rows are judged one by one.
+Null or empty texts, and items without tokens, match nothing. Repeated rows are judged one by one, and so are
+repeated items; an item without id is matched under a null id. The result's `matches` replaces a column of that name.
 The seeds of the benchmark are shipped to the tasks while its text is at most MAX_SHIPPED bytes,
 which is checked; a larger benchmark is cut into parts of that size, each judged in a pass of its own.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rulequarry.llm._text import FOLD, Words, buffers, grams, slices
+from rulequarry.llm._scratch import written
+from rulequarry.llm._text import FOLD, Words, buffers, grams, mix, powers, slices
 
 SEED_LENGTH, MIN_COVERAGE = 5, 0.5
 MAX_SHIPPED = 32 << 20
@@ -48,58 +50,70 @@ def strip_edges(words: Words) -> None:
     words.starts, words.ends = s[kept], e[kept]
 
 
+class Running:
+    """Karp-Rabin sums of an array of token hashes: that of any run of k tokens comes from two prefix sums."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.up, self.down = powers(len(x) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x.copy()) * self.up[: len(x)])])
+
+    def runs(self, k: int) -> np.ndarray:
+        """The sums of the runs of k tokens, by where they start."""
+        n = len(self.x) - k + 1
+        return (self.sums[k:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED_LENGTH) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two arrays of token hashes: (start in doc, start in item, length), longest first."""
+    """Greedy string tiling of two arrays of token hashes: (start in doc, start in item, length), longest first.
+
+    Of runs of one length, that which starts first in doc and then first in item is marked first.
+    """
     least = min(least, len(item))
     out: list[tuple[int, int, int]] = []
     if not least or len(doc) < least:
         return out
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    shared = np.isin(doc, item)
-
-    def common(k: int) -> list[tuple[int, int]]:
-        """Places of equal unmarked runs of k tokens, by Karp-Rabin sums and then by the tokens."""
-        sum_doc, sum_item = grams(doc, k) if k <= 64 else _rolled(doc, k), grams(item, k) if k <= 64 else _rolled(item, k)
-        if not len(sum_doc) or not len(sum_item):
-            return []
-        ok_doc = _all_free(free_doc & shared, k)
-        ok_item = _all_free(free_item, k)
+    free_doc, free_item = np.isin(doc, item), np.isin(item, doc)
+    in_doc, in_item = Running(doc), Running(item)
+
+    def common(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and sums of the unmarked runs of k tokens, in doc those whose sum is in item too, and in item."""
+        at_item = np.flatnonzero(_all_free(free_item, k))
+        known = in_item.runs(k)[at_item]
+        at_doc = np.flatnonzero(_all_free(free_doc, k))
+        sums = in_doc.runs(k)[at_doc]
+        hit = np.isin(sums, known)
+        return at_doc[hit], sums[hit], at_item, known
+
+    high = min(len(doc), len(item))
+    while high >= least and len(common(least)[0]):
+        low = least
+        while low < high:  # the longest run: a longer one implies all shorter ones
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if len(common(mid)[0]) else (low, mid - 1)
+        k = low
+        at_doc, sums, at_item, known = common(k)
         where: dict[int, list[int]] = {}
-        for j in np.flatnonzero(ok_item).tolist():
-            where.setdefault(int(sum_item[j]), []).append(j)
-        hits = np.flatnonzero(ok_doc & np.isin(sum_doc, sum_item[ok_item]))
-        return [(i, j) for i in hits.tolist() for j in where.get(int(sum_doc[i]), ()) if np.array_equal(doc[i : i + k], item[j : j + k])]
-
-    low, high = least, min(len(doc), len(item))
-    if not common(least):
-        return out
-    while low < high:  # the longest run: a longer one implies all shorter ones
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if common(mid) else (low, mid - 1)
-    k = low
-    while k >= least:
-        found = common(k)
-        for i, j in found:
-            if free_doc[i : i + k].all() and free_item[j : j + k].all():
-                out.append((i, j, k))
-                free_doc[i : i + k] = free_item[j : j + k] = False
-        k -= 1
-        if found and k >= least and not common(least):
-            break
-    return out
-
-
-def _rolled(x: np.ndarray, k: int) -> np.ndarray:
-    if len(x) < k:
-        return np.zeros(0, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    out = np.zeros(len(x) - k + 1, np.uint64)
-    for j in range(k):
-        out = out * base + x[j : len(x) - k + 1 + j]
+        for j, h in zip(at_item[::-1].tolist(), known[::-1].tolist()):
+            where.setdefault(h, []).append(j)
+        for i, h in zip(at_doc.tolist(), sums.tolist()):
+            left = where.get(h)
+            if not left or not free_doc[i : i + k].all():
+                continue
+            while left and not free_item[left[-1] : left[-1] + k].all():
+                left.pop()  # marked for good
+            for j in reversed(left):
+                if free_item[j : j + k].all() and np.array_equal(doc[i : i + k], item[j : j + k]):
+                    out.append((i, j, k))
+                    free_doc[i : i + k] = free_item[j : j + k] = False
+                    break
+        high = k - 1
     return out
 
 
 def _all_free(free: np.ndarray, k: int) -> np.ndarray:
+    if len(free) < k:
+        return np.zeros(0, bool)
     sums = np.concatenate([[0], np.cumsum(free)])
     return sums[k:] - sums[:-k] == k
 
@@ -112,54 +126,45 @@ def _tokens(text: str | None) -> np.ndarray:
 
 
 class Benchmark:
-    """Token hashes of the items, and the seeds that lead to them."""
+    """Token hashes of the items, and the seeds that lead to them: runs of `least` tokens, or all of a shorter item."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.ids, self.tokens, self.least = [], [], least
-        seeds: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        self.short: dict[int, list[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str]], least: int):
+        self.ids, self.tokens = [], []
+        seeds: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item_id, text in items:
             t = _tokens(text)
             if not len(t):
                 continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.tokens.append(t)
             n = min(least, len(t))
             s = np.unique(grams(t, n))
-            if n < least:
-                self.short.setdefault(n, []).append(k)
-            else:
-                seeds.append(s)
-                owners.append(np.full(len(s), k))
-        s, o = (np.concatenate(seeds), np.concatenate(owners)) if seeds else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(s, kind="stable")
-        self.seeds, self.owners = s[order], o[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            seeds.setdefault(n, []).append(s)
+            owners.setdefault(n, []).append(np.full(len(s), len(self.ids)))
+            self.ids.append(item_id)
+            self.tokens.append(t)
+        self.index = {}
+        for n in seeds:
+            s, o = np.concatenate(seeds[n]), np.concatenate(owners[n])
+            order = np.argsort(s, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[(s & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.index[n] = s[order], o[order], sieve
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) pairs that share a seed."""
         found: set[tuple[int, int]] = set()
-        lengths = ([self.least] if len(self.seeds) else []) + list(self.short)
-        for n in lengths:
+        for n, (seeds, owners, sieve) in self.index.items():
             sums = grams(words, n)
             if not len(sums):
                 continue
             row_end = np.repeat(first[1:], np.diff(first))[: len(sums)]
             inside = np.arange(len(sums)) + n <= row_end
-            if n == self.least:
-                at = np.flatnonzero(self.sieve[(sums & np.uint64((1 << 20) - 1)).astype(np.int64)] & inside)
-                a, b = np.searchsorted(self.seeds, sums[at]), np.searchsorted(self.seeds, sums[at], side="right")
-                hit = b > a
-                for i, x, y in zip(at[hit].tolist(), a[hit].tolist(), b[hit].tolist()):
-                    row = int(np.searchsorted(first, i, side="right")) - 1
-                    found.update((row, int(k)) for k in self.owners[x:y])
-            else:
-                for k in self.short[n]:
-                    for i in np.flatnonzero((sums == grams(self.tokens[k], n)[0]) & inside).tolist():
-                        found.add((int(np.searchsorted(first, i, side="right")) - 1, k))
+            at = np.flatnonzero(sieve[(sums & np.uint64((1 << 20) - 1)).astype(np.int64)] & inside)
+            a, b = np.searchsorted(seeds, sums[at]), np.searchsorted(seeds, sums[at], side="right")
+            hit = b > a
+            for i, x, y in zip(at[hit].tolist(), a[hit].tolist(), b[hit].tolist()):
+                row = int(np.searchsorted(first, i, side="right")) - 1
+                found.update((row, int(k)) for k in owners[x:y])
         return sorted(found)
 
 
@@ -174,9 +179,12 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = SEED_LENGTH) ->
     names = []
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        shipped = spark.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows))
+        shipped = spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)))
         out = _judged(out, shipped, least, f"__m{part}", matches)
         names.append(f"__m{part}")
+        if part < parts - 1:  # written, so that no two parts are held at once
+            out = written(out, "matches")
+            shipped.unpersist()
     return out.withColumn("matches", F.concat(*names)).drop(*names)
 
 
