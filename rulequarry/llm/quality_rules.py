@@ -23,8 +23,8 @@ SYMBOLS = b"#*$%&|<>"
 NOT_CHARS = SPACE + bytes(range(0x80, 0xC0))
 UPPER, LOWER, DIGITS = (bytes(range(a, b)) for a, b in ((65, 91), (97, 123), (48, 58)))
 N_FEATURES = 12
-#: Bounds of the sample that the weights are learned from: documents, and bytes of a document.
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 1500, 20_000
+#: Bounds of the sample that the weights are learned from: documents, bytes of a document, and lines of all.
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES, MAX_TRAIN_LINES = 1500, 20_000, 100_000
 MIN_WORDS, MIN_SHARE = 50, 0.5
 
 
@@ -113,66 +113,87 @@ class Crf:
 
     @staticmethod
     def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> "Crf":
-        """Maximum likelihood by gradient ascent; forward and backward sums run over all chains at once, padded."""
-        chains = [c for c in chains if len(c[1])]
+        """Maximum likelihood by gradient ascent; forward and backward sums run over chains of like length at once, padded."""
+        chains = sorted((c for c in chains if len(c[1])), key=lambda c: len(c[1]))
         weights, pairs, first = np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2)
         if not chains:
             return Crf(np.eye(N_FEATURES)[0], pairs, first)
-        longest = max(len(y) for _, y in chains)
-        x = np.zeros((len(chains), longest, N_FEATURES))
-        y = np.zeros((len(chains), longest), int)
-        on = np.zeros((len(chains), longest), bool)
-        for i, (a, b) in enumerate(chains):
-            x[i, : len(b)], y[i, : len(b)], on[i, : len(b)] = a, b, True
-        total, rows = on.sum(), np.arange(len(chains))
-        last = on.sum(1) - 1
-        both = on[:, 1:]
-        seen_pairs = np.array([[(both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        total = sum(len(y) for _, y in chains)
+        groups: list[list] = []
+        for c in chains:  # padding at most doubles a chain
+            if not groups or len(c[1]) > 2 * len(groups[-1][0][1]):
+                groups.append([])
+            groups[-1].append(c)
+        padded = [Padded(g) for g in groups]
         for _ in range(rounds):
-            emit = np.stack([np.zeros(on.shape), x @ weights], -1)
-            fwd = np.zeros(emit.shape)
-            fwd[:, 0] = first + emit[:, 0]
-            for t in range(1, longest):
-                fwd[:, t] = np.logaddexp(fwd[:, t - 1, 0, None] + pairs[0], fwd[:, t - 1, 1, None] + pairs[1]) + emit[:, t]
-            bwd = np.zeros(emit.shape)
-            for t in range(longest - 2, -1, -1):
-                to = bwd[:, t + 1] + emit[:, t + 1]
-                step = np.logaddexp(pairs[:, 0] + to[:, 0, None], pairs[:, 1] + to[:, 1, None])
-                bwd[:, t] = np.where(on[:, t + 1, None], step, 0)
-            end = fwd[rows, last]
-            log_z = np.logaddexp(end[:, 0], end[:, 1])
-            content = np.where(on, np.exp(fwd[..., 1] + bwd[..., 1] - log_z[:, None]), 0)
-            likely = np.array(
-                [
-                    [np.where(both, np.exp(fwd[:, :-1, a] + pairs[a, b] + emit[:, 1:, b] + bwd[:, 1:, b] - log_z[:, None]), 0).sum() for b in (0, 1)]
-                    for a in (0, 1)
-                ]
-            )
-            weights = weights + rate * (np.einsum("dt,dtf->f", np.where(on, y - content, 0), x) / total * 4 - decay * weights)
-            pairs = pairs + rate * ((seen_pairs - likely) / total - decay * pairs)
-            start = np.array([(1 - y[:, 0] - 1 + content[:, 0]).sum(), (y[:, 0] - content[:, 0]).sum()])
-            first = first + rate * (start / total - decay * first)
+            by_weight, by_pair, by_first = np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2)
+            for p in padded:
+                content, likely = p.expected(weights, pairs, first)
+                by_weight += np.einsum("dt,dtf->f", np.where(p.on, p.y - content, 0), p.x)
+                by_pair += p.seen_pairs - likely
+                start = (p.y[:, 0] - content[:, 0]).sum()
+                by_first += (-start, start)
+            weights = weights + rate * (by_weight / total * 4 - decay * weights)
+            pairs = pairs + rate * (by_pair / total - decay * pairs)
+            first = first + rate * (by_first / total - decay * first)
         return Crf(weights, pairs, first)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> Crf:
-    """Weights from at most max_docs labelled documents, those of least id hash, without texts of over max_bytes bytes.
+class Padded:
+    """Chains of like length side by side, for the forward and backward sums of all at once."""
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray]]):
+        longest = max(len(y) for _, y in chains)
+        self.x = np.zeros((len(chains), longest, N_FEATURES))
+        self.y = np.zeros((len(chains), longest), int)
+        self.on = np.zeros((len(chains), longest), bool)
+        for i, (a, b) in enumerate(chains):
+            self.x[i, : len(b)], self.y[i, : len(b)], self.on[i, : len(b)] = a, b, True
+        self.both, self.last = self.on[:, 1:], self.on.sum(1) - 1
+        self.seen_pairs = np.array([[(self.both & (self.y[:, :-1] == a) & (self.y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+
+    def expected(self, weights: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chance of content of each line, and how many of each pair of labels to expect."""
+        on, both, longest = self.on, self.both, self.on.shape[1]
+        emit = np.stack([np.zeros(on.shape), self.x @ weights], -1)
+        fwd = np.zeros(emit.shape)
+        fwd[:, 0] = first + emit[:, 0]
+        for t in range(1, longest):
+            fwd[:, t] = np.logaddexp(fwd[:, t - 1, 0, None] + pairs[0], fwd[:, t - 1, 1, None] + pairs[1]) + emit[:, t]
+        bwd = np.zeros(emit.shape)
+        for t in range(longest - 2, -1, -1):
+            to = bwd[:, t + 1] + emit[:, t + 1]
+            step = np.logaddexp(pairs[:, 0] + to[:, 0, None], pairs[:, 1] + to[:, 1, None])
+            bwd[:, t] = np.where(on[:, t + 1, None], step, 0)
+        end = fwd[np.arange(len(on)), self.last]
+        log_z = np.logaddexp(end[:, 0], end[:, 1])
+        content = np.where(on, np.exp(fwd[..., 1] + bwd[..., 1] - log_z[:, None]), 0)
+        likely = np.array(
+            [[np.where(both, np.exp(fwd[:, :-1, a] + pairs[a, b] + emit[:, 1:, b] + bwd[:, 1:, b] - log_z[:, None]), 0).sum() for b in (0, 1)] for a in (0, 1)]
+        )
+        return content, likely
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES, max_lines: int = MAX_TRAIN_LINES) -> Crf:
+    """Weights from at most max_docs labelled documents and max_lines of their lines, in order of an id hash, without texts of over max_bytes bytes.
 
     Of an id's rows the least label and the least text count; rows with a null id, text or label are
     not used. With none left, every line counts as content.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    fit = docs.filter(F.octet_length("text").between(1, max_bytes)).select("doc_id", "text")
     # ids first: of them at most max_docs leave a task, and texts are only read for those that were chosen
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    chosen = known.join(fit.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
     if not chosen:
         return Crf.fit([])
-    ids = docs.sparkSession.createDataFrame(chosen, known.schema)
-    found = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id")
-    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    chains = []
-    for r in rows:
+    ids = docs.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(chosen)], [*known.columns, "turn"])
+    rows = fit.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text")).collect()
+    chains, lines = [], 0
+    for r in sorted(rows, key=lambda r: r.turn):
         x, _ = line_features(r.text.encode())
+        lines += len(x)
+        if lines > max_lines and chains:
+            break
         chains.append((x, np.full(len(x), int(r.quality)) * (x[:, 6] == 0)))
     return Crf.fit(chains)
 
