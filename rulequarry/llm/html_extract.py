@@ -9,6 +9,8 @@ Article and main elements only refine the edges found: if an outermost one holds
 stretch's text, or all of them together do, the stretch grows to its edges, and what lies before or after
 them stays only if its own sum surges.
 
+Markup may be broken: a tag that the next `<` cuts short is text, an element that is never closed ends with the one around
+it, and a comment, script or CDATA without end reaches to the end of the page.
 Character references are decoded, white space within a block becomes one space, blocks are
 joined by an empty line in page order. Null or empty html, and pages without text, give an empty
 string. Repeated rows are extracted one by one.
@@ -33,8 +35,10 @@ WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|consent|disqus|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: A tag ends before the next one starts, so a stray quote costs no second look at what follows.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>%s)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>" % "|".join(x for x in RAW if x != "head"),
+    r"<!--.*?(?:-->|$)|<(?P<raw>%s)\b[^<>]*>.*?(?:</(?P=raw)\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^<>]*>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^<\"]*\"|'[^<']*')*+[^<>]*)>" % "|".join(x for x in RAW if x != "head"),
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
