@@ -4,8 +4,9 @@ A suffix automaton of each language's sample accepts exactly its substrings, so
 through it and starting again at the root wherever it has no way on gives the greedy parse into
 longest matches. The language that needs fewest phrases, each costing the logarithm of its sample's
 size over the text's bytes, wins; equal costs go to the first name. Letters A-Z count as a-z, and a run of
-other ASCII characters as one space, so punctuation and markup tell nothing. Phrases end at every
-1,024th byte of a text, which lets a batch be parsed in lockstep by array lookups.
+other ASCII characters as one space, so punctuation and markup tell nothing. Texts are cut into blocks that are
+parsed in lockstep by array lookups; a block is then read on from the state of the one before it, so that phrases
+are those of the whole text.
 
 Null text and text without a letter give `und` and score 0. A text whose bytes occur in no sample
 goes to the first name with score 0. Without training rows everything is `und`.
@@ -27,7 +28,7 @@ from rulequarry.llm._text import buffers, slices
 SAMPLE_ROWS, SAMPLE_BYTES = 48, 24_000
 #: Languages whose tables stay in memory; those of others are laid out from their ways when used.
 LAID_OUT = 16
-BLOCK = 1024
+BLOCK, LANES = 1024, 4096
 #: A-Z as a-z; any other ASCII byte that isn't a letter as a space.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -103,19 +104,38 @@ class Automata:
         table[0] = -1 - root
         return table.ravel()
 
-    def phrases(self, lanes: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """lanes: (step, lane) byte classes, longest lanes first; width: lanes still on at each step -> phrases by language and lane."""
-        out = np.zeros((len(self.langs), lanes.shape[1]), np.int64)
-        for k in range(len(self.langs)):
-            table = self.tables[k] if k < len(self.tables) else self._table(k)
-            state, count = np.zeros(lanes.shape[1], np.int64), np.zeros(lanes.shape[1], np.int64)
-            for t, w in enumerate(width.tolist()):
-                step = table[state[:w] * self.width + lanes[t, :w]]
-                ended = step < 0
-                count[:w] += ended
-                state[:w] = np.where(ended, -1 - step, step)
-            out[k] = count
-        return out
+    def phrases(self, k: int, lanes: np.ndarray, length: np.ndarray, before: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of language k that end in each lane, and the state after it.
+
+        lanes: (step, lane) byte classes, longest lanes first; before: the lane that a lane goes on from, -1 for a text's
+        first, -2 for one that goes on from state `carried`. All lanes are first read from the root at once; then each
+        is read again from where the lane before it ended, until both ways are in the same state and so stay together.
+        """
+        table = self.tables[k] if k < len(self.tables) else self._table(k)
+        steps, n = lanes.shape
+        trace, ended = np.zeros((steps, n), np.int32), np.zeros((steps, n), bool)
+        state = np.zeros(n, np.int64)
+        for t, w in enumerate(np.searchsorted(-length, -np.arange(steps), side="left").tolist()):
+            step = table[state[:w] * self.width + lanes[t, :w]]
+            ended[t, :w] = step < 0
+            trace[t, :w] = state[:w] = np.where(step < 0, -1 - step, step)
+        end = trace[length - 1, np.arange(n)].astype(np.int64)
+        todo = np.flatnonzero(before != -1)
+        while len(todo):
+            on, state, t = todo, np.where(before[todo] == -2, carried, end[before[todo]]), 0
+            was = end.copy()
+            while len(on):
+                step = table[state * self.width + lanes[t, on]]
+                over = step < 0
+                state = np.where(over, -1 - step, step).astype(np.int64)
+                apart = state != trace[t, on]
+                trace[t, on], ended[t, on] = state, over
+                last = length[on] == t + 1
+                end[on[last]] = state[last]
+                on, state, t = on[apart & ~last], state[apart & ~last], t + 1
+            moved = np.flatnonzero(end != was)
+            todo = np.flatnonzero((before >= 0) & np.isin(before, moved)) if len(moved) else moved
+        return ended.sum(0), end
 
 
 def automata(samples: dict[str, bytes]) -> Automata:
@@ -142,7 +162,9 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES)
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])[F.col("lang")]
     h = F.xxhash64("doc_id", F.length("text"))
-    drawn = known.withColumn("h", h).filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < rate).select("lang", "h", "text").collect()
+    drawn = known.withColumn("h", h).filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < rate)
+    # no more of a text than a sample has room for, and rows repeated in full once
+    drawn = drawn.select("lang", "h", F.left("text", F.lit(size)).alias("text")).distinct().collect()
     out = {k: b"" for k in counts}
     for r in sorted(drawn, key=lambda r: (r.h, r.text)):
         if len(out[r.lang]) < size:
@@ -167,22 +189,26 @@ def identify(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
                 sizes = np.diff(own)
                 blocks = -(-sizes // BLOCK)
                 row = np.repeat(np.arange(last - first), blocks)
-                at = own[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+                number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                at = own[:-1][row] + number * BLOCK
                 length = np.minimum(BLOCK, own[1:][row] - at)
-                order = np.argsort(-length, kind="stable")
-                row, at, length = row[order], at[order], length[order]
                 if not len(row):
                     continue
                 total = np.zeros((len(known.langs), last - first))
-                for a in range(0, len(row), 4096):
-                    b = min(len(row), a + 4096)
-                    steps = int(length[a])
-                    index = at[None, a:b] + np.arange(steps)[:, None]
-                    lanes = cls[np.minimum(index, len(cls) - 1)]
-                    width = np.searchsorted(-length[a:b], -np.arange(steps), side="left")
-                    counts = known.phrases(lanes, width)
+                carried = [0] * len(known.langs)
+                for a in range(0, len(row), LANES):
+                    b = min(len(row), a + LANES)
+                    order = np.argsort(-length[a:b], kind="stable")
+                    lane = np.empty(b - a, np.int64)
+                    lane[order] = np.arange(b - a)
+                    goes_on = number[a:b] > 0
+                    before = np.where(goes_on, np.concatenate([[-2], lane[:-1]]), -1)[order]
+                    steps = int(length[a:b].max())
+                    lanes = cls[np.minimum(at[a:b][order] + np.arange(steps)[:, None], len(cls) - 1)]
                     for k in range(len(known.langs)):
-                        total[k] += np.bincount(row[a:b], counts[k], last - first)
+                        counts, end = known.phrases(k, lanes, length[a:b][order], before, carried[k])
+                        total[k] += np.bincount(row[a:b][order], counts, last - first)
+                        carried[k] = int(end[lane[-1]])
                 total *= np.array(known.cost)[:, None]
                 best = total.argmin(0)
                 ranked = np.sort(total, 0)
