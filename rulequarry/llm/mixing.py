@@ -80,10 +80,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 ORACLE = f"""
 WITH sizes AS (SELECT source, coalesce(sum(length(text)), 0) AS size FROM documents GROUP BY source),
 sums AS (SELECT sum(size) AS all_size, count(*) FILTER (WHERE size > 0) AS k FROM sizes),
-rates AS (SELECT source, CASE WHEN size > 0 THEN least(16.0, CAST(all_size AS DOUBLE) / (k * size)) ELSE 0.0 END AS rate FROM sizes, sums),
+rates AS (SELECT source, CASE WHEN size > 0 THEN CAST(all_size AS DOUBLE) / (k * size) ELSE 0.0 END AS rate FROM sizes, sums),
 terms AS (
   SELECT source, rate, i, rate + 12 * sqrt(rate) + 30 AS most, exp(-rate) * list_product([rate / j FOR j IN range(1, i + 1)] || [1.0]) AS term
-  FROM rates, range(0, 100) r(i) WHERE i <= ceil(rate + 12 * sqrt(rate) + 30)),
+  FROM rates, range(0, 600) r(i) WHERE i <= ceil(rate + 12 * sqrt(rate) + 30)),
 cdf AS (SELECT source, i, sum(term) OVER (PARTITION BY source ORDER BY i) AS c FROM terms),
 drawn AS (
   SELECT doc_id, source, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
