@@ -1,8 +1,8 @@
 """Written intermediate tables in the folder that the whole cluster shares.
 
 A lineage is cut by writing Parquet there and reading it back, so a lost executor costs only
-the tasks it ran. The folder is `spark.checkpoint.dir`; only where that is unset (tests, a single
-machine) one is made under the system's temporary folder.
+the tasks it ran. The folder is `spark.checkpoint.dir`; only where that is unset and all tasks run in
+one process (tests) one is made under the system's temporary folder, elsewhere it is an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rulequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
