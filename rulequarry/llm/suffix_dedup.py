@@ -34,7 +34,7 @@ from rulequarry.llm._text import BYTE, buffers, mix, powers, sliding_min
 
 LENGTH, GRAM, BLOCK = 200, 32, 8
 MAX_PIECES = 4096
-SHARD_BYTES, BIN_BYTES = 1 << 18, 1 << 20
+SHARD_BYTES, BIN_BYTES = 1 << 13, 1 << 20
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -88,8 +88,8 @@ class Shard:
         self.before = block[np.maximum(before, 0)]
 
 
-def interleave(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard of each suffix in merged order, first of its interval of equal prefixes, common prefix with the one before).
+def interleave(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each suffix in merged order, common prefix with the one before).
 
     Empty suffixes stay in front; common prefixes are in whole blocks, up to `length`.
     """
@@ -126,9 +126,7 @@ def interleave(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, n
         lcp[fresh] = turn * BLOCK
         group = new
     lcp[lcp < 0] = length
-    first = np.ones(n, bool)
-    first[1:] = group[1:] != group[:-1]
-    return z, first, lcp
+    return z, lcp
 
 
 def repeated_windows(pieces: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -142,7 +140,9 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH, shard_bytes: int
         held += len(p)
     parts.append(now)
     shards = [Shard(p, length) for p in parts]
-    z, first, _ = interleave(shards, length)
+    z, lcp = interleave(shards, length)
+    # neighbours that share `length` bytes are one interval of equal strings
+    first = lcp < length
     n_empty = sum(s.n_empty for s in shards)
     fits, where = np.zeros(len(z), bool), np.zeros(len(z), np.int64)
     for k, s in enumerate(shards):
