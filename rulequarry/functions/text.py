@@ -34,6 +34,13 @@ def levenshtein_bounded(a: Column | str, b: Column | str, most: int) -> Column:
     return F.when(d < 0, most + 1).otherwise(d)
 
 
+def deletions(x: Column | str) -> Column:
+    """The string and all that one or two deletions leave: strings within two edits share one of these."""
+    less = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    one = less(_c(x))
+    return F.array_distinct(F.concat(F.array(_c(x)), one, F.flatten(F.transform(one, less))))
+
+
 def trigrams(x: Column | str) -> Column:
     padded = F.concat(F.lit("  "), _c(x), F.lit("  "))
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
@@ -52,6 +59,7 @@ PII = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "credit_card": r"(?:\d[ -]?){13,19}",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "api_token": r"\b(?:sk|pk|ghp|ls)_[A-Za-z0-9_]{16,}\b|\bAKIA[0-9A-Z]{16}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]+?\.[A-Za-z0-9_-]+?\.[A-Za-z0-9_-]+\b",
     "phone": r"\+?\d{1,3}[ -.]?\(?\d{2,4}\)?[ -.]?\d{3,4}[ -.]?\d{3,4}",
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
@@ -60,8 +68,33 @@ PII = {
 }
 
 
-def redact_text(x: Column | str) -> Column:
-    return reduce(lambda c, kv: F.regexp_replace(c, kv[1], f"[redacted:{kv[0]}]"), PII.items(), _c(x))
+#: What a text must hold for a pattern to match at all; a plain search spares most texts the pattern.
+_SIGN = {"email": ["@"], "ssn": ["-"], "api_token": ["_", "AKIA"], "jwt": ["eyJ"], "ipv4": ["."], "ipv6": [":"]}
+#: Fixed names of fields whose values go whole.
+BLOCKED = ("password", "auth_token", "api_key", "authorization", "session_token", "private_key", "client_secret", "credentials", "bearer_token")
+
+
+def redact_text(x: Column | str, extra: tuple = ()) -> Column:
+    """Personal data replaced, then each of `extra`, functions of a column (a recogniser of names, say)."""
+
+    def one(c: Column, name: str, pattern: str) -> Column:
+        done = F.regexp_replace(c, pattern, f"[redacted:{name}]")
+        sign = _SIGN.get(name)
+        return done if sign is None else F.when(reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in sign]), done).otherwise(c)
+
+    return reduce(lambda c, f: f(c), extra, reduce(lambda c, kv: one(c, *kv), PII.items(), _c(x)))
+
+
+def redact_fields(x: Column | str) -> Column:
+    """JSON text with the values of blocked keys replaced at any depth; keys in any case.
+
+    A value that is an object or array goes whole up to four levels of its own; a brace in a string of it counts as one.
+    """
+    inner = {"{}": r"\{[^{}]*\}", "[]": r"\[[^\[\]]*\]"}
+    for _ in range(3):
+        inner = {"{}": r"\{(?:[^{}]|%s)*\}" % inner["{}"], "[]": r"\[(?:[^\[\]]|%s)*\]" % inner["[]"]}
+    value = r'(?:"(?:[^"\\]|\\.)*"|%s|%s|[^,}\]\s]+)' % (inner["{}"], inner["[]"])
+    return F.regexp_replace(_c(x), rf'(?i)("(?:{"|".join(BLOCKED)})"\s*:\s*){value}', '$1"[redacted:blocked_field]"')
 
 
 def dedup_key(x: Column | str) -> Column:
@@ -82,12 +115,15 @@ def sampling_roll(x: Column | str) -> Column:
     return F.conv(F.substring(F.sha1(_c(x)), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
+#: Fixed words that make a description hard to read.
+JARGON = ("predicate", "smt", "z3", "temporal logic", "first-order", "forall", "exists(", "isolation forest", "prefixspan")
+
+
 def clarity(x: Column | str) -> Column:
     """How readable a rule's description is, from 0 to 1."""
     d = F.trim(_c(x))
     n = F.length(d)
-    jargon = ("predicate", "smt", "z3", "temporal logic", "first-order", "forall", "exists(", "isolation forest", "prefixspan")
-    has = reduce(lambda a, b: a | b, [F.contains(F.lower(d), F.lit(t)) for t in jargon])
+    has = reduce(lambda a, b: a | b, [F.contains(F.lower(d), F.lit(t)) for t in JARGON])
     score = F.lit(1.0) - F.when(n < 25, 0.4).when(n > 200, 0.2).otherwise(0.0) - F.when(d.rlike("`[^`]+`") | d.rlike("[0-9]"), 0.0).otherwise(0.2) - F.when(has, 0.3).otherwise(0.0)
     return F.when(F.coalesce(_c(x), F.lit("")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 

@@ -9,23 +9,23 @@ from rulequarry.functions import text as T
 from rulequarry.operators.candidates import label_components
 
 JACCARD, EDIT, COSINE = 0.5, 2, 0.78
-MAX_NAMES = 20_000
+#: Forms up to this length may be within two edits and share no trigram; they meet by deletions.
+SHORT = 6
 
 
 def forms(names: DataFrame) -> DataFrame:
-    """(name) -> (id, name, form), ids in order of the names. A tool inventory is small; its size is checked."""
+    """(name) -> (id, name, form), ids in order of the names, which one task gives out: a few bytes a name."""
     from pyspark.sql import Window
 
     distinct = names.select("name").filter("name IS NOT NULL").distinct()
-    if distinct.count() > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct names: alias pairs compare each with all others")
     return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", T.canonical_form("name").alias("form"))
 
 
 def pairs(rows: DataFrame) -> DataFrame:
     """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same).
 
-    Shared trigrams and tokens are equi-joins; only the edit distance looks at every pair of names.
+    Only names that share a trigram, a token or, if short, what two deletions leave are compared. No other pair can be
+    close: an edit spoils three trigrams at most, and a form of n characters has n + 2.
     """
     grams = rows.select("id", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
     norm = grams.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).cast("double").alias("nn"))
@@ -34,9 +34,17 @@ def pairs(rows: DataFrame) -> DataFrame:
     dot = dot.join(norm.select(F.col("id").alias("a"), F.col("nn").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("nn").alias("nb")), "b")
     dot = dot.select("a", "b", F.round(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
     ready = rows.withColumn("tokens", T.token_set("form"))
+
+    def sharing(keyed: DataFrame) -> DataFrame:
+        x = keyed.select(F.col("id").alias("a"), "k")
+        return x.join(keyed.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+
+    tokens = sharing(ready.select("id", F.explode("tokens").alias("k")))
+    short = sharing(rows.filter(F.length("form") <= SHORT).select("id", F.explode(T.deletions("form")).alias("k")))
+    some = dot.select("a", "b").unionByName(tokens).unionByName(short).distinct()
     a = ready.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("tokens").alias("ta"))
     b = ready.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("tokens").alias("tb"))
-    both = a.join(F.broadcast(b), F.col("a") < F.col("b")).join(dot, ["a", "b"], "left")
+    both = some.join(a, "a").join(b, "b").join(dot, ["a", "b"], "left")
     union = F.size(F.array_union("ta", "tb"))
     jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("ta", "tb")) / union)
     both = both.withColumns({"same": F.col("fa") == F.col("fb"), "jaccard": jaccard, "distance": T.levenshtein_bounded("fa", "fb", EDIT), "cosine": F.coalesce("cosine", F.lit(0.0))})

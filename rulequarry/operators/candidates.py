@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulequarry.functions.text import clarity
@@ -13,18 +13,37 @@ REJECT, REVIEW = 0.6, 0.8
 def scored(rows: DataFrame) -> DataFrame:
     """Adds clarity, confidence and status to support, consistency, track and description."""
     both = F.when(F.col("track") == "both", 0.2).otherwise(0.0)
-    value = F.round(F.lit(0.4) * F.col("support") + F.lit(0.3) * F.col("consistency") + both + F.lit(0.1) * clarity("description"), 4)
+    exact = F.round(F.lit(0.4) * F.col("support") + F.lit(0.3) * F.col("consistency") + both + F.lit(0.1) * clarity("description"), 9)
+    value = F.round(exact, 4)  # what is halfway is so in nine digits, whatever the sum in doubles ends in
     out = rows.withColumn("clarity", clarity("description")).withColumn("confidence", value)
     return out.withColumn("status", F.when(F.col("confidence") < REJECT, "rejected").when(F.col("confidence") < REVIEW, "pending").otherwise("active"))
 
 
+#: Fixed words that tell nothing in a rule's description.
+STOP = (
+    "the", "a", "an", "is", "are", "always", "never", "before", "after", "agent", "trace", "must", "this", "that", "with", "and", "or", "of",
+    "to", "for", "from", "has", "have", "be", "been", "if", "when", "then", "as", "at", "by", "on", "in", "it", "its", "into",
+)
+#: Pairs of words count from this mean number of words of a type's descriptions on; the weight of character trigrams.
+BIGRAMS_FROM, TRIGRAM_WEIGHT = 8, 0.4
+#: Parameters that must agree where two candidates both have them.
+SHARED_KEYS = ("tool_a", "tool_b", "tool", "keyword", "metric", "terminator_tool", "upstream_tool", "downstream_tool", "expected_tool", "segment", "feature")
+MAX_EVIDENCE = 100
+
+
 def tfidf(rows: DataFrame) -> DataFrame:
-    """(item_id, type, description) -> (item_id, type, term, w): unit vectors within each type."""
-    tokens = rows.select("item_id", "type", F.explode(F.expr("regexp_extract_all(lower(description), '[a-z0-9_]+', 0)")).alias("term"))
-    tf = tokens.groupBy("item_id", "type", "term").agg(F.count("*").alias("c")).withColumn("len", F.sum("c").over(Window.partitionBy("item_id")))
+    """(item_id, type, description) -> (item_id, type, term, w): unit vectors within each type, of words, pairs of words and trigrams of words."""
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    given = rows.select("item_id", "type", F.expr(f"filter(regexp_extract_all(lower(description), '[a-z][a-z0-9_]+', 0), t -> t NOT IN ({stop}))").alias("words"))
+    of_type = given.groupBy("type").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    terms = F.expr(f"""concat(words,
+        IF(mean >= {BIGRAMS_FROM} AND size(words) > 1, transform(sequence(1, size(words) - 1), i -> concat('__bi__', words[i - 1], '_', words[i])), array()),
+        flatten(transform(words, t -> IF(length(t) > 2, transform(sequence(1, length(t) - 2), i -> concat('__ch__', substring(t, i, 3))), array()))))""")
+    terms = given.join(F.broadcast(of_type), "type").withColumn("terms", terms).select("item_id", "type", "n", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    tf = terms.groupBy("item_id", "type", "n", "len", "term").agg(F.count("*").alias("c"))
     df = tf.groupBy("type", "term").agg(F.count("*").alias("df"))
-    n = rows.groupBy("type").agg(F.count("*").alias("n"))
-    w = tf.join(df, ["type", "term"]).join(F.broadcast(n), "type").withColumn("w", F.expr("CAST(c AS double) / len * (ln((1 + n) / CAST(1 + df AS double)) + 1)"))
+    weight = F.expr(f"CAST(c AS double) / len * (ln((1 + n) / CAST(1 + df AS double)) + 1) * IF(startswith(term, '__ch__'), {TRIGRAM_WEIGHT}D, 1D)")
+    w = tf.join(df, ["type", "term"]).withColumn("w", weight)
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))).select("item_id", "type", "term", "w")
 
 
@@ -54,12 +73,25 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
+def compatible(a: str, b: str) -> Column:
+    """Whether two maps of parameters agree on every key of SHARED_KEYS that both have."""
+    keys = ", ".join(f"'{k}'" for k in SHARED_KEYS)
+    return F.expr(f"forall(coalesce(map_keys({a}), array()), k -> k NOT IN ({keys}) OR try_element_at({b}, k) IS NULL OR try_element_at({b}, k) = {a}[k])")
+
+
 def clusters(rows: DataFrame, pairs: DataFrame, least: float = 0.7) -> DataFrame:
-    return label_components(rows.select(F.col("item_id").alias("id")), pairs.filter(F.col("cosine") >= least)).withColumnRenamed("id", "item_id")
+    """(item_id, params), (a, b, cosine) -> item_id, cluster: candidates that are close and whose parameters agree, and what these lead to."""
+    near = pairs.filter(F.col("cosine") >= least)
+    near = near.join(rows.select(F.col("item_id").alias("a"), F.col("params").alias("pa")), "a").join(rows.select(F.col("item_id").alias("b"), F.col("params").alias("pb")), "b").filter(compatible("pa", "pb"))
+    return label_components(rows.select(F.col("item_id").alias("id")), near.select("a", "b")).withColumnRenamed("id", "item_id")
 
 
 def merged(rows: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One candidate for each cluster."""
+    """One candidate for each cluster: the longest description, the best support and consistency, all parameters, evidence without repeats."""
     longest = F.max_by("description", F.struct(F.length("description"), -F.col("item_id")))
     track = F.when(F.min("track") != F.max("track"), "both").otherwise(F.min("track"))
-    return rows.join(clusters, "item_id").groupBy("cluster").agg(longest.alias("description"), F.max("support").alias("support"), F.max("consistency").alias("consistency"), F.count("*").alias("n"), track.alias("track"))
+    every = F.sort_array(F.collect_list(F.struct("item_id", "evidence")))
+    evidence = F.slice(F.array_distinct(F.flatten(F.transform(every, lambda x: x["evidence"]))), 1, MAX_EVIDENCE)
+    return rows.join(clusters, "item_id").groupBy("cluster").agg(
+        longest.alias("description"), F.max("support").alias("support"), F.max("consistency").alias("consistency"), F.count("*").alias("n"), track.alias("track"), evidence.alias("evidence")
+    )

@@ -87,22 +87,21 @@ def outcome(envelope: bool = True) -> Column:
 
 def check_all(traces: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("version",), strict_compat: bool = False) -> DataFrame:
     """Every rule on every trace: trace_id, rule_id, type, severity, outcome and the columns in keep."""
-    n = rules.count()
-    parts = max(1, -(-n // MAX_RULES))
-    ready = with_features(traces)
+    found = with_each(with_features(traces), rules)
+    return found.select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
 
-    def part(k: int) -> DataFrame:
-        some = rules if parts == 1 else rules.filter(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k)
-        some = some.select("rule_id", "type", "severity", F.col("params").alias("p"))
-        return ready.crossJoin(F.broadcast(some)).select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
 
-    return reduce(DataFrame.unionByName, [part(k) for k in range(parts)])
+def with_each(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every row beside every rule (rule_id, type, severity, p); rules are broadcast in parts of at most MAX_RULES."""
+    some = rules.select("rule_id", "type", "severity", F.col("params").alias("p"))
+    parts = max(1, -(-rules.count() // MAX_RULES))
+    split = [some if parts == 1 else some.filter(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k) for k in range(parts)]
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(x)) for x in split])
 
 
 def details(traces: DataFrame, rules: DataFrame) -> DataFrame:
-    """Failed and warned checks, with the offending step numbers and the worst value."""
-    some = rules.select("rule_id", "type", "severity", F.col("params").alias("p"))
-    rows = with_features(traces).crossJoin(F.broadcast(some)).withColumn("outcome", outcome()).filter("outcome IN ('fail', 'warn')")
+    """Failed and warned checks, with the offending step numbers, the worst value, and what was expected and observed as text."""
+    rows = with_each(with_features(traces), rules).withColumn("outcome", outcome()).filter("outcome IN ('fail', 'warn')")
     affected = f"""transform(filter(calls, c -> CASE
         WHEN type = 'statistical' AND p.metric = 'latency_ms' THEN c.tool = p.tool AND coalesce(c.latency_ms > p.threshold, false)
         WHEN type = 'statistical' AND p.metric = 'success_rate' THEN c.tool = p.tool AND NOT c.ok
@@ -114,12 +113,36 @@ def details(traces: DataFrame, rules: DataFrame) -> DataFrame:
         WHEN type = 'tool_selection' THEN c.tool = p.forbidden_tool
         ELSE false END), c -> CAST(c.i AS string))"""
     worst = "CASE WHEN type = 'statistical' AND p.metric = 'latency_ms' THEN array_max(transform(filter(calls, c -> c.tool = p.tool), c -> c.latency_ms)) END"
-    return rows.select("trace_id", "rule_id", "outcome", F.array_join(F.expr(affected), ",").alias("affected"), F.expr(worst).cast("long").alias("worst"))
+    rows = rows.withColumns({"__hits": F.expr(affected), "worst": F.expr(worst).cast("long")})
+    # of the affected steps: the first, its tool, and the value of a feature
+    rows = rows.withColumns({"__first": F.expr("try_element_at(__hits, 1)"), "__value": F.expr(_FEATURE)})
+    rows = rows.withColumn("__tool", F.expr("try_element_at(filter(calls, c -> c.i = CAST(__first AS int)), 1).tool"))
+    said = [F.expr(f"CASE {' '.join(f'WHEN {when} THEN {pair[k]}' for when, pair in SAID.items())} END").alias(name) for k, name in enumerate(("expected", "observed"))]
+    return rows.select("trace_id", "rule_id", "outcome", F.array_join("__hits", ",").alias("affected"), "worst", *said)
+
+
+_AT = "concat('called `', __tool, '` at step ', __first)"
+_LATE = "concat('`', {b}, '` called at step ', __first, ' without `', {a}, '` before it')"
+_A, _B = "coalesce(p.tool_a, p.chain[0])", "coalesce(p.tool_b, try_element_at(p.chain, -1))"
+#: What a rule expects and what was seen, by kind of rule.
+SAID = {
+    "type = 'ordering'": (f"concat('`', {_A}, '` called before `', {_B}, '`')", _LATE.format(a=_A, b=_B)),
+    "type = 'composition'": ("concat('`', p.upstream_tool, '` before any `', p.downstream_tool, '`')", _LATE.format(a="p.upstream_tool", b="p.downstream_tool")),
+    "type = 'chain'": ("array_join(transform(p.chain, t -> concat('`', t, '`')), ' then ')", "'the calls are not in that order'"),
+    "type = 'conditional'": ("concat('tool `', p.tool, '` invoked when input mentions \\'', p.keyword, '\\'')", "concat('tool `', p.tool, '` not invoked')"),
+    "type = 'negative' AND size(p.allowed_repertoire) > 0": ("'only tools of the allowed repertoire'", _AT),
+    "type = 'negative'": ("concat('no tool whose name has one of: ', array_join(p.forbidden_patterns, ', '))", _AT),
+    "type = 'state'": ("concat('none of ', array_join(p.forbidden_after, ', '), ' after `', p.terminator_tool, '`')", _AT),
+    "type = 'tool_selection'": ("concat('segment \\'', p.segment, '\\' routes to `', p.expected_tool, '`')", _AT),
+    "p.metric = 'latency_ms'": ("concat('latency <= ', CAST(round(p.threshold) AS bigint), 'ms')", "concat('`', p.tool, '` took ', worst, 'ms')"),
+    "p.metric = 'success_rate'": ("format_string('success rate >= %.2f%%', 100 * coalesce(nullif(p.rate, 0D), 0.95D))", "concat('`', p.tool, '` failed ', size(__hits), ' times')"),
+    "p.metric = 'feature_envelope'": ("concat(p.feature, ' between ', format_number(p.p1, '0.##'), ' and ', format_number(p.p99, '0.##'))", "concat(p.feature, ' is ', format_number(__value, '0.##'))"),
+}
 
 
 def guardrail_replay(traces: DataFrame, rules: DataFrame, least_rank: int = 1) -> DataFrame:
     """The first call of each trace and rule at which a check of the calls so far, without results, fails."""
-    some = rules.filter(severity_rank("severity") >= least_rank).select("rule_id", "type", "severity", F.col("params").alias("p"))
+    some = rules.filter(severity_rank("severity") >= least_rank)
     full = with_features(traces).filter("size(calls) > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.size("calls"))))
     prefix = full.withColumns(
         {
@@ -127,4 +150,4 @@ def guardrail_replay(traces: DataFrame, rules: DataFrame, least_rank: int = 1) -
             "tools": F.expr("slice(tools, 1, n)"),
         }
     )
-    return prefix.crossJoin(F.broadcast(some)).withColumn("outcome", outcome(False)).filter("outcome = 'fail'").groupBy("trace_id", "rule_id").agg(F.min("n").cast("long").alias("blocked_call"))
+    return with_each(prefix, some).withColumn("outcome", outcome(False)).filter("outcome = 'fail'").groupBy("trace_id", "rule_id").agg(F.min("n").cast("long").alias("blocked_call"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.operators.features import behavioral, tool_sequence, with_features
+
 
-def kmeans(rows: DataFrame, k_min: int = 2, k_max: int = 8, min_rows: int = 20, seed: int = 17) -> DataFrame:
+def kmeans(rows: DataFrame, k_min: int = 2, k_max: int = 12, min_rows: int = 20, seed: int = 17) -> DataFrame:
     """(id, embedding) -> id, cluster, for the k of best cosine silhouette; too few rows make one cluster, single rows get -1."""
     unit = F.expr("transform(embedding, x -> CAST(x AS double) / sqrt(aggregate(embedding, 0D, (s, y) -> s + CAST(y AS double) * y)))")
     data = rows.select("id", array_to_vector(unit).alias("features")).cache()
@@ -33,3 +37,61 @@ def route(rows: DataFrame) -> DataFrame:
     wide = centre.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("cs"))
     score = part.join(wide, "i").select("vec_id", F.explode("cs").alias("l"), "x").groupBy("vec_id", F.col("l.label").alias("label")).agg(F.round(F.sum(F.col("x") * F.col("l.c")), 6).alias("s"))
     return score.groupBy("vec_id").agg(F.max_by("label", F.struct("s", -F.col("label"))).alias("cluster"))
+
+
+#: The largest vocabularies of tools and keywords of trace vectors; of equally common names the first by name count.
+MAX_TOOLS, MAX_KEYWORDS = 64, 256
+BEHAVIOUR = ("step_count", "tool_count", "distinct_tools", "user_chars", "response_chars", "sum_latency", "max_latency", "error_count")
+
+
+def _words(traces: DataFrame) -> DataFrame:
+    """Traces with names (`tool:` and `kw:` before them) and their share of the trace's calls or keywords."""
+    share = lambda xs, mark: f"transform(array_distinct({xs}), x -> named_struct('dim', concat('{mark}', x), 'tf', size(filter({xs}, y -> y = x)) / size({xs})))"
+    ready = with_features(traces).withColumn("keywords", F.expr("regexp_extract_all(user_text, '[a-z][a-z0-9_]{2,}', 0)"))
+    return ready.withColumn("names", F.expr(f"concat({share('tools', 'tool:')}, {share('keywords', 'kw:')})"))
+
+
+def fit_vectors(traces: DataFrame) -> dict:
+    """Vocabularies with their inverse document frequencies, and means and deviations of the behavioural features: a model of bounded size."""
+    counts = _words(traces).select(F.explode("names").alias("x")).groupBy("x.dim").agg(F.count("*").alias("df"))
+    n = traces.count()
+    idf = {}
+    for mark, most in (("tool:", MAX_TOOLS), ("kw:", MAX_KEYWORDS)):
+        top = counts.filter(F.startswith("dim", F.lit(mark))).orderBy(F.desc("df"), "dim").limit(most).collect()
+        idf |= {r.dim: math.log((1 + n) / (1 + r.df)) + 1 for r in top}
+    row = behavioral(traces).agg(*[f(c).alias(f"{c}_{k}") for c in BEHAVIOUR for k, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    return {"idf": idf, "scale": {c: (row[f"{c}_mean"] or 0.0, row[f"{c}_std"] or 1.0) for c in BEHAVIOUR}}
+
+
+def vectors(traces: DataFrame, model: dict) -> DataFrame:
+    """trace_id, vector: array of (dim, w) of length one, by one projection; names outside the vocabularies are left out."""
+    idf = F.create_map(*[F.lit(x) for k, v in model["idf"].items() for x in (k, v)]) if model["idf"] else F.create_map().cast("map<string,double>")
+    scaled = F.array(*[F.struct(F.lit(c).alias("dim"), ((F.col(f"b.{c}") - m) / s).alias("w")) for c, (m, s) in model["scale"].items()])
+    known = F.transform(F.filter("names", lambda x: F.map_contains_key(F.col("idf"), x["dim"])), lambda x: F.struct(x["dim"].alias("dim"), (x["tf"] * F.col("idf")[x["dim"]]).alias("w")))
+    rows = behavioral(_words(traces), ("names",)).select("trace_id", F.struct(*BEHAVIOUR).alias("b"), "names").withColumn("idf", idf)
+    out = rows.select("trace_id", F.filter(F.concat(scaled, known), lambda x: x["w"] != 0).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return out.withColumn("norm", norm).select("trace_id", F.transform("v", lambda x: F.struct(x["dim"].alias("dim"), (x["w"] / F.col("norm")).alias("w"))).alias("vector"))
+
+
+def tool_centroids(rows: DataFrame, model: dict) -> DataFrame:
+    """Traces with a cluster -> (cluster, tool, weight): the mean of their tool weights, over all traces of the cluster."""
+    n = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    idf = F.create_map(*[F.lit(x) for k, v in model["idf"].items() if k.startswith("tool:") for x in (k[5:], v)])
+    calls = rows.select("cluster", tool_sequence().alias("tools")).withColumn("size", F.size("tools")).select("cluster", "size", F.explode("tools").alias("tool"))
+    total = calls.withColumn("w", idf[F.col("tool")] / F.col("size")).filter("w IS NOT NULL").groupBy("cluster", "tool").agg(F.sum("w").alias("w"))
+    return total.join(n, "cluster").select("cluster", "tool", (F.col("w") / F.col("n")).alias("weight"))
+
+
+def route_by_tools(traces: DataFrame, centroids: DataFrame) -> DataFrame:
+    """trace_id, cluster: where the weights of the trace's calls sum to most, the least of equal ones; a trace without known tools goes to the least cluster.
+
+    Centroids have at most MAX_TOOLS rows a cluster and ride along as one map.
+    """
+    by_tool = centroids.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("tool", "weight"))).alias("w"))
+    in_order = F.expr("array_sort(collect_list(struct(cluster, w)), (x, y) -> CASE WHEN x.cluster < y.cluster THEN -1 WHEN x.cluster > y.cluster THEN 1 ELSE 0 END)")
+    every = by_tool.agg(in_order.alias("clusters"))
+    rows = traces.select("trace_id", tool_sequence().alias("tools")).crossJoin(F.broadcast(every))
+    score = F.expr("transform(clusters, c -> named_struct('s', round(aggregate(tools, 0D, (a, t) -> a + coalesce(try_element_at(c.w, t), 0D)), 9), 'cluster', c.cluster))")
+    best = F.expr("aggregate(scores, scores[0], (a, x) -> IF(x.s > a.s, x, a)).cluster")
+    return rows.withColumn("scores", score).select("trace_id", best.alias("cluster"))

@@ -38,8 +38,8 @@ def with_features(traces: DataFrame) -> DataFrame:
     )
 
 
-def behavioral(traces: DataFrame) -> DataFrame:
-    """The eight behavioural features of each trace."""
+def behavioral(traces: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The eight behavioural features of each trace, and the columns in keep."""
     total = lambda e: F.expr(f"aggregate({e}, 0L, (a, x) -> a + x)")
     return traces.select(
         "trace_id",
@@ -51,4 +51,5 @@ def behavioral(traces: DataFrame) -> DataFrame:
         total(f"transform({TOOL_STEPS}, s -> CAST(coalesce(s.latency_ms, 0) AS bigint))").alias("sum_latency"),
         F.expr(f"CAST(coalesce(array_max(transform({TOOL_STEPS}, s -> coalesce(s.latency_ms, 0))), 0) AS bigint)").alias("max_latency"),
         F.expr(f"CAST(size(filter({TOOL_STEPS}, s -> coalesce(nullif(s.result_status, ''), 'success') <> 'success')) AS bigint)").alias("error_count"),
+        *keep,
     )

@@ -85,7 +85,13 @@ def linearise(payloads: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for payload in batch["payload"]:
-                given = json.loads(payload)
+                try:
+                    given = json.loads(payload)
+                    if not isinstance(given, dict):
+                        raise ValueError("payload is no object")
+                except (TypeError, ValueError):
+                    out.append({"payload": payload, "steps": None})
+                    continue
                 nodes = given.get("nodes") or []
                 steps = [nodes[i].get("step") or {"type": "system", "content": str(nodes[i].get("id"))} for i in linear_order(nodes, given.get("edges") or [])]
                 out.append({"payload": payload, "steps": json.dumps(steps)})
@@ -94,4 +100,4 @@ def linearise(payloads: DataFrame) -> DataFrame:
     flat = payloads.select("payload").mapInPandas(order, "payload string, steps string")
     names = [c.split(":")[0].strip().split(" ")[0] for c in TRACE.split(", steps")[0].split(", ")]
     made = F.coalesce(F.get_json_object("payload", "$.trace_id"), F.substring(F.sha2("payload", 256), 1, 32))
-    return flat.select(made.alias(names[0]), F.get_json_object("payload", "$.session_id").alias("session_id"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.from_json("steps", f"array<{STEP}>").alias("steps"), F.lit(None).cast("string").alias("error"))
+    return flat.select(made.alias(names[0]), F.get_json_object("payload", "$.session_id").alias("session_id"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.from_json("steps", f"array<{STEP}>").alias("steps"), F.when(F.col("steps").isNull(), "payload is no graph").alias("error"))

@@ -16,7 +16,7 @@ def batch_summary(results: DataFrame, keys: tuple[str, ...] = ("rule_id",)) -> D
     out = results.groupBy(*keys).agg(n("pass").alias("passed"), n("fail").alias("failed"), n("warn").alias("warned"))
     applicable = F.col("passed") + F.col("failed") + F.col("warned")
     least = F.greatest(applicable, F.lit(1))
-    return out.withColumn("applicable", applicable).withColumns({f"{a}_rate": F.round(F.col(b) / least, 4) for a, b in (("pass", "passed"), ("fail", "failed"), ("warn", "warned"))})
+    return out.withColumn("applicable", applicable).withColumns({f"{a}_rate": F.bround(F.col(b) / least, 4) for a, b in (("pass", "passed"), ("fail", "failed"), ("warn", "warned"))})
 
 
 def first_failing(results: DataFrame, n: int = 5) -> DataFrame:

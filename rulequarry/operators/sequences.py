@@ -38,3 +38,17 @@ def pair_direction(calls: DataFrame, most_gap: int = 5) -> DataFrame:
     ahead = F.col("fa") < F.col("fb")
     out = both.groupBy("tool_a", "tool_b").agg(n(ahead).alias("forward"), n(~ahead).alias("backward"), n(ahead & (F.col("fb") - F.col("fa") <= most_gap)).alias("near"))
     return out.withColumns({"directionality": F.col("forward") / (F.col("forward") + F.col("backward")), "gap_consistency": F.when(F.col("forward") > 0, F.col("near") / F.col("forward")).otherwise(0.0)})
+
+
+def evidence(sequences: DataFrame, patterns: DataFrame, most: int = 50) -> DataFrame:
+    """(trace_id, tools), (pattern) -> pattern, ids: the first `most` traces by id that have the pattern as a subsequence.
+
+    Patterns are joined on their first tool.
+    """
+    from pyspark.sql import Window
+
+    by_first = patterns.select("pattern", F.col("pattern")[0].alias("tool"))
+    rows = sequences.select("trace_id", "tools", F.explode(F.array_distinct("tools")).alias("tool")).join(by_first, "tool")
+    has = F.expr("aggregate(tools, 0, (k, t) -> IF(k < size(pattern) AND t = get(pattern, k), k + 1, k)) = size(pattern)")
+    ranked = rows.filter(has).select("pattern", "trace_id").withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("trace_id"))).filter(F.col("k") <= most)
+    return ranked.groupBy("pattern").agg(F.sort_array(F.collect_list("trace_id")).alias("ids"))

@@ -23,7 +23,7 @@ def holds() -> Column:
     cases = {
         "type = 'ordering'": order("p.tool_a", "p.tool_b"),
         "type = 'composition'": order("p.upstream_tool", "p.downstream_tool"),
-        "type = 'conditional'": "NOT array_contains(split(regexp_replace(user_text, '[^a-z0-9_ ]', ''), ' +'), lower(p.keyword)) OR array_contains(tools, p.tool)",
+        "type = 'conditional'": "NOT array_contains(transform(split(user_text, '\\\\s+'), t -> regexp_replace(t, '[^\\\\p{L}\\\\p{N}_]', '')), lower(p.keyword)) OR array_contains(tools, p.tool)",
         "type = 'negative'": "NOT arrays_overlap(tools, coalesce(p.forbidden_patterns, CAST(array() AS array<string>)))",
         "type = 'statistical' AND p.metric = 'latency_ms'": "NOT exists(calls, c -> c.tool = p.tool AND coalesce(c.latency_ms > p.threshold, false))",
         "type = 'statistical' AND p.metric = 'success_rate'": "NOT exists(calls, c -> c.tool = p.tool AND NOT c.ok)",
@@ -34,8 +34,7 @@ def holds() -> Column:
 
 
 def verify(traces: DataFrame, rules: DataFrame) -> DataFrame:
-    some = rules.select("rule_id", "type", F.col("params").alias("p"))
-    return with_features(traces).crossJoin(F.broadcast(some)).select("trace_id", "rule_id", holds().alias("holds"))
+    return checks.with_each(with_features(traces), rules).select("trace_id", "rule_id", holds().alias("holds"))
 
 
 def small_traces(rules: DataFrame, slow_ms: int = 60_000) -> DataFrame:

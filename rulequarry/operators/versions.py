@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from rulequarry.functions import text as T
 
-MAX_PAIRS = 100_000
-
 
 def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     """(name) of both sides -> old_name, new_name: closest pairs, each name once, removed names in order.
 
     Forms of four characters or more count, at distances up to 2 and a quarter of the length.
     """
-    a = removed.select(F.col("name").alias("old_name"), T.canonical_form("name").alias("fa"))
-    b = added.select(F.col("name").alias("new_name"), T.canonical_form("name").alias("fb"))
-    near = a.join(F.broadcast(b), (F.length("fa") >= 4) & (F.length("fb") >= 4)).withColumn("d", T.levenshtein_bounded("fa", "fb", 2))
+    of = lambda side, name, form: side.select(F.col("name").alias(name), T.canonical_form("name").alias(form)).filter(F.length(form) >= 4).withColumn("k", F.explode(T.deletions(form)))
+    near = of(removed, "old_name", "fa").join(of(added, "new_name", "fb"), "k").drop("k").distinct().withColumn("d", T.levenshtein_bounded("fa", "fb", 2))
     near = near.filter("d <= least(2, greatest(1, length(fa) DIV 4))").select("old_name", "new_name", "d")
-    rows = near.orderBy("old_name", "d", "new_name").limit(MAX_PAIRS).collect()
+    # in order, a partition at a time: only the names that are taken are held
+    rows = near.orderBy("old_name", "d", "new_name").toLocalIterator()
     used, out = set(), {}
     for r in rows:
         if r.old_name not in out and r.new_name not in used:

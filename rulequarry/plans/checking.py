@@ -69,15 +69,15 @@ OUTCOMES = {
     "r14": f"""CASE WHEN NOT list_contains(tools, 'purchase') THEN {_NA}
         WHEN regexp_matches(array_to_string(tools, ','), '(^|,)view(,|,.*,)click(,|,.*,)purchase(,|$)') THEN 'pass' ELSE 'fail' END""",
 }
-RESULTS = f"WITH {EVENTS}, results AS (" + " UNION ALL ".join(
+RESULTS = f"WITH {EVENTS}, results AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT trace_id, version, '{r['rule_id']}' AS rule_id, '{r['type']}' AS type, '{r['severity']}' AS severity, {OUTCOMES[r['rule_id']]} AS outcome FROM tr" for r in RULES
 ) + ")"
 SUMMARY = f"""{RESULTS}, counts AS (
   SELECT rule_id, version, count(*) FILTER (WHERE outcome = 'pass') AS passed, count(*) FILTER (WHERE outcome = 'fail') AS failed, count(*) FILTER (WHERE outcome = 'warn') AS warned
   FROM results GROUP BY rule_id, version),
 summary AS (
-  SELECT *, passed + failed + warned AS applicable, round(passed / greatest(1, passed + failed + warned), 4) AS pass_rate,
-         round(failed / greatest(1, passed + failed + warned), 4) AS fail_rate, round(warned / greatest(1, passed + failed + warned), 4) AS warn_rate FROM counts)"""
+  SELECT *, passed + failed + warned AS applicable, round_even(passed / greatest(1, passed + failed + warned), 4) AS pass_rate,
+         round_even(failed / greatest(1, passed + failed + warned), 4) AS fail_rate, round_even(warned / greatest(1, passed + failed + warned), 4) AS warn_rate FROM counts)"""
 
 
 def results(spark, sf_dir):
@@ -111,17 +111,36 @@ def check_conditional_documents(spark, sf_dir):
     return checks.check_all(document_traces(spark, sf_dir), rules).select("trace_id", "outcome")
 
 
+#: What each rule expects, and how what was seen is put, as text over the columns of a failed row.
+_SAID = {
+    "r01": ("`view` called before `purchase`", "'`purchase` called at step ' || first_step || ' without `view` before it'"),
+    "r02": ("`signup` before any `purchase`", "'`purchase` called at step ' || first_step || ' without `signup` before it'"),
+    "r03": ("tool `view` invoked when input mentions 'eu'", "'tool `view` not invoked'"),
+    "r04": ("only tools of the allowed repertoire", "'called `' || first_tool || '` at step ' || first_step"),
+    "r05": ("no tool whose name has one of: Sign, delete", "'called `' || first_tool || '` at step ' || first_step"),
+    "r06": ("latency <= 2500ms", "'`view` took ' || worst || 'ms'"),
+    "r07": ("success rate >= 90.00%", "'`click` failed ' || n_affected || ' times'"),
+    "r12": ("success rate >= 95.00%", "'`view` failed ' || n_affected || ' times'"),
+    "r08": ("none of view, signup after `purchase`", "'called `' || first_tool || '` at step ' || first_step"),
+    "r09": ("segment 'eu' routes to `view`", "'called `' || first_tool || '` at step ' || first_step"),
+    "r10": ("tool_count between 1 and 6", "'tool_count is ' || n_tools"),
+    "r14": ("`view` then `click` then `purchase`", "'the calls are not in that order'"),
+}
+_QUOTED = {k: (a.replace("'", "''"), b) for k, (a, b) in _SAID.items()}
+
+
 @query(f"""{RESULTS},
 hits AS (
-  SELECT s.trace_id, r.rule_id, s.ti FROM st s JOIN results r USING (trace_id) WHERE r.outcome IN ('fail', 'warn') AND (
+  SELECT s.trace_id, r.rule_id, s.ti, s.tool FROM st s JOIN results r USING (trace_id) WHERE r.outcome IN ('fail', 'warn') AND (
     (rule_id = 'r01' AND tool = 'purchase') OR (rule_id = 'r02' AND tool = 'purchase') OR (rule_id = 'r04' AND tool NOT IN ('click', 'purchase', 'signup', 'view')) OR
     (rule_id = 'r05' AND (contains(lower(tool), 'sign') OR contains(lower(tool), 'delete'))) OR (rule_id = 'r06' AND tool = 'view' AND latency_ms > 2500) OR
     (rule_id = 'r07' AND tool = 'click' AND status <> 'success') OR (rule_id = 'r12' AND tool = 'view' AND status <> 'success') OR
-    (rule_id = 'r08' AND tool IN ('view', 'signup')) OR (rule_id = 'r09' AND tool = 'signup')))
-SELECT r.trace_id, r.rule_id, r.outcome, coalesce(h.affected, '') AS affected, CASE WHEN r.rule_id = 'r06' THEN CAST(w.worst AS BIGINT) END AS worst
-FROM results r LEFT JOIN (SELECT trace_id, rule_id, string_agg(CAST(ti + 1 AS VARCHAR), ',' ORDER BY ti) AS affected FROM hits GROUP BY ALL) h USING (trace_id, rule_id)
-LEFT JOIN (SELECT trace_id, max(latency_ms) AS worst FROM st WHERE tool = 'view' GROUP BY ALL) w USING (trace_id)
-WHERE r.outcome IN ('fail', 'warn')""")
+    (rule_id = 'r08' AND tool IN ('view', 'signup')) OR (rule_id = 'r09' AND tool = 'signup'))),
+h AS (SELECT trace_id, rule_id, string_agg(CAST(ti + 1 AS VARCHAR), ',' ORDER BY ti) AS affected, count(*) AS n_affected, CAST(min(ti) + 1 AS VARCHAR) AS first_step, arg_min(tool, ti) AS first_tool FROM hits GROUP BY ALL),
+v AS (SELECT r.trace_id, r.rule_id, r.outcome, coalesce(h.affected, '') AS affected, CASE WHEN r.rule_id = 'r06' THEN CAST(w.worst AS BIGINT) END AS worst, coalesce(n_affected, 0) AS n_affected, first_step, first_tool, len(tools) AS n_tools
+  FROM results r JOIN tr USING (trace_id) LEFT JOIN h USING (trace_id, rule_id) LEFT JOIN (SELECT trace_id, max(latency_ms) AS worst FROM st WHERE tool = 'view' GROUP BY ALL) w USING (trace_id) WHERE r.outcome IN ('fail', 'warn'))
+SELECT trace_id, rule_id, outcome, affected, worst, CASE rule_id {' '.join(f"WHEN '{k}' THEN '{a}'" for k, (a, _) in _QUOTED.items())} END AS expected,
+  CASE rule_id {' '.join(f"WHEN '{k}' THEN {b}" for k, (_, b) in _QUOTED.items())} END AS observed FROM v""")
 def violation_details(spark, sf_dir):
     return checks.details(event_traces(spark, sf_dir), rules_table(spark))
 

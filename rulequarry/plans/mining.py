@@ -53,14 +53,14 @@ _FEATURES = ("step_count", "tool_count", "distinct_tools", "user_chars", "respon
   count(*) FILTER (WHERE status <> 'success') AS error_count FROM st GROUP BY trace_id),
 u AS (UNPIVOT (SELECT trace_id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _FEATURES)} FROM b) ON {', '.join(_FEATURES)} INTO NAME feature VALUE v),
 p AS (SELECT feature, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, quantile_cont(v, 0.5) AS median FROM u GROUP BY feature)
-SELECT feature, round(p1, 6) AS p1, round(p99, 6) AS p99, round(median, 6) AS median, avg(CASE WHEN v BETWEEN p1 AND p99 THEN 1.0 ELSE 0.0 END) AS within_rate FROM p JOIN u USING (feature) WHERE p99 - p1 >= 1e-6 AND NOT (median = 0 AND p99 < 5) GROUP BY ALL""")
+SELECT feature, round(p1, 6) AS p1, round(p99, 6) AS p99, round(median, 6) AS median, avg(CASE WHEN v BETWEEN p1 AND p99 THEN 1.0 ELSE 0.0 END) AS within_rate FROM p JOIN u USING (feature) WHERE p99 - p1 >= 1e-6 AND NOT (median = 0 AND p99 < 5) GROUP BY ALL HAVING avg(CASE WHEN v BETWEEN p1 AND p99 THEN 1.0 ELSE 0.0 END) >= 0.95""")
 def feature_envelope(spark, sf_dir):
     b = features.behavioral(event_traces(spark, sf_dir))
     u = b.select("trace_id", F.expr(f"stack({len(_FEATURES)}, {', '.join(f"'{f}', CAST({f} AS double)" for f in _FEATURES)}) AS (feature, v)"))
     p = u.groupBy("feature").agg(*[F.percentile("v", F.lit(q)).alias(n) for q, n in ((0.01, "p1"), (0.99, "p99"), (0.5, "median"))])
     p = p.filter("p99 - p1 >= 1e-6 AND NOT (median = 0 AND p99 < 5)")
     within = F.avg(F.when(F.col("v").between(F.col("p1"), F.col("p99")), 1.0).otherwise(0.0)).alias("within_rate")
-    return u.join(F.broadcast(p), "feature").groupBy("feature", "p1", "p99", "median").agg(within).select("feature", *[F.round(c, 6).alias(c) for c in ("p1", "p99", "median")], "within_rate")
+    return u.join(F.broadcast(p), "feature").groupBy("feature", "p1", "p99", "median").agg(within).select("feature", *[F.round(c, 6).alias(c) for c in ("p1", "p99", "median")], "within_rate").filter("within_rate >= 0.95")
 
 
 # ---- associations -----------------------------------------------------------------------------
@@ -78,12 +78,17 @@ stat AS (SELECT *, CASE WHEN (n11+n10)*(n01+n00)*(n11+n01)*(n10+n00) = 0 THEN CA
 ) + ") AS mi FROM cont)"
 
 
-def contingency(tokens, tools, n, least=10):
-    """Counts of traces by keyword and tool; both sides are distinct by trace, so the join is the co-occurrence."""
-    k = tokens.groupBy("keyword").agg(F.count("*").alias("nk")).filter(F.col("nk") >= least)
-    t = tools.groupBy("tool").agg(F.count("*").alias("nt"))
-    c = tokens.join(k, "keyword", "left_semi").join(tools, "trace_id").groupBy("keyword", "tool").agg(F.count("*").alias("n11"))
-    return c.join(k, "keyword").join(t, "tool").crossJoin(F.broadcast(n)).select("keyword", "tool", "n11", (F.col("nk") - F.col("n11")).alias("n10"), (F.col("nt") - F.col("n11")).alias("n01"), (F.col("n") - F.col("nk") - F.col("nt") + F.col("n11")).alias("n00"), "n")
+def contingency(rows, n, least=10):
+    """(keywords, tools), distinct arrays of a trace -> counts of traces by keyword and tool, for keywords of `least` traces or more.
+
+    One pass: a null beside the tools counts the keyword itself, so nothing is joined by trace.
+    """
+    tools = rows.select(F.explode("tools").alias("tool")).groupBy("tool").agg(F.count("*").alias("nt"))
+    c = rows.select(F.explode("keywords").alias("keyword"), "tools").select("keyword", F.explode(F.concat("tools", F.array(F.lit(None).cast("string")))).alias("tool"))
+    c = c.groupBy("keyword", "tool").agg(F.count("*").alias("n11"))
+    k = c.filter("tool IS NULL").select("keyword", F.col("n11").alias("nk")).filter(F.col("nk") >= least)
+    both = c.filter("tool IS NOT NULL").join(k, "keyword").join(tools, "tool")
+    return both.crossJoin(F.broadcast(n)).select("keyword", "tool", "n11", (F.col("nk") - F.col("n11")).alias("n10"), (F.col("nt") - F.col("n11")).alias("n01"), (F.col("n") - F.col("nk") - F.col("nt") + F.col("n11")).alias("n00"), "n")
 
 
 def with_statistics(c):
@@ -96,9 +101,9 @@ def with_statistics(c):
 
 def _contingency(spark, sf_dir):
     traces = document_traces(spark, sf_dir)
-    tokens = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("trace_id"), F.explode(features.user_tokens("text")).alias("keyword"))
-    tools = traces.select("trace_id", F.explode(F.array_distinct(features.tool_sequence())).alias("tool"))
-    return contingency(tokens, tools, traces.agg(F.count("*").alias("n")))
+    text = "steps[0].content"
+    rows = traces.select(features.user_tokens(text).alias("keywords"), F.array_distinct(features.tool_sequence()).alias("tools"))
+    return contingency(rows, traces.agg(F.count("*").alias("n")))
 
 
 @query(f"{_ASSOC} SELECT keyword, tool, n11, n10, n01, n00 FROM cont")
@@ -193,11 +198,14 @@ u AS (SELECT tool, m, cs[least(m - 1, CAST(floor(CAST(0.99 AS DOUBLE) * m) AS BI
 def session_tool_caps(spark, sf_dir):
     """How often a tool is called in a session, sessions from the first that calls it on; the counts are few, so a histogram of them gives every order statistic."""
     steps = event_steps(spark, sf_dir)
-    s = steps.groupBy("session_id").agg(F.min("ts").alias("t"))
-    r = s.select("session_id", F.row_number().over(Window.orderBy("t", "session_id")).alias("k"))
-    n = s.agg(F.count("*").alias("n"))
-    c = steps.groupBy("session_id", "tool").agg(F.count("*").alias("c")).join(r, "session_id")
-    f = c.groupBy("tool").agg(F.min("k").alias("first_k"), F.count("*").alias("with_calls")).crossJoin(F.broadcast(n)).withColumn("m", F.col("n") - F.col("first_k") + 1)
+    s = steps.groupBy("session_id").agg(F.min("ts").alias("t")).withColumn("day", F.to_date("t"))
+    c = steps.groupBy("session_id", "tool").agg(F.count("*").alias("c"))
+    first = c.join(s, "session_id").groupBy("tool").agg(F.min(F.struct("t", "session_id")).alias("first"), F.count("*").alias("with_calls")).withColumn("day", F.to_date("first.t"))
+    # sessions of later days come from counts by day, those of the same day from a join on it
+    days = s.groupBy("day").agg(F.count("*").alias("n"))
+    later = first.join(F.broadcast(days.select(F.col("day").alias("other"), "n")), F.col("other") > F.col("day"), "left").groupBy("tool").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("later"))
+    same = s.join(F.broadcast(first.select("day", "tool", "first")), "day").filter(F.struct("t", "session_id") >= F.col("first")).groupBy("tool").agg(F.count("*").alias("same"))
+    f = first.select("tool", "with_calls").join(later, "tool").join(same, "tool").withColumn("m", F.col("later") + F.col("same"))
     zero = f.select("tool", F.lit(0).cast("long").alias("c"), (F.col("m") - F.col("with_calls")).alias("times"))
     h = c.groupBy("tool", "c").agg(F.count("*").alias("times")).unionByName(zero).filter("times > 0").join(F.broadcast(f.select("tool", "m")), "tool").filter("m >= 10")
     h = h.withColumn("cum", F.sum("times").over(Window.partitionBy("tool").orderBy("c")))
@@ -316,12 +324,12 @@ def bh_fdr(spark, sf_dir):
 
 
 #: The upper 1% points of chi-squared by degrees of freedom.
-CHI2_01 = {1: 6.635, 2: 9.210, 3: 11.345, 4: 13.277, 5: 15.086, 10: 23.209, 20: 37.566, 30: 50.892}
+CHI2_01 = {1: 6.63, 2: 9.21, 3: 11.34, 4: 13.28, 5: 15.09, 6: 16.81, 7: 18.48, 8: 20.09, 9: 21.67, 10: 23.21, 15: 30.58, 20: 37.57, 25: 44.31, 30: 50.89}
 
 
 @query("""SELECT CAST(df AS BIGINT) AS df, round(CASE WHEN df > 30 THEN df * pow(1 - 2 / (9 * CAST(df AS DOUBLE)) + CAST(2.326348 AS DOUBLE) * sqrt(2 / (9 * CAST(df AS DOUBLE))), 3) ELSE lo + (hi - lo) * (df - a) / greatest(1, b - a) END, 6) AS critical FROM (
-  SELECT df, (SELECT max(k) FROM t WHERE k <= df) AS a, coalesce((SELECT min(k) FROM t WHERE k >= df), 30) AS b, CAST((SELECT arg_max(v, k) FROM t WHERE k <= df) AS DOUBLE) AS lo, CAST(coalesce((SELECT arg_min(v, k) FROM t WHERE k >= df), 50.892) AS DOUBLE) AS hi
-  FROM range(1, 61) r(df)) FROM_T""".replace("FROM_T", "x").replace("SELECT CAST(df", "WITH t(k, v) AS (VALUES " + ", ".join(f"({k}, {v})" for k, v in CHI2_01.items()) + ") SELECT CAST(df", 1))
+  SELECT df, (SELECT max(k) FROM t WHERE k <= df) AS a, coalesce((SELECT min(k) FROM t WHERE k >= df), 30) AS b, CAST((SELECT arg_max(v, k) FROM t WHERE k <= df) AS DOUBLE) AS lo, CAST(coalesce((SELECT arg_min(v, k) FROM t WHERE k >= df), 50.89) AS DOUBLE) AS hi
+  FROM range(1, 61) r(df)) FROM_T""".replace("FROM_T", "x").replace("SELECT CAST(df", "WITH t(k, v) AS (VALUES (1, 6.63), (2, 9.21), (3, 11.34), (4, 13.28), (5, 15.09), (6, 16.81), (7, 18.48), (8, 20.09), (9, 21.67), (10, 23.21), (15, 30.58), (20, 37.57), (25, 44.31), (30, 50.89)) SELECT CAST(df", 1))
 def chi2_critical(spark, sf_dir):
     """The 1% point by degrees of freedom: table values, linear between them, Wilson and Hilferty's formula above 30."""
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in CHI2_01.items()])

@@ -61,6 +61,29 @@ def mine_ordering(spark, sf_dir):
     return g.select("tool_a", "tool_b", "support", F.col("directionality").alias("consistency"), F.when(F.col("gap_consistency") >= 0.8, "high").otherwise("medium").alias("severity"), ((F.col("support") >= 0.6) & (F.col("directionality") >= 0.9)).alias("kept"))
 
 
+@query(f"""{_FREQ}, n AS (SELECT count(*) AS n FROM tr) SELECT a.pattern, 'The agent always calls `' || replace(a.pattern, '>', '` then `') || '`' AS description, 'forall trace: contains_subsequence(trace, ' || replace(a.pattern, '>', ', ') || ')' AS formal_rule,
+  round(CAST(a.n AS DOUBLE) / n.n, 4) AS support FROM fr a, n WHERE a.len >= 3 AND NOT EXISTS (SELECT 1 FROM fr b WHERE b.n = a.n AND b.len > a.len AND regexp_matches(b.pattern, '(^|>)' || replace(a.pattern, '>', '(>|>.*>)') || '(>|$)'))""")
+def mine_chains(spark, sf_dir):
+    """Ordering rules of three tools or more, from closed patterns."""
+    rows = _sequences(spark, sf_dir)
+    n = rows.agg(F.count("*").alias("n"))
+    found = sequences.closed_patterns(sequences.frequent_subsequences(rows, 0.01)).filter("size(pattern) >= 3").crossJoin(F.broadcast(n))
+    return found.select(
+        F.array_join("pattern", ">").alias("pattern"), F.concat(F.lit("The agent always calls `"), F.array_join("pattern", "` then `"), F.lit("`")).alias("description"),
+        F.concat(F.lit("forall trace: contains_subsequence(trace, "), F.array_join("pattern", ", "), F.lit(")")).alias("formal_rule"), F.round(F.col("n_traces").cast("double") / F.col("n"), 4).alias("support"),
+    )
+
+
+@query(f"""{_FREQ}, e AS (SELECT pattern, trace_id, row_number() OVER (PARTITION BY pattern ORDER BY trace_id) AS k FROM fr JOIN tr ON regexp_matches(array_to_string(tools, '>'), '(^|>)' || replace(pattern, '>', '(>|>.*>)') || '(>|$)') WHERE len >= 2)
+SELECT pattern, count(*) AS n, string_agg(trace_id, ',' ORDER BY trace_id) AS evidence FROM e WHERE k <= 50 GROUP BY pattern""")
+def pattern_evidence(spark, sf_dir):
+    """The first 50 traces, by id, of each frequent pattern of two tools or more."""
+    rows = _sequences(spark, sf_dir)
+    found = sequences.frequent_subsequences(rows, 0.01).filter("size(pattern) >= 2")
+    first = sequences.evidence(rows, found, 50)
+    return first.select(F.array_join("pattern", ">").alias("pattern"), F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("evidence"))
+
+
 @query(f"WITH {EVENTS}, r AS (SELECT session_id, ts, event_id, status, row_number() OVER w AS k, avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) AS rate FROM st WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) SELECT event_id, round(rate, 6) AS rate FROM r")
 def rolling_pass_rate(spark, sf_dir):
     w = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(-255, 0)

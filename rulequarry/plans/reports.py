@@ -81,6 +81,27 @@ def alert_rate_limit(spark, sf_dir):
     return event_steps(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 1").select("event_id")
 
 
+@query()
+def alert_sliding_limit(spark, sf_dir):
+    """Alerts of failed calls, at most two of a session in any six hours."""
+    from rulequarry.operators import alerts
+
+    bad = event_steps(spark, sf_dir).filter("status = 'error'").select(F.col("session_id").alias("agent"), F.col("ts").alias("at"), "event_id")
+    return alerts.limited(bad, most=2, seconds=6 * 3600).select("event_id", "agent")
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT event_id, latency_ms, tool, CASE WHEN latency_ms >= 900 THEN 'critical' ELSE 'high' END AS severity FROM st WHERE status = 'error')
+SELECT event_id, '{{"text":"[' || severity || '] ' || tool || ' failed"}}' AS slack, '{{"event_action":"trigger","payload":{{"summary":"' || tool || ' failed","severity":"' || CASE severity WHEN 'critical' THEN 'critical' ELSE 'error' END || '","source":"checks"}}}}' AS pager,
+  severity = 'critical' AS pages FROM b""")
+def alert_sinks(spark, sf_dir):
+    """What each kind of sink is sent, and whether the alert is severe enough to page someone."""
+    bad = event_steps(spark, sf_dir).filter("status = 'error'").withColumn("severity", F.when(F.col("latency_ms") >= 900, "critical").otherwise("high"))
+    slack = F.to_json(F.struct(F.format_string("[%s] %s failed", "severity", "tool").alias("text")))
+    level = F.when(F.col("severity") == "critical", "critical").otherwise("error")
+    pager = F.to_json(F.struct(F.lit("trigger").alias("event_action"), F.struct(F.concat("tool", F.lit(" failed")).alias("summary"), level.alias("severity"), F.lit("checks").alias("source")).alias("payload")))
+    return bad.select("event_id", slack.alias("slack"), pager.alias("pager"), (F.col("severity") == "critical").alias("pages"))
+
+
 @query(f"WITH {EVENTS} SELECT trace_id, CASE WHEN date_diff('day', CAST(started_at AS DATE), DATE '2024-04-15') > 90 THEN 'drop' WHEN date_diff('day', CAST(started_at AS DATE), DATE '2024-04-15') > 30 THEN 'cold' ELSE 'hot' END AS tier FROM tr")
 def retention_tier(spark, sf_dir):
     from rulequarry.sources.store import retention

@@ -69,25 +69,33 @@ def levenshtein_bounded(spark, sf_dir):
     return rows.join(other, "id").select(F.col("name").alias("a"), "b", T.levenshtein_bounded("form", "fb", 3).alias("distance"))
 
 
-def _nested(x):
-    for k, p in T.PII.items():
-        p = p.replace("'", "''")
-        x = f"regexp_replace({x}, '{p}', '[redacted:{k}]', 'g')"
-    return x
-
-
-@query(f"SELECT doc_id, md5({_nested('text')}) AS digest, contains({_nested('text')}, '[redacted:') AS changed FROM documents")
+_CLEAN = "text"
+for _name, _pattern in (
+    ("email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"),
+    ("credit_card", "([0-9][ -]?){13,19}"),
+    ("ssn", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"),
+    ("api_token", "\\b(sk|pk|ghp|ls)_[A-Za-z0-9_]{16,}\\b|\\bAKIA[0-9A-Z]{16}\\b"),
+    ("jwt", "\\beyJ[A-Za-z0-9_-]+?\\.[A-Za-z0-9_-]+?\\.[A-Za-z0-9_-]+\\b"),
+    ("phone", "\\+?[0-9]{1,3}[ -.]?\\(?[0-9]{2,4}\\)?[ -.]?[0-9]{3,4}[ -.]?[0-9]{3,4}"),
+    ("ipv4", "\\b([0-9]{1,3}\\.){3}[0-9]{1,3}\\b"),
+    ("ipv6", "\\b([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\\b"),
+    ("iban", "\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\b"),
+):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '[redacted:{_name}]', 'g')"
+
+
+@query(f"SELECT doc_id, md5(clean) AS digest, contains(clean, '[redacted:') AS changed FROM (SELECT doc_id, {_CLEAN} AS clean FROM documents)")
 def redact_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.redact_text("text").alias("clean"))
     return docs.select("doc_id", F.md5("clean").alias("digest"), F.contains("clean", F.lit("[redacted:")).alias("changed"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[redacted:blocked_field]' ELSE props END AS value FROM events")
+@query("""SELECT event_id, '{"user": {"' || CASE WHEN event_id % 2 = 0 THEN 'Password": "[redacted:blocked_field]"' ELSE 'note": ' || props END || ', "id": ' || event_id || '}, "' ||
+  CASE WHEN event_id % 3 = 0 THEN 'credentials": "[redacted:blocked_field]"' ELSE 'tokens": ["a", "b"]' END || '}' AS value FROM events""")
 def redact_fields(spark, sf_dir):
-    """Values of blocked keys replaced, by key name."""
-    blocked = ("password", "secret", "api_key", "token", "authorization", "ssn", "credit_card", "cvv", "private_key")
-    rows = table(spark, sf_dir, "events").withColumn("key", F.when(F.col("event_id") % 2 == 0, "Password").otherwise("note"))
-    return rows.select("event_id", F.when(F.lower("key").isin(*blocked), "[redacted:blocked_field]").otherwise(F.col("props")).alias("value"))
+    """Values of blocked keys replaced, by key name, in nested JSON."""
+    user = F.expr("""concat('{"user": {"', IF(event_id % 2 = 0, concat('Password": "a, \\\\"b\\\\" ', event_id, '"'), concat('note": ', props)), ', "id": ', event_id, '}, "', IF(event_id % 3 = 0, 'credentials": {"x": [1, 2]}', 'tokens": ["a", "b"]'), '}')""")
+    return table(spark, sf_dir, "events").select("event_id", T.redact_fields(user).alias("value"))
 
 
 @query("SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS key FROM benchmark")

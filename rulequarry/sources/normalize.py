@@ -28,9 +28,14 @@ def timestamp(text: Column | str) -> Column:
 def user_input(inputs: Column) -> Column:
     """The first filled field of a request, or the last user message of a list."""
     fields = [F.nullif(F.get_json_object(inputs, f"$.{k}"), F.lit("")) for k in ("input", "question", "query", "prompt")]
-    messages = F.from_json(F.get_json_object(inputs, "$.messages"), "array<struct<role: string, content: string>>")
-    last = F.try_element_at(F.filter(messages, lambda m: m["role"].isNull() | m["role"].isin("user", "human")), F.lit(-1))["content"]
-    return F.coalesce(*fields, last)
+    given = F.get_json_object(inputs, "$.messages")
+    messages = F.from_json(given, "array<struct<role: string, content: string>>")
+    last = F.try_element_at(F.filter(messages, lambda m: m["content"].isNotNull() & (m["role"].isNull() | m["role"].isin("user", "human"))), F.lit(-1))["content"]
+    # messages as plain strings
+    plain = F.try_element_at(F.from_json(given, "array<string>"), F.lit(-1))
+    plain = F.when(~plain.startswith("{"), plain)
+    text = F.when(~inputs.startswith("{") & ~inputs.startswith("["), inputs)
+    return F.coalesce(*fields, last, plain, text)
 
 
 def response(outputs: Column) -> Column:
@@ -52,7 +57,10 @@ def raw_json(payloads: DataFrame) -> DataFrame:
 
 
 def langchain(payloads: DataFrame) -> DataFrame:
-    """payload (a tree of runs as JSON) -> traces: request, then tools and thoughts by start time, then response."""
+    """payload (a tree of runs as JSON) -> traces: request, then tools and thoughts by start time (equal or none: in their order), then response.
+
+    A payload that is null or no JSON object has an error and no steps.
+    """
     import json
 
     import pandas as pd
@@ -61,19 +69,25 @@ def langchain(payloads: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for payload in batch["payload"]:
-                runs, stack = [], [json.loads(payload)]
-                while stack:
+                try:
+                    root = json.loads(payload)
+                    if not isinstance(root, dict):
+                        raise ValueError("payload is no object")
+                except (TypeError, ValueError) as e:
+                    out.append({"root": None, "runs": "[]", "payload": payload, "error": f"payload is no run tree: {type(e).__name__}"})
+                    continue
+                runs, stack = [], [root]
+                while stack:  # a run before its children, children in their order
                     run = stack.pop()
                     runs.append(run)
-                    stack.extend(run.get("child_runs") or [])
-                root = runs[0]
+                    stack.extend(r for r in reversed(run.get("child_runs") or []) if isinstance(r, dict))
                 inner = sorted(runs[1:], key=lambda r: str(r.get("start_time") or ""))
                 kept = [r for r in inner if r.get("run_type") in ("tool", "llm")]
-                out.append({"root": json.dumps(root, default=str), "runs": json.dumps(kept, default=str), "payload": payload})
-            yield pd.DataFrame(out, columns=["root", "runs", "payload"])
+                out.append({"root": json.dumps(root, default=str), "runs": json.dumps(kept, default=str), "payload": payload, "error": None})
+            yield pd.DataFrame(out, columns=["root", "runs", "payload", "error"])
 
     run = "struct<name: string, run_type: string, start_time: string, end_time: string, error: string, outputs: string>"
-    flat = payloads.select("payload").mapInPandas(flatten, "root string, runs string, payload string").withColumn("runs", F.from_json("runs", f"array<{run}>"))
+    flat = payloads.select("payload").mapInPandas(flatten, "root string, runs string, payload string, error string").withColumn("runs", F.from_json("runs", f"array<{run}>"))
     millis = lambda r: F.greatest(F.lit(0), (F.unix_micros(timestamp(r["end_time"])) - F.unix_micros(timestamp(r["start_time"]))) / 1000).cast("int")
 
     def step(r):
@@ -97,8 +111,8 @@ def langchain(payloads: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("version"),
         F.lit(None).cast("string").alias("segment"),
         timestamp(F.get_json_object(root, "$.start_time")).cast("timestamp_ntz").alias("started_at"),
-        F.concat(edge("user_input", user_input(F.get_json_object(root, "$.inputs"))), F.transform("runs", step), edge("agent_response", response(F.get_json_object(root, "$.outputs")))).alias("steps"),
-        F.lit(None).cast("string").alias("error"),
+        F.when(F.col("error").isNull(), F.concat(edge("user_input", user_input(F.get_json_object(root, "$.inputs"))), F.transform("runs", step), edge("agent_response", response(F.get_json_object(root, "$.outputs"))))).alias("steps"),
+        "error",
     )
 
 

@@ -56,8 +56,8 @@ ev AS (
          CAST(floor(value * 10) AS INTEGER) AS latency_ms,
          CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 95 THEN 'error' ELSE 'success' END AS status
   FROM events),
-st AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) - 1 AS ti FROM ev),
-tr AS (SELECT trace_id, any_value(session_id) AS session_id, any_value(version) AS version, any_value(segment) AS segment, min(ts) AS started_at,
+st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) - 1 AS ti FROM ev),
+tr AS MATERIALIZED (SELECT trace_id, any_value(session_id) AS session_id, any_value(version) AS version, any_value(segment) AS segment, min(ts) AS started_at,
               list(tool ORDER BY ti) AS tools, list(status ORDER BY ti) AS statuses, list(latency_ms ORDER BY ti) AS latencies
        FROM st GROUP BY trace_id)
 """

@@ -12,8 +12,7 @@ from rulequarry.operators.drift import EVENT, STATE, Detector
 
 def check_stream(traces: DataFrame, rules: DataFrame) -> DataFrame:
     """A stateless projection of a stream of traces: every rule on every trace."""
-    some = rules.select("rule_id", "type", "severity", F.col("params").alias("p"))
-    return features.with_features(traces).crossJoin(F.broadcast(some)).select("trace_id", "session_id", "started_at", "rule_id", "severity", checks.outcome().alias("outcome"))
+    return checks.with_each(features.with_features(traces), rules).select("trace_id", "session_id", "started_at", "rule_id", "severity", checks.outcome().alias("outcome"))
 
 
 def windowed_pass_rate(results: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
