@@ -14,7 +14,8 @@
    last round that hold two suffixes or more are the repeated strings, and the round in which an interval
    splits gives the common prefix of its neighbours.
 4. An anchor with more than MAX_PIECES distinct pieces (a line that very many documents have, each between other
-   text) would be one task: its windows are counted by a 128-bit hash of the whole window instead.
+   text) would be one task: its pieces are split by the text around the anchor, again and again if need be, until the
+   transforms of a group can be merged in a task.
 
 Null or empty text has no bytes. Repeated rows are separate documents with equal bytes. Matches
 never cross documents; kept bytes may cut a character in two, so they are binary.
@@ -35,7 +36,6 @@ from rulequarry.llm._text import BYTE, buffers, mix, powers, sliding_min
 LENGTH, GRAM, BLOCK = 200, 32, 8
 MAX_PIECES = 4096
 SHARD_BYTES, BIN_BYTES = 1 << 13, 1 << 20
-_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 # ---- merged transforms ------------------------------------------------------------------------
@@ -335,19 +335,61 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.select("anchor", "x", "y", "n_copies", "place", "body").mapInArrow(judge, "x long, y long, ranges array<long>")
 
 
-def _hashed_windows(rows: DataFrame) -> DataFrame:
-    """Rows (x, y, n_copies, body) -> (x, y, at, n_copies, u, v): 128 bits of each window."""
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows (x, y, n_copies, place, body, low, high) -> (x, y, shift, anchor, u, v, n_copies, place, body, low, high).
+
+    A window has the anchor from its byte `low` to its byte `high` on. The two halves of that range part the windows of
+    a piece in two, each a piece of its own (from `shift` on; u, v: 128 bits of it). All windows of a half
+    have LENGTH less its width of bytes around the anchor in common, and a hash of these and the half is the new anchor.
+    """
+    names = ["x", "y", "shift", "anchor", "u", "v", "n_copies", "place", "body", "low", "high"]
 
     def judge(batches):
         for batch in batches:
-            for x, y, copies, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                n = len(body) - LENGTH + 1
-                keys = np.frombuffer(b"".join(hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, x)), pa.array(np.full(n, y)), pa.array(np.arange(n)), pa.array(np.full(n, copies)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], names=["x", "y", "at", "n_copies", "u", "v"]
-                )
-
-    return rows.select("x", "y", "n_copies", "body").mapInArrow(judge, "x long, y long, at long, n_copies long, u long, v long")
+            out = []
+            for x, y, copies, place, body, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, place - b), min(len(body) - LENGTH, place - a)
+                    if a <= b and first <= last:
+                        part, common = body[first : last + LENGTH], body[place - a : place + LENGTH - b]
+                        key = hashlib.blake2b(common + bytes((a, b)), digest_size=8).digest()
+                        own = hashlib.blake2b(part, digest_size=16).digest()
+                        out.append((x, y, first, *(int.from_bytes(h, "little", signed=True) for h in (key, own[:8], own[8:])), copies, place - first, part, a, b))
+            types = [pa.int64()] * 8 + [pa.binary(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), types)], names=names)
+
+    return rows.select("x", "y", "n_copies", "place", "body", "low", "high").mapInArrow(judge, "x long, y long, shift long, anchor long, u long, v long, n_copies long, place long, body binary, low int, high int")
+
+
+def _decided(distinct: DataFrame, max_pieces: int) -> DataFrame:
+    """Distinct pieces (anchor, x, y, n_copies, place, body, low, high) -> (x, y, ranges of repeated windows), maybe in several rows.
+
+    Anchors of one piece are decided by its copies, those of up to max_pieces by merged transforms. The pieces of a
+    larger one are split by what is around the anchor, and decided in the same way; after eight halvings a
+    piece is one window, and those of an anchor are equal.
+    """
+    spark = distinct.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = written(distinct.groupBy("anchor").agg(F.count("*").alias("c")), "sizes")
+    of = lambda which: distinct.join(sizes.filter(which).select("anchor"), "anchor", "left_semi")
+    alone = of("c = 1").filter("n_copies > 1").select("x", "y", F.array(F.lit(0).cast("long"), (F.octet_length("body") - LENGTH + 1).cast("long")).alias("ranges"))
+    merged = _merged(of(F.col("c").between(2, max_pieces)).repartition(n, "anchor").sortWithinPartitions("anchor"))
+    found = alone.unionByName(merged)
+    if sizes.filter(F.col("c") > max_pieces).isEmpty():
+        found = written(found, "found")
+        drop(sizes)
+        return found
+    parts = written(_split(of(F.col("c") > max_pieces)), "parts")
+    below = parts.groupBy("anchor", F.col("u").alias("x"), F.col("v").alias("y"), "low", "high").agg(F.sum("n_copies").alias("n_copies"), F.min("place").alias("place"), F.min("body").alias("body"))
+    below = written(below, "distinct")
+    inner = _decided(below, max_pieces)
+    again = parts.select("x", "y", "shift", "u", "v").join(inner.select(F.col("x").alias("u"), F.col("y").alias("v"), "ranges"), ["u", "v"])
+    again = again.select("x", "y", F.transform("ranges", lambda r: r + F.col("shift")).alias("ranges"))
+    found = written(found.unionByName(again), "found")
+    for table in (sizes, parts, below, inner):
+        drop(table)
+    return found
 
 
 def _cut(rows: DataFrame, texts: bool) -> DataFrame:
@@ -389,20 +431,12 @@ def suffix_dedup(docs: DataFrame, max_pieces: int = MAX_PIECES, texts: bool = Tr
     several = written(anchors.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "several")
     wanted = written(anchors.join(several, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     drop(anchors)
+    drop(several)
     pieces = written(_pieces(table.join(wanted, "rid")), "pieces")
     drop(wanted)
-    distinct = written(pieces.groupBy("anchor", "x", "y").agg(F.count("*").alias("n_copies"), F.min("place").alias("place"), F.min("body").alias("body")), "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("c"))
-    alone = distinct.join(sizes.filter("c = 1").select("anchor"), "anchor", "left_semi").filter("n_copies > 1").select("x", "y", F.array(F.lit(0).cast("long"), (F.octet_length("body") - LENGTH + 1).cast("long")).alias("ranges"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = distinct.join(sizes.filter(F.col("c").between(2, max_pieces)).select("anchor"), "anchor", "left_semi")
-    merged = _merged(some.repartition(n, "anchor").sortWithinPartitions("anchor"))
-    windows = _hashed_windows(distinct.join(sizes.filter(F.col("c") > max_pieces).select("anchor"), "anchor", "left_semi"))
-    windows = written(windows, "windows")
-    twice = written(windows.groupBy("u", "v").agg(F.sum("n_copies").alias("c")).filter("c > 1").select("u", "v"), "twice")
-    single = F.array(F.col("at"), F.col("at") + 1)
-    many = windows.join(twice, ["u", "v"]).groupBy("x", "y").agg(F.flatten(F.collect_list(single)).alias("ranges"))
-    found = written(alone.unionByName(merged).unionByName(many), "found")
+    distinct = pieces.groupBy("anchor", "x", "y").agg(F.count("*").alias("n_copies"), F.min("place").alias("place"), F.min("body").alias("body"))
+    distinct = written(distinct.withColumns({"low": F.lit(0), "high": F.lit(LENGTH - GRAM)}), "distinct")
+    found = _decided(distinct, max_pieces)
     drop(distinct)
     release(spark)
     gone = pieces.select("x", "y", "rid", "start").join(found, ["x", "y"]).groupBy("rid").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
