@@ -18,6 +18,8 @@ BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 FOLD = BYTE.copy()
 FOLD[65:91] = BYTE[97:123]
 STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second table, so that two hashes of a word have nothing in common.
+OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 PIECE = 1 << 20

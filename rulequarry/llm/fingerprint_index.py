@@ -21,6 +21,7 @@ doc_id counts as larger than all others, and its rows as one document.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulequarry.llm._scratch import bucketed, drop, release, written
-from rulequarry.llm._text import STEP, Words, buffers, grams, mix, powers, slices, sliding_min
+from rulequarry.llm._text import OTHER, STEP, Words, buffers, grams, mix, powers, slices, sliding_min
 
 WINDOW, GRAM = 13, 5
 BATCHES, MAX_RUNS = 4, 2
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -50,10 +50,10 @@ class Windows:
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the words of the windows that start at some words."""
         x, y = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        other = self.words.hashes(OTHER)
         for j in range(WINDOW):
-            h = self.hashes[at + j]
-            x += h * STEP[j]
-            y += mix(h ^ _SECOND) * STEP[j + 16]
+            x += self.hashes[at + j] * STEP[j]
+            y += other[at + j] * STEP[j + 16]
         return mix(x).view(np.int64), mix(y).view(np.int64)
 
 
@@ -144,8 +144,8 @@ def _stretches(rows: DataFrame) -> DataFrame:
                 words = n + WINDOW - 1
                 up, down = powers(len(w.hashes) + 1)
                 keys = []
-                for seed in (np.uint64(0), _SECOND):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hashes ^ seed) * up[:-1])])
+                for hashes in (w.hashes, w.words.hashes(OTHER)):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])])
                     keys.append(mix((sums[at + words] - sums[at]) * down[at] + words.astype(np.uint64) * STEP[40]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[row + first], docs_[row + first], at - w.words.first[row], n, prints, *keys)], names=names)
 
@@ -215,19 +215,20 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = Tru
     cuts = table.agg(F.percentile_approx("order_id", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000).alias("q")).first().q if batches > 1 else []
     cuts = sorted(set(cuts or []))
     prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
-    index, shared = FingerprintIndex(spark), None
+    index, several = FingerprintIndex(spark), []
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = prints
         if low is not None:
             batch = batch.filter(F.col("doc_id") > low)
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
-        found = index.add(batch)
-        shared = found if shared is None else shared.unionByName(found)
+        several.append(index.add(batch))
     index.drop()
     release(spark)
     # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
-    shared = written(shared.distinct(), "hits")
+    shared = written(reduce(DataFrame.unionByName, several).distinct(), "hits")
+    for scratch in several:
+        drop(scratch)
     wanted = prints.join(shared, "print").groupBy("rid").agg(F.collect_set("print").alias("prints"))
     wanted = written(wanted, "wanted")
     drop(prints)
@@ -237,7 +238,8 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = Tru
     distinct = written(found.groupBy("print", "x", "y").agg(F.min(F.struct("doc_id", "rid", "word", "n")).alias("first")), "distinct")
     mixed = distinct.groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
     runs = distinct.join(mixed, "print").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "x", "y")).alias("runs"))
-    windows = written(_windows_of(table.join(written(runs, "runs"), "rid")), "windows")
+    runs_table = written(runs, "runs")
+    windows = written(_windows_of(table.join(runs_table, "rid")), "windows")
     least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
     least = written(least, "least")
     some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
@@ -248,6 +250,6 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = Tru
     gone = found.join(known, ["x", "y"]).filter("doc_id > least OR some IS NOT NULL")
     gone = gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", F.when(F.col("doc_id") == F.col("least"), F.col("some")).alias("some"))).alias("starts"))
     gone = written(gone, "gone")
-    drop(found)
-    drop(known)
+    for scratch in (found, known, least, runs_table, shared):
+        drop(scratch)
     return _kept(table.join(gone, "rid", "left"), texts)
