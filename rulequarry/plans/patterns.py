@@ -74,7 +74,8 @@ def mine_chains(spark, sf_dir):
     )
 
 
-@query(f"""{_FREQ}, e AS (SELECT pattern, trace_id, row_number() OVER (PARTITION BY pattern ORDER BY trace_id) AS k FROM fr JOIN tr ON regexp_matches(array_to_string(tools, '>'), '(^|>)' || replace(pattern, '>', '(>|>.*>)') || '(>|$)') WHERE len >= 2)
+@query(f"""{_FREQ}, has AS (SELECT x.tool || '>' || y.tool AS pattern, trace_id FROM f x JOIN f y USING (trace_id) WHERE x.a < y.z UNION ALL SELECT t1 || '>' || t2 || '>' || y.tool, trace_id FROM m JOIN f y USING (trace_id) WHERE m.b < y.z),
+e AS (SELECT pattern, trace_id, row_number() OVER (PARTITION BY pattern ORDER BY trace_id) AS k FROM fr JOIN has USING (pattern))
 SELECT pattern, count(*) AS n, string_agg(trace_id, ',' ORDER BY trace_id) AS evidence FROM e WHERE k <= 50 GROUP BY pattern""")
 def pattern_evidence(spark, sf_dir):
     """The first 50 traces, by id, of each frequent pattern of two tools or more."""
