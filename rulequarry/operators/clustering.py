@@ -7,7 +7,7 @@ import math
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulequarry.operators.features import behavioral, tool_sequence, with_features
@@ -19,6 +19,7 @@ def kmeans(rows: DataFrame, k_min: int = 2, k_max: int = 12, min_rows: int = 20,
     data = rows.select("id", array_to_vector(unit).alias("features")).cache()
     n = data.count()
     if n < k_min * min_rows:
+        data.unpersist()
         return data.select("id", F.lit(0).alias("cluster"))
     best = None
     for k in range(k_min, max(k_min, min(k_max, n // min_rows)) + 1):
@@ -26,6 +27,7 @@ def kmeans(rows: DataFrame, k_min: int = 2, k_max: int = 12, min_rows: int = 20,
         score = ClusteringEvaluator(distanceMeasure="cosine").evaluate(out)
         if best is None or score > best[0]:
             best = (score, out)
+    data.unpersist()
     sizes = best[1].groupBy("prediction").agg(F.count("*").alias("c"))
     return best[1].join(F.broadcast(sizes), "prediction").select("id", F.when(F.col("c") == 1, -1).otherwise(F.col("prediction")).alias("cluster"))
 
@@ -63,6 +65,18 @@ def fit_vectors(traces: DataFrame) -> dict:
     return {"idf": idf, "scale": {c: (row[f"{c}_mean"] or 0.0, row[f"{c}_std"] or 1.0) for c in BEHAVIOUR}}
 
 
+def save_model(spark: SparkSession, model: dict, path: str, mode: str = "errorifexists") -> None:
+    """The model of fit_vectors() as Parquet rows (kind, name, a, b)."""
+    rows = [("idf", k, float(v), None) for k, v in model["idf"].items()] + [("scale", k, float(m), float(s)) for k, (m, s) in model["scale"].items()]
+    spark.createDataFrame(rows, "kind string, name string, a double, b double").coalesce(1).write.mode(mode).parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """What save_model() wrote; at most MAX_TOOLS + MAX_KEYWORDS rows and one for each feature."""
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.name)
+    return {"idf": {r.name: r.a for r in rows if r.kind == "idf"}, "scale": {c: (r.a, r.b) for c in BEHAVIOUR for r in rows if r.kind == "scale" and r.name == c}}
+
+
 def vectors(traces: DataFrame, model: dict) -> DataFrame:
     """trace_id, vector: array of (dim, w) of length one, by one projection; names outside the vocabularies are left out."""
     idf = F.create_map(*[F.lit(x) for k, v in model["idf"].items() for x in (k, v)]) if model["idf"] else F.create_map().cast("map<string,double>")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rulequarry.operators import checks
 from rulequarry.operators.features import with_features
+from rulequarry.schema import PARAMS, params_valid
 
 _BEFORE = "forall(sequence(0, size(tools) - 1), i -> get(tools, i) <> {b} OR exists(slice(tools, 1, i), t -> t = {a}))"
 _NOT_EMPTY = "size(tools) = 0 OR "
@@ -37,6 +38,37 @@ def verify(traces: DataFrame, rules: DataFrame) -> DataFrame:
     return checks.with_each(with_features(traces), rules).select("trace_id", "rule_id", holds().alias("holds"))
 
 
+def outcomes(traces: DataFrame, rules: DataFrame) -> DataFrame:
+    """pass or fail by the formal reading; rules that have none (unknown kinds, a language model's verdict, bad parameters) are not_applicable."""
+    known = rules.withColumn("type", F.when(params_valid() & (F.col("type") != "output_format"), F.col("type")))
+    rows = checks.with_each(with_features(traces), known)
+    outcome = F.when(F.col("type").isNull(), F.expr(checks.NA)).when(holds(), "pass").otherwise("fail")
+    return rows.select("trace_id", "rule_id", outcome.alias("outcome"))
+
+
+def signature() -> Column:
+    """16 hex digits that name a rule (type, params): of its JSON with sorted keys, without absent parameters."""
+    one = lambda x: F.substr(F.to_json(F.array(x)), F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    parts = []
+    for name, kind in sorted(x.split(": ") for x in PARAMS[len("struct<") : -1].split(", ")):
+        value = F.col(f"params.{name}")
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, one), ", "), F.lit("]")) if kind.startswith("array") else one(value)
+        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{name}": '), text)))
+    body = F.concat(F.lit('{"params": {'), F.concat_ws(", ", *parts), F.lit('}, "type": '), one(F.col("type")), F.lit("}"))
+    return F.substring(F.sha2(body, 256), 1, 16)
+
+
+def verify_recent(traces: DataFrame, rules: DataFrame, sample: int = 500, most: int = 3, version: str | None = None) -> DataFrame:
+    """Each rule on the `sample` latest traces (of a version): how many hold, the rate to four places, and up to `most` of the latest traces that don't."""
+    recent = (traces if version is None else traces.filter(F.col("version") == version)).orderBy(F.desc("started_at"), "trace_id").limit(sample)
+    rows = checks.with_each(with_features(recent), rules).select("rule_id", "started_at", "trace_id", holds().alias("holds"))
+    broken = F.array_sort(F.collect_list(F.when(~F.col("holds"), F.struct((-F.unix_micros(F.col("started_at").cast("timestamp"))).alias("age"), "trace_id"))))
+    out = rows.groupBy("rule_id").agg(F.count("*").alias("sample_size"), F.count_if("holds").alias("holds"), broken.alias("b"))
+    shown = F.array_join(F.transform(F.slice("b", 1, most), lambda x: x["trace_id"]), ",")
+    out = out.select("rule_id", "sample_size", "holds", (F.col("sample_size") - F.col("holds")).alias("violates"), F.round(F.col("holds") / F.greatest(F.lit(1), "sample_size"), 4).alias("pass_rate"), shown.alias("counter_examples"))
+    return out.join(rules.select("rule_id", signature().alias("signature")), "rule_id")
+
+
 def small_traces(rules: DataFrame, slow_ms: int = 60_000) -> DataFrame:
     """Of each rule: all traces of at most two calls over its own tools, fast and successful or slow and failed, with its keyword and segment."""
     own = F.expr("""array_sort(array_distinct(filter(concat(array(p.tool_a, p.tool_b, p.tool, p.terminator_tool, p.upstream_tool, p.downstream_tool, p.expected_tool, p.forbidden_tool),

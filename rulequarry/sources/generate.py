@@ -56,3 +56,22 @@ def tool_loops(spark: SparkSession, n: int, tools: list[str], least: int = 1, mo
         return made.withField("result_status", F.when(_roll(seed, F.col("id"), i, 4) < error_rate, "error").otherwise("success"))
 
     return _traces(rows, F.concat(F.array(_said("user_input", F.lit("Carry out the task"))), F.transform(F.sequence(F.lit(1), F.col("k")), step)))
+
+
+def from_spec(spark: SparkSession, n: int, name: str, purpose: str, tools: list[str], inputs: list[str] | None = None, segments: list[str] | None = None, length: tuple[int, int] = (3, 8), seed: int = 13) -> DataFrame:
+    """Traces of an agent described by its tools: a request drawn from inputs, then calls drawn from tools so that all steps
+    number length[0] to length[1] (with no more calls than tools), one call in a hundred failing, and an answer."""
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(_roll(seed, F.col("id"), k) * len(values)).cast("int") + 1)
+    inputs, segments = inputs or [f"Help me with {purpose}"], segments or ["default"]
+    calls = F.least(F.lit(len(tools)), F.lit(length[0]) + F.floor(_roll(seed, F.col("id"), 1) * (length[1] - length[0] + 1)) - 2).cast("int")
+    rows = spark.range(n).withColumns({"segment": pick(segments, 2), "request": pick(inputs, 3), "k": calls})
+    names = F.array(*[F.lit(t) for t in tools])
+
+    def step(i: Column) -> Column:
+        made = _call(F.element_at(names, F.floor(_roll(seed, F.col("id"), i, 4) * len(tools)).cast("int") + 1), _roll(seed, F.col("id"), i, 5), 0)
+        late = (F.lit(30) + F.floor(_roll(seed, F.col("id"), i, 6) * 771)).cast("int")
+        return made.withField("latency_ms", late).withField("result_status", F.when(_roll(seed, F.col("id"), i, 7) < 0.01, "error").otherwise("success"))
+
+    middle = F.when(F.col("k") > 0, F.transform(F.sequence(F.lit(1), F.col("k")), step)).otherwise(F.array().cast("array<struct<type: string, content: string, tool: string, latency_ms: int, result_status: string>>"))
+    out = _traces(rows, F.concat(F.array(_said("user_input", F.col("request"))), middle, F.array(_said("agent_response", F.lit(f"Done with {purpose}.")))))
+    return out.withColumns({"session_id": F.lit(name.lower().replace(" ", "-")), "version": F.lit("synthetic-v1")})

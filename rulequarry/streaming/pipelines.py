@@ -1,13 +1,43 @@
-"""Structured Streaming forms: checks, windowed pass rates, fingerprint counts, drift state, alert sinks."""
+"""Structured Streaming forms: ingest, checks, checks by rules that change, windowed pass rates, fingerprint counts, drift state, alert sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rulequarry.operators import checks, features
 from rulequarry.operators.drift import EVENT, STATE, Detector
+from rulequarry.schema import TRACE
+
+
+def ingest(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """The traces of JSON-lines files as they come to a folder, at most `files` of them in a micro-batch; a line that is no trace is in _corrupt_record."""
+    return spark.readStream.schema(TRACE + ", _corrupt_record string").option("maxFilesPerTrigger", files).json(folder)
+
+
+def check_live(traces: DataFrame, load_rules, write, checkpoint: str, max_age: float = 30.0, **options):
+    """Starts a query that checks each micro-batch by the rules of load_rules(), read again once they are max_age seconds old.
+
+    write(results, number) gets the rows of check_stream() of a batch and must accept a batch again after a restart.
+    Lines that were no traces have no results.
+    """
+    held = {}
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not held or time.monotonic() - held["at"] >= max_age:
+            held.update(rules=load_rules(), at=time.monotonic())
+        rows = batch.filter("trace_id IS NOT NULL")
+        write(check_stream(rows, held["rules"]), number)
+
+    return traces.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**options).start()
+
+
+def outcome_counts(results: DataFrame) -> DataFrame:
+    """By rule: checks (those that didn't apply included), failures and warnings."""
+    return results.groupBy("rule_id").agg(F.count("*").alias("checked"), F.count_if(F.col("outcome") == "fail").alias("failures"), F.count_if(F.col("outcome") == "warn").alias("warnings"))
 
 
 def check_stream(traces: DataFrame, rules: DataFrame) -> DataFrame:

@@ -187,7 +187,107 @@ def test_generators_and_certificates(spark):
     assert min(sizes) == 2 and max(sizes) == 5
     signed = certificates.sign({"rule": "r", "checked": 3}, b"key")
     assert certificates.verify(signed, b"key") and not certificates.verify(signed | {"checked": 4}, b"key")
-    assert certificates.review_threshold([k / 100 for k in range(100)], 0.2) == pytest.approx(0.8, abs=0.02)
+
+
+def test_review_band_is_plain_bisection(spark):
+    from rulequarry.operators import certificates
+
+    def plain(scores, least, most):
+        low, high = 0.6, 0.99
+        for _ in range(20):
+            mid = (low + high) / 2
+            n = sum(0.6 <= s < mid for s in scores)
+            if n < least:
+                low = mid
+            elif n > most:
+                high = mid
+            else:
+                break
+        return mid
+
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "score double")
+    for scores, least, most in [([k / 100 for k in range(100)], 5, 7), ([0.7] * 50, 5, 7), ([0.1], 1, 2), ([0.6001] * 3 + [0.9], 4, 4)]:
+        assert certificates.review_band(frame(scores + [None]), least, most) == plain(scores, least, most)
+    assert certificates.review_band(frame([]), 1, 2) == 0.8
+
+
+def test_packs(spark, tmp_path):
+    from rulequarry.operators import packs
+
+    good = {"type": "ordering", "description": "a then b", "params": {"tool_a": "a", "tool_b": "b"}}
+    rules = [good, good | {"params": {"tool_a": "a"}}, {"type": "negative", "params": {"forbidden_patterns": ["x"]}}, {"type": "state", "description": "s", "formal_rule": "f", "severity": "low", "params": {"terminator_tool": "t", "forbidden_after": ["u"]}}]
+    (tmp_path / "one.json").write_text(json.dumps({"pack_id": "one", "invariants": rules}))
+    (tmp_path / "two.json").write_text("not a pack")
+    found = packs.read_packs(spark, str(tmp_path))
+    assert [(r.pack_id, r.title, r.version, r.n_rules, r.types) for r in packs.pack_catalog(found).collect()] == [("one", "One", "0.1.0", 2, "ordering,state")]
+    rows = {r.type: r for r in packs.install(found).collect()}
+    assert rows["ordering"].formal_rule == "pack(one).ordering" and rows["ordering"].severity == "medium" and rows["state"].formal_rule == "f" and rows["state"].severity == "low"
+    assert {(r.confidence, r.support, r.clarity, r.status) for r in rows.values()} == {(0.65, 0.7, 0.85, "pending")}
+    assert sorted(r.rule_id for r in packs.install(found).collect()) == sorted(r.rule_id for r in rows.values())
+
+
+def test_settings(spark):
+    from rulequarry import config
+
+    assert config.settings(spark).mining_min_support == 0.6
+    spark.conf.set("spark.rulequarry.mining_batch_size", "5")
+    with pytest.raises(ValueError):
+        config.settings(spark)
+    spark.conf.set("spark.rulequarry.mining_batch_size", "80")
+    assert config.settings(spark).mining_batch_size == 80
+    spark.conf.unset("spark.rulequarry.mining_batch_size")
+
+
+def test_signature_is_of_sorted_json(spark):
+    import hashlib
+
+    from rulequarry.operators import verify
+
+    params = [{"tool_b": "b", "tool_a": 'a"x'}, {"metric": "latency_ms", "tool": "t", "threshold": 2500.0}, {"forbidden_patterns": ["x", "y"]}, {}]
+    rows = [{"rule_id": str(k), "type": "ordering", "description": "", "severity": "high", "params": p} for k, p in enumerate(params)]
+    got = {r.rule_id: r.s for r in spark.createDataFrame(rows, RULE).select("rule_id", verify.signature().alias("s")).collect()}
+    for k, p in enumerate(params):
+        assert got[str(k)] == hashlib.sha256(json.dumps({"type": "ordering", "params": p}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def test_live_checks_read_rules_again(spark, tmp_path):
+    def put(k):
+        line = {"trace_id": f"t{k}", "session_id": "s", "version": "v1", "started_at": "2024-01-01T00:00:00", "steps": [tool("b")]}
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(line) + "\nno trace\n")
+
+    def rules(first):
+        return spark.createDataFrame([{"rule_id": first, "type": "ordering", "description": "", "severity": "high", "params": {"tool_a": first, "tool_b": "b"}}], RULE)
+
+    loads, seen = iter(["a", "c"]), []
+
+    def write(results, number):
+        seen.extend((r.trace_id, r.rule_id, r.outcome) for r in results.collect())
+        counts = pipelines.outcome_counts(results).first()
+        assert (counts.checked, counts.failures, counts.warnings) == (1, 1, 0)
+
+    put(1)
+    put(2)
+    live = pipelines.ingest(spark, str(tmp_path / "in"), 1)
+    pipelines.check_live(live, lambda: rules(next(loads)), write, str(tmp_path / "state"), 0, availableNow=True).awaitTermination()
+    assert sorted(r[1:] for r in seen) == [("a", "fail"), ("c", "fail")] and {r[0] for r in seen} == {"t1", "t2"}
+    put(3)
+    pipelines.check_live(live, lambda: rules("d"), write, str(tmp_path / "state"), 30, availableNow=True).awaitTermination()
+    assert seen[2:] == [("t3", "d", "fail")]
+
+
+def test_agents_from_a_description_and_stored_models(spark, tmp_path):
+    from rulequarry.operators import clustering
+    from rulequarry.sources.generate import from_spec
+
+    rows = from_spec(spark, 200, "Desk Agent", "tickets", ["open", "close", "assign"], ["help", "fix it"], ["eu", "us"], (3, 8))
+    got = rows.collect()
+    sizes = {len(r.steps) for r in got}
+    assert min(sizes) == 3 and max(sizes) == 5 and {r.segment for r in got} == {"eu", "us"} and {r.session_id for r in got} == {"desk-agent"}
+    assert all(30 <= s.latency_ms <= 800 for r in got for s in r.steps[1:-1]) and all(r.steps[-1].content == "Done with tickets." for r in got)
+    model = clustering.fit_vectors(rows)
+    clustering.save_model(spark, model, str(tmp_path / "model"))
+    assert clustering.load_model(spark, str(tmp_path / "model")) == {"idf": model["idf"], "scale": {k: tuple(v) for k, v in model["scale"].items()}}
 
 
 def test_verification_tokens_are_of_whole_texts(spark):
