@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +76,12 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
     back = spark.table(table)
     back._scratch_path, back._scratch_table = path, table
     return back
+
+
+def opened(spark: SparkSession, table: str, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A table that bucketed() wrote, entered in this session's catalogue if it isn't there; schema: as simpleString() gives it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(schema[len("struct<") : -1]))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    back = spark.table(table)
+    back._scratch_path, back._scratch_table = path, table
+    return back

@@ -3,24 +3,28 @@
 A window is 13 consecutive words. Its fingerprint is the least hash of the nine 5-word runs in it,
 so equal windows have equal fingerprints, and neighbours mostly share one: about a fifth as many
 fingerprints as words are kept. The index is a list of immutable runs, tables hashed and sorted on
-the fingerprint, each with the least document that has it. A batch of documents is merge-joined with
-every run; what it adds becomes a new run, and when there are more than MAX_RUNS of them they are compacted into one
-by a merge join. Neither rewrites old text, and a batch costs its own size plus one pass of the runs.
+the fingerprint, each with the document that has it and whether several do. A batch of documents is merge-joined
+with every run, what it shares is verified, and only then does it become a new run; when there are more than MAX_RUNS
+of them they are compacted into one by a merge join. A batch costs its own size, one pass of the runs, and the texts of
+those earlier documents that share something with it.
 
 A fingerprint that several documents have only says that windows may be equal, so those are verified,
-in 128 bits of their words. First come whole stretches of windows of one fingerprint: one that a
-smaller document has too is removed. The distinct stretches of a fingerprint that has several are then
-compared window by window, each against the least document that has the window. Both take the
-least on the map side, so a passage that very many documents have is no large group. Fingerprints that
-nothing shares, which are most, never reach these steps.
-
-Null or empty text has no words. Rows of one doc_id never remove each other's windows; a null
-doc_id counts as larger than all others, and its rows as one document.
+in 128 bits of their words, batch by batch. First come whole stretches of windows of one fingerprint: one that an
+earlier document has too is removed. Verified stretches stay in the index with the place of their words, and a document
+that was alone with a fingerprint until now is read again for its own. The distinct stretches of a fingerprint that has
+several, and of which the batch brings a new one, are then compared window by window, each against the least document
+that has the window. Both take the least on the map side, so a passage that very many documents have is no large group.
+Fingerprints that nothing shares, which are most, never reach these steps.
+
+Null or empty text has no words. Rows of one doc_id in a batch never remove each other's windows; a null
+doc_id counts as larger than all others, and its rows in a batch as one document. Documents of earlier batches
+count as smaller than all of a later one, whatever their ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import reduce
 
 import numpy as np
@@ -28,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm._scratch import bucketed, drop, release, written
+from rulequarry.llm._scratch import bucketed, drop, opened, release, written
 from rulequarry.llm._text import OTHER, STEP, Words, buffers, grams, mix, powers, slices, sliding_min
 
 WINDOW, GRAM = 13, 5
 BATCHES, MAX_RUNS = 4, 2
 LAST = (1 << 63) - 1  # stands for a null doc_id
+EARLIER = -(1 << 63)  # stands for any document of an earlier batch
 
 
 class Windows:
@@ -77,40 +82,122 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs of (print, doc_id): the least document of each fingerprint seen so far."""
+    """Texts by batch, sorted runs of (print, doc_id, part, several) and verified stretches of words by print.
+
+    part is the number of the batch; doc_id and part of a print that is not shared by several documents say where its text is.
+    """
 
     def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
         self.spark, self.max_runs = spark, max_runs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.texts: list[DataFrame] = []
         self.runs: list[DataFrame] = []
-
-    def add(self, prints: DataFrame) -> DataFrame:
-        """Join a batch (doc_id, print) with all runs and append it; returns (print), those that several documents have by now."""
-        batch = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"))
-        for k, run in enumerate(self.runs):
-            batch = batch.join(run.select("print", F.col("doc_id").alias(f"old{k}")), "print", "left")
-        old = [F.col(f"old{k}") for k in range(len(self.runs))]
-        several = (F.col("doc_id") < F.col("high")) | F.coalesce(*old, F.lit(None)).isNotNull() if old else F.col("doc_id") < F.col("high")
-        run = bucketed(batch.select("print", F.least("doc_id", *old).alias("doc_id") if old else F.col("doc_id"), several.alias("several")), "print", "run", self.buckets)
+        self.stretches: list[DataFrame] = []
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """A batch (doc_id, text) -> (doc_id, text, starts): its rows with the windows to remove; afterwards the batch is in the index."""
+        part = len(self.texts)
+        numbered = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), "text").withColumn("rid", F.monotonically_increasing_id())
+        table = bucketed(numbered, "rid", "docs", self.buckets)
+        self.texts.append(table)
+        prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
+        run, shared = self._join(prints, part)
+        # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
+        wanted = written(prints.join(shared.select("print"), "print").groupBy("rid").agg(F.collect_set("print").alias("prints")), "wanted")
+        drop(prints)
+        found = written(_stretches(table.join(wanted, "rid").select("rid", F.col("order_id").alias("doc_id"), "text", "prints")), "stretches")
+        drop(wanted)
+        gone = self._verify(found, shared, part)
         self.runs.append(run)
-        shared = written(run.filter("several").select("print"), "shared")
+        drop(shared)
+        drop(found)
+        release(self.spark)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return shared
+        return table.join(gone, "rid", "left").select("doc_id", "text", "starts")
 
-    def compact(self) -> None:
-        merged = self.runs[0].select("print", "doc_id")
-        for k, run in enumerate(self.runs[1:]):
-            other = run.select("print", F.col("doc_id").alias("other"))
-            merged = merged.join(other, "print", "full").select("print", F.least("doc_id", "other").alias("doc_id"))
-        whole = bucketed(merged, "print", "run", self.buckets)
-        self.drop()
-        self.runs = [whole]
+    def _join(self, prints: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+        """The batch's own run, and (print, part, doc_id) of what several documents have by now: part and doc_id of the one earlier document whose text wasn't verified yet."""
+        batch = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"))
+        for k, run in enumerate(self.runs):
+            batch = batch.join(run.select("print", F.struct("doc_id", "part", "several").alias(f"old{k}")), "print", "left")
+        olds = [F.col(f"old{k}") for k in range(len(self.runs))]
+        old = F.coalesce(*olds) if olds else F.lit(None).cast("struct<doc_id: long, part: int, several: boolean>")
+        before = reduce(lambda a, b: a | b, [F.coalesce(o["several"], F.lit(False)) for o in olds], F.lit(False))
+        batch = batch.select("print", "doc_id", F.lit(part).alias("part"), ((F.col("doc_id") < F.col("high")) | old.isNotNull()).alias("several"), F.when(~before, old).alias("alone"))
+        run = bucketed(batch, "print", "run", self.buckets)
+        shared = written(run.filter("several").select("print", "alone.part", "alone.doc_id"), "shared")
+        return run, shared
+
+    def _verify(self, found: DataFrame, shared: DataFrame, part: int) -> DataFrame:
+        """Stretches of a batch -> (rid, starts); stretches that no batch had before go into the index."""
+        past = [x.join(shared.select("print"), "print", "left_semi").select("print", "x", "y", "part", "rid", "word", "n") for x in self.stretches]
+        again = []
+        for k, table in enumerate(self.texts[:part]):
+            alone = shared.filter(F.col("part") == k).select("doc_id", "print")
+            rows = alone.join(table.select("rid", F.col("order_id").alias("doc_id")), "doc_id").groupBy("rid").agg(F.collect_set("print").alias("prints"))
+            read = written(_stretches(table.join(rows, "rid").select("rid", F.lit(EARLIER).alias("doc_id"), "text", "prints")), "again")
+            again.append(read)
+            past.append(read.select("print", "x", "y", F.lit(k).alias("part"), "rid", "word", "n"))
+        # fresh: 0 where an earlier batch has the stretch
+        own = found.select("print", "x", "y", F.lit(1).alias("fresh"), "doc_id", F.lit(part).alias("part"), "rid", "word", "n")
+        every = reduce(DataFrame.unionByName, [own, *[x.withColumns({"fresh": F.lit(0), "doc_id": F.lit(EARLIER)}) for x in past]])
+        first = F.min(F.struct("fresh", "doc_id", "part", "rid", "word", "n")).alias("first")
+        distinct = written(every.groupBy("print", "x", "y").agg(first).select("print", "x", "y", "first.*"), "distinct")
+        mixed = distinct.groupBy("print").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 AND fresh = 1").select("print")
+        runs = distinct.join(mixed, "print").groupBy("part", "rid").agg(F.collect_list(F.struct("doc_id", "word", "n", "x", "y")).alias("runs"))
+        runs = written(runs, "runs")
+        parts = [_windows_of(table.join(runs.filter(F.col("part") == k).select("rid", "runs"), "rid")) for k, table in enumerate(self.texts)]
+        windows = written(reduce(DataFrame.unionByName, parts), "windows")
+        least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
+        least = written(least, "least")
+        some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
+        known = written(distinct.select("x", "y", "fresh", F.col("doc_id").alias("least")).join(some, ["x", "y"], "left"), "known")
+        drop(windows)
+        # a run that an earlier document has goes whole; in the least document that has it, those of its windows that an earlier one has elsewhere
+        gone = found.join(known, ["x", "y"]).filter("fresh = 0 OR doc_id > least OR some IS NOT NULL")
+        partly = F.when((F.col("fresh") == 1) & (F.col("doc_id") == F.col("least")), F.col("some")).alias("some")
+        gone = written(gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", partly)).alias("starts")), "gone")
+        new = reduce(DataFrame.unionByName, [distinct.filter("fresh = 1").select("print", "x", "y", "part", "rid", "word", "n"), *past[len(self.stretches) :]])
+        new = new.groupBy("print", "x", "y").agg(F.min(F.struct("part", "rid", "word", "n")).alias("at")).select("print", "x", "y", "at.*")
+        self.stretches.append(bucketed(new, "print", "verified", self.buckets))
+        for scratch in (distinct, runs, least, known, *again):
+            drop(scratch)
+        return gone
 
-    def drop(self) -> None:
-        for run in self.runs:
-            drop(run)
-        self.runs = []
+    def compact(self) -> None:
+        """One run and one table of stretches instead of all, by merge joins; of a print's rows the earliest says where it is."""
+        at = lambda c: F.struct("part", "doc_id", "several").alias(c)
+        merged = self.runs[0].select("print", at("a"))
+        for run in self.runs[1:]:
+            merged = merged.join(run.select("print", at("b")), "print", "full")
+            several = F.coalesce("a.several", F.lit(False)) | F.coalesce("b.several", F.lit(False))
+            merged = merged.select("print", F.struct(F.coalesce("a.part", "b.part").alias("part"), F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), several.alias("several")).alias("a"))
+        run = bucketed(merged.select("print", "a.*"), "print", "run", self.buckets)
+        stretches = bucketed(reduce(DataFrame.unionByName, self.stretches), "print", "verified", self.buckets)
+        for old in (*self.runs, *self.stretches):
+            drop(old)
+        self.runs, self.stretches = [run], [stretches]
+
+    def save(self, path: str) -> None:
+        """Note in a new folder which tables make up the index; they stay where they are."""
+        listed = {kind: [(x._scratch_table, x._scratch_path, x.schema.simpleString()) for x in getattr(self, kind)] for kind in ("texts", "runs", "stretches")}
+        self.spark.createDataFrame([(json.dumps(listed | {"max_runs": self.max_runs, "buckets": self.buckets}),)], "value string").coalesce(1).write.text(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that was noted in a folder, also in another session."""
+        listed = json.loads(spark.read.text(path).first().value)
+        index = cls(spark, listed["max_runs"])
+        index.buckets = listed["buckets"]
+        for kind, key in (("texts", "rid"), ("runs", "print"), ("stretches", "print")):
+            setattr(index, kind, [opened(spark, *x, key, index.buckets) for x in listed[kind]])
+        return index
+
+    def drop(self, texts: bool = True) -> None:
+        for table in (*self.runs, *self.stretches, *(self.texts if texts else ())):
+            drop(table)
+        self.runs, self.stretches = [], []
 
 
 def _stretches(rows: DataFrame) -> DataFrame:
@@ -204,52 +291,25 @@ def _kept(rows: DataFrame, texts: bool) -> DataFrame:
     return rows.select("doc_id", "text", "starts").mapInArrow(judge, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = True) -> DataFrame:
+def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, if texts, kept_text.
 
     The documents come to the index in `batches` batches by rising doc_id; the result is the same for any number.
+    A given index has earlier documents already and keeps these too; without one, an index is made and dropped.
     """
-    spark = docs.sparkSession
-    numbered = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-    table = bucketed(numbered, "rid", "docs")
-    cuts = table.agg(F.percentile_approx("order_id", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000).alias("q")).first().q if batches > 1 else []
+    own = index is None
+    index = index or FingerprintIndex(docs.sparkSession)
+    order = F.coalesce("doc_id", F.lit(LAST))
+    cuts = docs.agg(F.percentile_approx(order, F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000).alias("q")).first().q if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
-    index, several = FingerprintIndex(spark), []
+    out = []
     for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = prints
+        batch = docs.select("doc_id", "text")
         if low is not None:
-            batch = batch.filter(F.col("doc_id") > low)
+            batch = batch.filter(order > low)
         if high is not None:
-            batch = batch.filter(F.col("doc_id") <= high)
-        several.append(index.add(batch))
-    index.drop()
-    release(spark)
-    # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
-    shared = written(reduce(DataFrame.unionByName, several).distinct(), "hits")
-    for scratch in several:
-        drop(scratch)
-    wanted = prints.join(shared, "print").groupBy("rid").agg(F.collect_set("print").alias("prints"))
-    wanted = written(wanted, "wanted")
-    drop(prints)
-    rows = table.join(wanted, "rid").select("rid", F.col("order_id").alias("doc_id"), "text", "prints")
-    found = written(_stretches(rows), "stretches")
-    drop(wanted)
-    distinct = written(found.groupBy("print", "x", "y").agg(F.min(F.struct("doc_id", "rid", "word", "n")).alias("first")), "distinct")
-    mixed = distinct.groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
-    runs = distinct.join(mixed, "print").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "x", "y")).alias("runs"))
-    runs_table = written(runs, "runs")
-    windows = written(_windows_of(table.join(runs_table, "rid")), "windows")
-    least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
-    least = written(least, "least")
-    some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
-    known = written(distinct.select("x", "y", F.col("first.doc_id").alias("least")).join(some, ["x", "y"], "left"), "known")
-    drop(windows)
-    drop(distinct)
-    # a run that a smaller document has goes whole; in the least document that has it, those of its windows that a smaller one has elsewhere
-    gone = found.join(known, ["x", "y"]).filter("doc_id > least OR some IS NOT NULL")
-    gone = gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", F.when(F.col("doc_id") == F.col("least"), F.col("some")).alias("some"))).alias("starts"))
-    gone = written(gone, "gone")
-    for scratch in (found, known, least, runs_table, shared):
-        drop(scratch)
-    return _kept(table.join(gone, "rid", "left"), texts)
+            batch = batch.filter(order <= high)
+        out.append(_kept(index.add(batch), texts))
+    if own:
+        index.drop(texts=False)  # the result reads the texts
+    return reduce(DataFrame.unionByName, out)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rulequarry.llm import fingerprint_index, jaccard_join, suffix_dedup
 from rulequarry.llm._graph import components
@@ -146,6 +147,26 @@ def test_incremental_dedup(spark, docs, batches):
     assert got == want
 
 
+def test_index_is_kept_between_calls(spark, docs, tmp_path):
+    """Two calls, the second with an index opened anew, give what one gives; earlier documents win whatever their ids."""
+    cut = sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)[docs.count() // 2]
+    parts = [docs.filter(F.col("doc_id") <= cut), docs.filter((F.col("doc_id") > cut) | F.col("doc_id").isNull())]
+    index = fingerprint_index.FingerprintIndex(spark)
+    got = Counter(tuple(r)[:4] for r in fingerprint_index.incremental_dedup(parts[0], 2, index=index).collect())
+    index.save(str(tmp_path / "index"))
+    for table in (*index.texts, *index.runs, *index.stretches):  # as in a session whose catalogue doesn't know them
+        spark.sql(f"DROP TABLE {table._scratch_table}")
+    index = fingerprint_index.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    got += Counter(tuple(r)[:4] for r in fingerprint_index.incremental_dedup(parts[1], 2, index=index).collect())
+    assert got == Counter(tuple(r)[:4] for r in fingerprint_index.incremental_dedup(docs, 1).collect())
+    words = [f"w{k}" for k in range(30)]
+    early = spark.createDataFrame([(9, " ".join(words))], "doc_id long, text string")
+    late = spark.createDataFrame([(1, " ".join(words[5:25])), (2, " ".join(["x", *words[:14], "y"]))], "doc_id long, text string")
+    index = fingerprint_index.FingerprintIndex(spark)
+    assert [r.n_removed for r in fingerprint_index.incremental_dedup(early, 1, index=index).collect()] == [0]
+    assert {r.doc_id: r.n_removed for r in fingerprint_index.incremental_dedup(late, 1, index=index).collect()} == {1: 20, 2: 14}
+
+
 def plain_components(rows):
     sets = []
     for doc_id, text in rows:
