@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -57,16 +58,34 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+def plain(df: DataFrame) -> DataFrame:
+    """The rows of a bucketed table without its buckets, so that a join on a common key has an exchange to split."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._scratch_path)
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """What is planned meanwhile takes tables of bucketed(), which have one file a bucket, as sorted, and doesn't sort them again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def bucketed(df: DataFrame, key: str | list[str], name: str, buckets: int | None = None) -> DataFrame:
     """The same rows as a table hashed on `key` and sorted in each bucket: later joins on it need no exchange of this side."""
     spark = df.sparkSession
+    key = [key] if isinstance(key, str) else key
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path_for(spark, name)
     table = f"{name}_{uuid.uuid4().hex}"
     (
-        df.repartition(n, key)
-        .write.bucketBy(n, key)
-        .sortBy(key)
+        df.repartition(n, *key)
+        .write.bucketBy(n, *key)
+        .sortBy(*key)
         .option("path", path)
         .option("compression", "zstd")
         .format("parquet")
@@ -78,10 +97,10 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
     return back
 
 
-def opened(spark: SparkSession, table: str, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+def opened(spark: SparkSession, table: str, path: str, schema: str, key: list[str], buckets: int) -> DataFrame:
     """A table that bucketed() wrote, entered in this session's catalogue if it isn't there; schema: as simpleString() gives it."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(schema[len("struct<") : -1]))
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(key)}) SORTED BY ({', '.join(key)}) INTO {buckets} BUCKETS LOCATION '{path}'")
     back = spark.table(table)
     back._scratch_path, back._scratch_table = path, table
     return back

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm._scratch import bucketed, drop, opened, release, written
+from rulequarry.llm._scratch import bucketed, drop, opened, plain, release, sorted_buckets, written
 from rulequarry.llm._text import OTHER, STEP, Words, buffers, grams, mix, powers, slices, sliding_min
 
 WINDOW, GRAM = 13, 5
@@ -82,46 +82,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Texts by batch, sorted runs of (print, doc_id, part, several) and verified stretches of words by print.
+    """Texts by batch, and tables that each batch adds one of, hashed and sorted on their keys:
 
-    part is the number of the batch; doc_id and part of a print that is not shared by several documents say where its text is.
+    runs (print, doc_id, part, several): of a print that several documents don't share, the batch and document that has it;
+    stretches (x, y): stretches verified so far; windows (u, v): windows of those whose fingerprint has several stretches;
+    states (print, mixed, x, y, part, rid, word, n): whether a fingerprint has several stretches, else where its one is.
     """
 
+    KEYS = {"texts": ["rid"], "runs": ["print"], "stretches": ["x", "y"], "states": ["print"], "windows": ["u", "v"]}
+
     def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
         self.spark, self.max_runs = spark, max_runs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.texts: list[DataFrame] = []
-        self.runs: list[DataFrame] = []
-        self.stretches: list[DataFrame] = []
+        for kind in self.KEYS:
+            setattr(self, kind, [])
 
     def add(self, docs: DataFrame) -> DataFrame:
         """A batch (doc_id, text) -> (doc_id, text, starts): its rows with the windows to remove; afterwards the batch is in the index."""
         part = len(self.texts)
         numbered = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-        table = bucketed(numbered, "rid", "docs", self.buckets)
-        self.texts.append(table)
-        prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
-        run, shared = self._join(prints, part)
-        # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
-        wanted = written(prints.join(shared.select("print"), "print").groupBy("rid").agg(F.collect_set("print").alias("prints")), "wanted")
-        drop(prints)
-        found = written(_stretches(table.join(wanted, "rid").select("rid", F.col("order_id").alias("doc_id"), "text", "prints")), "stretches")
-        drop(wanted)
-        gone = self._verify(found, shared, part)
-        self.runs.append(run)
-        drop(shared)
-        drop(found)
-        release(self.spark)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        with sorted_buckets(self.spark):
+            table = bucketed(numbered, "rid", "docs", self.buckets)
+            self.texts.append(table)
+            prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
+            run, shared = self._join(prints, part)
+            # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
+            wanted = written(prints.join(shared.select("print"), "print").groupBy("rid").agg(F.collect_set("print").alias("prints")), "wanted")
+            drop(prints)
+            found = written(_stretches(table.join(wanted, "rid").select(F.lit(part).alias("part"), "rid", F.col("order_id").alias("doc_id"), "text", "prints")), "found")
+            drop(wanted)
+            again = self._again(shared, part)
+            drop(shared)
+            gone = self._verify(found, again)
+            drop(found)
+            self.runs.append(run)
+            release(self.spark)
+            if len(self.runs) > self.max_runs:
+                self.compact()
         return table.join(gone, "rid", "left").select("doc_id", "text", "starts")
 
     def _join(self, prints: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
         """The batch's own run, and (print, part, doc_id) of what several documents have by now: part and doc_id of the one earlier document whose text wasn't verified yet."""
         batch = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"))
-        for k, run in enumerate(self.runs):
-            batch = batch.join(run.select("print", F.struct("doc_id", "part", "several").alias(f"old{k}")), "print", "left")
-        olds = [F.col(f"old{k}") for k in range(len(self.runs))]
+        batch, olds = _looked_up(batch, self.runs, ["print"], ["doc_id", "part", "several"])
         old = F.coalesce(*olds) if olds else F.lit(None).cast("struct<doc_id: long, part: int, several: boolean>")
         before = reduce(lambda a, b: a | b, [F.coalesce(o["several"], F.lit(False)) for o in olds], F.lit(False))
         batch = batch.select("print", "doc_id", F.lit(part).alias("part"), ((F.col("doc_id") < F.col("high")) | old.isNotNull()).alias("several"), F.when(~before, old).alias("alone"))
@@ -129,59 +132,82 @@ class FingerprintIndex:
         shared = written(run.filter("several").select("print", "alone.part", "alone.doc_id"), "shared")
         return run, shared
 
-    def _verify(self, found: DataFrame, shared: DataFrame, part: int) -> DataFrame:
-        """Stretches of a batch -> (rid, starts); stretches that no batch had before go into the index."""
-        past = [x.join(shared.select("print"), "print", "left_semi").select("print", "x", "y", "part", "rid", "word", "n") for x in self.stretches]
-        again = []
-        for k, table in enumerate(self.texts[:part]):
-            alone = shared.filter(F.col("part") == k).select("doc_id", "print")
-            rows = alone.join(table.select("rid", F.col("order_id").alias("doc_id")), "doc_id").groupBy("rid").agg(F.collect_set("print").alias("prints"))
-            read = written(_stretches(table.join(rows, "rid").select("rid", F.lit(EARLIER).alias("doc_id"), "text", "prints")), "again")
-            again.append(read)
-            past.append(read.select("print", "x", "y", F.lit(k).alias("part"), "rid", "word", "n"))
-        # fresh: 0 where an earlier batch has the stretch
-        own = found.select("print", "x", "y", F.lit(1).alias("fresh"), "doc_id", F.lit(part).alias("part"), "rid", "word", "n")
-        every = reduce(DataFrame.unionByName, [own, *[x.withColumns({"fresh": F.lit(0), "doc_id": F.lit(EARLIER)}) for x in past]])
-        first = F.min(F.struct("fresh", "doc_id", "part", "rid", "word", "n")).alias("first")
-        distinct = written(every.groupBy("print", "x", "y").agg(first).select("print", "x", "y", "first.*"), "distinct")
-        mixed = distinct.groupBy("print").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 AND fresh = 1").select("print")
-        runs = distinct.join(mixed, "print").groupBy("part", "rid").agg(F.collect_list(F.struct("doc_id", "word", "n", "x", "y")).alias("runs"))
-        runs = written(runs, "runs")
+    def _again(self, shared: DataFrame, part: int) -> DataFrame | None:
+        """Stretches of the earlier documents that were alone with a fingerprint of the batch until now."""
+        if not part:
+            return None
+        rows = [t.select(F.lit(k).alias("part"), F.col("order_id").alias("doc_id"), "rid") for k, t in enumerate(self.texts[:part])]
+        rows = reduce(DataFrame.unionByName, rows).join(shared.filter("part IS NOT NULL"), ["part", "doc_id"])
+        rows = written(rows.groupBy("part", "rid").agg(F.collect_set("print").alias("prints")), "alone")
+        texts = [t.join(rows.filter(F.col("part") == k), "rid").select("part", "rid", F.lit(EARLIER).alias("doc_id"), "text", "prints") for k, t in enumerate(self.texts[:part])]
+        again = written(_stretches(reduce(DataFrame.unionByName, texts)), "again")
+        drop(rows)
+        return again
+
+    def _verify(self, found: DataFrame, again: DataFrame | None) -> DataFrame:
+        """Stretches of a batch, and of earlier documents that weren't verified yet -> (rid, starts); what is new goes into the index."""
+        every = found if again is None else found.unionByName(again)
+        place = ["part", "rid", "word", "n"]
+        # equal x, y have equal words, so print and n; the columns of a place come from one row, whichever
+        distinct = every.groupBy("x", "y").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", *place)])
+        distinct, olds = _looked_up(distinct, self.stretches, ["x", "y"], ["x"])
+        stretches = bucketed(distinct.select("x", "y", "least", "print", *place, _any(olds).alias("seen")), ["x", "y"], "stretches", self.buckets)
+        if again is not None:
+            drop(again)
+        distinct = plain(stretches)
+        fresh = distinct.filter("NOT seen")
+
+        one = ["x", "y", *place]
+        state = fresh.groupBy("print").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in one])
+        state, olds = _looked_up(state, self.states[::-1], ["print"], ["mixed", *one])
+        was = F.coalesce(*olds) if olds else F.lit(None).cast("struct<mixed: boolean, x: long, y: long, part: int, rid: long, word: long, n: long>")
+        states = bucketed(state.select("print", ((F.col("c") > 1) | was.isNotNull()).alias("mixed"), *one, F.when(~was["mixed"], was).alias("was")), "print", "states", self.buckets)
+        mixed = plain(states).filter("mixed")
+        chosen = fresh.join(mixed.select("print"), "print").select(F.col("least").alias("doc_id"), *one)
+        chosen = chosen.unionByName(mixed.filter("was IS NOT NULL").select(F.lit(EARLIER).alias("doc_id"), *[f"was.{c}" for c in one]))
+        runs = written(chosen.groupBy("part", "rid").agg(F.collect_list(F.struct("doc_id", "word", "n", "x", "y")).alias("runs")), "runs")
         parts = [_windows_of(table.join(runs.filter(F.col("part") == k).select("rid", "runs"), "rid")) for k, table in enumerate(self.texts)]
-        windows = written(reduce(DataFrame.unionByName, parts), "windows")
-        least = windows.groupBy("u", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("u", "v", "least")
-        least = written(least, "least")
-        some = windows.join(least, ["u", "v"]).filter("doc_id > least").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
-        known = written(distinct.select("x", "y", "fresh", F.col("doc_id").alias("least")).join(some, ["x", "y"], "left"), "known")
-        drop(windows)
-        # a run that an earlier document has goes whole; in the least document that has it, those of its windows that an earlier one has elsewhere
-        gone = found.join(known, ["x", "y"]).filter("fresh = 0 OR doc_id > least OR some IS NOT NULL")
-        partly = F.when((F.col("fresh") == 1) & (F.col("doc_id") == F.col("least")), F.col("some")).alias("some")
+        spread = written(reduce(DataFrame.unionByName, parts), "spread")
+        drop(runs)
+
+        least, olds = _looked_up(spread.groupBy("u", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), self.windows, ["u", "v"], ["u"])
+        several = F.when(_any(olds), F.lit(EARLIER)).when(F.col("low") < F.col("high"), F.col("low")).alias("low")
+        windows = bucketed(least.select("u", "v", several, _any(olds).alias("seen")), ["u", "v"], "windows", self.buckets)
+        some = spread.join(plain(windows).filter("low IS NOT NULL").select("u", "v", "low"), ["u", "v"]).filter("doc_id > low").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
+        known = written(distinct.select("x", "y", "seen", "least").join(some, ["x", "y"], "left"), "known")
+        drop(spread)
+        # a stretch that an earlier document has goes whole; in the least document that has it, those of its windows that an earlier one has elsewhere
+        gone = found.join(known, ["x", "y"]).filter("seen OR doc_id > least OR some IS NOT NULL")
+        partly = F.when(~F.col("seen") & (F.col("doc_id") == F.col("least")), F.col("some")).alias("some")
         gone = written(gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", partly)).alias("starts")), "gone")
-        new = reduce(DataFrame.unionByName, [distinct.filter("fresh = 1").select("print", "x", "y", "part", "rid", "word", "n"), *past[len(self.stretches) :]])
-        new = new.groupBy("print", "x", "y").agg(F.min(F.struct("part", "rid", "word", "n")).alias("at")).select("print", "x", "y", "at.*")
-        self.stretches.append(bucketed(new, "print", "verified", self.buckets))
-        for scratch in (distinct, runs, least, known, *again):
-            drop(scratch)
+        drop(known)
+        for kind, table in (("stretches", stretches), ("states", states), ("windows", windows)):
+            getattr(self, kind).append(table)
         return gone
 
     def compact(self) -> None:
-        """One run and one table of stretches instead of all, by merge joins; of a print's rows the earliest says where it is."""
+        """One table of each kind instead of all, by merge joins; of a print's rows in the runs the earliest says where it is."""
         at = lambda c: F.struct("part", "doc_id", "several").alias(c)
         merged = self.runs[0].select("print", at("a"))
         for run in self.runs[1:]:
             merged = merged.join(run.select("print", at("b")), "print", "full")
             several = F.coalesce("a.several", F.lit(False)) | F.coalesce("b.several", F.lit(False))
             merged = merged.select("print", F.struct(F.coalesce("a.part", "b.part").alias("part"), F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), several.alias("several")).alias("a"))
-        run = bucketed(merged.select("print", "a.*"), "print", "run", self.buckets)
-        stretches = bucketed(reduce(DataFrame.unionByName, self.stretches), "print", "verified", self.buckets)
-        for old in (*self.runs, *self.stretches):
-            drop(old)
-        self.runs, self.stretches = [run], [stretches]
+        new = {"runs": merged.select("print", "a.*")}
+        for kind in ("stretches", "windows"):
+            new[kind] = reduce(DataFrame.unionByName, [t.filter("NOT seen").select(*self.KEYS[kind], "seen") for t in getattr(self, kind)])
+        one = ["x", "y", "part", "rid", "word", "n"]
+        states = reduce(DataFrame.unionByName, [t.select("print", "mixed", *one) for t in self.states])
+        new["states"] = states.groupBy("print").agg(F.max("mixed").alias("mixed"), *[F.first(c).alias(c) for c in one])
+        for kind, rows in new.items():
+            table = bucketed(rows, self.KEYS[kind], kind, self.buckets)
+            for old in getattr(self, kind):
+                drop(old)
+            setattr(self, kind, [table])
 
     def save(self, path: str) -> None:
         """Note in a new folder which tables make up the index; they stay where they are."""
-        listed = {kind: [(x._scratch_table, x._scratch_path, x.schema.simpleString()) for x in getattr(self, kind)] for kind in ("texts", "runs", "stretches")}
+        listed = {kind: [(x._scratch_table, x._scratch_path, x.schema.simpleString()) for x in getattr(self, kind)] for kind in self.KEYS}
         self.spark.createDataFrame([(json.dumps(listed | {"max_runs": self.max_runs, "buckets": self.buckets}),)], "value string").coalesce(1).write.text(path)
 
     @classmethod
@@ -190,25 +216,38 @@ class FingerprintIndex:
         listed = json.loads(spark.read.text(path).first().value)
         index = cls(spark, listed["max_runs"])
         index.buckets = listed["buckets"]
-        for kind, key in (("texts", "rid"), ("runs", "print"), ("stretches", "print")):
+        for kind, key in cls.KEYS.items():
             setattr(index, kind, [opened(spark, *x, key, index.buckets) for x in listed[kind]])
         return index
 
     def drop(self, texts: bool = True) -> None:
-        for table in (*self.runs, *self.stretches, *(self.texts if texts else ())):
-            drop(table)
-        self.runs, self.stretches = [], []
+        for kind in self.KEYS:
+            if kind != "texts" or texts:
+                for table in getattr(self, kind):
+                    drop(table)
+                setattr(self, kind, [])
+
+
+def _looked_up(rows: DataFrame, tables: list[DataFrame], keys: list[str], columns: list[str]) -> tuple[DataFrame, list]:
+    """Rows merge-joined with tables of the index, and a column for each table: a struct of its columns, null where it hasn't the key."""
+    for k, table in enumerate(tables):
+        rows = rows.join(table.select(*keys, F.struct(*columns).alias(f"old{k}")), keys, "left")
+    return rows, [F.col(f"old{k}") for k in range(len(tables))]
+
+
+def _any(olds: list):
+    return reduce(lambda a, b: a | b, [o.isNotNull() for o in olds], F.lit(False))
 
 
 def _stretches(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, prints) -> (rid, doc_id, word, n, print, x, y): runs of n windows of one fingerprint among prints, from a word on; x, y: 128 bits of their words."""
-    names = ["rid", "doc_id", "word", "n", "print", "x", "y"]
+    """(part, rid, doc_id, text, prints) -> (part, rid, doc_id, word, n, print, x, y): runs of n windows of one fingerprint among prints, from a word on; x, y: 128 bits of their words."""
+    names = ["part", "rid", "doc_id", "word", "n", "print", "x", "y"]
 
     def judge(batches):
         for batch in batches:
-            raw, offsets = buffers(batch.column(2))
-            ids, docs_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wanted = batch.column(3)
+            raw, offsets = buffers(batch.column(3))
+            parts, ids, docs_ = (batch.column(c).to_numpy() for c in range(3))
+            wanted = batch.column(4)
             for first, last in slices(offsets):
                 w = Windows(raw, offsets, first, last)
                 if not len(w.at):
@@ -234,9 +273,9 @@ def _stretches(rows: DataFrame) -> DataFrame:
                 for hashes in (w.hashes, w.words.hashes(OTHER)):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])])
                     keys.append(mix((sums[at + words] - sums[at]) * down[at] + words.astype(np.uint64) * STEP[40]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[row + first], docs_[row + first], at - w.words.first[row], n, prints, *keys)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (parts[row + first], ids[row + first], docs_[row + first], at - w.words.first[row], n, prints, *keys)], names=names)
 
-    return rows.select("rid", "doc_id", "text", "prints").mapInArrow(judge, "rid long, doc_id long, word long, n long, print long, x long, y long")
+    return rows.select("part", "rid", "doc_id", "text", "prints").mapInArrow(judge, "part int, rid long, doc_id long, word long, n long, print long, x long, y long")
 
 
 def _windows_of(rows: DataFrame) -> DataFrame:
