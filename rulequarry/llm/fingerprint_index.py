@@ -11,9 +11,9 @@ those earlier documents that share something with it.
 A fingerprint that several documents have only says that windows may be equal, so those are verified,
 in 128 bits of their words, batch by batch. First come whole stretches of windows of one fingerprint: one that an
 earlier document has too is removed. Verified stretches stay in the index with the place of their words, and a document
-that was alone with a fingerprint until now is read again for its own. The distinct stretches of a fingerprint that has
-several, and of which the batch brings a new one, are then compared window by window, each against the least document
-that has the window. Both take the least on the map side, so a passage that very many documents have is no large group.
+that was alone with a fingerprint until now is read again for its own. New stretches of a fingerprint that has
+several are then compared window by window with each other and with the windows in the index, where they stay: a stretch
+is spread into windows once. Both take the least on the map side, so a passage that very many documents have is no large group.
 Fingerprints that nothing shares, which are most, never reach these steps.
 
 Null or empty text has no words. Rows of one doc_id in a batch never remove each other's windows; a null
