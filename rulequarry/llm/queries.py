@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm import conversation_repair, decontaminate, fingerprint_index, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, suffix_dedup, token_counts
+from rulequarry.llm import conversation_repair, decontaminate, fingerprint_index, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, suffix_dedup, token_counts, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(*conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
 
@@ -76,8 +80,8 @@ def mix_sources_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources, mix_sources_ids, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources, mix_sources_ids, op11_vector_codes, op13_conversation_repair)}
 
 
 def oracle_sql():
-    return {"mix_sources_ids": mixing.ORACLE}
+    return {"mix_sources_ids": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
