@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm import conversation_repair, decontaminate, fingerprint_index, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, suffix_dedup, token_counts, vector_codes
+from rulequarry.llm import attention_quality, conversation_repair, decontaminate, fingerprint_index, html_extract, jaccard_join, language_id, mixing, quality_rules, secret_scan, suffix_dedup, token_counts, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return attention_quality.quality_scores(docs, attention_quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(*conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
 
@@ -80,7 +85,7 @@ def mix_sources_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources, mix_sources_ids, op11_vector_codes, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_incremental_dedup, op6_jaccard_join, op7_html_extract, op8_language_id, op9_secret_scan, op10_mix_sources, mix_sources_ids, op11_vector_codes, op12_attention_quality, op13_conversation_repair)}
 
 
 def oracle_sql():
