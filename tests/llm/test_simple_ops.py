@@ -367,8 +367,60 @@ def test_extraction_without_article_tags_and_with_teasers(spark):
     assert html_extract.extract(rest) == (long * 2).strip()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 20])
+@pytest.mark.parametrize("around", ["<div>{}</div>", "{}", "<article>{}</article>", "<div><section>{}</section></div>"])
+def test_boilerplate_within_a_text_cuts_nothing(n, around):
+    blocks = [f"Paragraph {k} of the text, which is long enough for a sum of lines to surge." for k in range(7)]
+    marked = [f"<p>{b}</p>" for b in blocks]
+    for inner in ("<aside>{}</aside>", '<div class="ad-box">{}</div>', '<ul class="shareLinks">{}</ul>', '<form>{}</form>', '<div role="complementary">{}</div>'):
+        odd = inner.format("".join(f"<p>short {k}</p>" for k in range(n)))
+        page = "<body><nav><p>Home</p></nav>" + around.format("".join(marked[:4]) + odd + "".join(marked[4:])) + "<footer>f</footer></body>"
+        assert html_extract.extract(page) == "\n\n".join(blocks), inner
+
+
+def test_names_of_elements():
+    long = "This sentence is long enough to be the text of a page, and goes on for a while."
+    for kept in ("ad-hoc", "notice-of-motion", "commentary", "download", "relatedness study", "navigate"):
+        assert html_extract.extract(f'<div><p>{long}</p><p class="{kept}">{long} 2</p></div>') == f"{long}\n\n{long} 2", kept
+    for gone in ("ad", "site-ads", "postComments", "comment-body x", "cookie_notice", "page-footer2", "widget_recent_entries"):
+        assert html_extract.extract(f'<div><p>{long}</p><div class="{gone}"><p>{long} 2</p></div></div>') == long, gone
+    replies = "".join(f'<article class="reply" id=r{k}><p>{long} Said {k}.</p><article class="comment"><div><p>{long} And {k}.</p></div></article></article>' for k in range(5))
+    for page in ('<article><h1>Title</h1><p>{0}</p></article><div class="discussion">{1}</div>', '<article><h1>Title</h1><p>{0}</p><section>{1}</section></article>', '<div><h1>Title</h1><p>{0}</p></div><div class="discussion">{1}</div>'):
+        assert html_extract.extract(f"<body>{page.format(long, replies)}</body>") == f"Title\n\n{long}"
+
+
+def test_windows_by_brute_force():
+    """The stretch from surge to dive, by sums over plain lists."""
+    rng = random.Random(11)
+    for _ in range(500):
+        size = [rng.choice([0, 0, 0, 5, 30, 70, 200]) for _ in range(rng.randrange(1, 25))]
+        window, surge = rng.choice([1, 2, 3, 5]), rng.choice([1, 60, 100])
+        sums = [sum(size[k : k + window]) for k in range(len(size))]
+        level, best, k = min(surge, max(sums)), (0, 0, 0), 0
+        while level and k < len(size):
+            if sums[k] >= level:
+                start = k
+                while start and size[start - 1]:
+                    start -= 1
+                while k < len(size) and sums[k]:
+                    k += 1
+                if sum(size[start:k]) > best[0]:
+                    best = (sum(size[start:k]), start, k)
+            else:
+                k += 1
+        assert tuple(map(int, html_extract._stretch(np.array(size), window, surge))) == best[1:]
+
+
+def test_odd_pages_table(spark):
+    rows = [(1, "u", None, 5, "t"), (2, None, "", 5, "t"), (2, None, "", 5, "t"), (None, "v", "<p>one", 5, "t"), (4, "w", "<p>" + "word " * 200_000, 5, "t")]
+    schema = "page_id long, url string, html string, n_chars int, text string"
+    got = html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert Counter((r.page_id, r.url, r.n_chars) for r in got) == Counter([(1, "u", 0), (2, None, 0), (2, None, 0), (None, "v", 3), (4, "w", 999_999)])
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_broken_markup_is_read_in_linear_time():
-    for page in ("<p '" * 200_000, "<script " * 200_000, "<![CDATA[" * 200_000, "<!-- " * 200_000, '<a href="' * 200_000):
+    for page in ("<p '" * 200_000, "<script " * 200_000, "<![CDATA[" * 200_000, "<!-- " * 200_000, '<a href="' * 200_000, "<div></x></p></li>" * 100_000, "<div>" * 100_000 + "</x>" * 200_000):
         began = time.monotonic()
         html_extract.extract(page)
         assert time.monotonic() - began < 20
