@@ -9,12 +9,14 @@ or none. Coverage of 0.5 or more of an item's tokens makes a document contaminat
 
 Null or empty texts, and items without tokens, match nothing. Repeated rows are judged one by one, and so are
 repeated items; an item without id is matched under a null id. The result's `matches` replaces a column of that name.
-The seeds of the benchmark are shipped to the tasks while its text is at most MAX_SHIPPED bytes,
-which is checked; a larger benchmark is cut into parts of that size, each judged in a pass of its own.
+Tokens and seeds of the benchmark are made into arrays once and shipped to the tasks while its text is at most MAX_SHIPPED bytes,
+which is checked; a larger benchmark is cut into parts of that size, each judged in a pass of its own that leaves matches only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,29 +128,33 @@ def _tokens(text: str | None) -> np.ndarray:
 
 
 class Benchmark:
-    """Token hashes of the items, and the seeds that lead to them: runs of `least` tokens, or all of a shorter item."""
+    """Token hashes of the items end to end, and the seeds that lead to them: runs of `least` tokens, or all of a shorter item.
+
+    It is made once, of all items at a time, and holds arrays only, so a task that gets it by broadcast has it at once.
+    """
 
     def __init__(self, items: list[tuple[int | None, str]], least: int):
-        self.ids, self.tokens = [], []
-        seeds: dict[int, list[np.ndarray]] = {}
-        owners: dict[int, list[np.ndarray]] = {}
-        for item_id, text in items:
-            t = _tokens(text)
-            if not len(t):
-                continue
-            n = min(least, len(t))
-            s = np.unique(grams(t, n))
-            seeds.setdefault(n, []).append(s)
-            owners.setdefault(n, []).append(np.full(len(s), len(self.ids)))
-            self.ids.append(item_id)
-            self.tokens.append(t)
+        raw, offsets = buffers(pa.array([text for _, text in items], pa.large_string()))
+        words = Words(raw, offsets, 0, len(items))
+        strip_edges(words)
+        full = np.flatnonzero(np.diff(words.first))
+        self.ids = [items[k][0] for k in full.tolist()]
+        self.tokens, self.first = words.hashes(FOLD), np.append(words.first[full], len(words))
+        sizes = np.diff(self.first)
         self.index = {}
-        for n in seeds:
-            s, o = np.concatenate(seeds[n]), np.concatenate(owners[n])
-            order = np.argsort(s, kind="stable")
+        for n in sorted({min(least, k) for k in np.unique(np.minimum(sizes, least)).tolist()}):
+            sums, owner = grams(self.tokens, n), np.repeat(np.arange(len(full)), sizes)
+            starts = np.flatnonzero((np.arange(len(owner)) + n <= np.repeat(self.first[1:], sizes)) & (np.minimum(sizes, least)[owner] == n))
+            s, o = sums[starts], owner[starts]
+            order = np.lexsort((o, s))
+            s, o = s[order], o[order]
+            new = np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])]
             sieve = np.zeros(1 << 20, bool)
             sieve[(s & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.index[n] = s[order], o[order], sieve
+            self.index[n] = s[new], o[new], sieve
+
+    def item(self, k: int) -> np.ndarray:
+        return self.tokens[self.first[k] : self.first[k + 1]]
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) pairs that share a seed."""
@@ -174,26 +180,36 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = SEED_LENGTH) ->
     items = benchmark.select("item_id", "text").filter(F.octet_length("text") > 0)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // MAX_SHIPPED))
-    out = docs
-    matches = "array<struct<item_id: bigint, covered: bigint, length: bigint, tiles: array<struct<doc_start: bigint, item_start: bigint, length: bigint>>>>"
-    names = []
-    for part in range(parts):
+
+    def shipped(part: int):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        shipped = spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)))
-        out = _judged(out, shipped, least, f"__m{part}", matches)
-        names.append(f"__m{part}")
-        if part < parts - 1:  # written, so that no two parts are held at once
-            out = written(out, "matches")
-            shipped.unpersist()
-    return out.withColumn("matches", F.concat(*names)).drop(*names)
+        return spark.sparkContext.broadcast(Benchmark(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)), least))
+
+    if parts == 1:
+        return _judged(docs, shipped(0), least)
+    # the documents are written once, with a number; a part's pass leaves only the rows that match it
+    columns = [c for c in docs.columns if c != "matches"]
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "numbered")
+    found = []
+    for part in range(parts):
+        known = shipped(part)
+        found.append(written(_judged(numbered.select("__row", "text"), known, least).filter(F.size("matches") > 0).select("__row", "matches"), "matches"))
+        known.unpersist()
+    every = reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    none = F.array().cast(every.schema["matches"].dataType)
+    return numbered.join(every, "__row", "left").select(*columns, F.coalesce("matches", none).alias("matches"))
+
+
+MATCHES = "array<struct<item_id: bigint, covered: bigint, length: bigint, tiles: array<struct<doc_start: bigint, item_start: bigint, length: bigint>>>>"
 
 
-def _judged(docs: DataFrame, shipped, least: int, name: str, kind: str) -> DataFrame:
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+def _judged(docs: DataFrame, shipped, least: int) -> DataFrame:
+    docs = docs.drop("matches")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"matches {MATCHES}").fields])
     at = docs.columns.index("text")
 
     def judge(batches):
-        known = Benchmark(shipped.value, least)
+        known = shipped.value
         arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int64()), ("length", pa.int64()), ("tiles", pa.list_(pa.struct([("doc_start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())])))]))
         for batch in batches:
             raw, offsets = buffers(batch.column(at))
@@ -204,11 +220,11 @@ def _judged(docs: DataFrame, shipped, least: int, name: str, kind: str) -> DataF
                 hashes = words.hashes(FOLD)
                 for row, k in known.candidates(hashes, words.first):
                     doc = hashes[words.first[row] : words.first[row + 1]]
-                    item = known.tokens[k]
+                    item = known.item(k)
                     found = tiles(doc, item, least)
                     if found:
                         out[first + row].append({"item_id": known.ids[k], "covered": sum(t[2] for t in found), "length": len(item), "tiles": [dict(zip(("doc_start", "item_start", "length"), t)) for t in found]})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, "matches"])
 
     return docs.mapInArrow(judge, schema)
 
