@@ -7,6 +7,9 @@ the MD5 of a seed, its id and its text, and the inverse Poisson distribution tur
 so the result is the same for any partitioning, and a source of any size needs no state but its rate.
 The copies are then put in a global random order by a hash, as ranges over all tasks.
 
+The rates are looked up by broadcast while there are at most MAX_SOURCES sources (7 kB each at most), which is counted; with more, documents are
+dealt by source and a salt, so a hot source is no single task.
+
 Null source is a source of its own; null or empty text has no characters but is repeated at its
 source's rate; a source without characters has rate 0. Rows repeated in full draw the same count.
 """
@@ -16,9 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.llm._scratch import written
+
 SEED = 17
 #: The largest rate of one draw; exp(-rate) must not vanish.
 MOST = 512.0
+MAX_SOURCES, SALTS = 2000, 64
 #: The inverse distribution is tabulated up to mean + 12 deviations + 30; beyond that mass is under 1e-12.
 _TERMS = "CAST(ceil(part + 12 * sqrt(part) + 30) AS int)"
 
@@ -60,7 +66,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     order_key and copy replace columns of these names.
     """
-    table = rates(docs, weights, scale).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"), F.col("parts").alias("__parts"))
+    table = written(rates(docs, weights, scale).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"), F.col("parts").alias("__parts")), "rates")
+    few = table.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
 
     def u(of: Column) -> Column:
         return uniform(of, "doc_id", "__text")
@@ -68,7 +75,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     def count(of: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: c <= of))
 
-    rows = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).withColumn("__u", u(F.lit(f"{seed}"))).join(table, F.col("source").eqNullSafe(F.col("__source")))
+    rows = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).withColumn("__u", u(F.lit(f"{seed}")))
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if few:
+        rows = rows.join(F.broadcast(table), same)
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(SALTS)))
+        rows = rows.join(table.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), same & (F.col("__salt") == F.col("__part")))
     others = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, k: n + count(u(F.concat(F.lit(f"{seed}/"), k.cast("string")))))
     rows = rows.withColumn("__n", count(F.col("__u")) + F.when(F.col("__parts") > 1, others).otherwise(0)).filter("__n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
