@@ -26,6 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(*keep: DataFrame):
+    """Notes the tables that are made meanwhile; gives a list, and drops at the end all of them but those put into it."""
+    made, kept = [], [*keep]
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        stay = {x._scratch_path for x in kept}
+        for table in made:
+            if table._scratch_path not in stay:
+                drop(table)
+
+
+def _made(table: DataFrame) -> DataFrame:
+    for scope in _scopes:
+        scope.append(table)
+    return table
+
+
 def path_for(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,7 +68,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     release(spark)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
-    return back
+    return _made(back)
 
 
 def drop(df: DataFrame) -> None:
@@ -94,7 +118,7 @@ def bucketed(df: DataFrame, key: str | list[str], name: str, buckets: int | None
     release(spark)
     back = spark.table(table)
     back._scratch_path, back._scratch_table = path, table
-    return back
+    return _made(back)
 
 
 def opened(spark: SparkSession, table: str, path: str, schema: str, key: list[str], buckets: int) -> DataFrame:

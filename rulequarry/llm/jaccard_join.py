@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.llm._graph import components
-from rulequarry.llm._scratch import bucketed, drop, written
+from rulequarry.llm._scratch import bucketed, drop, scratch, written
 from rulequarry.llm._text import FOLD, STEP, Words, buffers, grams, mix, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -320,16 +320,18 @@ def _open_pairs(open_: DataFrame, base: DataFrame, any_dense: bool) -> DataFrame
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, n_copies (rows of the same set, itself included)."""
-    base = bucketed(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rid", "base")
-    out = _classified(base)
-    drop(base)
+    with scratch() as kept:
+        out = _classified(bucketed(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rid", "base"))
+        kept.append(out)
     return out.drop("rid", "component")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs with one left of each component (the least doc_id's first row); rows with an empty set all stay."""
     base = bucketed(docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "base")
-    found = _classified(base.select("doc_id", "text", F.col("__rid").alias("rid")))
+    with scratch() as stay:
+        found = _classified(base.select("doc_id", "text", F.col("__rid").alias("rid")))
+        stay.append(found)
     whole = found.filter("n_shingles > 0")
     kept = whole.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("__rid"))
     kept = written(kept.unionByName(found.filter("n_shingles = 0").select(F.col("rid").alias("__rid"))), "kept")
