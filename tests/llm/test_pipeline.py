@@ -1,5 +1,6 @@
 """The pipeline's stages one by one against plain versions, each on what the stage before has kept."""
 
+import os
 import shutil
 from collections import Counter, defaultdict
 
@@ -77,7 +78,11 @@ def test_stages(spark, sf, tmp_path):
                 want[tuple(r)] += sum(c <= u[(r.doc_id, r.text)] for c in rate[r.source])
             assert Counter(after) == +want
             assert all(r.copy >= 1 for r in kept[name])
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
     ran = corpus_pipeline.run(spark, sf)
+    left = sorted(x.partition("-")[0] for x in set(os.listdir(shared)) - before)
+    assert left == ["rates", "stage4"]  # what the last stage reads
     assert Counter(tuple(r)[:5] for r in ran.collect()) == Counter(after)
 
 

@@ -322,6 +322,37 @@ def test_decontamination(spark):
     assert none.filter(decontaminate.contaminated()).count() == 0
 
 
+def test_a_large_benchmark_in_parts(spark, monkeypatch):
+    """Three parts and more give the matches of one, on documents with a column named as the result."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.createDataFrame(ODD, COLUMNS)).withColumn("matches", F.lit(1))
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    key = lambda rows: Counter((r.doc_id, r.text, tuple(sorted((m.item_id, m.covered, m.length) for m in r.matches))) for r in rows.collect())
+    want = key(decontaminate.coverage(docs, items))
+    assert sum(bool(k[2]) * n for k, n in want.items()) > 5
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "MAX_SHIPPED", size // 3 + 1)
+    parts = decontaminate.coverage(docs, items)
+    assert parts.columns == docs.columns and key(parts) == want
+
+
+def test_an_index_is_read_at_once():
+    """At the size of a whole part a task has the benchmark in under a second, whatever it took to make."""
+    import pickle
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    n = decontaminate.MAX_SHIPPED // 210
+    began = time.monotonic()
+    made = decontaminate.Benchmark([(k, " ".join(rng.choices(words, k=30))) for k in range(n)], 5)
+    assert time.monotonic() - began < 60 and len(made.ids) == n
+    sent = pickle.dumps(made, 5)
+    began = time.process_time()
+    got = pickle.loads(sent)
+    assert time.process_time() - began < 1
+    doc = np.concatenate([made.item(7), made.item(n - 1)])
+    assert got.candidates(doc, np.array([0, len(doc)])) == [(0, 7), (0, n - 1)]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class="cookie notice">We use cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p>First  para<b>graph</b>
@@ -451,6 +482,18 @@ def test_mixing_returns_whole_documents(spark):
     assert sum(copies.values()) == len(rows) and [r.order_key for r in rows] == sorted(r.order_key for r in rows)
 
 
+def test_documents_are_not_dealt_by_source(spark, monkeypatch):
+    """Rates are broadcast up to a counted bound; beyond it a salt splits each source. The rows are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(ODD, COLUMNS))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = mixing.mix_sources(docs)
+    assert "hashpartitioning" not in plan(few) and "BroadcastHashJoin" in plan(few)
+    want = few.collect()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    many = mixing.mix_sources(docs)
+    assert "__salt" in plan(many) and Counter(map(tuple, many.collect())) == Counter(map(tuple, want))
+
+
 def test_poisson_counts_have_the_mean_and_variance(spark):
     rows = spark.range(20000).selectExpr("id AS doc_id", "'x' AS text", "IF(id % 4 = 0, 'a', 'b') AS source")
     counts = mixing.mix_sources(rows, columns=["doc_id", "source"], shuffle=False).groupBy("source").count().collect()
