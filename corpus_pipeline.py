@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulequarry.llm import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
-from rulequarry.llm._scratch import drop, written
+from rulequarry.llm._scratch import drop, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k + 1}")
-            drop(before)  # a table of the stage before; the documents themselves are none
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch() as kept:  # what a stage has written for itself goes with its end
+            before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k + 1}")
+            kept.append(docs)
+        drop(before)  # the table of the stage before; the documents themselves are none
     return docs
