@@ -1,20 +1,20 @@
 """Substring dedup over a log-structured fingerprint index.
 
 A window is 13 consecutive words. Its fingerprint is the least hash of the nine 5-word runs in it,
-so equal windows have equal fingerprints, and neighbours mostly share one: about a fifth as many
-fingerprints as words are kept. The index is a list of immutable runs, tables hashed and sorted on
-the fingerprint, each with the document that has it and whether several do. A batch of documents is merge-joined
-with every run, what it shares is verified, and only then does it become a new run; when there are more than MAX_RUNS
-of them they are compacted into one by a merge join. A batch costs its own size, one pass of the runs, and the texts of
-those earlier documents that share something with it.
-
-A fingerprint that several documents have only says that windows may be equal, so those are verified,
-in 128 bits of their words, batch by batch. First come whole stretches of windows of one fingerprint: one that an
-earlier document has too is removed. Verified stretches stay in the index with the place of their words, and a document
-that was alone with a fingerprint until now is read again for its own. New stretches of a fingerprint that has
-several are then compared window by window with each other and with the windows in the index, where they stay: a stretch
-is spread into windows once. Both take the least on the map side, so a passage that very many documents have is no large group.
-Fingerprints that nothing shares, which are most, never reach these steps.
+so equal windows have equal fingerprints, and neighbours mostly share one: windows next to each other with one
+fingerprint are a stretch, about a fifth as many as words. Runs of words that are frequent in a bounded sample count as larger than all
+others, so the edges of a common passage don't gather the different windows around it under one fingerprint.
+
+The index is a list of immutable runs. A run has, for each fingerprint, the hashes of its windows that no earlier run has, in
+arrays sorted by fingerprint and dealt into groups by its low bits; rows of a group are stored together. A batch of documents is
+dealt into the same groups, merge-joined there with every run, and what shares a fingerprint is verified: a window
+is equal to another if fingerprint and a hash of all its words, made from other tables, are (128 bits). What is new becomes a
+run. Runs are compacted in tiers, two of one tier into one of the next, when a further batch comes, so an entry is rewritten as often as
+the logarithm of the batches. The index holds all that verifying needs: no earlier text is read again, and a batch
+costs its own size and one pass over the runs.
+
+A task first resolves what its own documents share, and sends of each window those of its least document only, so a passage that
+very many documents have comes once from each task. Windows to remove go back to their documents as places, keyed by doc_id and a hash of the text.
 
 Null or empty text has no words. Rows of one doc_id in a batch never remove each other's windows; a null
 doc_id counts as larger than all others, and its rows in a batch as one document. Documents of earlier batches
@@ -26,304 +26,349 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import reduce
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.llm._scratch import bucketed, drop, opened, plain, release, sorted_buckets, written
-from rulequarry.llm._text import OTHER, STEP, Words, buffers, grams, mix, powers, slices, sliding_min
+from rulequarry.llm._scratch import bucketed, drop, opened, written
+from rulequarry.llm._text import OTHER, Words, buffers, grams, slices, sliding_min
 
 WINDOW, GRAM = 13, 5
-BATCHES, MAX_RUNS = 4, 2
+BATCHES = 4
 LAST = (1 << 63) - 1  # stands for a null doc_id
 EARLIER = -(1 << 63)  # stands for any document of an earlier batch
-
-
-class Windows:
-    """Windows of a slice: the word each starts at, its row, and its fingerprint."""
-
-    def __init__(self, raw, offsets, first: int, last: int):
-        self.words = Words(raw, offsets, first, last)
-        self.hashes = self.words.hashes()
-        self.at = np.flatnonzero(self.words.windows(WINDOW))
-        least = sliding_min(grams(self.hashes, GRAM), WINDOW - GRAM + 1) if len(self.at) else np.zeros(0, np.uint64)
-        self.prints = least[self.at].view(np.int64)
-        self.row = np.searchsorted(self.words.first, self.at, side="right") - 1
-
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the words of the windows that start at some words."""
-        x, y = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        other = self.words.hashes(OTHER)
-        for j in range(WINDOW):
-            x += self.hashes[at + j] * STEP[j]
-            y += other[at + j] * STEP[j + 16]
-        return mix(x).view(np.int64), mix(y).view(np.int64)
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text) -> (rid, doc_id, print), each fingerprint once for a run of windows that share it."""
+#: Documents of the sample (expected) in which runs of words are counted, the share of them that makes a run frequent, and the most such runs.
+SAMPLE, FREQUENT, MAX_FREQUENT = 4096, 0.004, 200_000
+#: Bytes of a batch's text that make a group; stretches that a task holds; fingerprints in a row of a run.
+GROUP_BYTES, HELD, ROW = 32 << 20, 1 << 19, 1 << 16
+_SIEVE = (1 << 20) - 1
+
+#: Rows of a group. BATCH: stretches of a batch; GONE: places of windows to remove; RUN: an index run's fingerprints, numbers of windows and windows.
+BATCH, GONE, RUN = 0, 1, 2
+_ARRAYS = {"prints": np.uint64, "docs": np.int64, "hashes": np.int64, "words": np.uint32, "sizes": np.uint32, "windows": np.uint64}
+_SCHEMA = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _ARRAYS)
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in _ARRAYS)])
+
+
+def _row(bucket: int, kind: int, **arrays: np.ndarray) -> tuple:
+    return (bucket, kind, *(np.ascontiguousarray(arrays[c], t).tobytes() if c in arrays else None for c, t in _ARRAYS.items()))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+
+
+def _read(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
+    """The arrays of all rows of a kind, end to end."""
+    rows = table.filter(pa.compute.equal(table["kind"], kind))
+    return {c: np.frombuffer(b"".join(x for x in rows[c].to_pylist() if x is not None), t) for c, t in _ARRAYS.items()}
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each size, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Order:
+    """The order of 5-word runs in which a window's least is taken: by hash, frequent ones last."""
+
+    def __init__(self, often: np.ndarray):
+        self.often = np.sort(often.astype(np.uint64))
+        self.sieve = np.zeros(_SIEVE + 1, bool)
+        self.sieve[(self.often & np.uint64(_SIEVE)).astype(np.int64)] = True
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        out = grams(hashes, GRAM) >> np.uint64(1)
+        if len(self.often):
+            at = np.flatnonzero(self.sieve[(out & np.uint64(_SIEVE)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.often, out[at]), len(self.often) - 1)
+            at = at[self.often[place] == out[at]]
+            out[at] |= np.uint64(1 << 63)
+        return out
+
+
+def _stretches(words: Words, order: Order) -> tuple[np.ndarray, ...]:
+    """Of the stretches of a slice: fingerprint, row, first word in the row and windows, and then the hashes of all windows."""
+    at = np.flatnonzero(words.windows(WINDOW))
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+    prints = sliding_min(order.ranks(words.hashes()), WINDOW - GRAM + 1)[at]
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[at]
+    new = np.r_[True, (prints[1:] != prints[:-1]) | (row[1:] != row[:-1])]
+    k = np.flatnonzero(new)
+    return prints[k], row[k], at[k] - words.first[row[k]], np.diff(np.r_[k, len(at)]), grams(words.hashes(OTHER), WINDOW)[at]
+
+
+def _later(prints: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each window is in a smaller document too; then, of each different (fingerprint, window) in their order, both and its least document."""
+    by = np.lexsort((docs, windows, prints))
+    p, w, d = prints[by], windows[by], docs[by]
+    first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1])]) if len(by) else by
+    later = np.zeros(len(by), bool)
+    later[by] = d > np.repeat(d[first], np.diff(np.r_[first, len(by)]))
+    return later, p[first], w[first], d[first]
+
+
+def _places(gone: np.ndarray, stretch: np.ndarray, word: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """Windows to remove, as runs of neighbours; stretch and word of each window, docs and hashes of each stretch."""
+    at = np.flatnonzero(gone)
+    d, h, w = docs[stretch[at]], hashes[stretch[at]], word[at]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1] + 1)]) if len(at) else at
+    return {"docs": d[first], "hashes": h[first], "words": w[first], "sizes": np.diff(np.r_[first, len(at)])}
+
+
+def _scan(rows: DataFrame, order: Order, groups: int) -> DataFrame:
+    """(order_id, hash, text) -> the batch's stretches by group, and what is to be removed by documents of one task alone."""
+
+    def flush(held):
+        p, d, h, w, n, u = map(np.concatenate, zip(*held))
+        starts = np.cumsum(n) - n
+        stretch = np.repeat(np.arange(len(n)), n)
+        word = _spread(w, n)
+        by = np.argsort(p, kind="stable")
+        same = p[by][1:] == p[by][:-1]
+        again = by[np.r_[False, same] | np.r_[same, False]]
+        windows = _spread(starts[again], n[again])
+        gone = np.zeros(len(u), bool)
+        gone[windows] = _later(p[stretch[windows]], u[windows], d[stretch[windows]])[0]
+        out = [_row(int(p[0]) & (groups - 1), GONE, **_places(gone, stretch, word, d, h))] if gone.any() else []
+        # what is left of each stretch, in runs of windows, by group
+        new = np.r_[True, (stretch[1:] != stretch[:-1]) | (gone[1:] != gone[:-1])]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(u)])
+        left = ~gone[first]
+        first, size = first[left], size[left]
+        group = (p[stretch[first]] & np.uint64(groups - 1)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        first, size, group = first[by], size[by], group[by]
+        of = stretch[first]
+        p, d, h, w, u = p[of], d[of], h[of], word[first], u[_spread(first, size)]
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+        ends = np.r_[0, np.cumsum(size)]
+        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(group)].tolist()):
+            out.append(_row(int(group[a]), BATCH, prints=p[a:b], docs=d[a:b], hashes=h[a:b], words=w[a:b], sizes=size[a:b], windows=u[ends[a] : ends[b]]))
+        return _rows(out)
 
     def judge(batches):
+        held, n = [], 0
         for batch in batches:
             raw, offsets = buffers(batch.column(2))
-            ids, docs_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, last in slices(offsets):
-                w = Windows(raw, offsets, first, last)
-                if not len(w.at):
-                    continue
-                new = np.ones(len(w.at), bool)
-                new[1:] = (w.prints[1:] != w.prints[:-1]) | (w.row[1:] != w.row[:-1])
-                row = w.row[new] + first
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(docs_[row]), pa.array(w.prints[new])], names=["rid", "doc_id", "print"])
-
-    return docs.select("rid", "doc_id", "text").mapInArrow(judge, "rid long, doc_id long, print long")
+                prints, row, word, size, windows = _stretches(Words(raw, offsets, first, last), order)
+                if len(prints):
+                    held.append((prints, docs[row + first], hashes[row + first], word, size, windows))
+                    n += len(prints)
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return rows.select("order_id", "hash", "text").mapInArrow(judge, _SCHEMA)
+
+
+def _run_rows(bucket: int, prints: np.ndarray, sizes: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> list[tuple]:
+    """Rows of a run: segments of windows by fingerprint, those of one fingerprint joined."""
+    by = np.argsort(prints, kind="stable")
+    prints, sizes, starts = prints[by], sizes[by], starts[by]
+    out = []
+    first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else by
+    for a in range(0, len(first), ROW):
+        low, high = first[a], first[a + ROW] if a + ROW < len(first) else len(prints)
+        out.append(_row(bucket, RUN, prints=prints[first[a : a + ROW]], sizes=np.add.reduceat(sizes[low:high].astype(np.int64), first[a : a + ROW] - low), windows=windows[_spread(starts[low:high], sizes[low:high])]))
+    return out
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int64) - sizes
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """A group of a batch with that of all runs -> its places to remove, and its rows of the batch's run."""
+    bucket = table["bucket"][0].as_py()
+    new, old, gone = _read(table, BATCH), _read(table, RUN), _read(table, GONE)
+    out = [_row(bucket, GONE, **{c: gone[c] for c in ("docs", "hashes", "words", "sizes")})] if len(gone["docs"]) else []
+    p, n, u = new["prints"], new["sizes"].astype(np.int64), new["windows"]
+    if not len(p):
+        return pa.Table.from_batches([_rows(out)])
+    starts, stretch = _starts(n), np.repeat(np.arange(len(n)), n)
+    by = np.argsort(p, kind="stable")
+    s = p[by]
+    same = s[1:] == s[:-1]
+    # to verify: stretches whose fingerprint another has, or a run; and those so long that a window may be in them twice
+    verify = np.r_[False, same] | np.r_[same, False] | (n[by] > WINDOW - GRAM + 1)
+    if len(old["prints"]):
+        known = np.unique(old["prints"])
+        verify |= known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+    again, alone = by[verify], by[~verify]
+    windows = _spread(starts[again], n[again])
+    prints = np.unique(p[again])
+    old_n = old["sizes"].astype(np.int64)
+    if len(prints) and len(old_n):
+        hit = np.flatnonzero(prints[np.minimum(np.searchsorted(prints, old["prints"]), len(prints) - 1)] == old["prints"])
+    else:
+        hit = np.zeros(0, np.int64)
+    old_windows = _spread(_starts(old_n)[hit], old_n[hit])
+    later, q, v, least = _later(
+        np.concatenate([p[stretch[windows]], np.repeat(old["prints"][hit], old_n[hit])]),
+        np.concatenate([u[windows], old["windows"][old_windows]]),
+        np.concatenate([new["docs"][stretch[windows]], np.full(len(old_windows), EARLIER)]),
+    )
+    flags = np.zeros(len(u), bool)
+    flags[windows] = later[: len(windows)]
+    if flags.any():
+        out.append(_row(bucket, GONE, **_places(flags, stretch, _spread(new["words"].astype(np.int64), n), new["docs"], new["hashes"])))
+    fresh = least != EARLIER
+    q, v = q[fresh], v[fresh]
+    out += _run_rows(bucket, np.concatenate([p[alone], q]), np.concatenate([n[alone], np.ones(len(q), np.int64)]), np.concatenate([starts[alone], len(u) + np.arange(len(q))]), np.concatenate([u, v]))
+    return pa.Table.from_batches([_rows(out)])
+
+
+def _compacted(table: pa.Table) -> pa.Table:
+    old = _read(table, RUN)
+    n = old["sizes"].astype(np.int64)
+    return pa.Table.from_batches([_rows(_run_rows(table["bucket"][0].as_py(), old["prints"], n, _starts(n), old["windows"]))])
 
 
 class FingerprintIndex:
-    """Texts by batch, and tables that each batch adds one of, hashed and sorted on their keys:
+    """Runs, each a table stored by group, with their tiers; how many groups there are, and which 5-word runs count as frequent.
 
-    runs (print, doc_id, part, several): of a print that several documents don't share, the batch and document that has it;
-    stretches (x, y): stretches verified so far; windows (u, v): windows of those whose fingerprint has several stretches;
-    states (print, mixed, x, y, part, rid, word, n): whether a fingerprint has several stretches, else where its one is.
+    Both are settled by the first documents, as later ones must be dealt alike; any choice gives the same results.
     """
 
-    KEYS = {"texts": ["rid"], "runs": ["print"], "stretches": ["x", "y"], "states": ["print"], "windows": ["u", "v"]}
-
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
+    def __init__(self, spark: SparkSession, groups: int | None = None, often: list[int] | None = None):
+        self.spark, self.groups, self.often = spark, groups, often
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for kind in self.KEYS:
-            setattr(self, kind, [])
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """A batch (doc_id, text) -> (doc_id, text, starts): its rows with the windows to remove; afterwards the batch is in the index."""
-        part = len(self.texts)
-        numbered = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-        with sorted_buckets(self.spark):
-            table = bucketed(numbered, "rid", "docs", self.buckets)
-            self.texts.append(table)
-            prints = written(fingerprints(table.select("rid", F.col("order_id").alias("doc_id"), "text")), "prints")
-            run, shared = self._join(prints, part)
-            # written, here and below, so that a join has two plain exchanges and the partition of a common key can be split
-            wanted = written(prints.join(shared.select("print"), "print").groupBy("rid").agg(F.collect_set("print").alias("prints")), "wanted")
-            drop(prints)
-            found = written(_stretches(table.join(wanted, "rid").select(F.lit(part).alias("part"), "rid", F.col("order_id").alias("doc_id"), "text", "prints")), "found")
-            drop(wanted)
-            again = self._again(shared, part)
-            drop(shared)
-            gone = self._verify(found, again)
-            drop(found)
-            self.runs.append(run)
-            release(self.spark)
-            if len(self.runs) > self.max_runs:
-                self.compact()
-        return table.join(gone, "rid", "left").select("doc_id", "text", "starts")
-
-    def _join(self, prints: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
-        """The batch's own run, and (print, part, doc_id) of what several documents have by now: part and doc_id of the one earlier document whose text wasn't verified yet."""
-        batch = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"))
-        batch, olds = _looked_up(batch, self.runs, ["print"], ["doc_id", "part", "several"])
-        old = F.coalesce(*olds) if olds else F.lit(None).cast("struct<doc_id: long, part: int, several: boolean>")
-        before = reduce(lambda a, b: a | b, [F.coalesce(o["several"], F.lit(False)) for o in olds], F.lit(False))
-        batch = batch.select("print", "doc_id", F.lit(part).alias("part"), ((F.col("doc_id") < F.col("high")) | old.isNotNull()).alias("several"), F.when(~before, old).alias("alone"))
-        run = bucketed(batch, "print", "run", self.buckets)
-        shared = written(run.filter("several").select("print", "alone.part", "alone.doc_id"), "shared")
-        return run, shared
-
-    def _again(self, shared: DataFrame, part: int) -> DataFrame | None:
-        """Stretches of the earlier documents that were alone with a fingerprint of the batch until now."""
-        if not part:
-            return None
-        rows = [t.select(F.lit(k).alias("part"), F.col("order_id").alias("doc_id"), "rid") for k, t in enumerate(self.texts[:part])]
-        rows = reduce(DataFrame.unionByName, rows).join(shared.filter("part IS NOT NULL"), ["part", "doc_id"])
-        rows = written(rows.groupBy("part", "rid").agg(F.collect_set("print").alias("prints")), "alone")
-        texts = [t.join(rows.filter(F.col("part") == k), "rid").select("part", "rid", F.lit(EARLIER).alias("doc_id"), "text", "prints") for k, t in enumerate(self.texts[:part])]
-        again = written(_stretches(reduce(DataFrame.unionByName, texts)), "again")
-        drop(rows)
-        return again
-
-    def _verify(self, found: DataFrame, again: DataFrame | None) -> DataFrame:
-        """Stretches of a batch, and of earlier documents that weren't verified yet -> (rid, starts); what is new goes into the index."""
-        every = found if again is None else found.unionByName(again)
-        place = ["part", "rid", "word", "n"]
-        # equal x, y have equal words, so print and n; the columns of a place come from one row, whichever
-        distinct = every.groupBy("x", "y").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", *place)])
-        distinct, olds = _looked_up(distinct, self.stretches, ["x", "y"], ["x"])
-        stretches = bucketed(distinct.select("x", "y", "least", "print", *place, _any(olds).alias("seen")), ["x", "y"], "stretches", self.buckets)
-        if again is not None:
-            drop(again)
-        distinct = plain(stretches)
-        fresh = distinct.filter("NOT seen")
-
-        one = ["x", "y", *place]
-        state = fresh.groupBy("print").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in one])
-        state, olds = _looked_up(state, self.states[::-1], ["print"], ["mixed", *one])
-        was = F.coalesce(*olds) if olds else F.lit(None).cast("struct<mixed: boolean, x: long, y: long, part: int, rid: long, word: long, n: long>")
-        states = bucketed(state.select("print", ((F.col("c") > 1) | was.isNotNull()).alias("mixed"), *one, F.when(~was["mixed"], was).alias("was")), "print", "states", self.buckets)
-        mixed = plain(states).filter("mixed")
-        chosen = fresh.join(mixed.select("print"), "print").select(F.col("least").alias("doc_id"), *one)
-        chosen = chosen.unionByName(mixed.filter("was IS NOT NULL").select(F.lit(EARLIER).alias("doc_id"), *[f"was.{c}" for c in one]))
-        runs = written(chosen.groupBy("part", "rid").agg(F.collect_list(F.struct("doc_id", "word", "n", "x", "y")).alias("runs")), "runs")
-        parts = [_windows_of(table.join(runs.filter(F.col("part") == k).select("rid", "runs"), "rid")) for k, table in enumerate(self.texts)]
-        spread = written(reduce(DataFrame.unionByName, parts), "spread")
-        drop(runs)
-
-        least, olds = _looked_up(spread.groupBy("u", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), self.windows, ["u", "v"], ["u"])
-        several = F.when(_any(olds), F.lit(EARLIER)).when(F.col("low") < F.col("high"), F.col("low")).alias("low")
-        windows = bucketed(least.select("u", "v", several, _any(olds).alias("seen")), ["u", "v"], "windows", self.buckets)
-        some = spread.join(plain(windows).filter("low IS NOT NULL").select("u", "v", "low"), ["u", "v"]).filter("doc_id > low").groupBy("x", "y").agg(F.collect_list("k").alias("some"))
-        known = written(distinct.select("x", "y", "seen", "least").join(some, ["x", "y"], "left"), "known")
-        drop(spread)
-        # a stretch that an earlier document has goes whole; in the least document that has it, those of its windows that an earlier one has elsewhere
-        gone = found.join(known, ["x", "y"]).filter("seen OR doc_id > least OR some IS NOT NULL")
-        partly = F.when(~F.col("seen") & (F.col("doc_id") == F.col("least")), F.col("some")).alias("some")
-        gone = written(gone.groupBy("rid").agg(F.collect_list(F.struct("word", "n", partly)).alias("starts")), "gone")
-        drop(known)
-        for kind, table in (("stretches", stretches), ("states", states), ("windows", windows)):
-            getattr(self, kind).append(table)
-        return gone
+        self.runs: list[DataFrame] = []
+        self.tiers: list[int] = []
+        self._noted: set[str] = set()  # tables that a note of save() names; they stay until the next one
+        self._stale: list[DataFrame] = []
+
+    def prepare(self, rows: DataFrame, n_rows: int, batch_bytes: int) -> None:
+        """Settle groups and frequent runs of words, if they aren't yet."""
+        if self.groups is None:
+            least = max(4 * self.buckets, batch_bytes // GROUP_BYTES)
+            self.groups = 1 << (least - 1).bit_length()
+        if self.often is None:
+            share = 10**6 if n_rows <= SAMPLE else max(1, 10**6 * SAMPLE // n_rows)
+            sample = rows.filter(F.pmod(F.xxhash64("order_id", "hash"), F.lit(10**6)) < share)
+            counts = _grams(sample).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= max(8, FREQUENT * min(n_rows, SAMPLE)))
+            self.often = counts.orderBy(F.desc("c"), "gram").limit(MAX_FREQUENT).select("gram").toArrow().column("gram").to_pylist()
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """A batch (order_id, hash, text) -> (order_id, hash, starts): the windows to remove of its rows that have any, written; afterwards the batch is in the index."""
+        self.compact()
+        dealt = _scan(rows, Order(np.array(self.often or [], np.uint64)), self.groups).repartition(self.buckets, "bucket")
+        every = reduce(DataFrame.unionByName, [r.filter(F.col("kind") == RUN) for r in self.runs], dealt)
+        run = bucketed(every.groupBy("bucket").applyInArrow(_merged, _SCHEMA), "bucket", "run", self.buckets)
+        self.runs.append(run)
+        self.tiers.append(0)
+        places = _unpacked(run.filter(F.col("kind") == GONE).select("docs", "hashes", "words", "sizes"))
+        return written(places.groupBy("order_id", "hash").agg(F.collect_list(F.struct("word", "n")).alias("starts")), "gone")
 
     def compact(self) -> None:
-        """One table of each kind instead of all, by merge joins; of a print's rows in the runs the earliest says where it is."""
-        at = lambda c: F.struct("part", "doc_id", "several").alias(c)
-        merged = self.runs[0].select("print", at("a"))
-        for run in self.runs[1:]:
-            merged = merged.join(run.select("print", at("b")), "print", "full")
-            several = F.coalesce("a.several", F.lit(False)) | F.coalesce("b.several", F.lit(False))
-            merged = merged.select("print", F.struct(F.coalesce("a.part", "b.part").alias("part"), F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), several.alias("several")).alias("a"))
-        new = {"runs": merged.select("print", "a.*")}
-        for kind in ("stretches", "windows"):
-            new[kind] = reduce(DataFrame.unionByName, [t.filter("NOT seen").select(*self.KEYS[kind], "seen") for t in getattr(self, kind)])
-        one = ["x", "y", "part", "rid", "word", "n"]
-        states = reduce(DataFrame.unionByName, [t.select("print", "mixed", *one) for t in self.states])
-        new["states"] = states.groupBy("print").agg(F.max("mixed").alias("mixed"), *[F.first(c).alias(c) for c in one])
-        for kind, rows in new.items():
-            table = bucketed(rows, self.KEYS[kind], kind, self.buckets)
-            for old in getattr(self, kind):
-                drop(old)
-            setattr(self, kind, [table])
+        """Merge the last two runs while they are of one tier."""
+        while len(self.runs) > 1 and self.tiers[-1] == self.tiers[-2]:
+            pair, tier = self.runs[-2:], self.tiers[-1] + 1
+            rows = pair[0].unionByName(pair[1]).filter(F.col("kind") == RUN)
+            merged = bucketed(rows.groupBy("bucket").applyInArrow(_compacted, _SCHEMA), "bucket", "run", self.buckets)
+            for old in pair:
+                if old._scratch_path in self._noted:
+                    self._stale.append(old)
+                else:
+                    drop(old)
+            self.runs[-2:], self.tiers[-2:] = [merged], [tier]
 
     def save(self, path: str) -> None:
-        """Note in a new folder which tables make up the index; they stay where they are."""
-        listed = {kind: [(x._scratch_table, x._scratch_path, x.schema.simpleString()) for x in getattr(self, kind)] for kind in self.KEYS}
-        self.spark.createDataFrame([(json.dumps(listed | {"max_runs": self.max_runs, "buckets": self.buckets}),)], "value string").coalesce(1).write.text(path)
+        """Note in a new folder which tables make up the index; they stay where they are.
+
+        Until the next save() no table that a note names is dropped: if a session ends between add() and
+        save(), the last note opens the index as it was, and what came since is to be added again.
+        """
+        runs = [(x._scratch_table, x._scratch_path, x.schema.simpleString()) for x in self.runs]
+        note = {"runs": runs, "tiers": self.tiers, "groups": self.groups, "often": self.often, "buckets": self.buckets}
+        self.spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.text(path)
+        for old in self._stale:
+            drop(old)
+        self._stale, self._noted = [], {x[1] for x in runs}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
         """The index that was noted in a folder, also in another session."""
-        listed = json.loads(spark.read.text(path).first().value)
-        index = cls(spark, listed["max_runs"])
-        index.buckets = listed["buckets"]
-        for kind, key in cls.KEYS.items():
-            setattr(index, kind, [opened(spark, *x, key, index.buckets) for x in listed[kind]])
+        note = json.loads(spark.read.text(path).first().value)
+        index = cls(spark, note["groups"], note["often"])
+        index.buckets, index.tiers = note["buckets"], note["tiers"]
+        index.runs = [opened(spark, *x, ["bucket"], index.buckets) for x in note["runs"]]
+        index._noted = {x[1] for x in note["runs"]}
         return index
 
-    def drop(self, texts: bool = True) -> None:
-        for kind in self.KEYS:
-            if kind != "texts" or texts:
-                for table in getattr(self, kind):
-                    drop(table)
-                setattr(self, kind, [])
-
+    def drop(self) -> None:
+        for table in (*self.runs, *self._stale):
+            drop(table)
+        self.runs, self.tiers, self._stale = [], [], []
 
-def _looked_up(rows: DataFrame, tables: list[DataFrame], keys: list[str], columns: list[str]) -> tuple[DataFrame, list]:
-    """Rows merge-joined with tables of the index, and a column for each table: a struct of its columns, null where it hasn't the key."""
-    for k, table in enumerate(tables):
-        rows = rows.join(table.select(*keys, F.struct(*columns).alias(f"old{k}")), keys, "left")
-    return rows, [F.col(f"old{k}") for k in range(len(tables))]
 
-
-def _any(olds: list):
-    return reduce(lambda a, b: a | b, [o.isNotNull() for o in olds], F.lit(False))
-
-
-def _stretches(rows: DataFrame) -> DataFrame:
-    """(part, rid, doc_id, text, prints) -> (part, rid, doc_id, word, n, print, x, y): runs of n windows of one fingerprint among prints, from a word on; x, y: 128 bits of their words."""
-    names = ["part", "rid", "doc_id", "word", "n", "print", "x", "y"]
+def _grams(rows: DataFrame) -> DataFrame:
+    """(gram), once for each text: the ranks of its 5-word runs."""
 
     def judge(batches):
         for batch in batches:
-            raw, offsets = buffers(batch.column(3))
-            parts, ids, docs_ = (batch.column(c).to_numpy() for c in range(3))
-            wanted = batch.column(4)
+            raw, offsets = buffers(batch.column(0))
             for first, last in slices(offsets):
-                w = Windows(raw, offsets, first, last)
-                if not len(w.at):
-                    continue
-                new = np.ones(len(w.at), bool)
-                new[1:] = (w.prints[1:] != w.prints[:-1]) | (w.row[1:] != w.row[:-1])
-                k = np.flatnonzero(new)
-                n, row, prints = np.diff(np.append(k, len(w.at))), w.row[k], w.prints[k]
-                chosen = np.zeros(len(k), bool)
-                ends = np.searchsorted(row, np.arange(last - first + 1))
-                for i in range(last - first):
-                    a, b = ends[i], ends[i + 1]
-                    if b > a:
-                        chosen[a:b] = np.isin(prints[a:b], wanted[first + i].values.to_numpy())
-                k, n, row, prints = k[chosen], n[chosen], row[chosen], prints[chosen]
-                if not len(k):
-                    continue
-                at = w.at[k]
-                # hashes of the words from at[i] to at[i] + n[i] + WINDOW - 1, by sums of powers
-                words = n + WINDOW - 1
-                up, down = powers(len(w.hashes) + 1)
-                keys = []
-                for hashes in (w.hashes, w.words.hashes(OTHER)):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])])
-                    keys.append(mix((sums[at + words] - sums[at]) * down[at] + words.astype(np.uint64) * STEP[40]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (parts[row + first], ids[row + first], docs_[row + first], at - w.words.first[row], n, prints, *keys)], names=names)
-
-    return rows.select("part", "rid", "doc_id", "text", "prints").mapInArrow(judge, "part int, rid long, doc_id long, word long, n long, print long, x long, y long")
-
-
-def _windows_of(rows: DataFrame) -> DataFrame:
-    """(text, runs of (doc_id, word, n, x, y)) -> (x, y, doc_id, k, u, v): the k-th window of each run in 128 bits."""
-    names = ["x", "y", "doc_id", "k", "u", "v"]
+                words = Words(raw, offsets, first, last)
+                ranks = Order(np.zeros(0, np.uint64)).ranks(words.hashes())
+                at = np.flatnonzero(words.windows(GRAM))
+                row = np.repeat(np.arange(last - first), np.diff(words.first))[at]
+                ranks = ranks[at]
+                by = np.lexsort((ranks, row))
+                row, ranks = row[by], ranks[by]
+                new = np.r_[True, (row[1:] != row[:-1]) | (ranks[1:] != ranks[:-1])] if len(by) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ranks[new].view(np.int64))], names=["gram"])
+
+    return rows.select("text").mapInArrow(judge, "gram long")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Places of windows as rows (order_id, hash, word, n)."""
+    names = {"docs": "order_id", "hashes": "hash", "words": "word", "sizes": "n"}
 
     def judge(batches):
         for batch in batches:
-            raw, offsets = buffers(batch.column(0))
-            runs = batch.column(1)
-            for first, last in slices(offsets):
-                w = Windows(raw, offsets, first, last)
-                some = runs.slice(first, last - first)
-                flat = some.flatten()
-                row = np.repeat(np.arange(last - first), some.value_lengths().to_numpy(zero_copy_only=False))
-                doc, word, n, x, y = (flat.field(c).to_numpy() for c in ("doc_id", "word", "n", "x", "y"))
-                run = np.repeat(np.arange(len(n)), n)
-                k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                u, v = w.keys((w.words.first[row] + word)[run] + k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[run], y[run], doc[run], k, u, v)], names=names)
+            for k in range(batch.num_rows):
+                arrays = [np.frombuffer(batch.column(c)[k].as_py(), _ARRAYS[c]).astype(np.int64) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=list(names.values()))
 
-    return rows.select("text", "runs").mapInArrow(judge, "x long, y long, doc_id long, k long, u long, v long")
+    return rows.select(*names).mapInArrow(judge, ", ".join(f"{c} long" for c in names.values()))
 
 
 def _kept(rows: DataFrame, texts: bool) -> DataFrame:
     """(doc_id, text, starts) -> the digest and the kept words; starts: of the windows to remove."""
-
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if texts else 4]
 
     def judge(batches):
         for batch in batches:
+            starts = batch.column(2)
+            offsets = np.r_[0, np.cumsum(np.nan_to_num(starts.value_lengths().to_numpy(zero_copy_only=False).astype(float)))].astype(np.int64)
+            flat = starts.flatten()
+            word, n = (flat.field(c).to_numpy() for c in ("word", "n"))
             out = []
-            for doc_id, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()):
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist())):
                 words = (text or b"").split()
-                if starts:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    for r in starts:
-                        at = np.arange(r["n"]) if r["some"] is None else np.array(r["some"])
-                        np.add.at(gone, r["word"] + at, 1)
-                        np.add.at(gone, r["word"] + at + WINDOW, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                    out.append((doc_id, len(words), int(gone.sum()), kept))
-                else:
-                    out.append((doc_id, len(words), 0, b" ".join(words)))
-            ids, n, removed, kept = zip(*out) if out else ((),) * 4
+                total, a, b = len(words), offsets[k], offsets[k + 1]
+                if b > a:
+                    steps = np.bincount(word[a:b], minlength=total + 1)[: total + 1] - np.bincount(word[a:b] + n[a:b] + WINDOW - 1, minlength=total + 1)[: total + 1]
+                    words = list(compress(words, (np.cumsum(steps)[:total] == 0).tolist()))
+                out.append((doc_id, total, total - len(words), b" ".join(words)))
+            ids, totals, removed, kept = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept] if texts else [None] * len(kept), pa.string())],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept] if texts else [None] * len(kept), pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             ).select(names)
 
@@ -338,17 +383,19 @@ def incremental_dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = Tru
     """
     own = index is None
     index = index or FingerprintIndex(docs.sparkSession)
-    order = F.coalesce("doc_id", F.lit(LAST))
-    cuts = docs.agg(F.percentile_approx(order, F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000).alias("q")).first().q if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    out = []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"), F.xxhash64("text").alias("hash"), "text")
+    share = F.array(*[F.lit(k / batches) for k in range(1, max(2, batches))])
+    facts = rows.agg(F.percentile_approx("order_id", share, 1000).alias("q"), F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    index.prepare(rows, facts.n, facts.size // batches)
+    cuts = sorted(set(facts.q or [])) if batches > 1 else []
+    gone = []
     for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = docs.select("doc_id", "text")
+        batch = rows
         if low is not None:
-            batch = batch.filter(order > low)
+            batch = batch.filter(F.col("order_id") > low)
         if high is not None:
-            batch = batch.filter(order <= high)
-        out.append(_kept(index.add(batch), texts))
+            batch = batch.filter(F.col("order_id") <= high)
+        gone.append(index.add(batch))
     if own:
-        index.drop(texts=False)  # the result reads the texts
-    return reduce(DataFrame.unionByName, out)
+        index.drop()
+    return _kept(rows.join(reduce(DataFrame.unionByName, gone), ["order_id", "hash"], "left"), texts)
