@@ -85,18 +85,6 @@ def redact_text(x: Column | str, extra: tuple = ()) -> Column:
     return reduce(lambda c, f: f(c), extra, reduce(lambda c, kv: one(c, *kv), PII.items(), _c(x)))
 
 
-def redact_fields(x: Column | str) -> Column:
-    """JSON text with the values of blocked keys replaced at any depth; keys in any case.
-
-    A value that is an object or array goes whole up to four levels of its own; a brace in a string of it counts as one.
-    """
-    inner = {"{}": r"\{[^{}]*\}", "[]": r"\[[^\[\]]*\]"}
-    for _ in range(3):
-        inner = {"{}": r"\{(?:[^{}]|%s)*\}" % inner["{}"], "[]": r"\[(?:[^\[\]]|%s)*\]" % inner["[]"]}
-    value = r'(?:"(?:[^"\\]|\\.)*"|%s|%s|[^,}\]\s]+)' % (inner["{}"], inner["[]"])
-    return F.regexp_replace(_c(x), rf'(?i)("(?:{"|".join(BLOCKED)})"\s*:\s*){value}', '$1"[redacted:blocked_field]"')
-
-
 def dedup_key(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9_ ]", ""), " +", " "))
 

@@ -13,6 +13,23 @@ JACCARD, EDIT, COSINE = 0.5, 2, 0.78
 SHORT = 6
 
 
+#: An alias table is broadcast up to this many rows (two names of up to 128 characters each).
+MAX_ALIASES = 50_000
+
+
+def applied(steps: DataFrame, known: DataFrame, most: int = MAX_ALIASES) -> DataFrame:
+    """steps with `tool` replaced by the canonical name that the alias table (raw, canonical) gives; others stay as they are.
+
+    Of several rows for a raw name the least counts. A table of up to `most` rows, which is counted, is broadcast; a larger one is
+    joined by name, where a frequent name's partition can be split.
+    """
+    once = known.filter("raw IS NOT NULL").groupBy(F.col("raw").alias("__raw")).agg(F.min("canonical").alias("__canonical"))
+    if once.limit(most + 1).count() <= most:
+        once = F.broadcast(once)
+    named = steps.join(once, steps["tool"] == once["__raw"], "left")
+    return named.withColumn("tool", F.coalesce("__canonical", "tool")).drop("__raw", "__canonical")
+
+
 def forms(names: DataFrame) -> DataFrame:
     """(name) -> (id, name, form), ids in order of the names, which one task gives out: a few bytes a name."""
     from pyspark.sql import Window

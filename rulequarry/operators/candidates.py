@@ -54,15 +54,19 @@ def similarity(vectors: DataFrame) -> DataFrame:
     return a.join(b, ["type", "term"]).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
 
 
-def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id), (a, b) -> id, cluster: the least id that each reaches; lineage is cut each round in the checkpoint folder."""
-    spark = nodes.sparkSession
+def checkpoint_dir(spark) -> None:
+    """The folder that the session names must be shared; only where all tasks run in one process is one made if it is unset."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rulequarry-"))
+
+
+def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id), (a, b) -> id, cluster: the least id that each reaches; lineage is cut each round in the checkpoint folder."""
+    checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     now = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
     while True:

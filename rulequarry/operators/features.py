@@ -21,6 +21,28 @@ def tool_sequence() -> Column:
     return F.expr(f"transform({TOOL_STEPS}, s -> s.tool)")
 
 
+#: Modes of sampling: everything; a share; errors and a share of the rest; also slow traces and those of a known segment.
+SAMPLING = ("none", "rate", "tail_on_error", "adaptive")
+
+
+def sampled(mode: str, rate: float = 1.0, keep_errors: bool = True, keep_segments: bool = True, slow_ms: int = 1000) -> Column:
+    """Whether a trace stays; a share is drawn by its id, so the same ids stay everywhere."""
+    from rulequarry.functions.text import sampling_roll
+
+    if mode not in SAMPLING:
+        raise ValueError(f"unknown mode of sampling: {mode}")
+    if mode == "none":
+        return F.lit(True)
+    kept = F.lit(rate >= 1) if rate >= 1 or rate <= 0 else sampling_roll("trace_id") < rate
+    if keep_errors:
+        kept = kept | F.expr(f"exists({TOOL_STEPS}, s -> coalesce(nullif(s.result_status, ''), 'success') <> 'success')")
+    if mode == "adaptive":
+        kept = kept | F.expr(f"exists({TOOL_STEPS}, s -> coalesce(s.latency_ms, 0) >= {slow_ms})")
+        if keep_segments:
+            kept = kept | F.col("segment").isNotNull()
+    return kept
+
+
 def user_tokens(text: str) -> Column:
     """Distinct lower-case words of three characters or more."""
     return F.expr(f"array_distinct(regexp_extract_all(lower({text}), '[a-z][a-z0-9_]{{2,}}', 0))")

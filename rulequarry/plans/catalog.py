@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulequarry.plans import checking, extras, mine, mining, operations, patterns, projection, reports, scoring, text, verification  # noqa: F401
+from rulequarry.plans import checking, extras, mine, mining, operations, patterns, payloads, projection, reports, scoring, store, text, verification  # noqa: F401
 from rulequarry.plans.registry import ORACLES, QUERIES
 
 

@@ -129,16 +129,20 @@ _SAID = {
 _QUOTED = {k: (a.replace("'", "''"), b) for k, (a, b) in _SAID.items()}
 
 
+#: The calls that a failed check is about, by rule.
+_HITS = {
+    "r01": "tool = 'purchase'", "r02": "tool = 'purchase'", "r04": "tool NOT IN ('click', 'purchase', 'signup', 'view')", "r05": "(contains(lower(tool), 'sign') OR contains(lower(tool), 'delete'))", "r06": "tool = 'view' AND latency_ms > 2500",
+    "r07": "tool = 'click' AND status <> 'success'", "r12": "tool = 'view' AND status <> 'success'", "r08": "tool IN ('view', 'signup')", "r09": "tool = 'signup'",
+}
+
+
 @query(f"""{RESULTS},
-hits AS (
-  SELECT s.trace_id, r.rule_id, s.ti, s.tool FROM st s JOIN results r USING (trace_id) WHERE r.outcome IN ('fail', 'warn') AND (
-    (rule_id = 'r01' AND tool = 'purchase') OR (rule_id = 'r02' AND tool = 'purchase') OR (rule_id = 'r04' AND tool NOT IN ('click', 'purchase', 'signup', 'view')) OR
-    (rule_id = 'r05' AND (contains(lower(tool), 'sign') OR contains(lower(tool), 'delete'))) OR (rule_id = 'r06' AND tool = 'view' AND latency_ms > 2500) OR
-    (rule_id = 'r07' AND tool = 'click' AND status <> 'success') OR (rule_id = 'r12' AND tool = 'view' AND status <> 'success') OR
-    (rule_id = 'r08' AND tool IN ('view', 'signup')) OR (rule_id = 'r09' AND tool = 'signup'))),
-h AS (SELECT trace_id, rule_id, string_agg(CAST(ti + 1 AS VARCHAR), ',' ORDER BY ti) AS affected, count(*) AS n_affected, CAST(min(ti) + 1 AS VARCHAR) AS first_step, arg_min(tool, ti) AS first_tool FROM hits GROUP BY ALL),
-v AS (SELECT r.trace_id, r.rule_id, r.outcome, coalesce(h.affected, '') AS affected, CASE WHEN r.rule_id = 'r06' THEN CAST(w.worst AS BIGINT) END AS worst, coalesce(n_affected, 0) AS n_affected, first_step, first_tool, len(tools) AS n_tools
-  FROM results r JOIN tr USING (trace_id) LEFT JOIN h USING (trace_id, rule_id) LEFT JOIN (SELECT trace_id, max(latency_ms) AS worst FROM st WHERE tool = 'view' GROUP BY ALL) w USING (trace_id) WHERE r.outcome IN ('fail', 'warn'))
+bad AS MATERIALIZED (SELECT trace_id, rule_id, outcome FROM results WHERE outcome IN ('fail', 'warn')),
+hits AS MATERIALIZED ({' UNION ALL '.join(f"SELECT s.trace_id, '{k}' AS rule_id, s.ti, s.tool FROM (SELECT trace_id, ti, tool FROM st WHERE {v}) s JOIN (SELECT trace_id FROM bad WHERE rule_id = '{k}') b ON b.trace_id = s.trace_id" for k, v in _HITS.items())}),
+h AS MATERIALIZED (SELECT trace_id, rule_id, string_agg(CAST(ti + 1 AS VARCHAR), ',' ORDER BY ti) AS affected, count(*) AS n_affected, CAST(min(ti) + 1 AS VARCHAR) AS first_step, arg_min(tool, ti) AS first_tool FROM hits GROUP BY trace_id, rule_id),
+w AS MATERIALIZED (SELECT trace_id, max(latency_ms) AS worst FROM st WHERE tool = 'view' GROUP BY trace_id),
+v AS (SELECT r.trace_id, r.rule_id, r.outcome, coalesce(h.affected, '') AS affected, CASE WHEN r.rule_id = 'r06' THEN CAST(w.worst AS BIGINT) END AS worst, coalesce(h.n_affected, 0) AS n_affected, h.first_step, h.first_tool, len(tr.tools) AS n_tools
+  FROM bad r JOIN tr ON tr.trace_id = r.trace_id LEFT JOIN h ON h.trace_id = r.trace_id AND h.rule_id = r.rule_id LEFT JOIN w ON w.trace_id = r.trace_id)
 SELECT trace_id, rule_id, outcome, affected, worst, CASE rule_id {' '.join(f"WHEN '{k}' THEN '{a}'" for k, (a, _) in _QUOTED.items())} END AS expected,
   CASE rule_id {' '.join(f"WHEN '{k}' THEN {b}" for k, (_, b) in _QUOTED.items())} END AS observed FROM v""")
 def violation_details(spark, sf_dir):
@@ -203,13 +207,6 @@ def root_cause_hint(spark, sf_dir):
     return root_cause_inputs(spark, sf_dir).filter("failing IS NOT NULL").select("rule_id", F.format_string("Rule %s fails on trace %s in segment %s", "rule_id", "failing", "segment").alias("hint"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['rule_id']}', {str(r['rule_id'] not in ('r14',)).lower()})" for r in RULES) + ") t(rule_id, valid)")
-def params_validity(spark, sf_dir):
-    from rulequarry.schema import params_valid
-
-    return rules_table(spark).select("rule_id", params_valid().alias("valid"))
-
-
 _PACK = f"""{SUMMARY}, whole AS (SELECT rule_id, sum(passed) AS passed, sum(passed + failed + warned) AS applicable FROM counts GROUP BY rule_id), n AS (SELECT count(*) AS n FROM tr),
 fit AS (SELECT rule_id, applicable / n AS app, CASE WHEN applicable > 0 THEN passed / applicable ELSE 0.0 END AS rate FROM whole, n)"""
 
@@ -225,15 +222,3 @@ def pack_autofit(spark, sf_dir):
     out = whole.crossJoin(F.broadcast(n)).select("rule_id", (F.col("applicable") / F.col("n")).alias("applicability"), rate.alias("pass_rate"))
     out = out.withColumn("fit", F.round(F.lit(0.4) * F.col("applicability") + F.lit(0.6) * F.col("pass_rate"), 6))
     return out.withColumn("status", F.when(F.col("fit") >= 0.85, "active").when(F.col("fit") >= 0.6, "pending").otherwise("rejected"))
-
-
-@query("""SELECT rule_id, type, status, n FROM (SELECT 'x' AS rule_id, 'x' AS type, 'x' AS status, 0 AS n) WHERE false
-UNION ALL SELECT rule_id, type, 'pending', CAST(row_number() OVER (ORDER BY rule_id) AS INTEGER) FROM (VALUES """ + ", ".join(f"('{r['rule_id']}', '{r['type']}')" for r in RULES if r["rule_id"] != "r14") + ") t(rule_id, type)")
-def pack_install(spark, sf_dir):
-    """Valid rules of a pack, numbered, as pending."""
-    from pyspark.sql import Window
-
-    from rulequarry.schema import params_valid
-
-    kept = rules_table(spark).filter(params_valid())
-    return kept.select("rule_id", "type", F.lit("pending").alias("status"), F.row_number().over(Window.orderBy("rule_id")).alias("n"))

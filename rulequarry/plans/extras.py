@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 
 from rulequarry.functions import text as T
 from rulequarry.operators import checks
-from rulequarry.plans.checking import RESULTS, RULES, rules_table
+from rulequarry.plans.checking import RESULTS, rules_table
 from rulequarry.plans.projection import SHAPED, shaped
 from rulequarry.plans.registry import query
 from rulequarry.plans.text import _FORMS, _TOK, _TRI, _names
 from rulequarry.operators import aliases
-from rulequarry.sources.views import EVENTS, event_traces
-
-
-@query("SELECT s.status, t.type, count(r.rule_id) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) s(status) CROSS JOIN (VALUES ('ordering'), ('state'), ('negative')) t(type) LEFT JOIN (VALUES " + ", ".join(f"('{r['rule_id']}', '{r['type']}', '{r['severity']}')" for r in RULES) + ") r(rule_id, type, severity) ON r.severity = s.status AND r.type = t.type GROUP BY ALL")
-def rule_counts(spark, sf_dir):
-    """Rules by severity and type, with zeros."""
-    every = spark.createDataFrame([(s, t) for s in ("low", "medium", "high", "critical") for t in ("ordering", "state", "negative")], "status string, type string")
-    n = rules_table(spark).groupBy(F.col("severity").alias("status"), "type").agg(F.count("*").alias("n"))
-    return every.join(n, ["status", "type"], "left").select("status", "type", F.coalesce("n", F.lit(0)).alias("n"))
+from rulequarry.sources.views import EVENTS, event_traces, table
 
 
 @query(f"""{RESULTS} SELECT CAST(t.started_at AS DATE) AS day, r.rule_id, count(*) AS n, avg(CASE WHEN r.outcome = 'pass' THEN 1.0 ELSE 0.0 END) AS pass_rate FROM results r JOIN tr t USING (trace_id) WHERE r.outcome <> 'not_applicable' GROUP BY ALL""")
@@ -36,13 +28,6 @@ def stream_fingerprint_counts(spark, sf_dir):
     return shaped(spark, sf_dir).groupBy("session_id", "fingerprint").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {EVENTS} SELECT trace_id, list_transform(tools, lambda t: substr(t, 1, 3)) [1:25] AS tools, len(tools) > 25 AS cut FROM tr""".replace(" [1:25]", "[1:25]").replace("list_transform(tools, lambda t: substr(t, 1, 3))[1:25] AS tools", "array_to_string((list_transform(tools, lambda t: substr(t, 1, 3)))[1:25], ',') AS tools"))
-def step_compaction(spark, sf_dir):
-    """At most 25 steps of a trace, names cut to three characters."""
-    names = F.expr("transform(filter(steps, s -> s.type = 'tool_call'), s -> substring(s.tool, 1, 3))")
-    return event_traces(spark, sf_dir).select("trace_id", F.array_join(F.slice(names, 1, 25), ",").alias("tools"), (F.size(names) > 25).alias("cut"))
-
-
 _NEXT = f"{_FORMS}, t AS (SELECT x.name AS a, y.name AS b, x.form AS fa, y.form AS fb FROM r x JOIN r y ON y.id = x.id + 1)"
 
 
@@ -66,4 +51,5 @@ def trigram_cosine(spark, sf_dir):
 def synthetic_booking_agent(spark, sf_dir):
     from rulequarry.sources.generate import booking_agent
 
-    return booking_agent(spark, 240).select("trace_id", "segment", F.size("steps").alias("n_steps"))
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return booking_agent(ids).select("trace_id", "segment", F.size("steps").alias("n_steps"))

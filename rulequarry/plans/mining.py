@@ -23,11 +23,6 @@ def mine_repertoire(spark, sf_dir):
     return per_tool.crossJoin(F.broadcast(n)).select("tool", "n_traces", ((F.col("n_traces") >= least) & (F.col("n") >= 30)).alias("allowed"))
 
 
-@query("SELECT * FROM (VALUES ('delete', 'critical', 'destructive'), ('drop', 'critical', 'destructive'), ('refund', 'high', 'payments')) t(pattern, severity, category)")
-def mine_denylist(spark, sf_dir):
-    return spark.createDataFrame([("delete", "critical", "destructive"), ("drop", "critical", "destructive"), ("refund", "high", "payments")], "pattern string, severity string, category string")
-
-
 @query(f"""WITH {EVENTS}, p AS (SELECT tool, quantile_cont(CAST(latency_ms AS DOUBLE), 0.99) AS p99, count(*) AS samples FROM st GROUP BY tool HAVING count(*) >= 20),
 t AS (SELECT *, CAST(ceil(p99 / 50) * 50 AS BIGINT) AS threshold FROM p)
 SELECT tool, round(p99, 6) AS p99, samples, threshold, avg(CASE WHEN latency_ms <= threshold THEN 1.0 ELSE 0.0 END) AS within_rate FROM t JOIN st USING (tool) GROUP BY ALL""")
@@ -327,16 +322,28 @@ def bh_fdr(spark, sf_dir):
 CHI2_01 = {1: 6.63, 2: 9.21, 3: 11.34, 4: 13.28, 5: 15.09, 6: 16.81, 7: 18.48, 8: 20.09, 9: 21.67, 10: 23.21, 15: 30.58, 20: 37.57, 25: 44.31, 30: 50.89}
 
 
-@query("""SELECT CAST(df AS BIGINT) AS df, round(CASE WHEN df > 30 THEN df * pow(1 - 2 / (9 * CAST(df AS DOUBLE)) + CAST(2.326348 AS DOUBLE) * sqrt(2 / (9 * CAST(df AS DOUBLE))), 3) ELSE lo + (hi - lo) * (df - a) / greatest(1, b - a) END, 6) AS critical FROM (
-  SELECT df, (SELECT max(k) FROM t WHERE k <= df) AS a, coalesce((SELECT min(k) FROM t WHERE k >= df), 30) AS b, CAST((SELECT arg_max(v, k) FROM t WHERE k <= df) AS DOUBLE) AS lo, CAST(coalesce((SELECT arg_min(v, k) FROM t WHERE k >= df), 50.89) AS DOUBLE) AS hi
-  FROM range(1, 61) r(df)) FROM_T""".replace("FROM_T", "x").replace("SELECT CAST(df", "WITH t(k, v) AS (VALUES (1, 6.63), (2, 9.21), (3, 11.34), (4, 13.28), (5, 15.09), (6, 16.81), (7, 18.48), (8, 20.09), (9, 21.67), (10, 23.21), (15, 30.58), (20, 37.57), (25, 44.31), (30, 50.89)) SELECT CAST(df", 1))
+_POINTS = "(1, 6.63), (2, 9.21), (3, 11.34), (4, 13.28), (5, 15.09), (6, 16.81), (7, 18.48), (8, 20.09), (9, 21.67), (10, 23.21), (15, 30.58), (20, 37.57), (25, 44.31), (30, 50.89)"
+
+
+@query(f"""WITH t(k, v) AS (VALUES {_POINTS}), x AS (SELECT p_brand AS brand, greatest(1, (count(DISTINCT p_size) - 1) * (count(DISTINCT p_type) - 1)) AS df FROM part GROUP BY ALL
+  UNION ALL SELECT 'nation ' || s_nationkey, count(*) FROM supplier GROUP BY ALL),
+lo AS (SELECT brand, df, max(k) AS a, arg_max(v, k) AS va FROM x JOIN t ON k <= df GROUP BY ALL), hi AS (SELECT brand, min(k) AS b, arg_min(v, k) AS vb FROM x JOIN t ON k >= df GROUP BY ALL)
+SELECT brand, df, round(CASE WHEN df > 30 THEN df * pow(1 - 2 / (9 * CAST(df AS DOUBLE)) + CAST(2.326348 AS DOUBLE) * sqrt(2 / (9 * CAST(df AS DOUBLE))), 3)
+  ELSE CAST(va AS DOUBLE) + (CAST(vb AS DOUBLE) - CAST(va AS DOUBLE)) * (df - a) / greatest(1, b - a) END, 6) AS critical FROM lo LEFT JOIN hi USING (brand)""")
 def chi2_critical(spark, sf_dir):
+    """The 1% points for the degrees of freedom of each brand's table of sizes by types, and of as many as a nation has suppliers."""
+    part = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.greatest(F.lit(1), (F.countDistinct("p_size") - 1) * (F.countDistinct("p_type") - 1)).alias("df"))
+    nations = table(spark, sf_dir, "supplier").groupBy(F.format_string("nation %d", "s_nationkey").alias("brand")).agg(F.count("*").alias("df"))
+    return part.unionByName(nations).select("brand", "df", F.round(chi2_point("df"), 6).alias("critical"))
+
+
+def chi2_point(df: str):
     """The 1% point by degrees of freedom: table values, linear between them, Wilson and Hilferty's formula above 30."""
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in CHI2_01.items()])
-    df = spark.range(1, 61).select(F.col("id").alias("df")).withColumns({"lo": F.element_at(F.filter(known, lambda t: t["k"] <= F.col("df")), -1), "hi": F.coalesce(F.get(F.filter(known, lambda t: t["k"] >= F.col("df")), F.lit(0)), F.element_at(known, -1))})
-    high = F.expr("df * pow(1 - 2 / (9 * CAST(df AS double)) + 2.326348D * sqrt(2 / (9 * CAST(df AS double))), 3)")
-    low = F.expr("lo.v + (hi.v - lo.v) * (df - lo.k) / greatest(1, hi.k - lo.k)")
-    return df.select("df", F.round(F.when(F.col("df") > 30, high).otherwise(low), 6).alias("critical"))
+    n = F.col(df)
+    low, high = F.element_at(F.filter(known, lambda t: t["k"] <= n), -1), F.coalesce(F.get(F.filter(known, lambda t: t["k"] >= n), F.lit(0)), F.element_at(known, -1))
+    root = F.lit(2.0) / (F.lit(9.0) * n)
+    return F.when(n > 30, n * F.pow(F.lit(1.0) - root + F.lit(2.326348) * F.sqrt(root), F.lit(3))).otherwise(low["v"] + (high["v"] - low["v"]) * (n - low["k"]) / F.greatest(F.lit(1), high["k"] - low["k"]))
 
 
 @query(f"WITH {EVENTS} SELECT segment, tool, count(*) AS calls, count(DISTINCT trace_id) AS n_traces, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.99), 6) AS p99, avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END) AS rate FROM st GROUP BY ALL")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rulequarry.functions import text as T
 from rulequarry.operators import features
-from rulequarry.plans.checking import rules_table, RULES
 from rulequarry.plans.registry import query
 from rulequarry.sources.views import EVENTS, event_steps, event_traces, table
 
@@ -57,52 +56,6 @@ def user_tokens(spark, sf_dir):
     return docs.select(F.explode(features.user_tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(substr(text, 1, 200)), '\\s+')) AS raw FROM documents),
-  LATERAL (SELECT regexp_replace(raw, '[^a-z0-9_]', '', 'g') AS token) WHERE length(token) >= 3 GROUP BY doc_id, token""")
-def user_tokens_clustering(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.substring("text", 1, 200)), r"\s+")).alias("raw"))
-    return docs.select("doc_id", F.regexp_replace("raw", "[^a-z0-9_]", "").alias("token")).filter("length(token) >= 3").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(string_split_regex(lower(substr(text, 1, 400)), '\\s+')) AS raw FROM documents),
-  LATERAL (SELECT regexp_replace(raw, '[^a-z0-9_]', '', 'g') AS token) WHERE token <> ''""")
-def user_tokens_verification_head(spark, sf_dir):
-    """user_tokens_verification of the first 400 characters, with the SQL of those."""
-    return _verification_tokens(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text")))
-
-
-@query()
-def user_tokens_verification(spark, sf_dir):
-    """Distinct tokens of whole texts, split at white space."""
-    return _verification_tokens(table(spark, sf_dir, "documents"))
-
-
-def _verification_tokens(docs):
-    raw = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
-    return raw.select("doc_id", F.regexp_replace("raw", "[^a-z0-9_]", "").alias("token")).filter("token <> ''").distinct()
-
-
-@query("""SELECT rule_id, type, severity FROM (VALUES """ + ", ".join(f"('{r['rule_id']}', '{r['type']}', '{r['severity']}')" for r in RULES) + """) t(rule_id, type, severity)
-WHERE severity IN ('high', 'critical') AND type <> 'state'""")
-def rule_filter(spark, sf_dir):
-    from rulequarry.schema import SEVERITY, severity_rank
-
-    return rules_table(spark).filter((severity_rank("severity") >= SEVERITY["high"]) & (F.col("type") != "state")).select("rule_id", "type", "severity")
-
-
-@query("""SELECT rule_id, 'holds(trace, ''' || substr(type || ' rule ' || rule_id, 1, 120) || ''')' AS formal_rule FROM (VALUES """ + ", ".join(f"('{r['rule_id']}', '{r['type']}')" for r in RULES) + ") t(rule_id, type)")
-def formal_rule_fallback(spark, sf_dir):
-    given = rules_table(spark).withColumn("formal_rule", F.lit("  "))
-    return given.select("rule_id", F.coalesce(F.expr("nullif(trim(formal_rule), '')"), F.concat(F.lit("holds(trace, '"), F.substring("description", 1, 120), F.lit("')"))).alias("formal_rule"))
-
-
-@query(f"WITH {EVENTS} SELECT trace_id, array_to_string(list_transform(tools, lambda t: CASE t WHEN 'view' THEN 'browse' WHEN 'click' THEN 'browse' ELSE t END), '>') AS tools FROM tr")
-def alias_apply(spark, sf_dir):
-    """Tool names replaced by the names that they are aliases of; a small map, applied in place."""
-    aliases = F.create_map(F.lit("view"), F.lit("browse"), F.lit("click"), F.lit("browse"))
-    return event_traces(spark, sf_dir).select("trace_id", F.array_join(F.transform(features.tool_sequence(), lambda t: F.coalesce(aliases[t], t)), ">").alias("tools"))
-
-
 @query(f"WITH {EVENTS} SELECT trace_id, started_at FROM tr WHERE version = 'v2' AND segment = 'EU' ORDER BY started_at DESC, trace_id LIMIT 100")
 def trace_scan_recent(spark, sf_dir):
     first = event_steps(spark, sf_dir).filter("version = 'v2' AND segment = 'EU'").groupBy("trace_id").agg(F.min("ts").alias("started_at"))
@@ -151,14 +104,6 @@ def alias_table_replace(spark, sf_dir):
     return replace_where(old, new, F.col("s_nationkey") == 3).select("k", "name")
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT trace_id, started_at, ('0x' || substr(sha1(trace_id), 1, 8))::BIGINT / CAST(4294967295 AS DOUBLE) AS roll, list_contains(statuses, 'error') AS bad FROM tr)
-SELECT trace_id, bad OR roll < CAST(0.25 AS DOUBLE) AS kept FROM r""")
-def sample_traces(spark, sf_dir):
-    """A stable sample of traces; those with an error always stay."""
-    bad = F.expr("exists(steps, s -> coalesce(s.result_status, '') = 'error')")
-    return event_traces(spark, sf_dir).select("trace_id", (bad | (T.sampling_roll("trace_id") < 0.25)).alias("kept"))
-
-
 @query(f"WITH {EVENTS} SELECT trace_id, version, segment, len(tools) AS turns, CASE WHEN list_contains(statuses, 'error') THEN 'error' ELSE 'success' END AS status FROM tr")
 def trace_status(spark, sf_dir):
     return event_traces(spark, sf_dir).select(
@@ -166,11 +111,6 @@ def trace_status(spark, sf_dir):
     )
 
 
-@query("SELECT event_id, substr(props, 1, 5) AS head, epoch_us(ts) // 1000000 AS epoch FROM events")
-def value_truncation(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.substring("props", 1, 5).alias("head"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("epoch"))
-
-
 @query(f"WITH {EVENTS} SELECT status, version, count(*) AS n FROM st GROUP BY ALL")
 def status_counts(spark, sf_dir):
     return event_steps(spark, sf_dir).groupBy("status", "version").agg(F.count("*").alias("n"))

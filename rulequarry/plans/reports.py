@@ -11,26 +11,6 @@ from rulequarry.plans.registry import query
 from rulequarry.sources.views import EVENTS, event_steps, event_traces, table
 
 
-@query(f"""{_COMPARE} SELECT CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank, '- [' || verdict || '] ' || rule_id || ': ' || CAST(CAST(floor(b_pass_rate * 100) AS BIGINT) AS VARCHAR) || '% -> ' || CAST(CAST(floor(c_pass_rate * 100) AS BIGINT) AS VARCHAR) || '%' AS line FROM judged""")
-def pr_report_lines(spark, sf_dir):
-    from rulequarry.schema import severity_rank
-
-    pct = lambda c: F.floor(F.col(c) * 100).cast("string")
-    rows = regression_compare(spark, sf_dir)
-    return rows.select(severity_rank("severity").alias("rank"), F.concat(F.lit("- ["), "verdict", F.lit("] "), "rule_id", F.lit(": "), pct("b_pass_rate"), F.lit("% -> "), pct("c_pass_rate"), F.lit("%")).alias("line")).orderBy(F.desc("rank"), "line")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['rule_id']}', '    - type: {'not-contains-any' if r['type'] == 'negative' else 'javascript'}' || chr(10) || '      description: {r['description']}')" for r in RULES) + ") t(rule_id, line)")
-def export_lines(spark, sf_dir):
-    kind = F.when(F.col("type") == "negative", "not-contains-any").otherwise("javascript")
-    return rules_table(spark).select("rule_id", F.concat(F.lit("    - type: "), kind, F.lit("\n      description: "), T.yaml_escape("description")).alias("line"))
-
-
-@query("SELECT type, '# ' || type || ': ' || CAST(count(*) AS VARCHAR) || ' rules' AS header FROM (VALUES " + ", ".join(f"('{r['type']}')" for r in RULES) + ") t(type) GROUP BY type")
-def export_headers(spark, sf_dir):
-    return rules_table(spark).groupBy("type").agg(F.count("*").alias("n")).select("type", F.concat(F.lit("# "), "type", F.lit(": "), F.col("n").cast("string"), F.lit(" rules")).alias("header"))
-
-
 _BOUNDS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 60000)
 
 
@@ -154,13 +134,3 @@ def version_diff(spark, sf_dir):
 @query(f"{_DIFF} SELECT segment, (len(list_filter(b, lambda x: NOT list_contains(a, x))) + len(list_filter(a, lambda x: NOT list_contains(b, x)))) / CAST(len(a) AS DOUBLE) > CAST(0.3 AS DOUBLE) AS breaking FROM v")
 def version_breaking(spark, sf_dir):
     return _diff(spark, sf_dir).select("segment", ((F.size(F.array_except("b", "a")) + F.size(F.array_except("a", "b"))) / F.size("a") > 0.3).alias("breaking"))
-
-
-@query("SELECT * FROM (VALUES ('payments_v1', 'payments_v2'), ('refund_order', 'refund_orders')) t(old_name, new_name)")
-def version_renames(spark, sf_dir):
-    """Removed tools matched one to one with added ones of a close canonical form, nearest first in order of names."""
-    from rulequarry.operators.versions import renames
-
-    old = spark.createDataFrame([("payments_v1",), ("refund_order",), ("abc",), ("search_flights",)], "name string")
-    new = spark.createDataFrame([("payments_v2",), ("refund_orders",), ("abd",), ("book_hotel",)], "name string")
-    return renames(old, new)

@@ -90,14 +90,6 @@ def redact_text(spark, sf_dir):
     return docs.select("doc_id", F.md5("clean").alias("digest"), F.contains("clean", F.lit("[redacted:")).alias("changed"))
 
 
-@query("""SELECT event_id, '{"user": {"' || CASE WHEN event_id % 2 = 0 THEN 'Password": "[redacted:blocked_field]"' ELSE 'note": ' || props END || ', "id": ' || event_id || '}, "' ||
-  CASE WHEN event_id % 3 = 0 THEN 'credentials": "[redacted:blocked_field]"' ELSE 'tokens": ["a", "b"]' END || '}' AS value FROM events""")
-def redact_fields(spark, sf_dir):
-    """Values of blocked keys replaced, by key name, in nested JSON."""
-    user = F.expr("""concat('{"user": {"', IF(event_id % 2 = 0, concat('Password": "a, \\\\"b\\\\" ', event_id, '"'), concat('note": ', props)), ', "id": ', event_id, '}, "', IF(event_id % 3 = 0, 'credentials": {"x": [1, 2]}', 'tokens": ["a", "b"]'), '}')""")
-    return table(spark, sf_dir, "events").select("event_id", T.redact_fields(user).alias("value"))
-
-
 @query("SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS key FROM benchmark")
 def dedup_key(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.dedup_key("text").alias("key"))

@@ -29,19 +29,6 @@ def fol_verify(spark, sf_dir):
     return V.verify(event_traces(spark, sf_dir), rules)
 
 
-@query("""SELECT * FROM (VALUES ('r01', true, 'purchase'), ('r02', true, 'purchase'), ('r03', true, ''), ('r05', true, 'Sign'), ('r06', true, 'view'), ('r07', true, 'click'), ('r08', true, 'purchase>signup'), ('r09', true, 'signup'), ('r12', true, 'view')) t(rule_id, violable, counterexample)""")
-def bounded_counterexample(spark, sf_dir):
-    """The smallest trace over a rule's tools that violates it; up to two calls decide every template."""
-    return V.counterexamples(rules_table(spark).filter("type IN ('ordering', 'composition', 'conditional', 'negative', 'statistical', 'state', 'tool_selection') AND rule_id NOT IN ('r04', 'r10', 'r11')"))
-
-
-@query("""SELECT * FROM (VALUES ('r01', 'fail'), ('r02', 'fail'), ('r03', 'fail'), ('r05', 'fail'), ('r06', 'warn'), ('r07', 'fail'), ('r08', 'fail'), ('r09', 'fail'), ('r12', 'fail')) t(rule_id, outcome)""")
-def synth_violation(spark, sf_dir):
-    """Traces made of the counterexamples, checked by the rules that they are to violate."""
-    rules = rules_table(spark).filter("type IN ('ordering', 'composition', 'conditional', 'negative', 'statistical', 'state', 'tool_selection') AND rule_id NOT IN ('r04', 'r10', 'r11')")
-    return V.checked_counterexamples(rules)
-
-
 @query(f"{SUMMARY}, w AS (SELECT rule_id, sum(passed) AS p, sum(failed + warned) AS f FROM counts GROUP BY rule_id) SELECT rule_id, CAST(p + f AS BIGINT) AS checked, CAST(f AS BIGINT) AS violations, CASE WHEN p + f = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(p AS DOUBLE) / (p + f) END AS empirical FROM w")
 def certificate_evidence(spark, sf_dir):
     from rulequarry.operators import regress

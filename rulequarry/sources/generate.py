@@ -33,9 +33,9 @@ def _traces(rows: DataFrame, steps: Column) -> DataFrame:
     )
 
 
-def booking_agent(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """Traces of a booking agent: validation and session first, a refund branch, else a booking with a payment tool that follows the segment."""
-    rows = spark.range(n).withColumns({"r": _roll(seed, F.col("id"), 1), "segment": F.element_at(F.array(F.lit("us"), F.lit("eu"), F.lit("jp")), F.floor(_roll(seed, F.col("id"), 2) * 3).cast("int") + 1)})
+def booking_agent(ids: DataFrame, seed: int = 7) -> DataFrame:
+    """A trace of a booking agent for each id: validation and session first, a refund branch, else a booking with a payment tool that follows the segment."""
+    rows = ids.select("id").withColumns({"r": _roll(seed, F.col("id"), 1), "segment": F.element_at(F.array(F.lit("us"), F.lit("eu"), F.lit("jp")), F.floor(_roll(seed, F.col("id"), 2) * 3).cast("int") + 1)})
     refund = F.col("r") < 0.15
     text = F.when(refund, "I need a refund for my order").otherwise(F.element_at(F.array(*[F.lit(t) for t in ("Book a flight to Lisbon", "Find me a cheap hotel", "Reserve two seats")]), F.floor(F.col("r") * 3).cast("int") + 1))
     pay = F.when(F.col("segment") == "eu", "payments_v2").otherwise("payments_v1")
