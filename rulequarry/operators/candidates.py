@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulequarry.functions.text import clarity
+from rulequarry.functions.text import clarity, dedup_key
+from rulequarry.schema import params_valid
 
 REJECT, REVIEW = 0.6, 0.8
 
@@ -24,9 +27,9 @@ STOP = (
     "the", "a", "an", "is", "are", "always", "never", "before", "after", "agent", "trace", "must", "this", "that", "with", "and", "or", "of",
     "to", "for", "from", "has", "have", "be", "been", "if", "when", "then", "as", "at", "by", "on", "in", "it", "its", "into",
 )
-#: Pairs of words count from this mean number of words of a type's descriptions on; the weight of character trigrams.
+#: Pairs of words count from this mean number of words of a type's descriptions on; the weight of character trigrams.
 BIGRAMS_FROM, TRIGRAM_WEIGHT = 8, 0.4
-#: Parameters that must agree where two candidates both have them.
+#: Fixed names of parameters that must agree where two candidates both have them.
 SHARED_KEYS = ("tool_a", "tool_b", "tool", "keyword", "metric", "terminator_tool", "upstream_tool", "downstream_tool", "expected_tool", "segment", "feature")
 MAX_EVIDENCE = 100
 
@@ -79,25 +82,95 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
-def compatible(a: str, b: str) -> Column:
-    """Whether two maps of parameters agree on every key of SHARED_KEYS that both have."""
-    keys = ", ".join(f"'{k}'" for k in SHARED_KEYS)
-    return F.expr(f"forall(coalesce(map_keys({a}), array()), k -> k NOT IN ({keys}) OR try_element_at({b}, k) IS NULL OR try_element_at({b}, k) = {a}[k])")
+def _param(rows: DataFrame, key: str) -> Column:
+    """A parameter of the column params, a map or a struct, as text."""
+    kind = rows.schema["params"].dataType
+    if kind.typeName() == "map":
+        return F.try_element_at("params", F.lit(key))
+    return F.col(f"params.{key}") if key in kind.names else F.lit(None).cast("string")
 
 
 def clusters(rows: DataFrame, pairs: DataFrame, least: float = 0.7) -> DataFrame:
-    """(item_id, params), (a, b, cosine) -> item_id, cluster: candidates that are close and whose parameters agree, and what these lead to."""
+    """(item_id), (a, b, cosine) -> item_id, cluster: candidates that are close, and what these lead to."""
     near = pairs.filter(F.col("cosine") >= least)
-    near = near.join(rows.select(F.col("item_id").alias("a"), F.col("params").alias("pa")), "a").join(rows.select(F.col("item_id").alias("b"), F.col("params").alias("pb")), "b").filter(compatible("pa", "pb"))
     return label_components(rows.select(F.col("item_id").alias("id")), near.select("a", "b")).withColumnRenamed("id", "item_id")
 
 
+def agreeing(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_id, params), (item_id, cluster) -> item_id, cluster: a cluster in which two members have different values of one of SHARED_KEYS falls apart.
+
+    Every pair of a cluster agrees if no key has two values in it, so this is one aggregate by cluster, without pairs.
+    """
+    joined = rows.select("item_id", *[_param(rows, k).alias(k) for k in SHARED_KEYS]).join(found, "item_id")
+    unlike = reduce(lambda a, b: a | b, [F.coalesce(F.min(k) < F.max(k), F.lit(False)) for k in SHARED_KEYS])
+    apart = joined.groupBy("cluster").agg(unlike.alias("apart"))
+    return found.join(apart, "cluster").select("item_id", F.when(F.col("apart"), F.col("item_id")).otherwise(F.col("cluster")).alias("cluster"))
+
+
 def merged(rows: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One candidate for each cluster: the longest description, the best support and consistency, all parameters, evidence without repeats."""
-    longest = F.max_by("description", F.struct(F.length("description"), -F.col("item_id")))
+    """One candidate for each cluster: the longest description with its type and severity, the best support and consistency, all
+    parameters (each from the last candidate that has it), and the first MAX_EVIDENCE of all evidence in order of the candidates, without repeats.
+
+    rows: item_id, description, support, consistency, track, evidence and, if there are, type, severity and params (a struct).
+    """
+    rows = rows.join(clusters, "item_id")
+    own = [c for c in ("type", "severity") if c in rows.columns]
+    base = F.min_by(F.struct("description", *own), F.struct((-F.length("description")).alias("n"), "item_id"))
     track = F.when(F.min("track") != F.max("track"), "both").otherwise(F.min("track"))
-    every = F.sort_array(F.collect_list(F.struct("item_id", "evidence")))
-    evidence = F.slice(F.array_distinct(F.flatten(F.transform(every, lambda x: x["evidence"]))), 1, MAX_EVIDENCE)
-    return rows.join(clusters, "item_id").groupBy("cluster").agg(
-        longest.alias("description"), F.max("support").alias("support"), F.max("consistency").alias("consistency"), F.count("*").alias("n"), track.alias("track"), evidence.alias("evidence")
-    )
+    aggregates = [base.alias("base"), F.max("support").alias("support"), F.max("consistency").alias("consistency"), F.count("*").alias("n"), track.alias("track")]
+    if "params" in rows.columns and rows.schema["params"].dataType.typeName() == "struct":
+        last = lambda c: F.max_by(f"params.{c}", F.when(F.col(f"params.{c}").isNotNull(), F.col("item_id"))).alias(c)
+        aggregates.append(F.struct(*[last(c) for c in rows.schema["params"].dataType.names]).alias("params"))
+    out = rows.groupBy("cluster").agg(*aggregates)
+    seen = rows.select("cluster", "item_id", F.posexplode("evidence").alias("k", "trace")).groupBy("cluster", "trace").agg(F.min(F.struct("item_id", "k")).alias("at"))
+    first = seen.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("at"))).filter(F.col("r") <= MAX_EVIDENCE)
+    first = first.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "trace"))), lambda x: x["trace"]).alias("evidence"))
+    none = F.array().cast(rows.schema["evidence"].dataType)
+    kept = [c for c in out.columns if c not in ("cluster", "base")]
+    return out.join(first, "cluster", "left").select("cluster", "base.*", *kept, F.coalesce("evidence", none).alias("evidence"))
+
+
+def formalised(rows: DataFrame, reject: float = REJECT, review: float = REVIEW) -> DataFrame:
+    """Candidates (with params as schema.PARAMS) that have valid parameters and aren't rejected, the most certain first.
+
+    Adds clarity, confidence, status, cross_val_bonus (a fifth if both tracks found it), evidence_count (as it came) and formal_rule (made of the
+    description where it is missing); evidence loses repeats and what is over MAX_EVIDENCE.
+    """
+    known = rows.filter(params_valid()).withColumns({"cross_val_bonus": F.when(F.col("track") == "both", 0.2).otherwise(0.0), "evidence_count": F.size("evidence"), "evidence": F.slice(F.array_distinct("evidence"), 1, MAX_EVIDENCE)})
+    said = F.concat(F.lit("holds(trace, '"), F.substring(F.trim("description"), 1, 120), F.lit("')"))
+    formal = F.expr("nullif(trim(formal_rule), '')") if "formal_rule" in rows.columns else F.lit(None).cast("string")
+    known = scored(known.withColumn("formal_rule", F.coalesce(formal, said)))
+    status = F.when(F.col("confidence") < reject, "rejected").when(F.col("confidence") < review, "pending").otherwise("active")
+    return known.withColumns({"description": F.trim("description"), "status": status}).filter("status <> 'rejected'").orderBy(F.desc("confidence"), "description")
+
+
+def deduplicated(rows: DataFrame, order: str = "item_id", most: int = 50) -> DataFrame:
+    """One candidate for each type and normalised description, as batches of suggestions repeat themselves: the first, with support and
+    consistency averaged with each further one in turn, to four places, and the first `most` of all evidence."""
+    own = [c for c in ("severity", "params") if c in rows.columns]
+    every = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), "support", "consistency", "evidence")))
+    first = F.min_by(F.struct("description", *own), F.col(order))
+    grouped = rows.groupBy("type", dedup_key("description").alias("key")).agg(first.alias("first"), every.alias("a"), F.count("*").alias("n"))
+
+    def running(c: str) -> Column:
+        return F.aggregate(F.slice("a", 2, F.size("a")), F.col("a")[0][c], lambda m, x: F.round((m + x[c]) / 2, 4)).alias(c)
+
+    evidence = F.slice(F.array_distinct(F.flatten(F.transform("a", lambda x: x["evidence"]))), 1, most)
+    return grouped.select("type", "key", "first.*", running("support"), running("consistency"), evidence.alias("evidence"), "n")
+
+
+def two_tracks(statistical: DataFrame, suggested: DataFrame) -> DataFrame:
+    """Candidates of both tracks (type, description, support, consistency, severity, params, evidence) -> those that stay, as formalised() gives them.
+
+    Suggestions lose repeats; close candidates of one type whose parameters all agree become one, which counts as found by both tracks if it
+    was; what disagrees stays as it came. An empty second track leaves the first as it is.
+    """
+    columns = ["type", "description", "support", "consistency", "severity", "params", "evidence"]
+    once = deduplicated(suggested.withColumn("item_id", F.struct("description", "severity")))
+    rows = statistical.select(*columns, F.lit("statistical").alias("track")).unionByName(once.select(*columns, F.lit("suggested").alias("track")))
+    first = F.when(F.col("track") == "statistical", "0").otherwise("1")
+    checkpoint_dir(statistical.sparkSession)
+    # the miners run once, not once for each use of their candidates
+    rows = rows.withColumn("item_id", F.concat_ws("|", first, "type", "description")).checkpoint()
+    vectors = tfidf(rows).checkpoint()
+    return formalised(merged(rows, agreeing(rows, clusters(rows, similarity(vectors)))))

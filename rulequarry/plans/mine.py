@@ -11,6 +11,7 @@ from rulequarry.operators import candidates
 from rulequarry.plans import mining, patterns
 from rulequarry.plans.registry import ORACLES, query
 from rulequarry.plans.scoring import clarity_sql
+from rulequarry.schema import PARAMS
 
 _D = "CAST({} AS DOUBLE)"
 _ALL = f"""WITH found AS (
@@ -25,25 +26,29 @@ s AS (SELECT *, CAST(round(CAST({_D.format(0.4)} * support + {_D.format(0.3)} *
 
 
 def union_of_miners(spark, sf_dir) -> DataFrame:
-    """type, description, support, consistency, severity, track of every candidate that the miners keep."""
+    """type, description, support, consistency, severity, params, evidence, track of every candidate that the miners keep."""
     said = lambda *parts: F.concat(*[F.lit(p) if k % 2 == 0 else F.col(p).cast("string") for k, p in enumerate(parts)])
     one = F.lit(1.0)
 
-    def rule(rows, kind, text, support, consistency, severity):
+    fields = [x.split(": ") for x in PARAMS[len("struct<") : -1].split(", ")]
+
+    def rule(rows, kind, text, support, consistency, severity, **params):
         rounded = lambda c: F.round(c if not isinstance(c, str) else F.col(c), 4)
-        return rows.select(F.lit(kind).alias("type"), text.alias("description"), rounded(support).alias("support"), rounded(consistency).alias("consistency"), severity.alias("severity"))
+        made = F.struct(*[params.get(name, F.lit(None)).cast(t).alias(name) for name, t in fields])
+        return rows.select(F.lit(kind).alias("type"), text.alias("description"), rounded(support).alias("support"), rounded(consistency).alias("consistency"), severity.alias("severity"), made.alias("params"))
 
+    col, chain = F.col, F.split("pattern", ">")
     tools = mining.mine_repertoire(spark, sf_dir).filter("allowed").agg(F.array_join(F.sort_array(F.collect_list("tool")), ", ").alias("tools"), F.count("*").alias("n")).filter("n > 0")
     found = [
-        rule(patterns.mine_ordering(spark, sf_dir).filter("kept"), "ordering", said("The agent always calls `", "tool_a", "` before calling `", "tool_b", "`"), "support", "consistency", F.col("severity")),
-        rule(patterns.mine_chains(spark, sf_dir), "ordering", F.col("description"), "support", "support", F.lit("medium")),
-        rule(mining.latency_p99(spark, sf_dir), "statistical", said("Latency of `", "tool", "` stays under ", "threshold", " ms"), one, "within_rate", F.lit("low")),
-        rule(mining.success_rate(spark, sf_dir).filter("kept"), "statistical", said("`", "tool", "` succeeds in 95% of its calls or more"), one, "rate", F.lit("medium")),
-        rule(mining.feature_envelope(spark, sf_dir), "statistical", said("The feature `", "feature", "` stays within its usual range"), one, "within_rate", F.lit("low")),
-        rule(tools, "negative", said("The agent calls only these tools: `", "tools", "`"), one, one, F.lit("high")),
-        rule(mining.mine_conditional(spark, sf_dir), "conditional", said("The agent calls `", "tool", "` when the input mentions `", "keyword", "`"), "lift", "lift", F.lit("medium")),
+        rule(patterns.mine_ordering(spark, sf_dir).filter("kept"), "ordering", said("The agent always calls `", "tool_a", "` before calling `", "tool_b", "`"), "support", "consistency", F.col("severity"), tool_a=col("tool_a"), tool_b=col("tool_b")),
+        rule(patterns.mine_chains(spark, sf_dir), "ordering", F.col("description"), "support", "support", F.lit("medium"), tool_a=chain[0], tool_b=F.element_at(chain, -1), chain=chain),
+        rule(mining.latency_p99(spark, sf_dir), "statistical", said("Latency of `", "tool", "` stays under ", "threshold", " ms"), one, "within_rate", F.lit("low"), metric=F.lit("latency_ms"), tool=col("tool"), threshold=col("threshold")),
+        rule(mining.success_rate(spark, sf_dir).filter("kept"), "statistical", said("`", "tool", "` succeeds in 95% of its calls or more"), one, "rate", F.lit("medium"), metric=F.lit("success_rate"), tool=col("tool"), rate=col("rate")),
+        rule(mining.feature_envelope(spark, sf_dir), "statistical", said("The feature `", "feature", "` stays within its usual range"), one, "within_rate", F.lit("low"), metric=F.lit("feature_envelope"), feature=col("feature"), p1=col("p1"), p99=col("p99")),
+        rule(tools, "negative", said("The agent calls only these tools: `", "tools", "`"), one, one, F.lit("high"), allowed_repertoire=F.split("tools", ", ")),
+        rule(mining.mine_conditional(spark, sf_dir), "conditional", said("The agent calls `", "tool", "` when the input mentions `", "keyword", "`"), "lift", "lift", F.lit("medium"), keyword=col("keyword"), tool=col("tool")),
     ]
-    return reduce(DataFrame.unionByName, found).withColumn("track", F.lit("statistical"))
+    return reduce(DataFrame.unionByName, found).withColumns({"track": F.lit("statistical"), "evidence": F.array().cast("array<string>")})
 
 
 @query(f"{_ALL} SELECT type, description, support, consistency, severity, confidence, CASE WHEN confidence < 0.8 THEN 'pending' ELSE 'active' END AS status FROM s WHERE confidence >= 0.6 ORDER BY confidence DESC, description")

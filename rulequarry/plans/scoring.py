@@ -53,13 +53,18 @@ def triage(spark, sf_dir):
     return candidates.scored(_candidates(spark, sf_dir)).select("item_id", "status")
 
 
-_TFIDF = r"""{0}, wd AS (SELECT item_id, type, list_filter(regexp_extract_all(lower(description), '[a-z][a-z0-9_]+'), lambda t: t NOT IN ('the', 'a', 'an', 'is', 'are', 'always', 'never', 'before', 'after', 'agent', 'trace', 'must', 'this', 'that', 'with', 'and', 'or', 'of',
+def tfidf_sql(cand):
+    """Unit vectors v(item_id, type, term, w) of the candidates c(item_id, type, description) that a WITH clause gives."""
+    return r"""{0}, wd AS (SELECT item_id, type, list_filter(regexp_extract_all(lower(description), '[a-z][a-z0-9_]+'), lambda t: t NOT IN ('the', 'a', 'an', 'is', 'are', 'always', 'never', 'before', 'after', 'agent', 'trace', 'must', 'this', 'that', 'with', 'and', 'or', 'of',
   'to', 'for', 'from', 'has', 'have', 'be', 'been', 'if', 'when', 'then', 'as', 'at', 'by', 'on', 'in', 'it', 'its', 'into')) AS words FROM c),
 n AS (SELECT type, count(*) AS n, avg(len(words)) AS mean FROM wd GROUP BY type),
 ft AS (SELECT item_id, type, n, words || CASE WHEN mean >= 8 THEN ['__bi__' || words[i] || '_' || words[i + 1] FOR i IN range(1, len(words))] ELSE [] END || flatten([['__ch__' || t[i:i + 2] FOR i IN range(1, length(t) - 1)] FOR t IN words]) AS terms FROM wd JOIN n USING (type)),
 tok AS (SELECT item_id, type, n, len(terms) AS len, unnest(terms) AS term FROM ft), tf AS (SELECT item_id, type, n, len, term, count(*) AS c FROM tok GROUP BY ALL), df AS (SELECT type, term, count(*) AS df FROM tf GROUP BY ALL),
 w AS (SELECT tf.item_id, tf.type, tf.term, CAST(c AS DOUBLE) / len * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) * CASE WHEN starts_with(tf.term, '__ch__') THEN CAST(0.4 AS DOUBLE) ELSE 1 END AS w FROM tf JOIN df ON df.type = tf.type AND df.term = tf.term),
-v AS (SELECT item_id, type, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w)""".format(_CAND)
+v AS (SELECT item_id, type, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w)""".format(cand)
+
+
+_TFIDF = tfidf_sql(_CAND)
 
 
 @query(f"{_TFIDF} SELECT item_id, term, round(w, 6) AS weight FROM v")
@@ -75,7 +80,7 @@ def candidate_similarity(spark, sf_dir):
     return candidates.similarity(candidates.tfidf(_candidates(spark, sf_dir)))
 
 
-_CLUSTER = f"""{_SIM.replace('WITH c AS', 'WITH RECURSIVE c AS', 1)}, ok AS (SELECT a, b FROM sim WHERE cosine >= 0.7 AND NOT (a % 3 = 0 AND b % 3 = 0 AND a % 4 <> b % 4)), e AS (SELECT a, b FROM ok UNION SELECT b, a FROM ok),
+_CLUSTER = f"""{_SIM.replace('WITH c AS', 'WITH RECURSIVE c AS', 1)}, ok AS (SELECT a, b FROM sim WHERE cosine >= 0.7), e AS (SELECT a, b FROM ok UNION SELECT b, a FROM ok),
 reach AS (SELECT item_id AS x, item_id AS y FROM c UNION SELECT x, e.b FROM reach JOIN e ON e.a = reach.y), cl AS (SELECT x AS item_id, min(y) AS cluster FROM reach GROUP BY x)"""
 
 
@@ -85,24 +90,17 @@ def candidate_clusters(spark, sf_dir):
     return candidates.clusters(rows, candidates.similarity(candidates.tfidf(rows)))
 
 
-@query(f"""{_CLUSTER} SELECT cluster, arg_min(description, (-length(description), item_id)) AS description, max(support) AS support, max(consistency) AS consistency, count(*) AS n, CASE WHEN count(DISTINCT track) > 1 THEN 'both' ELSE min(track) END AS track,
-  array_to_string(list_sort(list_distinct(flatten(list(['t' || CAST(item_id % 10 AS VARCHAR), 'u' || CAST(item_id % 3 AS VARCHAR)])))), ',') AS evidence FROM cl JOIN c USING (item_id) GROUP BY cluster""")
-def cross_validate(spark, sf_dir):
-    """Candidates of a cluster as one: longest description, best support, `both` if both tracks found it."""
-    rows = _candidates(spark, sf_dir)
-    found = candidates.merged(rows, candidates.clusters(rows, candidates.similarity(candidates.tfidf(rows))))
-    return found.withColumn("evidence", F.array_join(F.array_sort("evidence"), ","))
+_AGREE = f"""{_CLUSTER}, odd AS (SELECT cluster FROM cl JOIN c USING (item_id) WHERE type = 'ordering' GROUP BY cluster HAVING count(DISTINCT tool_a) > 1),
+ag AS (SELECT item_id, CASE WHEN cluster IN (SELECT cluster FROM odd) THEN item_id ELSE cluster END AS cluster FROM cl)"""
 
 
-@query(f"""{_SCORED} SELECT item_id, type, confidence, CASE WHEN confidence < 0.8 THEN 'pending' ELSE 'active' END AS status FROM f WHERE confidence >= 0.6 ORDER BY confidence DESC""")
-def formalize(spark, sf_dir):
-    return candidates.scored(_candidates(spark, sf_dir)).filter("status <> 'rejected'").select("item_id", "type", "confidence", "status").orderBy(F.desc("confidence"))
-
-
-@query(f"{_CAND} SELECT trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS key, avg(support) AS support, count(*) AS n FROM c GROUP BY 1")
-def llm_dedup_average(spark, sf_dir):
+@query(f"""{_AGREE} SELECT cluster, arg_min(description, (-length(description), item_id)) AS description, max(support) AS support, max(consistency) AS consistency, count(*) AS n, CASE WHEN count(DISTINCT track) > 1 THEN 'both' ELSE min(track) END AS track,
+  array_to_string(list_sort(list_distinct(flatten(list(['t' || CAST(item_id % 10 AS VARCHAR), 'u' || CAST(item_id % 3 AS VARCHAR)])))), ',') AS evidence FROM ag JOIN c USING (item_id) GROUP BY cluster""")
+def cross_validate(spark, sf_dir):
+    """Candidates of a cluster as one if all of its pairs agree, else each by itself: longest description, best support, `both` if both tracks found it."""
     rows = _candidates(spark, sf_dir)
-    return rows.groupBy(T.dedup_key("description").alias("key")).agg(F.avg("support").alias("support"), F.count("*").alias("n"))
+    found = candidates.agreeing(rows, candidates.clusters(rows, candidates.similarity(candidates.tfidf(rows))))
+    return candidates.merged(rows, found).select("cluster", "description", "support", "consistency", "n", "track", F.array_join(F.array_sort("evidence"), ",").alias("evidence"))
 
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM x GROUP BY ALL),
