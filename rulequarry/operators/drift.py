@@ -85,3 +85,86 @@ def drift_events(obs: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(out, columns=["key", "n", "detector"])
 
     return obs.select(F.col(key).cast("string").alias("key"), "ord", "x").groupBy("key").applyInPandas(fold, EVENT)
+
+
+#: Observations and controls: x is null in a control row, control is 'reset' in one.
+OBSERVED = "agent string, rule string, at timestamp, ord long, x double, control string"
+KEPT = STATE + ", last timestamp, resets long, expiries long"
+DRIFTED = "agent string, rule string, at timestamp, n long, detector string"
+STATS = "agent string, rule string, n long, mean double, excursion double, fired boolean, resets long, expiries long"
+
+
+@dataclass
+class Session:
+    """The detectors of one (agent, rule) with what clears them: a reset, or `idle` seconds without a row."""
+
+    detector: Detector
+    last: object = None
+    resets: int = 0
+    expiries: int = 0
+
+    def row(self, at, x, control, idle: float) -> list[str]:
+        """Take a row in event order; gives the detectors that fire."""
+        if self.last is not None and (at - self.last).total_seconds() > idle:
+            self.expiries += self.detector.n > 0
+            self.detector = Detector()
+        self.last = at if self.last is None else max(self.last, at)
+        if control == "reset":
+            self.resets += 1
+            self.detector = Detector()
+            return []
+        return self.detector.add(float(x)) if x == x and x is not None else []
+
+    def stats(self) -> tuple:
+        d = self.detector
+        return d.n, d.mean, d.sum - d.low, d.ph_fired or d.cusum_fired, self.resets, self.expiries
+
+
+def for_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """OBSERVED rows with controls that name no rule given to each of `rules` (rule), as a registry clears all of an agent's detectors.
+
+    The rules are few and broadcast after a check of their number.
+    """
+    few = rules.select(F.col("rule").alias("__rule")).distinct()
+    if few.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 rules: name the rule in each control row")
+    named = rows.filter("control IS NULL OR rule IS NOT NULL")
+    every = rows.filter("control IS NOT NULL AND rule IS NULL").crossJoin(F.broadcast(few)).withColumn("rule", F.col("__rule")).drop("__rule")
+    return named.unionByName(every)
+
+
+def _folded(rows: DataFrame, idle: float, schema: str, give) -> DataFrame:
+    """Rows of a key in event order through one Session, a batch at a time; give(key, session, fired) makes rows, and once more with fired None at the key's end."""
+    names = ["agent", "rule", "at", "ord", "x", "control"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*names).repartition(n, "agent", "rule").sortWithinPartitions("agent", "rule", "at", "ord")
+
+    def fold(batches):
+        import pandas as pd
+
+        columns = [c.split(" ")[0] for c in schema.split(", ")]
+        key, session = None, None
+        for batch in batches:
+            out = []
+            for agent, rule, at, _, x, control in batch.itertuples(index=False):
+                if session is None or key != (agent, rule):
+                    if session is not None:
+                        out += give(key, session, None, None)
+                    key, session = (agent, rule), Session(Detector())
+                fired = session.row(at, x, control, idle)
+                out += give(key, session, at, fired)
+            yield pd.DataFrame(out, columns=columns)
+        if session is not None:
+            yield pd.DataFrame(give(key, session, None, None), columns=columns)
+
+    return dealt.mapInPandas(fold, schema)
+
+
+def replay(rows: DataFrame, idle: float) -> DataFrame:
+    """OBSERVED rows -> the events that streaming.pipelines.drift_sessions() gives for them."""
+    return _folded(rows, idle, DRIFTED, lambda key, s, at, fired: [(*key, at, s.detector.n, e) for e in fired or []])
+
+
+def stats(rows: DataFrame, idle: float) -> DataFrame:
+    """OBSERVED rows -> each key's state after its last row."""
+    return _folded(rows, idle, STATS, lambda key, s, at, fired: [] if fired is not None else [(*key, *s.stats())])

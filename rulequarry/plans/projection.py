@@ -72,15 +72,6 @@ def format_detect(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", detect_format(payload).alias("format"))
 
 
-@query("""SELECT event_id, CAST(epoch_us(ts + to_microseconds(CAST(floor(value * 1000) AS BIGINT))) - epoch_us(ts) AS BIGINT) // 1000 AS duration_ms, event_type AS tool FROM events""")
-def event_pairing(spark, sf_dir):
-    """Start and end callbacks of a run, paired by its id."""
-    ev = table(spark, sf_dir, "events")
-    start = ev.select(F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("tool"))
-    end = ev.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000)).alias("until"))
-    return start.join(end, "event_id").select("event_id", F.greatest(F.lit(0), F.floor((F.col("until") - F.col("at")) / 1000)).cast("long").alias("duration_ms"), "tool")
-
-
 @query("""WITH old AS (SELECT p_partkey AS id, p_name AS description, CAST(p_size AS DOUBLE) AS confidence FROM part WHERE p_partkey % 3 <> 0),
 new AS (SELECT p_partkey AS id, p_name || ' v2' AS description, CAST(p_size AS DOUBLE) + 1 AS confidence FROM part WHERE p_partkey % 2 = 0)
 SELECT id, coalesce(new.description, old.description) AS description, coalesce(new.confidence, old.confidence) AS confidence,

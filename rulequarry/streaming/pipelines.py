@@ -85,3 +85,71 @@ def alerts(events: DataFrame, send, checkpoint: str):
         send(batch.dropDuplicates(["key", "detector"]))
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def ingest_once(traces: DataFrame, path: str, checkpoint: str, late: str = "1 day", **trigger):
+    """Starts a query that puts each trace of a stream into a store exactly once: `path`/traces by version and day, `path`/rejected for lines that are none.
+
+    A trace_id that comes again within `late` of its arrival, in the same file, another one or after a restart, is dropped by the
+    query's state; the watermark follows arrival, so a trace is never too late, however old. Each micro-batch is written to folders of its own number and overwrites them, so a batch that is run again after a failure adds nothing.
+    A trace without a time counts as of the day it comes.
+    """
+    rows = traces.withColumns({"__at": F.current_timestamp(), "__key": F.coalesce("trace_id", F.sha2(F.coalesce("_corrupt_record", F.lit("")), 256))})
+    rows = rows.withWatermark("__at", late).dropDuplicatesWithinWatermark(["__key"])
+
+    def each(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        good = held.filter("trace_id IS NOT NULL").withColumn("dt", F.to_date(F.coalesce(F.col("started_at").cast("timestamp"), "__at"))).drop("__at", "__key", "_corrupt_record")
+        good.write.mode("overwrite").partitionBy("version", "dt").parquet(f"{path}/traces/batch={number}")
+        held.filter("trace_id IS NULL").select("_corrupt_record").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        held.unpersist()
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The traces that ingest_once() has stored."""
+    return spark.read.option("basePath", f"{path}/traces").parquet(f"{path}/traces/*/").drop("batch")
+
+
+def drift_sessions(rows: DataFrame, idle: float, late: str = "10 minutes") -> DataFrame:
+    """A stream of drift.OBSERVED rows -> drift.DRIFTED events, by state per (agent, rule) that a reset row clears and a timer removes `idle` seconds after its last row.
+
+    A key's rows of a micro-batch are taken in event order; the state store of the session must be RocksDB's.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from rulequarry.operators.drift import DRIFTED, KEPT, Session
+
+    names = [c.split(" ")[0] for c in KEPT.split(", ")]
+    columns = [c.split(" ")[0] for c in DRIFTED.split(", ")]
+
+    class Drift(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.kept = handle, handle.getValueState("drift", KEPT)
+
+        def handleInputRows(self, key, rows, timerValues):
+            if self.kept.exists():
+                *values, last, resets, expiries = self.kept.get()
+                session = Session(Detector(*values), pd.Timestamp(last), resets, expiries)
+            else:
+                session = Session(Detector())
+            out = []
+            for _, _, at, _, x, control in pd.concat(list(rows)).sort_values(["at", "ord"]).itertuples(index=False):
+                out += [(*key, at, session.detector.n, e) for e in session.row(at, x, control, idle)]
+            self.kept.update((*session.detector.state(), session.last.to_pydatetime(), session.resets, session.expiries))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(session.last.timestamp() * 1000 + idle * 1000) + 1)
+            yield pd.DataFrame(out, columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.kept.clear()
+            yield pd.DataFrame([], columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    timed = rows.withWatermark("at", late).select("agent", "rule", "at", "ord", "x", "control")
+    return timed.groupBy("agent", "rule").transformWithStateInPandas(statefulProcessor=Drift(), outputStructType=DRIFTED, outputMode="Append", timeMode="EventTime")
