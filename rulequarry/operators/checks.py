@@ -7,13 +7,14 @@ MAX_RULES rows; a larger table is checked in parts. The traces are never shuffle
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.operators.features import with_features
-from rulequarry.schema import severity_rank
+from rulequarry.schema import PARAMS, severity_rank
 
 MAX_RULES = 20_000
 NA = "'not_applicable'"
@@ -86,9 +87,57 @@ def outcome(envelope: bool = True) -> Column:
 
 
 def check_all(traces: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("version",), strict_compat: bool = False) -> DataFrame:
-    """Every rule on every trace: trace_id, rule_id, type, severity, outcome and the columns in keep."""
-    found = with_each(with_features(traces), rules)
-    return found.select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
+    """Every rule on every trace: trace_id, rule_id, type, severity, outcome and the columns in keep.
+
+    Up to MAX_LITERAL rules are read and become one projection of the trace, an outcome for each with its parameters as constants, so a
+    trace isn't copied for each rule; more are put beside the traces. Both give the same rows.
+    """
+    rows = with_features(traces)
+    few = rules.select("rule_id", "type", "severity", "params").limit(MAX_LITERAL + 1).collect()
+    if len(few) > MAX_LITERAL:
+        return with_each(rows, rules).select("trace_id", "rule_id", "type", "severity", *keep, outcome(not strict_compat).alias("outcome"))
+    if not few:
+        few_rows = rows.filter("false").select("trace_id", *[F.lit("").alias(c) for c in ("rule_id", "type", "severity")], *keep, F.lit("").alias("outcome"))
+        return few_rows
+    # the arrays that all rules read are made once, before the projection that repeats the trace's columns in each of its entries
+    wide = rows.select("trace_id", *keep, *[c for c in ("steps", "calls", "tools", "user_text", "segment_lower") if c not in keep])
+    of_rule = [
+        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.type).cast("string").alias("type"), F.lit(r.severity).cast("string").alias("severity"), F.expr(_with_literals(_case(r, not strict_compat), r.params)).cast("string").alias("outcome"))
+        for r in few
+    ]
+    return wide.select("trace_id", *keep, F.inline(F.array(*of_rule))).select("trace_id", "rule_id", "type", "severity", *keep, "outcome")
+
+
+#: Rules of a table that are built into the plan; each adds an expression to it.
+MAX_LITERAL = 64
+
+
+def _case(r, envelope: bool) -> str:
+    """The expression of one rule's type, with its parameters as p."""
+    known = BY_TYPE | _extra
+    if r.type in known:
+        return known[r.type]
+    metric = r.params.metric if r.type == "statistical" and r.params else None
+    return {"latency_ms": LATENCY, "success_rate": SUCCESS, "feature_envelope": ENVELOPE if envelope else NA}.get(metric, NA)
+
+
+def _sql(value, kind: str) -> str:
+    """A value of params as a constant of SQL."""
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if isinstance(value, list):
+        return f"CAST(array({', '.join(_sql(v, 'string') for v in value)}) AS {kind})"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS double)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_KINDS = dict(x.split(": ") for x in PARAMS[len("struct<") : -1].split(", "))
+
+
+def _with_literals(text: str, params) -> str:
+    given = params.asDict() if params is not None else {}
+    return re.sub(r"\bp\.(\w+)", lambda m: _sql(given.get(m[1]), _KINDS.get(m[1], "string")), text)
 
 
 def with_each(rows: DataFrame, rules: DataFrame) -> DataFrame:

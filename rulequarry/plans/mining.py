@@ -73,16 +73,19 @@ stat AS (SELECT *, CASE WHEN (n11+n10)*(n01+n00)*(n11+n01)*(n10+n00) = 0 THEN CA
 ) + ") AS mi FROM cont)"
 
 
-def contingency(rows, n, least=10):
+def contingency(rows, least=10):
     """(keywords, tools), distinct arrays of a trace -> counts of traces by keyword and tool, for keywords of `least` traces or more.
 
-    One pass: a null beside the tools counts the keyword itself, so nothing is joined by trace.
+    One pass: traces are counted by keyword and set of tools, and an empty keyword stands for each trace itself, so what follows
+    reads counts only: keywords are cut before sets are taken apart, and nothing is joined by trace. The counts are one
+    exchange for all three uses; conditions on the empty keyword name a count too, as they would else be moved before it.
     """
-    tools = rows.select(F.explode("tools").alias("tool")).groupBy("tool").agg(F.count("*").alias("nt"))
-    c = rows.select(F.explode("keywords").alias("keyword"), "tools").select("keyword", F.explode(F.concat("tools", F.array(F.lit(None).cast("string")))).alias("tool"))
-    c = c.groupBy("keyword", "tool").agg(F.count("*").alias("n11"))
-    k = c.filter("tool IS NULL").select("keyword", F.col("n11").alias("nk")).filter(F.col("nk") >= least)
-    both = c.filter("tool IS NOT NULL").join(k, "keyword").join(tools, "tool")
+    c = rows.select(F.explode(F.concat("keywords", F.array(F.lit("")))).alias("keyword"), F.sort_array("tools").alias("tools")).groupBy("keyword", "tools").agg(F.count("*").alias("c"))
+    own = F.when(F.col("keyword") == "", F.col("c")).otherwise(0)
+    n = c.agg(F.sum(own).alias("n"))
+    tools = c.select(F.explode("tools").alias("tool"), own.alias("c")).groupBy("tool").agg(F.sum("c").alias("nt"))
+    some = c.withColumn("nk", F.sum("c").over(Window.partitionBy("keyword"))).filter((F.col("nk") >= least) & ((F.col("keyword") != "") | (F.col("c") < 0)))
+    both = some.select("keyword", "nk", F.explode("tools").alias("tool"), "c").groupBy("keyword", "nk", "tool").agg(F.sum("c").alias("n11")).join(tools, "tool")
     return both.crossJoin(F.broadcast(n)).select("keyword", "tool", "n11", (F.col("nk") - F.col("n11")).alias("n10"), (F.col("nt") - F.col("n11")).alias("n01"), (F.col("n") - F.col("nk") - F.col("nt") + F.col("n11")).alias("n00"), "n")
 
 
@@ -98,7 +101,7 @@ def _contingency(spark, sf_dir):
     traces = document_traces(spark, sf_dir)
     text = "steps[0].content"
     rows = traces.select(features.user_tokens(text).alias("keywords"), F.array_distinct(features.tool_sequence()).alias("tools"))
-    return contingency(rows, traces.agg(F.count("*").alias("n")))
+    return contingency(rows)
 
 
 @query(f"{_ASSOC} SELECT keyword, tool, n11, n10, n01, n00 FROM cont")

@@ -140,6 +140,21 @@ def test_stores(spark, tmp_path):
     assert rules["ordering"].rule_id == "i" and rules["state"].severity == "medium" and len(rules["state"].rule_id) == 32
 
 
+def test_rules_as_constants_and_beside_traces(spark, monkeypatch):
+    """Both ways of checking give the same rows, whatever characters the parameters hold."""
+    traces = spark.createDataFrame([(f"t{k}", "s", "v1", segment, None, steps) for k, (_, steps, _, _) in enumerate(CASES) for segment in ("EU", None)], TRACE)
+    odd = [{"keyword": "it's \\d \"p.tool\"", "tool": "x'y\\"}, {"allowed_repertoire": ["a'b", None, "p.chain"]}, {"chain": ["a", "b\n"]}, None]
+    given = [(kind, params) for kind, _, params, _ in CASES] + [(kind, p) for kind in ("conditional", "negative", "chain", "ordering", "statistical", None, "unknown") for p in odd]
+    rules = spark.createDataFrame([{"rule_id": f"r{k}", "type": kind, "description": "", "severity": None if k % 7 == 0 else "low", "params": params} for k, (kind, params) in enumerate(given)], RULE)
+    once = sorted(map(str, checks.check_all(traces, rules.limit(60), ("version", "segment")).collect()))
+    strict = sorted(map(str, checks.check_all(traces, rules.limit(60), strict_compat=True).collect()))
+    monkeypatch.setattr(checks, "MAX_LITERAL", 0)
+    assert once == sorted(map(str, checks.check_all(traces, rules.limit(60), ("version", "segment")).collect())) and len(once) > 2000
+    assert strict == sorted(map(str, checks.check_all(traces, rules.limit(60), strict_compat=True).collect())) != once
+    monkeypatch.undo()
+    assert checks.check_all(traces, rules.limit(0)).count() == 0 and checks.check_all(traces, rules.limit(0)).columns == checks.check_all(traces, rules.limit(1)).columns
+
+
 def test_candidate_clusters(spark):
     rows = spark.createDataFrame([(1, "o", "tool a always precedes tool b", "statistical", 1.0, 1.0), (2, "o", "tool a precedes tool b always", "llm", 0.5, 0.9), (3, "o", "something else entirely different", "llm", 0.2, 0.1)], "item_id long, type string, description string, track string, support double, consistency double")
     rows = rows.withColumns({"params": F.lit(None).cast("map<string,string>"), "evidence": F.array(F.concat(F.lit("e"), F.col("item_id").cast("string")))})
