@@ -76,6 +76,17 @@ def test_quality_keeps_good_documents(spark):
     assert share[1] > 0.97 and share[0] < 0.35
 
 
+def test_quality_of_documents_that_the_fit_has_not_seen(spark):
+    """A third of the labels held out: the CRF keeps good documents that pass the base rules and drops poor ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string"))), F.lit(3)) == 0
+    model = quality_rules.train(docs, labels.filter(~held))
+    rows = quality_rules.quality_rules(docs, model).join(labels.filter(held), "doc_id").filter("NOT base_failed").collect()
+    good, poor = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert len(good) > 80 and len(poor) > 3 and np.mean(good) > 0.97 and np.mean(poor) < 0.2
+
+
 def plain_base(text):
     found = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
