@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.functions import text as T
-from rulequarry.operators.candidates import label_components
+from rulequarry.operators.candidates import checkpoint_dir, label_components
 
 JACCARD, EDIT, COSINE = 0.5, 2, 0.78
 #: Forms up to this length may be within two edits and share no trigram; they meet by deletions.
@@ -31,11 +31,16 @@ def applied(steps: DataFrame, known: DataFrame, most: int = MAX_ALIASES) -> Data
 
 
 def forms(names: DataFrame) -> DataFrame:
-    """(name) -> (id, name, form), ids in order of the names, which one task gives out: a few bytes a name."""
+    """(name) -> (id, name, form), ids in order of the names, which one task gives out: a few bytes a name.
+
+    They are written to the checkpoint folder: the pairs read them ten times.
+    """
     from pyspark.sql import Window
 
+    checkpoint_dir(names.sparkSession)
+
     distinct = names.select("name").filter("name IS NOT NULL").distinct()
-    return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", T.canonical_form("name").alias("form"))
+    return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", T.canonical_form("name").alias("form")).checkpoint()
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -47,12 +52,15 @@ def pairs(rows: DataFrame) -> DataFrame:
     grams = rows.select("id", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
     norm = grams.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).cast("double").alias("nn"))
     ga, gb = grams.select(F.col("id").alias("a"), "g", F.col("c").alias("ca")), grams.select(F.col("id").alias("b"), "g", F.col("c").alias("cb"))
-    dot = ga.join(gb, "g").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
+    # few names make many pairs: the join isn't left to one task because what it reads is small
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dot = ga.repartition(n, "g").join(gb.repartition(n, "g"), "g").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
     dot = dot.join(norm.select(F.col("id").alias("a"), F.col("nn").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("nn").alias("nb")), "b")
     dot = dot.select("a", "b", F.round(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
     ready = rows.withColumn("tokens", T.token_set("form"))
 
     def sharing(keyed: DataFrame) -> DataFrame:
+        keyed = keyed.repartition(n, "k")
         x = keyed.select(F.col("id").alias("a"), "k")
         return x.join(keyed.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
 

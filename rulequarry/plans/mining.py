@@ -78,14 +78,14 @@ def contingency(rows, least=10):
 
     One pass: traces are counted by keyword and set of tools, and an empty keyword stands for each trace itself, so what follows
     reads counts only: keywords are cut before sets are taken apart, and nothing is joined by trace. The counts are one
-    exchange for all three uses; conditions on the empty keyword name a count too, as they would else be moved before it.
+    exchange for all three uses; conditions on its keys name a count too, and sets are taken apart with their nulls, as they would else be moved before it.
     """
     c = rows.select(F.explode(F.concat("keywords", F.array(F.lit("")))).alias("keyword"), F.sort_array("tools").alias("tools")).groupBy("keyword", "tools").agg(F.count("*").alias("c"))
     own = F.when(F.col("keyword") == "", F.col("c")).otherwise(0)
     n = c.agg(F.sum(own).alias("n"))
-    tools = c.select(F.explode("tools").alias("tool"), own.alias("c")).groupBy("tool").agg(F.sum("c").alias("nt"))
+    tools = c.select(F.explode_outer("tools").alias("tool"), own.alias("c")).groupBy("tool").agg(F.sum("c").alias("nt"))
     some = c.withColumn("nk", F.sum("c").over(Window.partitionBy("keyword"))).filter((F.col("nk") >= least) & ((F.col("keyword") != "") | (F.col("c") < 0)))
-    both = some.select("keyword", "nk", F.explode("tools").alias("tool"), "c").groupBy("keyword", "nk", "tool").agg(F.sum("c").alias("n11")).join(tools, "tool")
+    both = some.select("keyword", "nk", F.explode_outer("tools").alias("tool"), "c").groupBy("keyword", "nk", "tool").agg(F.sum("c").alias("n11")).join(tools, "tool")
     return both.crossJoin(F.broadcast(n)).select("keyword", "tool", "n11", (F.col("nk") - F.col("n11")).alias("n10"), (F.col("nt") - F.col("n11")).alias("n01"), (F.col("n") - F.col("nk") - F.col("nt") + F.col("n11")).alias("n00"), "n")
 
 
@@ -98,9 +98,8 @@ def with_statistics(c):
 
 
 def _contingency(spark, sf_dir):
-    traces = document_traces(spark, sf_dir)
     text = "steps[0].content"
-    rows = traces.select(features.user_tokens(text).alias("keywords"), F.array_distinct(features.tool_sequence()).alias("tools"))
+    rows = document_traces(spark, sf_dir).select(features.user_tokens(text).alias("keywords"), F.array_distinct(features.tool_sequence()).alias("tools"))
     return contingency(rows)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rulequarry.functions import text as T
 from rulequarry.operators import aliases
 from rulequarry.plans.registry import query
-from rulequarry.sources.views import table
+from rulequarry.sources.views import spread, table
 
 _CANON = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '([._-]v?[0-9]+(\.[0-9]+)*)+$', ''), '[\s._-]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _ALL = "SELECT p_brand AS name FROM part UNION SELECT replace(p_name, ' ', '-') || '_v' || CAST(p_size % 3 AS VARCHAR) FROM part UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier"
@@ -86,7 +86,7 @@ for _name, _pattern in (
 
 @query(f"SELECT doc_id, md5(clean) AS digest, contains(clean, '[redacted:') AS changed FROM (SELECT doc_id, {_CLEAN} AS clean FROM documents)")
 def redact_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.redact_text("text").alias("clean"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", T.redact_text("text").alias("clean"))
     return docs.select("doc_id", F.md5("clean").alias("digest"), F.contains("clean", F.lit("[redacted:")).alias("changed"))
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a scan has fewer splits than there are; larger inputs, which have more, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event: a tool call of the trace (user, day). No shuffle."""
     return table(spark, sf_dir, "events").select(
@@ -65,7 +71,7 @@ tr AS MATERIALIZED (SELECT trace_id, any_value(session_id) AS session_id, any_va
 
 def document_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as traces: the text is the request, the language and the source are tools."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("trace_id"),
         F.col("source").alias("session_id"),
         F.lit("v1").alias("version"),
