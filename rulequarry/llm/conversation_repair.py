@@ -337,3 +337,57 @@ def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
     rows = rows.withColumn("role", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")))
     times = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return rows.withColumn("time", F.explode(times)).drop("time"), F.col("damage") == 0
+
+
+def _oracle() -> str:
+    """The query's contract in SQL: the least (cost, audit) of each state, turn by turn."""
+
+    def plus(s: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{s}.t" if line is None else f"CASE WHEN {s}.t = '' THEN {line} ELSE {s}.t || chr(10) || {line} END"
+        return f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {text}}}"
+
+    def least(*of: str) -> str:
+        return f"list_sort([{', '.join(of)}])[1]"
+
+    def inserted(a: str) -> str:
+        user = [plus(f"{a}{k}", str(INSERT), "I", "'user:'") for k in (1, 2, 4)]
+        return f"{a}1 AS {a}{a}1, {a}2 AS {a}{a}2, {least(f'{a}3', *user)} AS {a}{a}3, {least(f'{a}4', plus(f'{a}3', str(INSERT), 'I', "'assistant:'"))} AS {a}{a}4"
+
+    never = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''}"
+    may = f"CASE WHEN stays THEN extra ELSE {10**9} END"
+    keep = lambda s, initial: plus(s, f"(CASE WHEN r = '{initial}' THEN {may} ELSE {10**9} END)", "K", "(role || ':' || text)")
+    new = lambda s, role: plus(s, f"({may} + {REROLE})", "R", f"('{role}:' || text)")
+    gone = lambda s: plus(s, str(DELETE), "D")
+    move = f"""{gone('s1')} AS m1, {least(gone('s2'), keep('s1', 's'))} AS m2,
+      {least(gone('s3'), *[keep(f's{k}', 'u') for k in (1, 2, 4)], *[new(f's{k}', 'user') for k in (1, 2, 4)])} AS m3, {least(gone('s4'), keep('s3', 'a'), new('s3', 'assistant'))} AS m4"""
+    close = lambda rows: f"SELECT conv_id, i, mmmm1 AS s1, mmmm2 AS s2, mmmm3 AS s3, mmmm4 AS s4 FROM (SELECT *, {inserted('mm')} FROM (SELECT *, {inserted('m')} FROM ({rows})))"
+    part = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT [list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+d AS (
+  SELECT conv_id, turn, {part('role')} AS role, {part('text')} AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split({part('conv_id')} || ':' || {part('turn')}, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 20 AS damage
+  FROM conversations, crc),
+a AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE damage <> 0)),
+o AS (SELECT *, left(role, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM a),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au'), false) AS odd FROM o),
+ids AS (SELECT DISTINCT conv_id FROM d),
+walk AS (
+  {close(f"SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS m1, {never} AS m2, {never} AS m3, {never} AS m4 FROM ids")}
+  UNION ALL
+  {close(f"SELECT conv_id, i, {move} FROM (SELECT f.conv_id, f.i, f.r, f.role, f.text, f.fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN f.fault = 'truncated' THEN {CUT} ELSE 0 END AS extra, s1, s2, s3, s4 FROM walk JOIN f ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.i = walk.i + 1)")}),
+best AS (SELECT conv_id, {least('s1', 's4')} AS b FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(b.t) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+ORACLE = _oracle()

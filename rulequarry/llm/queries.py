@@ -89,4 +89,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"mix_sources_ids": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+    return {"mix_sources_ids": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}

@@ -117,3 +117,10 @@ def test_repaired_turns(spark):
         assert [x[0] for x in lines] == list(range(len(lines)))
         assert re.fullmatch("(s?(ua)+)?", "".join(x[1][0] for x in lines))
         assert r.repaired_sha256 == hashlib.sha256("\n".join(f"{x[1]}:{x[2]}" for x in lines).encode()).hexdigest()
+
+
+def test_statement(spark):
+    import compare
+
+    sf = "/root/testdata/sf0.001"
+    assert compare.differences(spark, compare.connection(sf), queries.op13_conversation_repair, conversation_repair.ORACLE, sf) == ""
