@@ -82,3 +82,14 @@ def clusters(rows: DataFrame, found: DataFrame) -> DataFrame:
     known = rows.join(label, "id")
     head = known.groupBy("cluster").agg(F.min(F.struct(F.length("form").alias("n"), "form", "name")).alias("m"))
     return known.join(head, "cluster").select("name", "form", F.col("m.form").alias("canonical"))
+
+
+def decisions(found: DataFrame) -> DataFrame:
+    """(name, form, canonical) -> name, canonical, method, confidence: the name itself, an equal form, one within two edits, shared tokens, or trigrams."""
+    distance, jaccard = T.levenshtein_bounded("form", "canonical", EDIT), T.token_jaccard("form", "canonical")
+    known = found.withColumns({"distance": distance, "jaccard": jaccard})
+    same, exact, near, tokens = F.col("name") == F.col("canonical"), F.col("form") == F.col("canonical"), F.col("distance") <= EDIT, F.col("jaccard") >= JACCARD
+    method = F.when(same, "self").when(exact, "exact").when(near, "edit_distance").when(tokens, "token_jaccard").otherwise("trigram_cosine")
+    cosine = F.round(T.trigram_cosine("form", "canonical"), 3)
+    confidence = F.when(same, 1.0).when(exact, 0.99).when(near, 1 - F.col("distance") / 4).when(tokens, F.round("jaccard", 3)).otherwise(cosine)
+    return known.select("name", "canonical", method.alias("method"), confidence.alias("confidence"))

@@ -50,16 +50,17 @@ def alias_clusters(spark, sf_dir):
     return aliases.clusters(rows, aliases.pairs(rows))
 
 
-@query(f"""{_CL}, d AS (SELECT name, form, canonical, CAST(least(3, levenshtein(form, canonical)) AS INTEGER) AS distance FROM r JOIN c USING (id) JOIN h USING (cluster))
-SELECT name, canonical, CASE WHEN name = canonical THEN 'self' WHEN form = canonical THEN 'exact' WHEN distance <= 2 THEN 'edit' ELSE 'similar' END AS method,
-  CASE WHEN name = canonical THEN CAST(1 AS DOUBLE) WHEN form = canonical THEN CAST(0.99 AS DOUBLE) WHEN distance <= 2 THEN 1 - distance / CAST(4 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM d""")
+_COUNTS = "list_sum([CAST(len(list_filter({0}, lambda t: t = g)) * len(list_filter({1}, lambda t: t = g)) AS DOUBLE) FOR g IN list_distinct({0})])"
+
+
+@query(f"""{_CL}, d AS (SELECT name, form, canonical, CAST(least(3, levenshtein(form, canonical)) AS INTEGER) AS distance, {_TOK.format('form')} AS x, {_TOK.format('canonical')} AS y, {_TRI.format('form')} AS gx, {_TRI.format('canonical')} AS gy FROM r JOIN c USING (id) JOIN h USING (cluster)),
+j AS (SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(x || y)) AS DOUBLE) END AS jaccard,
+  {_COUNTS.format('gx', 'gy')} / sqrt({_COUNTS.format('gx', 'gx')} * {_COUNTS.format('gy', 'gy')}) AS cosine FROM d)
+SELECT name, canonical, CASE WHEN name = canonical THEN 'self' WHEN form = canonical THEN 'exact' WHEN distance <= 2 THEN 'edit_distance' WHEN jaccard >= 0.5 THEN 'token_jaccard' ELSE 'trigram_cosine' END AS method,
+  CASE WHEN name = canonical THEN CAST(1 AS DOUBLE) WHEN form = canonical THEN CAST(0.99 AS DOUBLE) WHEN distance <= 2 THEN 1 - distance / CAST(4 AS DOUBLE) WHEN jaccard >= 0.5 THEN round(jaccard, 3) ELSE round(cosine, 3) END AS confidence FROM j""")
 def alias_decisions(spark, sf_dir):
-    found = alias_clusters(spark, sf_dir).withColumn("distance", T.levenshtein_bounded("form", "canonical", 2))
-    same, exact, near = F.col("name") == F.col("canonical"), F.col("form") == F.col("canonical"), F.col("distance") <= 2
-    return found.select(
-        "name", "canonical", F.when(same, "self").when(exact, "exact").when(near, "edit").otherwise("similar").alias("method"),
-        F.when(same, 1.0).when(exact, 0.99).when(near, 1 - F.col("distance") / 4).otherwise(0.5).alias("confidence"),
-    )
+    """How each name came to its canonical form, and how certain that is."""
+    return aliases.decisions(alias_clusters(spark, sf_dir))
 
 
 @query(f"""{_FORMS.replace('WITH RECURSIVE', 'WITH')} SELECT x.name AS a, y.name AS b, CAST(least(4, levenshtein(x.form, y.form)) AS INTEGER) AS distance FROM r x JOIN r y ON x.id < y.id AND y.id <= x.id + 3""")
