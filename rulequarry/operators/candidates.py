@@ -153,7 +153,7 @@ def deduplicated(rows: DataFrame, order: str = "item_id", most: int = 50) -> Dat
     grouped = rows.groupBy("type", dedup_key("description").alias("key")).agg(first.alias("first"), every.alias("a"), F.count("*").alias("n"))
 
     def running(c: str) -> Column:
-        return F.aggregate(F.slice("a", 2, F.size("a")), F.col("a")[0][c], lambda m, x: F.round((m + x[c]) / 2, 4)).alias(c)
+        return F.aggregate(F.slice("a", 2, F.size("a")), F.col("a")[0][c], lambda m, x: F.round(F.round((m + x[c]) / 2, 9), 4)).alias(c)  # what is halfway is so in nine digits
 
     evidence = F.slice(F.array_distinct(F.flatten(F.transform("a", lambda x: x["evidence"]))), 1, most)
     return grouped.select("type", "key", "first.*", running("support"), running("consistency"), evidence.alias("evidence"), "n")

@@ -44,7 +44,7 @@ def formalize(spark, sf_dir):
 
 
 @query(f"""{_STORED}, g AS (SELECT type, trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS key, list(confidence ORDER BY k) AS s, list(consistency ORDER BY k) AS c, arg_min(description, k) AS description, max(k % 130 + 1) AS most, count(*) AS n FROM cand GROUP BY 1, 2)
-SELECT type, key, description, list_reduce(s, lambda a, x: round((a + x) / 2, 4)) AS support, list_reduce(c, lambda a, x: round((a + x) / 2, 4)) AS consistency, CAST(least(50, most) AS INTEGER) AS n_evidence, n FROM g""")
+SELECT type, key, description, list_reduce(s, lambda a, x: CAST(round(CAST((a + x) / 2 AS DECIMAL(18, 9)), 4) AS DOUBLE)) AS support, list_reduce(c, lambda a, x: CAST(round(CAST((a + x) / 2 AS DECIMAL(18, 9)), 4) AS DOUBLE)) AS consistency, CAST(least(50, most) AS INTEGER) AS n_evidence, n FROM g""")
 def llm_dedup_average(spark, sf_dir):
     """Suggestions of one type and normalised description as one, their support averaged in turn."""
     found = candidates.deduplicated(_stored(spark, sf_dir).drop("params"))
