@@ -11,27 +11,111 @@ LAMBDA, DELTA, ALPHA, WARM_UP = 8.0, 0.005, 0.05, 30
 TARGET, SLACK, LIMIT, CUSUM_WARM_UP = 0.95, 0.05, 4.0, 20
 
 
-def page_hinkley(obs: DataFrame, key: str, threshold: float = LAMBDA, delta: float = DELTA, alpha: float = ALPHA, warm_up: int = WARM_UP) -> DataFrame:
-    """(key, ord, x) -> key, n, fired_at: the first observation at which the cumulated fall of the mean passes the threshold, or 0."""
-    seq = obs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda o: o["x"]).alias("xs"))
-    state = F.expr(f"""aggregate(xs, named_struct('n', 0L, 'mean', 0D, 'sum', 0D, 'low', 0D, 'fired', 0L),
-        (s, x) -> named_struct('n', s.n + 1, 'mean', IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean)),
-          'sum', s.sum + (IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean)) - x) - {delta}D,
-          'low', least(s.low, s.sum + (IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean)) - x) - {delta}D),
-          'fired', CASE WHEN s.fired > 0 THEN s.fired WHEN s.n + 1 >= {warm_up} AND s.sum + (IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean)) - x) - {delta}D
-            - least(s.low, s.sum + (IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean)) - x) - {delta}D) > {threshold}D THEN s.n + 1 ELSE 0L END))""")
-    return seq.select(key, state.alias("s")).select(key, F.col("s.n").alias("n"), F.col("s.fired").alias("fired_at"), F.round("s.sum", 6).alias("cumulated"))
-
-
-def cusum(obs: DataFrame, key: str, target: float = TARGET, slack: float = SLACK, limit: float = LIMIT, warm_up: int = CUSUM_WARM_UP) -> DataFrame:
-    """(key, ord, x) -> key, n, fired_at, direction of a two-sided cumulative sum."""
-    seq = obs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda o: o["x"]).alias("xs"))
+#: Rows that a block of a history holds at most, on average.
+BLOCK = 1_000_000
+
+
+def _blocks(obs: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """key, block, xs: the observations of a key in order, in stretches of `ord` that all keys share, and the number of these.
+
+    There are as many stretches, equally wide, as `rows` goes into all rows, so no key has more than about that many rows in one,
+    even where it has all of them. `ord` is a number; what shares one shares a block.
+    """
+    n, low, high = obs.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
+    blocks = max(1, -(-n // rows))
+    place = F.lit(0) if blocks == 1 else F.floor((F.col("ord") - F.lit(low)) / F.lit(float(high - low) + 1.0) * blocks)
+    dealt = obs.select(key, "ord", F.col("x").cast("double").alias("x"), place.cast("long").alias("block"))
+    return dealt.groupBy(key, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda o: o["x"]).alias("xs")), blocks
+
+
+def _before(sums: DataFrame, key: str, given: list[str], state: dict[str, float], step) -> DataFrame:
+    """key, block and the state that a key's earlier blocks leave; step(state, *given) takes a block's summary.
+
+    Summaries are a row a block, read in order and one at a time.
+    """
+    names = [key, "block", *given]
+    n = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = tuple(state.values())
+    schema = sums.select(key, "block", *[F.lit(v).cast("long" if isinstance(v, int) else "double").alias(c) for c, v in state.items()]).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, now = object(), start
+        for batch in batches:
+            out = []
+            for k, block, *values in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+                if k != at:
+                    at, now = k, start
+                out.append((k, block, *now))
+                now = step(now, *values)
+            kept = [batch.schema.field(c) for c in (key, "block")] + [pa.field(c, pa.int64() if isinstance(v, int) else pa.float64()) for c, v in state.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(kept), kept)], schema=pa.schema(kept))
+
+    return sums.select(*names).repartition(n, key).sortWithinPartitions(key, "block").mapInArrow(run, schema)
+
+
+def _with(blocks: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """Blocks beside the state before them; a null key is a key."""
+    b = before.withColumnsRenamed({key: "__key", "block": "__block"})
+    return blocks.join(b, F.col(key).eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block"))).drop("__key", "__block")
+
+
+def page_hinkley(obs: DataFrame, key: str, threshold: float = LAMBDA, delta: float = DELTA, alpha: float = ALPHA, warm_up: int = WARM_UP, rows: int = BLOCK) -> DataFrame:
+    """(key, ord, x) -> key, n, fired_at: the first observation at which the cumulated fall of the mean passes the threshold, or 0.
+
+    A history of several blocks is folded block by block in parallel: the mean after a block is an affine map of the mean before
+    it, and with the mean known, so is the excursion e = sum - low, as e' = max(0, e + d) composes to max(e + D, E). A last fold
+    starts from the state before each block. Sums of several blocks are added in another order than those of one, so an
+    excursion that meets the threshold to the last bits may fire on either side.
+    """
+    blocks, many = _blocks(obs, key, rows)
+    mean = f"IF(s.n = 0, x, s.mean + {alpha}D * (x - s.mean))"
+    total = f"s.sum + ({mean} - x) - {delta}D"
+
+    def fold(start: str) -> str:
+        return f"""aggregate(xs, {start},
+        (s, x) -> named_struct('n', s.n + 1, 'mean', {mean}, 'sum', {total}, 'low', least(s.low, {total}),
+          'fired', CASE WHEN s.fired > 0 THEN s.fired WHEN s.n + 1 >= {warm_up} AND {total} - least(s.low, {total}) > {threshold}D THEN s.n + 1 ELSE 0L END))"""
+
+    start = "named_struct('n', {}, 'mean', {}, 'sum', {}, 'low', {}, 'fired', 0L)"
+    if many == 1:
+        states = blocks.select(key, "block", F.expr(fold(start.format("0L", "0D", "0D", "0D"))).alias("s"))
+    else:
+        keep = 1 - alpha
+        means = blocks.select(key, "block", F.size("xs").cast("long").alias("m"), F.expr(f"aggregate(xs, 0D, (a, x) -> a + {alpha}D * (x - a))").alias("offset"), F.col("xs")[0].alias("first"))
+        # the first observation is the mean itself, so its share in a key's first block is 1, not alpha
+        known = _before(means, key, ["m", "offset", "first"], {"n0": 0, "mean0": 0.0}, lambda s, m, offset, first: (s[0] + m, offset + keep**m * (s[1] if s[0] else first)))
+        part = _with(blocks, known, key).select(key, "block", F.expr(fold(start.format("n0", "mean0", "0D", "0D"))).alias("s"), "n0", "mean0")
+        sums = part.select(key, "block", "n0", "mean0", F.col("s.sum").alias("d"), F.expr("s.sum - s.low").alias("e"))
+        held = _before(sums, key, ["d", "e"], {"sum0": 0.0, "e0": 0.0}, lambda s, d, e: (s[0] + d, max(s[1] + d, e)))
+        states = _with(_with(blocks, known, key), held, key).select(key, "block", F.expr(fold(start.format("n0", "mean0", "sum0", "sum0 - e0"))).alias("s"))
+    fired = F.coalesce(F.min(F.when(F.col("s.fired") > 0, F.col("s.fired"))), F.lit(0).cast("long"))
+    return states.groupBy(key).agg(F.max("s.n").alias("n"), fired.alias("fired_at"), F.round(F.max_by("s.sum", "block"), 6).alias("cumulated"))
+
+
+def cusum(obs: DataFrame, key: str, target: float = TARGET, slack: float = SLACK, limit: float = LIMIT, warm_up: int = CUSUM_WARM_UP, rows: int = BLOCK) -> DataFrame:
+    """(key, ord, x) -> key, n, fired_at, direction of a two-sided cumulative sum; blocks as in page_hinkley(), one map for each side."""
+    blocks, many = _blocks(obs, key, rows)
+    rise, fall = f"(x - {target}D) - {slack}D", f"(x - {target}D) + {slack}D"
     up, down = f"greatest(0D, s.up + (x - {target}D) - {slack}D)", f"least(0D, s.down + (x - {target}D) + {slack}D)"
-    state = F.expr(f"""aggregate(xs, named_struct('n', 0L, 'up', 0D, 'down', 0D, 'fired', 0L, 'direction', ''),
+
+    def fold(start: str) -> str:
+        return f"""aggregate(xs, {start},
         (s, x) -> named_struct('n', s.n + 1, 'up', {up}, 'down', {down},
           'fired', CASE WHEN s.fired > 0 THEN s.fired WHEN s.n + 1 >= {warm_up} AND ({up} > {limit}D OR {down} < -{limit}D) THEN s.n + 1 ELSE 0L END,
-          'direction', CASE WHEN s.fired > 0 THEN s.direction WHEN s.n + 1 >= {warm_up} AND {up} > {limit}D THEN 'up' WHEN s.n + 1 >= {warm_up} AND {down} < -{limit}D THEN 'down' ELSE '' END))""")
-    return seq.select(key, state.alias("s")).select(key, F.col("s.n").alias("n"), F.col("s.fired").alias("fired_at"), F.col("s.direction").alias("direction"))
+          'direction', CASE WHEN s.fired > 0 THEN s.direction WHEN s.n + 1 >= {warm_up} AND {up} > {limit}D THEN 'up' WHEN s.n + 1 >= {warm_up} AND {down} < -{limit}D THEN 'down' ELSE '' END))"""
+
+    start = "named_struct('n', {}, 'up', {}, 'down', {}, 'fired', 0L, 'direction', '')"
+    if many == 1:
+        states = blocks.select(key, "block", F.expr(fold(start.format("0L", "0D", "0D"))).alias("s"))
+    else:
+        sums = blocks.select(key, "block", F.expr(fold(start.format("0L", "0D", "0D"))).alias("s"), F.expr(f"aggregate(xs, 0D, (a, x) -> a + {rise})").alias("du"), F.expr(f"aggregate(xs, 0D, (a, x) -> a + {fall})").alias("dd"))
+        sums = sums.select(key, "block", "s.n", "s.up", "s.down", "du", "dd")
+        held = _before(sums, key, ["n", "up", "down", "du", "dd"], {"n0": 0, "up0": 0.0, "down0": 0.0}, lambda s, n, u, d, du, dd: (s[0] + n, max(s[1] + du, u), min(s[2] + dd, d)))
+        states = _with(blocks, held, key).select(key, "block", F.expr(fold(start.format("n0", "up0", "down0"))).alias("s"))
+    first = F.min(F.when(F.col("s.fired") > 0, F.struct("s.fired", "s.direction")))
+    return states.groupBy(key).agg(F.max("s.n").alias("n"), F.coalesce(first["fired"], F.lit(0).cast("long")).alias("fired_at"), F.coalesce(first["direction"], F.lit("")).alias("direction"))
 
 
 @dataclass
@@ -75,16 +159,13 @@ EVENT = "key string, n long, detector string"
 
 
 def drift_events(obs: DataFrame, key: str) -> DataFrame:
-    """(key, ord, x) -> an event for each detector that fires, in a fold over each key's observations."""
-    import pandas as pd
+    """(key, ord, x) -> an event for each detector that fires, in a fold over each key's observations.
 
-    def fold(k, rows):
-        d, out = Detector(), []
-        for x in rows.sort_values("ord")["x"]:
-            out += [(k[0], d.n, e) for e in d.add(float(x))]
-        return pd.DataFrame(out, columns=["key", "n", "detector"])
-
-    return obs.select(F.col(key).cast("string").alias("key"), "ord", "x").groupBy("key").applyInPandas(fold, EVENT)
+    The rows of a key come in order and a batch at a time, so none is held whole.
+    """
+    at, text = F.to_timestamp(F.lit("1970-01-01")), F.lit(None).cast("string")
+    rows = obs.select(F.col(key).cast("string").alias("agent"), text.alias("rule"), at.alias("at"), "ord", F.col("x").cast("double").alias("x"), text.alias("control"))
+    return _folded(rows, float("inf"), EVENT, lambda k, s, at, fired: [(k[0], s.detector.n, e) for e in fired or []])
 
 
 #: Observations and controls: x is null in a control row, control is 'reset' in one.

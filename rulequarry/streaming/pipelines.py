@@ -69,9 +69,9 @@ def drift(observations: DataFrame) -> DataFrame:
     def fold(key, batches, state: GroupState):
         d = Detector(*state.get) if state.exists else Detector()
         out = []
-        for batch in batches:
-            for x in batch.sort_values("ord")["x"]:
-                out += [(key[0], d.n, e) for e in d.add(float(x))]
+        # a micro-batch's rows of a key may fill several Arrow batches, which are in no order
+        for x in pd.concat(list(batches)).sort_values("ord")["x"]:
+            out += [(key[0], d.n, e) for e in d.add(float(x))]
         state.update(d.state())
         yield pd.DataFrame(out, columns=["key", "n", "detector"])
 

@@ -143,3 +143,30 @@ def test_controls_for_every_rule(spark):
     rows = spark.createDataFrame([("a", "r1", T0, 1, 1.0, None), ("a", None, T0, 2, None, "reset"), ("b", "r2", T0, 3, None, "reset")], drift.OBSERVED)
     got = drift.for_rules(rows, spark.createDataFrame([("r1",), ("r2",)], "rule string")).select("agent", "rule", "control").collect()
     assert set(map(tuple, got)) == {("a", "r1", None), ("a", "r1", "reset"), ("a", "r2", "reset"), ("b", "r2", "reset")} and len(got) == 4
+
+
+def test_long_histories_in_blocks(spark):
+    """Histories cut into blocks give what one fold gives, whatever the blocks, with a key that has most rows and a null key."""
+    rng = random.Random(11)
+    rows = []
+    for key, n, turn in (("hot", 900, 500), ("low", 80, 30), (None, 60, 20), ("calm", 200, 999), ("one", 1, 9)):
+        at = rng.randrange(1000)
+        for k in range(n):
+            at += rng.choice((1, 1, 2, 40))
+            rows.append((key, at, round(rng.random() * (1.0 if k < turn else 0.2), 6)))
+    obs = spark.createDataFrame(rows, "key string, ord long, x double").repartition(3)
+    for detect in (
+        lambda size: drift.page_hinkley(obs, "key", 1.5, rows=size).select("key", "n", "fired_at", F.round("cumulated", 4)),
+        lambda size: drift.cusum(obs, "key", 0.5, rows=size),
+    ):
+        whole = set(map(tuple, detect(10**6).collect()))
+        assert len(whole) == 5 and sum(r[2] > 0 for r in whole) >= 2
+        for size in (500, 100, 17, 3):
+            assert set(map(tuple, detect(size).collect())) == whole
+    plain = []
+    for key in ("hot", "low", None, "calm", "one"):
+        d = drift.Detector()
+        plain += [(key, d.n, e) for _, x in sorted((o, x) for k, o, x in rows if k == key) for e in d.add(x)]
+    assert sorted(map(tuple, drift.drift_events(obs, "key").collect()), key=str) == sorted(plain, key=str) and plain
+    none = obs.limit(0)
+    assert drift.page_hinkley(none, "key").count() == drift.cusum(none, "key").count() == drift.drift_events(none, "key").count() == 0
