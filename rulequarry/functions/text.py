@@ -85,6 +85,38 @@ def redact_text(x: Column | str, extra: tuple = ()) -> Column:
     return reduce(lambda c, f: f(c), extra, reduce(lambda c, kv: one(c, *kv), PII.items(), _c(x)))
 
 
+SPAN = "struct<start: int, content: string, label: string>"
+
+
+def spans(x: Column | str, pattern: str, label: str) -> Column:
+    """A detector: where a pattern (which takes at least a character) matches, from the lengths of what lies between matches."""
+    c = _c(x)
+    found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    step = lambda s, m: F.struct(
+        (s["at"] + F.length(m["gap"]) + F.length(m["content"])).alias("at"),
+        F.array_append(s["all"], F.struct((s["at"] + F.length(m["gap"])).cast("int").alias("start"), m["content"].alias("content"), F.lit(label).alias("label"))).cast(f"array<{SPAN}>").alias("all"),
+    )
+    pairs = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("content"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("all")), step, lambda s: s["all"])
+
+
+def redact_spans(x: Column | str, *detected: Column) -> Column:
+    """A text without the spans of any detectors (columns of array<SPAN>, of spans() or of a recogniser of the user's).
+
+    The longest go first, equal ones by their start and then by the detectors' order; each replaces the first occurrence of its
+    content in what is left, and one whose content is no longer there, as a longer one has covered it, changes nothing.
+    Null detectors find nothing; a null text stays null.
+    """
+    ranked = [F.transform(F.coalesce(d, F.array().cast(f"array<{SPAN}>")), lambda s, k=k: F.struct((-F.length(s["content"])).alias("size"), s["start"].alias("start"), F.lit(k).alias("rank"), s["content"].alias("content"), s["label"].alias("label"))) for k, d in enumerate(detected)]
+    every = F.filter(F.array_sort(F.concat(*ranked)), lambda s: s["size"] < 0)
+
+    def put(out: Column, s: Column) -> Column:
+        at = F.position(s["content"], out)
+        return F.when(at > 0, F.concat(F.substring(out, F.lit(1), at - 1), F.lit("[redacted:"), F.lower(s["label"]), F.lit("]"), F.substring(out, at + F.length(s["content"]), F.length(out)))).otherwise(out)
+
+    return F.aggregate(every, _c(x), put)
+
+
 def dedup_key(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9_ ]", ""), " +", " "))
 

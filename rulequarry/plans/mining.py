@@ -266,6 +266,30 @@ def dag_from_linear(spark, sf_dir):
     return graphs.lift(event_traces(spark, sf_dir))
 
 
+_ROUTE = """WITH RECURSIVE n AS (SELECT l_orderkey AS o, l_linenumber AS id, strftime(l_shipdate, '%Y-%m-%d') AS at, l_partkey % 7 + 1 AS target, l_suppkey % 10 = 0 AS loop FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) = 1),
+k AS (SELECT n.o, n.id, n.at, list(p.id) FILTER (WHERE p.id IS NOT NULL) AS needs FROM n LEFT JOIN n p ON p.o = n.o AND p.target = n.id AND NOT p.loop GROUP BY ALL),
+r AS (SELECT DISTINCT o, CAST([] AS INTEGER[]) AS done, 0 AS i FROM n
+  UNION ALL SELECT o, list_append(done, next), i + 1 FROM (
+    SELECT r.o, r.done, r.i, arg_min(k.id, (k.at, k.id)) AS next FROM r JOIN k ON k.o = r.o
+    WHERE NOT list_contains(r.done, k.id) AND (k.needs IS NULL OR len(list_filter(k.needs, lambda x: NOT list_contains(r.done, x))) = 0) GROUP BY r.o, r.done, r.i)),
+f AS (SELECT o, arg_max(done, i) AS done FROM r GROUP BY o), a AS (SELECT o, list(id ORDER BY id) AS ids FROM n GROUP BY o)
+SELECT CAST(o AS VARCHAR) AS trace_id, array_to_string(done || list_filter(ids, lambda x: NOT list_contains(done, x)), '>') AS steps FROM f JOIN a USING (o)"""
+
+
+@query(_ROUTE)
+def dag_linearise(spark, sf_dir):
+    """An order's line numbers as a graph payload, each line pointing at one line, its steps in topological order by ship date; loops
+    and dangling edges don't count, and what is on a cycle or behind one comes last in its own order."""
+    first = F.min(F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("l")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "l.*").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), (F.col("l_partkey") % 7 + 1).alias("target"), (F.col("l_suppkey") % 10 == 0).alias("loop"))
+    node = F.struct(F.col("l_linenumber").alias("id"), F.col("at").alias("started_at"), F.struct(F.lit("tool_call").alias("type"), F.col("l_linenumber").cast("string").alias("tool")).alias("step"))
+    edge = F.struct(F.col("l_linenumber").alias("source"), "target", F.when(F.col("loop"), "loop").otherwise("sequential").alias("kind"))
+    graph = lines.groupBy(F.col("l_orderkey").cast("string").alias("trace_id")).agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    found = graphs.linearise(graph.select(F.to_json(F.struct("trace_id", "nodes", "edges")).alias("payload")))
+    return found.select("trace_id", F.array_join(F.transform("steps", lambda s: s["tool"]), ">").alias("steps"))
+
+
 # ---- calibration, versions --------------------------------------------------------------------
 
 

@@ -70,6 +70,21 @@ def alert_sliding_limit(spark, sf_dir):
     return alerts.limited(bad, most=2, seconds=6 * 3600).select("event_id", "agent")
 
 
+def _jitter(k: int, base: int) -> str:
+    return f"CAST(floor((('0x' || substr(sha1(CAST(event_id AS VARCHAR) || ':{k}'), 1, 8))::BIGINT / CAST(4294967295 AS DOUBLE)) * {base}) AS BIGINT)"
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT event_id, session_id AS agent, epoch_us(ts) // 1000 AS raised, {_jitter(1, 250)} AS j1, {_jitter(2, 500)} AS j2, CASE (event_id + latency_ms) % 4 WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS ok FROM st WHERE status = 'error')
+SELECT event_id, agent, CAST(CASE ok WHEN 0 THEN 3 ELSE ok END AS INTEGER) AS attempts, ok > 0 AS delivered, raised + CASE ok WHEN 1 THEN 0 WHEN 2 THEN 250 + j1 ELSE 750 + j1 + j2 END AS done_ms FROM b""")
+def alert_deliveries(spark, sf_dir):
+    """Alerts of failed calls to a sink that takes some at the first try, some later and some never."""
+    from rulequarry.operators import alerts
+
+    bad = event_steps(spark, sf_dir).filter("status = 'error'").select("event_id", F.col("session_id").alias("agent"), F.col("ts").cast("timestamp").alias("at"), "latency_ms")
+    done = alerts.deliveries(bad, lambda k: (F.col("event_id") + F.col("latency_ms") + k) % 4 == 0)
+    return done.select("event_id", "agent", "attempts", "delivered", F.unix_millis("done_at").alias("done_ms"))
+
+
 @query(f"""WITH {EVENTS}, b AS (SELECT event_id, latency_ms, tool, CASE WHEN latency_ms >= 900 THEN 'critical' ELSE 'high' END AS severity FROM st WHERE status = 'error')
 SELECT event_id, '{{"text":"[' || severity || '] ' || tool || ' failed"}}' AS slack, '{{"event_action":"trigger","payload":{{"summary":"' || tool || ' failed","severity":"' || CASE severity WHEN 'critical' THEN 'critical' ELSE 'error' END || '","source":"checks"}}}}' AS pager,
   severity = 'critical' AS pages FROM b""")

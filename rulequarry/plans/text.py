@@ -91,6 +91,31 @@ def redact_text(spark, sf_dir):
     return docs.select("doc_id", F.md5("clean").alias("digest"), F.contains("clean", F.lit("[redacted:")).alias("changed"))
 
 
+#: Detectors of the query below: upper-case words with capitalised ones behind, two capitalised words, long numbers.
+_DETECTORS = (("ORG", "[A-Z]{2,}( [A-Z][a-z]+)+"), ("NAME", "[A-Z][a-z]+ [A-Z][a-z]+"), ("NUMBER", "[0-9]{3,}"))
+
+
+def _spans_sql(rank: int, pattern: str) -> str:
+    """Rows of a detector: where each match starts is what lies before it, pieces and matches."""
+    return f"""SELECT doc_id, {rank} AS rank, m[i] AS content, CAST(coalesce(list_sum([length(g) FOR g IN p[:i]]), 0) + coalesce(list_sum([length(g) FOR g IN m[:i - 1]]), 0) AS INTEGER) AS start
+    FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents))"""
+
+
+_SPANS = " UNION ALL ".join(_spans_sql(k, p) for k, (_, p) in enumerate(_DETECTORS))
+
+
+@query(f"""WITH s AS ({_SPANS}), o AS (SELECT doc_id, list(content ORDER BY -length(content), start, rank) AS contents, list(rank ORDER BY -length(content), start, rank) AS ranks FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, CASE WHEN contents IS NULL THEN text ELSE list_reduce([text] || list_transform(list_zip(contents, ranks), lambda z: CAST(z[2] AS VARCHAR) || z[1]), lambda a, b: CASE WHEN contains(a, b[2:])
+  THEN a[:strpos(a, b[2:]) - 1] || '[redacted:' || {"CASE b[1:1] " + " ".join(f"WHEN '{k}' THEN '{label.lower()}'" for k, (label, _) in enumerate(_DETECTORS)) + " END"} || ']' || a[strpos(a, b[2:]) + length(b) - 1:] ELSE a END) END AS clean, coalesce(len(contents), 0) AS n_spans FROM documents LEFT JOIN o USING (doc_id))
+SELECT doc_id, CAST(n_spans AS INTEGER) AS n_spans, md5(clean) AS digest FROM r""")
+def redact_spans(spark, sf_dir):
+    """Spans of three detectors, of which two overlap, masked the longest first in every document."""
+    found = [T.spans("text", pattern, label) for label, pattern in _DETECTORS]
+    docs = spread(table(spark, sf_dir, "documents"))
+    n = sum((F.coalesce(F.size(f), F.lit(0)) for f in found), F.lit(0))
+    return docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("int").alias("n_spans"), F.md5(T.redact_spans("text", *found)).alias("digest"))
+
+
 @query("SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS key FROM benchmark")
 def dedup_key(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.dedup_key("text").alias("key"))

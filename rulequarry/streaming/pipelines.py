@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rulequarry.operators import checks, features
+from rulequarry.operators.alerts import ATTEMPTS, BACKOFF_MS, MOST, SECONDS, TRIED, wait_ms
 from rulequarry.operators.drift import EVENT, STATE, Detector
 from rulequarry.schema import TRACE
 
@@ -153,3 +154,63 @@ def drift_sessions(rows: DataFrame, idle: float, late: str = "10 minutes") -> Da
 
     timed = rows.withWatermark("at", late).select("agent", "rule", "at", "ord", "x", "control")
     return timed.groupBy("agent", "rule").transformWithStateInPandas(statefulProcessor=Drift(), outputStructType=DRIFTED, outputMode="Append", timeMode="EventTime")
+
+
+def deliver(alerts: DataFrame, send, late: str = "1 minute", most: int = MOST, seconds: float = SECONDS, attempts: int = ATTEMPTS, backoff_ms: int = BACKOFF_MS) -> DataFrame:
+    """A stream of alerts (sink, agent, event_id, at, body) -> a row for each try (alerts.TRIED): sent, refused, or given up after `attempts`; and limited, with attempt 0, for those over the limit.
+
+    send(sink, event_id, attempt, body) is called in the task and says whether the sink took it; an exception counts as no. The
+    alerts that wait for another try, and the times of those accepted in the last `seconds`, are the state of a (sink, agent);
+    timers of event time, which the watermark of `at` fires, bring the next try. Sinks must accept an alert again after a
+    restart. Alerts of a micro-batch are taken in order of time and id. The state store of the session must be RocksDB's.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    columns = [c.split(" ")[0] for c in TRIED.split(", ")]
+
+    class Queue(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "event_id string", "attempt int, due long, body string")
+            self.accepted = handle.getListState("accepted", "at long")
+
+        def attempt(self, key, event_id, attempt, due, body) -> tuple:
+            try:
+                taken = bool(send(key[0], event_id, attempt, body))
+            except Exception:  # a sink that fails is one that refuses
+                taken = False
+            if not taken and attempt < attempts:
+                again = due + wait_ms(event_id, attempt, backoff_ms)
+                self.waiting.updateValue((event_id,), (attempt + 1, again, body))
+                self.handle.registerTimer(again)
+            elif attempt > 1:
+                self.waiting.removeKey((event_id,))
+            return (*key, event_id, attempt, pd.Timestamp(due, unit="ms"), "sent" if taken else "refused" if attempt < attempts else "gave up")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = [t for (t,) in self.accepted.get()] if self.accepted.exists() else []
+            out = []
+            for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples(index=False):
+                due = row.at.value // 1_000_000 if row.at.unit == "ns" else int(row.at.timestamp() * 1000)
+                held = [t for t in held if t >= due - seconds * 1000]
+                if len(held) >= most:
+                    out.append((*key, row.event_id, 0, pd.Timestamp(due, unit="ms"), "limited"))
+                    continue
+                held.append(due)
+                out.append(self.attempt(key, row.event_id, 1, due, row.body))
+            self.accepted.put([(t,) for t in held])
+            yield pd.DataFrame(out, columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # what is due by the watermark is tried now, a try that follows another one too
+            now, out = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
+            while ready := sorted((due, event_id, attempt, body) for (event_id,), (attempt, due, body) in list(self.waiting.iterator()) if due <= now):
+                out += [self.attempt(key, event_id, attempt, due, body) for due, event_id, attempt, body in ready]
+            yield pd.DataFrame(out, columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    timed = alerts.withWatermark("at", late).select("sink", "agent", "event_id", "at", "body")
+    return timed.groupBy("sink", "agent").transformWithStateInPandas(statefulProcessor=Queue(), outputStructType=TRIED, outputMode="Append", timeMode="EventTime")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rulequarry.operators import callbacks, drift
+from rulequarry.operators import alerts, callbacks, drift
 from rulequarry.streaming import pipelines
 
 T0 = dt.datetime(2024, 1, 1)
@@ -170,3 +170,44 @@ def test_long_histories_in_blocks(spark):
     assert sorted(map(tuple, drift.drift_events(obs, "key").collect()), key=str) == sorted(plain, key=str) and plain
     none = obs.limit(0)
     assert drift.page_hinkley(none, "key").count() == drift.cusum(none, "key").count() == drift.drift_events(none, "key").count() == 0
+
+
+def test_deliveries_of_a_stream(spark, tmp_path, rocks):
+    """Tries of a stream with limits, refusals and a failing sink are those of a plain replay, and of the batch form."""
+    rng = random.Random(5)
+    schema = "sink string, agent string, event_id string, at timestamp, body string"
+    rows = [("hook", rng.choice("ab"), f"e{k}", T0 + dt.timedelta(milliseconds=k * 700 + rng.randrange(600)), rng.choice(["ok", "later", "never", "broken"])) for k in range(120)]
+    taken = {"ok": 1, "later": 3, "never": 9, "broken": 9}
+
+    def send(sink, event_id, attempt, body):
+        if body == "broken":
+            raise OSError("no route")
+        return attempt >= taken[body]
+
+    want, through, held = [], set(), {}
+    for sink, agent, event, at, body in sorted(rows, key=lambda r: (r[3], r[2])):
+        near = [t for t in held.get(agent, []) if t >= at - dt.timedelta(seconds=20)]
+        held[agent] = near
+        if len(near) >= 10:
+            want.append((agent, event, 0, at, "limited"))
+            continue
+        near.append(at)
+        through.add(event)
+        for k in range(1, 4):
+            status = "sent" if k >= taken[body] else "refused" if k < 3 else "gave up"
+            want.append((agent, event, k, at, status))
+            if status == "sent":
+                break
+            at += dt.timedelta(milliseconds=alerts.wait_ms(event, k))
+    end = [("hook", "z", "end", T0 + dt.timedelta(days=1), "ok")]
+    for part in (rows[:40], rows[40:80], rows[80:], end):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = pipelines.deliver(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), send, most=10, seconds=20)
+        live.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).filter("agent <> 'z'")
+    assert sorted((r.agent, r.event_id, r.attempt, r.at, r.status) for r in got.collect()) == sorted(want)
+    assert {s for *_, s in want} == {"sent", "refused", "gave up", "limited"}
+    table = spark.createDataFrame(rows, schema).filter(F.col("event_id").isin(*through))
+    done = alerts.deliveries(table, lambda k: (F.col("body") == "ok") | (F.col("body") == "later") & (k >= 3))
+    last = {e: (k, status == "sent", at) for _, e, k, at, status in want if status in ("sent", "gave up")}
+    assert {r.event_id: (r.attempts, r.delivered, r.done_at) for r in done.collect()} == last

@@ -1,6 +1,7 @@
 """Rules, sources and detectors on small hand-made traces."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -414,3 +415,13 @@ def test_what_was_expected_and_seen(spark):
     traces = spark.createDataFrame([("t", "s", "v1", None, None, [user("hi"), tool("y"), tool("x")])], TRACE)
     got = {r.rule_id: (r.expected, r.observed) for r in checks.details(traces, rules).collect()}
     assert got == {"a": ("`x` called before `y`", "`y` called at step 1 without `x` before it"), "b": ("tool `z` invoked when input mentions 'hi'", "tool `z` not invoked")}
+
+
+def test_spans_are_masked_the_longest_first(spark):
+    text = "Ann Lee of ACME Ann Lee met Ann Lee, no 1234 and 1234"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing here"), (5, "1234")], "id int, text string")
+    name, org, number = T.spans("text", "[A-Z][a-z]+ [A-Z][a-z]+", "NAME"), T.spans("text", "[A-Z]{2,}( [A-Z][a-z]+)+", "ORG"), T.spans("text", "[0-9]+", "N")
+    got = {r.id: r for r in rows.select("id", name.alias("names"), T.redact_spans("text", name, org, number, F.lit(None).cast(f"array<{T.SPAN}>")).alias("clean")).collect()}
+    assert [(s.start, s.content) for s in got[1].names] == [(m.start(), m.group()) for m in re.finditer("[A-Z][a-z]+ [A-Z][a-z]+", text)]
+    assert got[1].clean == "[redacted:name] of [redacted:org] met [redacted:name], no [redacted:n] and [redacted:n]"
+    assert got[2].clean is None and got[3].clean == "" and got[4].clean == "nothing here" and got[5].clean == "[redacted:n]"
