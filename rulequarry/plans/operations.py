@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rulequarry.operators import candidates, certificates, packs
 from rulequarry.operators import verify as V
+from rulequarry.plans import clusters
 from rulequarry.plans.checking import rules_table
 from rulequarry.plans.mine import _ALL, union_of_miners
-from rulequarry.plans.registry import query
+from rulequarry.plans.registry import ORACLES, query
 from rulequarry.plans.scoring import clarity_sql
 from rulequarry.plans.verification import _HOLDS
 from rulequarry.schema import PARAMS
@@ -101,12 +102,17 @@ found AS (
   UNION ALL SELECT segment, 'statistical', '`' || tool || '` succeeds in 95% of its calls or more', {_D.format(1)}, round(avg(CASE WHEN status = 'success' THEN {_D.format(1)} ELSE {_D.format(0)} END), 4), 'medium' FROM st GROUP BY segment, tool
     HAVING count(*) >= 20 AND avg(CASE WHEN status = 'success' THEN {_D.format(1)} ELSE {_D.format(0)} END) >= {_D.format(0.95)}
   UNION ALL SELECT cluster_id, 'negative', 'The agent calls only these tools: `' || string_agg(tool, ', ' ORDER BY tool) || '`', {_D.format(1)}, {_D.format(1)}, 'high' FROM (
-    SELECT cluster_id, tool, count(*) AS c, n FROM f JOIN n USING (cluster_id) GROUP BY ALL) WHERE n >= 30 AND c >= greatest(1, floor({_D.format(0.005)} * n)) GROUP BY cluster_id),
+    SELECT cluster_id, tool, count(*) AS c, n FROM f JOIN n USING (cluster_id) GROUP BY ALL) WHERE n >= 30 AND c >= greatest(1, floor({_D.format(0.005)} * n)) GROUP BY cluster_id
+  UNION ALL SELECT cluster_id, 'ordering', description, support, support, 'medium' FROM ({ORACLES['mine_chains_per_cluster']})
+  UNION ALL SELECT cluster_id, 'statistical', 'The feature `' || feature || '` stays within its usual range', {_D.format(1)}, round(within_rate, 4), 'low' FROM ({ORACLES['mine_envelopes_per_cluster']})
+  UNION ALL SELECT cluster_id, 'conditional', 'The agent calls `' || tool || '` when the input mentions `' || keyword || '`', round(lift, 4), round(lift, 4), 'medium' FROM ({ORACLES['mine_conditional_per_cluster']})),
 s AS (SELECT *, CAST(round(CAST({_D.format(0.4)} * support + {_D.format(0.3)} * consistency + {_D.format(0.1)} * {clarity_sql('description')} AS DECIMAL(18, 9)), 4) AS DOUBLE) AS confidence FROM found)
 SELECT cluster_id, type, description, support, consistency, severity, confidence, CASE WHEN confidence < 0.8 THEN 'pending' ELSE 'active' END AS status FROM s WHERE confidence >= 0.6""")
 def mine_per_cluster(spark, sf_dir):
-    """Orderings, latencies, success rates and repertoires of every cluster at once: the cluster is one more key of each
-    aggregate, so no cluster is a job of its own. The clusters are the segments here."""
+    """All miners on every cluster at once: the cluster is one more key of each aggregate, so no cluster is a job of its own.
+
+    Orderings, latencies, success rates, repertoires, chains and envelopes of event traces, whose clusters are the segments, and
+    conditionals of documents, whose clusters are the sources."""
     steps = event_steps(spark, sf_dir).withColumnRenamed("segment", "cluster_id")
     one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     said = lambda *parts: F.concat(*[F.lit(p) if k % 2 == 0 else F.col(p).cast("string") for k, p in enumerate(parts)])
@@ -133,6 +139,9 @@ def mine_per_cluster(spark, sf_dir):
         rule(within, "statistical", said("Latency of `", "tool", "` stays under ", "threshold", " ms"), F.lit(1.0), F.col("rate"), F.lit("low")),
         rule(success, "statistical", said("`", "tool", "` succeeds in 95% of its calls or more"), F.lit(1.0), F.col("rate"), F.lit("medium")),
         rule(used, "negative", said("The agent calls only these tools: `", "tools", "`"), F.lit(1.0), F.lit(1.0), F.lit("high")),
+        rule(clusters.mine_chains_per_cluster(spark, sf_dir), "ordering", F.col("description"), F.col("support"), F.col("support"), F.lit("medium")),
+        rule(clusters.mine_envelopes_per_cluster(spark, sf_dir), "statistical", said("The feature `", "feature", "` stays within its usual range"), F.lit(1.0), F.col("within_rate"), F.lit("low")),
+        rule(clusters.mine_conditional_per_cluster(spark, sf_dir), "conditional", said("The agent calls `", "tool", "` when the input mentions `", "keyword", "`"), F.col("lift"), F.col("lift"), F.lit("medium")),
     ]
     rows = candidates.scored(reduce(DataFrame.unionByName, found).withColumn("track", F.lit("statistical"))).filter("status <> 'rejected'")
     return rows.select("cluster_id", "type", "description", "support", "consistency", "severity", "confidence", "status")
