@@ -68,3 +68,13 @@ def inliers(features: DataFrame, seed: int = 17) -> DataFrame:
     scored = features.mapInPandas(judge, "trace_id string, score double")
     cut = scored.agg(F.percentile("score", F.lit(1 - CONTAMINATION))).first()[0]
     return scored.withColumn("inlier", F.col("score") <= cut)
+
+
+def envelopes(features: DataFrame, least: float = 0.95, seed: int = 17) -> DataFrame:
+    """trace_id and numeric features -> feature, p1, p99, median, within_rate (of the inliers) for the stable ones; the percentiles are of inliers only, fewer than MIN_TRACES traces have none."""
+    from rulequarry.operators import by_cluster
+
+    if features.limit(MIN_TRACES).count() < MIN_TRACES:
+        features = features.limit(0)
+    kept = inliers(features, seed).filter("inlier").select("trace_id")
+    return by_cluster.envelopes(features.join(kept, "trace_id", "left_semi").withColumn("cluster_id", F.lit("all")), least).drop("cluster_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulequarry.plans import checking, clusters, extras, live, mine, mining, operations, patterns, payloads, projection, reports, scoring, store, text, tracks, verification  # noqa: F401
+from rulequarry.plans import checking, clusters, extras, live, mine, mining, operations, patterns, payloads, projection, reports, review, scoring, store, text, tracks, verification  # noqa: F401
 from rulequarry.plans.registry import ORACLES, QUERIES
 
 

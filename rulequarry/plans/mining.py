@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rulequarry.operators import features, graphs
+from rulequarry.operators import by_cluster, features, graphs
 from rulequarry.plans.projection import SHAPED, shaped
 from rulequarry.plans.registry import query
 from rulequarry.sources.views import EVENTS, document_traces, event_steps, event_traces, table
@@ -32,7 +32,7 @@ def latency_p99(spark, sf_dir):
     p = steps.groupBy("tool").agg(F.percentile("latency_ms", F.lit(0.99)).alias("p99"), F.count("*").alias("samples")).filter("samples >= 20")
     p = p.withColumn("threshold", (F.ceil(F.col("p99") / 50) * 50).cast("long"))
     within = F.avg(F.when(F.col("latency_ms") <= F.col("threshold"), 1.0).otherwise(0.0)).alias("within_rate")
-    return steps.join(F.broadcast(p), "tool").groupBy("tool", F.round("p99", 6).alias("p99"), "samples", "threshold").agg(within)
+    return steps.join(p, "tool").groupBy("tool", F.round("p99", 6).alias("p99"), "samples", "threshold").agg(within)
 
 
 @query(f"WITH {EVENTS} SELECT tool, count(*) AS calls, avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END) AS rate, count(*) >= 20 AND avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END) >= 0.95 AS kept FROM st GROUP BY tool")
@@ -50,12 +50,8 @@ u AS (UNPIVOT (SELECT trace_id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f i
 p AS (SELECT feature, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, quantile_cont(v, 0.5) AS median FROM u GROUP BY feature)
 SELECT feature, round(p1, 6) AS p1, round(p99, 6) AS p99, round(median, 6) AS median, avg(CASE WHEN v BETWEEN p1 AND p99 THEN 1.0 ELSE 0.0 END) AS within_rate FROM p JOIN u USING (feature) WHERE p99 - p1 >= 1e-6 AND NOT (median = 0 AND p99 < 5) GROUP BY ALL HAVING avg(CASE WHEN v BETWEEN p1 AND p99 THEN 1.0 ELSE 0.0 END) >= 0.95""")
 def feature_envelope(spark, sf_dir):
-    b = features.behavioral(event_traces(spark, sf_dir))
-    u = b.select("trace_id", F.expr(f"stack({len(_FEATURES)}, {', '.join(f"'{f}', CAST({f} AS double)" for f in _FEATURES)}) AS (feature, v)"))
-    p = u.groupBy("feature").agg(*[F.percentile("v", F.lit(q)).alias(n) for q, n in ((0.01, "p1"), (0.99, "p99"), (0.5, "median"))])
-    p = p.filter("p99 - p1 >= 1e-6 AND NOT (median = 0 AND p99 < 5)")
-    within = F.avg(F.when(F.col("v").between(F.col("p1"), F.col("p99")), 1.0).otherwise(0.0)).alias("within_rate")
-    return u.join(F.broadcast(p), "feature").groupBy("feature", "p1", "p99", "median").agg(within).select("feature", *[F.round(c, 6).alias(c) for c in ("p1", "p99", "median")], "within_rate").filter("within_rate >= 0.95")
+    rows = features.behavioral(event_traces(spark, sf_dir)).withColumn("cluster_id", F.lit("all"))
+    return by_cluster.envelopes(rows).select("feature", *[F.round(c, 6).alias(c) for c in ("p1", "p99", "median")], "within_rate")
 
 
 # ---- associations -----------------------------------------------------------------------------
@@ -201,10 +197,10 @@ def session_tool_caps(spark, sf_dir):
     # sessions of later days come from counts by day, those of the same day from a join on it
     days = s.groupBy("day").agg(F.count("*").alias("n"))
     later = first.join(F.broadcast(days.select(F.col("day").alias("other"), "n")), F.col("other") > F.col("day"), "left").groupBy("tool").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("later"))
-    same = s.join(F.broadcast(first.select("day", "tool", "first")), "day").filter(F.struct("t", "session_id") >= F.col("first")).groupBy("tool").agg(F.count("*").alias("same"))
+    same = s.join(first.select("day", "tool", "first"), "day").filter(F.struct("t", "session_id") >= F.col("first")).groupBy("tool").agg(F.count("*").alias("same"))
     f = first.select("tool", "with_calls").join(later, "tool").join(same, "tool").withColumn("m", F.col("later") + F.col("same"))
     zero = f.select("tool", F.lit(0).cast("long").alias("c"), (F.col("m") - F.col("with_calls")).alias("times"))
-    h = c.groupBy("tool", "c").agg(F.count("*").alias("times")).unionByName(zero).filter("times > 0").join(F.broadcast(f.select("tool", "m")), "tool").filter("m >= 10")
+    h = c.groupBy("tool", "c").agg(F.count("*").alias("times")).unionByName(zero).filter("times > 0").join(f.select("tool", "m"), "tool").filter("m >= 10")
     h = h.withColumn("cum", F.sum("times").over(Window.partitionBy("tool").orderBy("c")))
     upper = F.min(F.when(F.col("cum") > F.least(F.col("m") - 1, F.floor(F.lit(0.99) * F.col("m"))), F.struct("c", "cum")))
     median = F.min(F.when(F.col("cum") > F.floor(F.col("m") / 2), F.col("c")))

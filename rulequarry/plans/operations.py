@@ -123,14 +123,14 @@ def mine_per_cluster(spark, sf_dir):
     calls = F.sort_array(F.collect_list(F.struct("ts", "event_id", "tool")))
     traces = steps.groupBy("cluster_id", "trace_id").agg(calls.alias("calls")).select("cluster_id", F.expr("transform(calls, c -> c.tool)").alias("tools"))
     traces = traces.withColumn("firsts", F.expr("transform(array_distinct(tools), t -> named_struct('tool', t, 'a', array_position(tools, t)))"))
-    n = F.broadcast(traces.groupBy("cluster_id").agg(F.count("*").alias("n")))
+    n = traces.groupBy("cluster_id").agg(F.count("*").alias("n"))
     # of each pair of tools of a trace: which comes first, and how far apart
     pairs = traces.select("cluster_id", F.expr("explode(flatten(transform(firsts, x -> transform(filter(firsts, y -> y.tool <> x.tool), y -> named_struct('tool_a', x.tool, 'tool_b', y.tool, 'gap', y.a - x.a)))))").alias("p"))
     d = pairs.groupBy("cluster_id", "p.tool_a", "p.tool_b").agg(F.count_if(F.col("p.gap") > 0).alias("forward"), F.count("*").alias("pairs"), F.count_if(F.col("p.gap").between(1, 5)).alias("near")).join(n, "cluster_id")
     d = d.withColumns({"support": F.col("forward") / F.col("n"), "consistency": F.col("forward") / F.col("pairs")}).filter("support >= 0.6D AND consistency >= 0.9D")
     lat = steps.groupBy("cluster_id", "tool").agg(F.percentile("latency_ms", F.lit(0.99)).alias("p99"), F.count("latency_ms").alias("m")).filter("m >= 20")
     lat = lat.select("cluster_id", "tool", (F.ceil(F.col("p99") / 50) * 50).cast("long").alias("threshold"))
-    within = steps.join(F.broadcast(lat), ["cluster_id", "tool"]).groupBy("cluster_id", "tool", "threshold").agg(one(F.col("latency_ms") <= F.col("threshold")).alias("rate"))
+    within = steps.join(lat, ["cluster_id", "tool"]).groupBy("cluster_id", "tool", "threshold").agg(one(F.col("latency_ms") <= F.col("threshold")).alias("rate"))
     success = steps.groupBy("cluster_id", "tool").agg(F.count("*").alias("m"), one(F.col("status") == "success").alias("rate")).filter("m >= 20 AND rate >= 0.95D")
     used = traces.select("cluster_id", F.explode("firsts.tool").alias("tool")).groupBy("cluster_id", "tool").agg(F.count("*").alias("c")).join(n, "cluster_id")
     used = used.filter("n >= 30 AND c >= greatest(1, floor(0.005D * n))").groupBy("cluster_id").agg(F.array_join(F.sort_array(F.collect_list("tool")), ", ").alias("tools"))

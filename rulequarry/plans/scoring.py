@@ -160,3 +160,11 @@ def isolation_inliers(spark, sf_dir):
     from rulequarry.operators import anomaly, features
 
     return anomaly.inliers(features.behavioral(event_traces(spark, sf_dir)))
+
+
+@query()
+def inlier_envelope(spark, sf_dir):
+    """The usual range of each feature among the traces that the isolation forest doesn't single out."""
+    from rulequarry.operators import anomaly, features
+
+    return anomaly.envelopes(features.behavioral(event_traces(spark, sf_dir)))
