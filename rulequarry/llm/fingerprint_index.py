@@ -30,6 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _read(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """The arrays of all rows of a kind, end to end."""
-    rows = table.filter(pa.compute.equal(table["kind"], kind))
+    rows = table.filter(pc.equal(table["kind"], kind))
     return {c: np.frombuffer(b"".join(x for x in rows[c].to_pylist() if x is not None), t) for c, t in _ARRAYS.items()}
 
 

@@ -226,3 +226,12 @@ def test_empty_tables(spark):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     assert fingerprint_index.incremental_dedup(empty).count() == 0
     assert jaccard_join.jaccard_classes(empty).count() == 0
+
+
+def test_index_rows_read_where_nothing_else_imports_compute(monkeypatch):
+    """A worker in which pyarrow's functions aren't loaded as a side effect reads a group's rows."""
+    import pyarrow as pa
+
+    table = pa.Table.from_batches([fingerprint_index._rows([fingerprint_index._row(0, fingerprint_index.BATCH, docs=[7])])])
+    monkeypatch.delattr(pa, "compute", raising=False)
+    assert fingerprint_index._read(table, fingerprint_index.BATCH)["docs"].tolist() == [7]
