@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulequarry.operators.candidates import checkpoint_dir
+
 LAMBDA, DELTA, ALPHA, WARM_UP = 8.0, 0.005, 0.05, 30
 TARGET, SLACK, LIMIT, CUSUM_WARM_UP = 0.95, 0.05, 4.0, 20
 
 
-#: Rows that a block of a history holds at most, on average.
+#: Rows that a block of a long history holds, on average.
 BLOCK = 1_000_000
 
 
+def _tie(obs: DataFrame) -> list[str]:
+    """The column that orders observations of one `ord`, if there is one."""
+    return ["tie"] if "tie" in obs.columns else []
+
+
 def _blocks(obs: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
-    """key, block, xs: the observations of a key in order, in stretches of `ord` that all keys share, and the number of these.
+    """key, block, xs: the observations of a key in order, and the most blocks that a key has.
 
-    There are as many stretches, equally wide, as `rows` goes into all rows, so no key has more than about that many rows in one,
-    even where it has all of them. `ord` is a number; what shares one shares a block.
+    A key of up to `rows` rows is one block. A longer one, of which there are no more than `rows` goes into all rows, is cut into
+    as many equally wide stretches of its `ord` as `rows` goes into it. `ord` is a number; what shares one shares a block, in
+    order of the column `tie` if there is one.
     """
-    n, low, high = obs.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
-    blocks = max(1, -(-n // rows))
-    place = F.lit(0) if blocks == 1 else F.floor((F.col("ord") - F.lit(low)) / F.lit(float(high - low) + 1.0) * blocks)
-    dealt = obs.select(key, "ord", F.col("x").cast("double").alias("x"), place.cast("long").alias("block"))
-    return dealt.groupBy(key, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda o: o["x"]).alias("xs")), blocks
+    long = obs.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"), F.min("ord").alias("__low"), F.max("ord").alias("__high")).filter(F.col("__n") > rows)
+    many = long.agg(F.max(F.ceil(F.col("__n") / rows))).first()[0] or 1
+    order = ["ord", *_tie(obs)]
+    place = F.lit(0)
+    if many > 1:
+        obs = obs.join(F.broadcast(long), F.col(key).eqNullSafe(F.col("__key")), "left")
+        place = F.coalesce(F.floor((F.col("ord") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1.0) * F.ceil(F.col("__n") / rows)), F.lit(0))
+    dealt = obs.select(key, *order, F.col("x").cast("double").alias("x"), place.cast("long").alias("block"))
+    return dealt.groupBy(key, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "x"))), lambda o: o["x"]).alias("xs")), many
 
 
 def _before(sums: DataFrame, key: str, given: list[str], state: dict[str, float], step) -> DataFrame:
@@ -61,6 +74,30 @@ def _with(blocks: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return blocks.join(b, F.col(key).eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block"))).drop("__key", "__block")
 
 
+def _settled(blocks: DataFrame, guess: DataFrame, key: str, names: list[str], fold: Column) -> DataFrame:
+    """Blocks folded from the very state that the block before leaves: (key, block, names with a 0 behind, s), s being the fold.
+
+    They start from a guess that may be off by the last bits. Where the block before has left another state, the fold is made
+    again from that, until nothing moves before a key's first firing, behind which states don't matter. Two states that both return to
+    zero are one from there on, so that is soon.
+    """
+    start = [f"{c}0" for c in names]
+    w = Window.partitionBy(key).orderBy("block")
+    checkpoint_dir(blocks.sparkSession)
+    states = _with(blocks, guess, key).select(key, "block", *start, fold.alias("s")).checkpoint()
+    while True:
+        before = F.max("s.fired").over(w.rowsBetween(Window.unboundedPreceding, -1))  # null in a key's first block
+        left = states.withColumns({f"__{c}": F.lag(f"s.{c}").over(w) for c in names}).withColumn("__fired", before)
+        moved = reduce(lambda a, b: a | b, [~F.col(f"__{c}").eqNullSafe(F.col(f"{c}0")) for c in names])
+        wrong = left.filter((F.col("__fired") == 0) & moved).select(key, "block", *[F.col(f"__{c}").alias(f"{c}0") for c in names])
+        if wrong.isEmpty():
+            return states
+        again = _with(blocks, wrong, key).select(key, "block", *start, fold.alias("s"))
+        other = wrong.select(F.col(key).alias("__key"), F.col("block").alias("__block"))
+        kept = states.join(other, F.col(key).eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block")), "left_anti")
+        states = kept.unionByName(again).checkpoint()
+
+
 def page_hinkley(obs: DataFrame, key: str, threshold: float = LAMBDA, delta: float = DELTA, alpha: float = ALPHA, warm_up: int = WARM_UP, rows: int = BLOCK) -> DataFrame:
     """(key, ord, x) -> key, n, fired_at: the first observation at which the cumulated fall of the mean passes the threshold, or 0.
 
@@ -95,7 +132,10 @@ def page_hinkley(obs: DataFrame, key: str, threshold: float = LAMBDA, delta: flo
 
 
 def cusum(obs: DataFrame, key: str, target: float = TARGET, slack: float = SLACK, limit: float = LIMIT, warm_up: int = CUSUM_WARM_UP, rows: int = BLOCK) -> DataFrame:
-    """(key, ord, x) -> key, n, fired_at, direction of a two-sided cumulative sum; blocks as in page_hinkley(), one map for each side."""
+    """(key, ord, x) -> key, n, fired_at, direction of a two-sided cumulative sum; blocks as in page_hinkley(), one map for each side.
+
+    Sums of fixed steps meet the limit often, so the last bits count: blocks end up folded from exactly what is before them.
+    """
     blocks, many = _blocks(obs, key, rows)
     rise, fall = f"(x - {target}D) - {slack}D", f"(x - {target}D) + {slack}D"
     up, down = f"greatest(0D, s.up + (x - {target}D) - {slack}D)", f"least(0D, s.down + (x - {target}D) + {slack}D)"
@@ -113,7 +153,7 @@ def cusum(obs: DataFrame, key: str, target: float = TARGET, slack: float = SLACK
         sums = blocks.select(key, "block", F.expr(fold(start.format("0L", "0D", "0D"))).alias("s"), F.expr(f"aggregate(xs, 0D, (a, x) -> a + {rise})").alias("du"), F.expr(f"aggregate(xs, 0D, (a, x) -> a + {fall})").alias("dd"))
         sums = sums.select(key, "block", "s.n", "s.up", "s.down", "du", "dd")
         held = _before(sums, key, ["n", "up", "down", "du", "dd"], {"n0": 0, "up0": 0.0, "down0": 0.0}, lambda s, n, u, d, du, dd: (s[0] + n, max(s[1] + du, u), min(s[2] + dd, d)))
-        states = _with(blocks, held, key).select(key, "block", F.expr(fold(start.format("n0", "up0", "down0"))).alias("s"))
+        states = _settled(blocks, held, key, ["n", "up", "down"], F.expr(fold(start.format("n0", "up0", "down0"))))
     first = F.min(F.when(F.col("s.fired") > 0, F.struct("s.fired", "s.direction")))
     return states.groupBy(key).agg(F.max("s.n").alias("n"), F.coalesce(first["fired"], F.lit(0).cast("long")).alias("fired_at"), F.coalesce(first["direction"], F.lit("")).alias("direction"))
 
@@ -164,7 +204,7 @@ def drift_events(obs: DataFrame, key: str) -> DataFrame:
     The rows of a key come in order and a batch at a time, so none is held whole.
     """
     at, text = F.to_timestamp(F.lit("1970-01-01")), F.lit(None).cast("string")
-    rows = obs.select(F.col(key).cast("string").alias("agent"), text.alias("rule"), at.alias("at"), "ord", F.col("x").cast("double").alias("x"), text.alias("control"))
+    rows = obs.select(F.col(key).cast("string").alias("agent"), text.alias("rule"), at.alias("at"), "ord", *_tie(obs), F.col("x").cast("double").alias("x"), text.alias("control"))
     return _folded(rows, float("inf"), EVENT, lambda k, s, at, fired: [(k[0], s.detector.n, e) for e in fired or []])
 
 
@@ -218,7 +258,8 @@ def _folded(rows: DataFrame, idle: float, schema: str, give) -> DataFrame:
     """Rows of a key in event order through one Session, a batch at a time; give(key, session, fired) makes rows, and once more with fired None at the key's end."""
     names = ["agent", "rule", "at", "ord", "x", "control"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*names).repartition(n, "agent", "rule").sortWithinPartitions("agent", "rule", "at", "ord")
+    tie = _tie(rows)
+    dealt = rows.select(*names, *tie).repartition(n, "agent", "rule").sortWithinPartitions("agent", "rule", "at", "ord", *tie).select(*names)
 
     def fold(batches):
         import pandas as pd

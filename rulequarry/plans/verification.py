@@ -39,7 +39,7 @@ def certificate_evidence(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    return event_steps(spark, sf_dir).select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), F.when(F.col("status") == "success", 1.0).otherwise(0.0).alias("x"))
+    return event_steps(spark, sf_dir).select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), F.col("event_id").alias("tie"), F.when(F.col("status") == "success", 1.0).otherwise(0.0).alias("x"))
 
 
 _OBS = f"WITH RECURSIVE {EVENTS}, o AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i, CASE WHEN status = 'success' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x FROM st)"

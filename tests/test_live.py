@@ -211,3 +211,22 @@ def test_deliveries_of_a_stream(spark, tmp_path, rocks):
     done = alerts.deliveries(table, lambda k: (F.col("body") == "ok") | (F.col("body") == "later") & (k >= 3))
     last = {e: (k, status == "sent", at) for _, e, k, at, status in want if status in ("sent", "gave up")}
     assert {r.event_id: (r.attempts, r.delivered, r.done_at) for r in done.collect()} == last
+
+
+def test_cusum_of_steps_in_blocks(spark):
+    """Sums of fixed steps, which meet the limit to the last bits: blocks give what one fold in doubles gives, with ties of time in order of `tie`."""
+    rng = random.Random(3)
+    rows = [(f"k{k}", i // 2, -i, 1.0 if rng.random() < 0.9 else 0.0) for k in range(60) for i in range(240)]
+    obs = spark.createDataFrame(rows, "key string, ord long, tie long, x double").repartition(3)
+    want = set()
+    for key in {r[0] for r in rows}:
+        up, down, fired, direction = 0.0, 0.0, 0, ""
+        for n, (_, _, x) in enumerate(sorted(r[1:] for r in rows if r[0] == key), 1):
+            up, down = max(0.0, up + (x - 0.95) - 0.05), min(0.0, down + (x - 0.95) + 0.05)
+            if not fired and n >= 20 and (up > 4.0 or down < -4.0):
+                fired, direction = n, "up" if up > 4.0 else "down"
+        want.add((key, 240, fired, direction))
+    for size in (1000, 90, 20):
+        assert set(map(tuple, drift.cusum(obs, "key", rows=size).collect())) == want
+    events = {(r.key, r.n) for r in drift.drift_events(obs, "key").collect()}
+    assert events == {(r.key, r.n) for r in drift.drift_events(obs.orderBy(F.desc("tie")), "key").collect()}
