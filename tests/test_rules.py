@@ -425,3 +425,16 @@ def test_spans_are_masked_the_longest_first(spark):
     assert [(s.start, s.content) for s in got[1].names] == [(m.start(), m.group()) for m in re.finditer("[A-Z][a-z]+ [A-Z][a-z]+", text)]
     assert got[1].clean == "[redacted:name] of [redacted:org] met [redacted:name], no [redacted:n] and [redacted:n]"
     assert got[2].clean is None and got[3].clean == "" and got[4].clean == "nothing here" and got[5].clean == "[redacted:n]"
+
+
+def test_statistics_of_many_traces(spark):
+    """Counts whose margins multiply to more than a long holds."""
+    from rulequarry.plans import mining
+
+    n11, n10, n01, n00 = 150_000, 50_000, 60_000, 190_000
+    n = n11 + n10 + n01 + n00
+    rows = spark.createDataFrame([(n11, n10, n01, n00, n), (n, 0, 0, 0, n)], "n11 long, n10 long, n01 long, n00 long, n long")
+    many, none = mining.with_statistics(rows).orderBy("n11").select("chi2", "mi").collect()
+    want = n * (n11 * n00 - n10 * n01) ** 2 / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00))
+    assert abs(many.chi2 / want - 1) < 1e-12 and many.mi > 0.1
+    assert tuple(none) == (0.0, 0.0)
