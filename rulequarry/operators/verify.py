@@ -14,24 +14,29 @@ from rulequarry.operators import checks
 from rulequarry.operators.features import with_features
 from rulequarry.schema import PARAMS, params_valid
 
-_BEFORE = "forall(sequence(0, size(tools) - 1), i -> get(tools, i) <> {b} OR exists(slice(tools, 1, i), t -> t = {a}))"
-_NOT_EMPTY = "size(tools) = 0 OR "
+_BEFORE = "forall(sequence(0, size({tools}) - 1), i -> get({tools}, i) <> {b} OR exists(slice({tools}, 1, i), t -> t = {a}))"
+_NOT_EMPTY = "size({tools}) = 0 OR "
 
 
-def holds() -> Column:
-    """Whether the row's rule (type, p) holds on the row's trace; a rule that doesn't apply holds."""
-    order = lambda a, b: f"({_NOT_EMPTY}coalesce({_BEFORE.format(a=a, b=b)}, true))"
+def _holds(tools: str = "tools", calls: str = "calls") -> str:
+    """Whether the row's rule (type, p) holds on a trace of these tools and calls, as SQL; a rule that doesn't apply holds."""
+    order = lambda a, b: f"({_NOT_EMPTY.format(tools=tools)}coalesce({_BEFORE.format(a=a, b=b, tools=tools)}, true))"
     cases = {
         "type = 'ordering'": order("p.tool_a", "p.tool_b"),
         "type = 'composition'": order("p.upstream_tool", "p.downstream_tool"),
-        "type = 'conditional'": "NOT array_contains(transform(split(user_text, '\\\\s+'), t -> regexp_replace(t, '[^\\\\p{L}\\\\p{N}_]', '')), lower(p.keyword)) OR array_contains(tools, p.tool)",
-        "type = 'negative'": "NOT arrays_overlap(tools, coalesce(p.forbidden_patterns, CAST(array() AS array<string>)))",
-        "type = 'statistical' AND p.metric = 'latency_ms'": "NOT exists(calls, c -> c.tool = p.tool AND coalesce(c.latency_ms > p.threshold, false))",
-        "type = 'statistical' AND p.metric = 'success_rate'": "NOT exists(calls, c -> c.tool = p.tool AND NOT c.ok)",
-        "type = 'state'": f"NOT array_contains(tools, p.terminator_tool) OR NOT exists(slice(tools, CAST(array_position(tools, p.terminator_tool) AS int) + 1, size(tools)), t -> array_contains(p.forbidden_after, t))",
-        "type = 'tool_selection'": "coalesce(segment_lower, '') <> lower(p.segment) OR IF(p.forbidden_tool IS NULL, array_contains(tools, p.expected_tool), NOT array_contains(tools, p.forbidden_tool))",
+        "type = 'conditional'": f"NOT array_contains(transform(split(user_text, '\\\\s+'), t -> regexp_replace(t, '[^\\\\p{{L}}\\\\p{{N}}_]', '')), lower(p.keyword)) OR array_contains({tools}, p.tool)",
+        "type = 'negative'": f"NOT arrays_overlap({tools}, coalesce(p.forbidden_patterns, CAST(array() AS array<string>)))",
+        "type = 'statistical' AND p.metric = 'latency_ms'": f"NOT exists({calls}, c -> c.tool = p.tool AND coalesce(c.latency_ms > p.threshold, false))",
+        "type = 'statistical' AND p.metric = 'success_rate'": f"NOT exists({calls}, c -> c.tool = p.tool AND NOT c.ok)",
+        "type = 'state'": f"NOT array_contains({tools}, p.terminator_tool) OR NOT exists(slice({tools}, CAST(array_position({tools}, p.terminator_tool) AS int) + 1, size({tools})), t -> array_contains(p.forbidden_after, t))",
+        "type = 'tool_selection'": f"coalesce(segment_lower, '') <> lower(p.segment) OR IF(p.forbidden_tool IS NULL, array_contains({tools}, p.expected_tool), NOT array_contains({tools}, p.forbidden_tool))",
     }
-    return F.coalesce(F.expr("CASE " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " ELSE true END"), F.lit(True))
+    return "coalesce(CASE " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " ELSE true END, true)"
+
+
+def holds() -> Column:
+    """Whether the row's rule (type, p) holds on the row's trace; a rule that doesn't apply holds."""
+    return F.expr(_holds())
 
 
 def verify(traces: DataFrame, rules: DataFrame) -> DataFrame:
@@ -69,30 +74,39 @@ def verify_recent(traces: DataFrame, rules: DataFrame, sample: int = 500, most:
     return out.join(rules.select("rule_id", signature().alias("signature")), "rule_id")
 
 
-def small_traces(rules: DataFrame, slow_ms: int = 60_000) -> DataFrame:
-    """Of each rule: all traces of at most two calls over its own tools, fast and successful or slow and failed, with its keyword and segment."""
+def smallest_violations(rules: DataFrame, slow_ms: int = 60_000) -> DataFrame:
+    """rule_id, type, severity, p, and as b (n, slow, text, names) the smallest trace that violates the rule, null if none does.
+
+    Tried are all traces of at most two calls over the rule's own tools, fast and successful or slow and failed, with its keyword and
+    segment. They stay in the rule's row, so a task holds those of one rule at a time; rows of one rule_id meet before, not after.
+    """
     own = F.expr("""array_sort(array_distinct(filter(concat(array(p.tool_a, p.tool_b, p.tool, p.terminator_tool, p.upstream_tool, p.downstream_tool, p.expected_tool, p.forbidden_tool),
         coalesce(p.forbidden_patterns, array()), coalesce(p.forbidden_after, array())), t -> t IS NOT NULL)))""")
-    rows = rules.select("rule_id", "type", "severity", F.col("params").alias("p")).withColumn("own", own)
+    rows = rules.repartition("rule_id").select("rule_id", "type", "severity", F.col("params").alias("p")).withColumn("own", own)
     one = "transform(own, t -> array(t))"
     two = "flatten(transform(own, a -> transform(own, b -> array(a, b))))"
-    rows = rows.withColumn("names", F.explode(F.expr(f"concat(array(CAST(array() AS array<string>)), {one}, {two})"))).withColumn("slow", F.explode(F.array(F.lit(False), F.lit(True))))
-    step = "named_struct('type', '{}', 'content', {}, 'tool', {}, 'latency_ms', {}, 'result_status', {})"
-    user = step.format("user_input", "coalesce(lower(p.keyword), '')", "CAST(NULL AS string)", "CAST(NULL AS int)", "CAST(NULL AS string)")
-    call = step.format("tool_call", "CAST(NULL AS string)", "t", f"IF(slow, {slow_ms}, 1)", "IF(slow, 'error', 'success')")
-    return rows.withColumns({"steps": F.expr(f"concat(array({user}), transform(names, t -> {call}))"), "segment": F.col("p.segment")})
+    call = f"named_struct('tool', t, 'latency_ms', IF(slow, {slow_ms}, 1), 'ok', NOT slow)"
+    each = f"transform(array(false, true), slow -> named_struct('slow', slow, 'names', names, 'calls', transform(names, t -> {call})))"
+    tried = F.expr(f"flatten(transform(concat(array(CAST(array() AS array<string>)), {one}, {two}), names -> {each}))")
+    rows = rows.withColumns({"user_text": F.expr("lower(coalesce(p.keyword, ''))"), "segment_lower": F.expr("lower(p.segment)"), "tried": tried})
+    # a pattern is banned by name here, and a trace with that very name violates it
+    broken = f"filter(tried, x -> NOT {_holds('x.names', 'x.calls')})"
+    least = F.expr(f"array_min(transform({broken}, x -> named_struct('n', size(x.names), 'slow', x.slow, 'text', array_join(x.names, '>'), 'names', x.names)))")
+    return rows.select("rule_id", "type", "severity", "p", least.alias("b"))
 
 
 def counterexamples(rules: DataFrame) -> DataFrame:
     """rule_id, violable, counterexample: the smallest violating trace's calls."""
-    tried = with_features(small_traces(rules)).withColumn("holds", holds())
-    # a pattern is banned by name here, and a trace with that very name violates it
-    best = F.min(F.when(~F.col("holds"), F.struct(F.size("names").alias("n"), "slow", F.array_join("names", ">").alias("text"))))
-    return tried.groupBy("rule_id").agg(best.alias("b")).select("rule_id", F.col("b").isNotNull().alias("violable"), F.coalesce("b.text", F.lit("")).alias("counterexample"))
+    best = smallest_violations(rules).groupBy("rule_id").agg(F.min("b").alias("b"))
+    return best.select("rule_id", F.col("b").isNotNull().alias("violable"), F.coalesce("b.text", F.lit("")).alias("counterexample"))
 
 
-def checked_counterexamples(rules: DataFrame) -> DataFrame:
+def checked_counterexamples(rules: DataFrame, slow_ms: int = 60_000) -> DataFrame:
     """The outcome of each rule's own check on its smallest counterexample."""
-    tried = with_features(small_traces(rules)).withColumn("holds", holds()).withColumn("outcome", checks.outcome(False))
-    best = F.min(F.when(~F.col("holds"), F.struct(F.size("names").alias("n"), "slow", F.array_join("names", ">").alias("text"), "outcome")))
-    return tried.groupBy("rule_id").agg(best.alias("b")).filter("b IS NOT NULL").select("rule_id", F.col("b.outcome").alias("outcome"))
+    step = "named_struct('type', '{}', 'content', {}, 'tool', {}, 'latency_ms', {}, 'result_status', {})"
+    user = step.format("user_input", "coalesce(lower(p.keyword), '')", "CAST(NULL AS string)", "CAST(NULL AS int)", "CAST(NULL AS string)")
+    call = step.format("tool_call", "CAST(NULL AS string)", "t", f"IF(b.slow, {slow_ms}, 1)", "IF(b.slow, 'error', 'success')")
+    found = smallest_violations(rules, slow_ms).filter("b IS NOT NULL")
+    found = found.withColumns({"steps": F.expr(f"concat(array({user}), transform(b.names, t -> {call}))"), "segment": F.col("p.segment")})
+    best = with_features(found).withColumn("outcome", checks.outcome(False)).groupBy("rule_id").agg(F.min(F.struct("b", "outcome")).alias("b"))
+    return best.select("rule_id", F.col("b.outcome").alias("outcome"))

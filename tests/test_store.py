@@ -123,3 +123,15 @@ def test_statement_of_details_under_other_planners(setting):
     except duckdb.Error:
         pytest.skip("this DuckDB has no such setting")
     assert sorted(con.execute(catalog.oracle_sql()["violation_details"]).fetchall(), key=str) == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_traces_stay_in_their_rule(spark):
+    """The traces tried for a rule aren't rows that a task sorts."""
+    from rulequarry.plans import store
+
+    for query in (store.bounded_counterexample, store.synth_violation):
+        assert "Generate" not in _plan(query(spark, "/root/testdata/sf0.001"))
