@@ -135,3 +135,10 @@ def test_small_traces_stay_in_their_rule(spark):
 
     for query in (store.bounded_counterexample, store.synth_violation):
         assert "Generate" not in _plan(query(spark, "/root/testdata/sf0.001"))
+
+
+def test_long_payloads_go_to_python_in_small_batches(spark):
+    from rulequarry.plans import payloads
+
+    plan = _plan(payloads.value_truncation(spark, "/root/testdata/sf0.001"))
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
