@@ -43,29 +43,42 @@ def forms(names: DataFrame) -> DataFrame:
     return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", T.canonical_form("name").alias("form")).checkpoint()
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same).
+def _facing(left: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """left (key, ofa, ...) beside each other cluster `ofb` that has the key, so that names of one cluster don't meet."""
+    of = keyed.select(key, "of").distinct()
+    other = of.select(key, F.col("of").alias("ofa")).join(of.select(key, F.col("of").alias("ofb")), key).filter("ofa <> ofb")
+    return left.join(other, [key, "ofa"])
+
+
+def pairs(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same); where known (id, cluster) is given, of different clusters.
 
     Only names that share a trigram, a token or, if short, what two deletions leave are compared. No other pair can be
     close: an edit spoils three trigrams at most, and a form of n characters has n + 2.
     """
-    grams = rows.select("id", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    rows = rows.withColumn("of", F.col("id")) if known is None else rows.join(known.withColumnRenamed("cluster", "of"), "id")
+    apart = F.expr("a < b AND ofa <> ofb")
+    grams = rows.select("id", "of", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "of", "g").agg(F.count("*").alias("c"))
     norm = grams.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).cast("double").alias("nn"))
-    ga, gb = grams.select(F.col("id").alias("a"), "g", F.col("c").alias("ca")), grams.select(F.col("id").alias("b"), "g", F.col("c").alias("cb"))
+    ga, gb = grams.select(F.col("id").alias("a"), F.col("of").alias("ofa"), "g", F.col("c").alias("ca")), grams.select(F.col("id").alias("b"), F.col("of").alias("ofb"), "g", F.col("c").alias("cb"))
     # few names make many pairs: the join isn't left to one task because what it reads is small
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dot = ga.repartition(n, "g").join(gb.repartition(n, "g"), "g").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
+    if known is not None:
+        ga = _facing(ga, grams, "g")
+    dot = ga.repartition(n, "g").join(gb.repartition(n, "g"), ["g"] if known is None else ["g", "ofb"]).filter(apart).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
     dot = dot.join(norm.select(F.col("id").alias("a"), F.col("nn").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("nn").alias("nb")), "b")
     dot = dot.select("a", "b", F.round(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
     ready = rows.withColumn("tokens", T.token_set("form"))
 
     def sharing(keyed: DataFrame) -> DataFrame:
         keyed = keyed.repartition(n, "k")
-        x = keyed.select(F.col("id").alias("a"), "k")
-        return x.join(keyed.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+        x = keyed.select(F.col("id").alias("a"), F.col("of").alias("ofa"), "k")
+        if known is not None:
+            x = _facing(x, keyed, "k")
+        return x.join(keyed.select(F.col("id").alias("b"), F.col("of").alias("ofb"), "k"), ["k"] if known is None else ["k", "ofb"]).filter(apart).select("a", "b")
 
-    tokens = sharing(ready.select("id", F.explode("tokens").alias("k")))
-    short = sharing(rows.filter(F.length("form") <= SHORT).select("id", F.explode(T.deletions("form")).alias("k")))
+    tokens = sharing(ready.select("id", "of", F.explode("tokens").alias("k")))
+    short = sharing(rows.filter(F.length("form") <= SHORT).select("id", "of", F.explode(T.deletions("form")).alias("k")))
     some = dot.select("a", "b").unionByName(tokens).unionByName(short).distinct()
     a = ready.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("tokens").alias("ta"))
     b = ready.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("tokens").alias("tb"))
@@ -76,6 +89,20 @@ def pairs(rows: DataFrame) -> DataFrame:
     return both.filter(F.col("same") | (F.col("jaccard") >= JACCARD) | (F.col("distance") <= EDIT) | (F.col("cosine") >= COSINE))
 
 
+def links(rows: DataFrame) -> DataFrame:
+    """(a, b): enough of the links between close names to give the same clusters as all pairs(), without the pairs within most of them.
+
+    Forms that are equal, or of which up to one deletion leaves the same, are within two edits, so each is linked to the first of its
+    kind. Only names that these links leave apart are compared.
+    """
+    checkpoint_dir(rows.sparkSession)
+    keys = rows.select("id", F.explode(T.deletions("form", 1)).alias("k"))
+    first = keys.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    sure = keys.join(first, "k").filter("a < id").select("a", F.col("id").alias("b")).distinct().checkpoint()
+    rest = pairs(rows, label_components(rows.select("id"), sure))
+    return sure.unionByName(rest.select("a", "b"))
+
+
 def clusters(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(name, form, canonical): the shortest form of a cluster, ties by form and then by name, stands for all."""
     label = label_components(rows.select("id"), found.select("a", "b"))

@@ -47,7 +47,7 @@ c AS (SELECT x AS id, min(y) AS cluster FROM lab GROUP BY x), h AS (SELECT clust
 @query(f"{_CL} SELECT name, form, canonical FROM r JOIN c USING (id) JOIN h USING (cluster)")
 def alias_clusters(spark, sf_dir):
     rows = aliases.forms(_names(spark, sf_dir))
-    return aliases.clusters(rows, aliases.pairs(rows))
+    return aliases.clusters(rows, aliases.links(rows))
 
 
 _COUNTS = "list_sum([CAST(len(list_filter({0}, lambda t: t = g)) * len(list_filter({1}, lambda t: t = g)) AS DOUBLE) FOR g IN list_distinct({0})])"

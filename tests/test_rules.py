@@ -438,3 +438,16 @@ def test_statistics_of_many_traces(spark):
     want = n * (n11 * n00 - n10 * n01) ** 2 / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00))
     assert abs(many.chi2 / want - 1) < 1e-12 and many.mi > 0.1
     assert tuple(none) == (0.0, 0.0)
+
+
+def test_links_of_aliases_are_fewer_than_pairs(spark):
+    """Numbered names make one cluster from a few links each, not from all of their pairs; clusters are those of all pairs."""
+    from rulequarry.operators import aliases
+
+    names = [f"Supplier#{k:09d}" for k in range(400)] + ["copper-ring_v1", "copper ring", "ring copper", "bolt", "bulb", "x"]
+    rows = aliases.forms(spark.createDataFrame([(n,) for n in names], "name string"))
+    every, some = aliases.pairs(rows).select("a", "b"), aliases.links(rows).cache()
+    assert some.count() < 10 * len(names) < every.count()
+    assert some.subtract(every).isEmpty()
+    got = lambda found: {tuple(r) for r in aliases.clusters(rows, found).collect()}
+    assert got(some) == got(every)
