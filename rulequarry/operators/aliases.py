@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.functions import text as T
+from rulequarry.functions.names import close, forest
 from rulequarry.operators.candidates import checkpoint_dir, label_components
 
 JACCARD, EDIT, COSINE = 0.5, 2, 0.78
-#: Forms up to this length may be within two edits and share no trigram; they meet by deletions.
-SHORT = 6
+#: Names of a block; the pairs of two blocks are compared in one piece, of a million pairs.
+BLOCK = 1_024
 
 
 #: An alias table is broadcast up to this many rows (two names of up to 128 characters each).
@@ -33,7 +36,7 @@ def applied(steps: DataFrame, known: DataFrame, most: int = MAX_ALIASES) -> Data
 def forms(names: DataFrame) -> DataFrame:
     """(name) -> (id, name, form), ids in order of the names, which one task gives out: a few bytes a name.
 
-    They are written to the checkpoint folder: the pairs read them ten times.
+    They are written to the checkpoint folder: the pairs read them three times.
     """
     from pyspark.sql import Window
 
@@ -43,50 +46,35 @@ def forms(names: DataFrame) -> DataFrame:
     return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", T.canonical_form("name").alias("form")).checkpoint()
 
 
-def _facing(left: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """left (key, ofa, ...) beside each other cluster `ofb` that has the key, so that names of one cluster don't meet."""
-    of = keyed.select(key, "of").distinct()
-    other = of.select(key, F.col("of").alias("ofa")).join(of.select(key, F.col("of").alias("ofb")), key).filter("ofa <> ofb")
-    return left.join(other, [key, "ofa"])
+def pairs(rows: DataFrame, known: DataFrame | None = None, spanning: bool = False) -> DataFrame:
+    """All pairs of names with an equal form, or close ones: (a, b, same, jaccard, distance, cosine); where known (id, cluster) is given, of different clusters.
 
-
-def pairs(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All pairs of names with an equal form, or close ones: (a, b, jaccard, distance, cosine, same); where known (id, cluster) is given, of different clusters.
-
-    Only names that share a trigram, a token or, if short, what two deletions leave are compared. No other pair can be
-    close: an edit spoils three trigrams at most, and a form of n characters has n + 2.
+    Names are cut into blocks by their ids, and every two blocks are compared in one piece, so that a task holds two blocks and what is
+    close in them, and what is shuffled is the names once for each block, not their pairs. Blocks of one cluster aren't compared with each other.
+    With spanning, each piece leaves as many links as connect its clusters.
     """
-    rows = rows.withColumn("of", F.col("id")) if known is None else rows.join(known.withColumnRenamed("cluster", "of"), "id")
-    apart = F.expr("a < b AND ofa <> ofb")
-    grams = rows.select("id", "of", F.explode(T.trigrams("form")).alias("g")).groupBy("id", "of", "g").agg(F.count("*").alias("c"))
-    norm = grams.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).cast("double").alias("nn"))
-    ga, gb = grams.select(F.col("id").alias("a"), F.col("of").alias("ofa"), "g", F.col("c").alias("ca")), grams.select(F.col("id").alias("b"), F.col("of").alias("ofb"), "g", F.col("c").alias("cb"))
-    # few names make many pairs: the join isn't left to one task because what it reads is small
+    rows = rows.select("id", "form", F.col("id").alias("of")) if known is None else rows.join(known.withColumnRenamed("cluster", "of"), "id").select("id", "form", "of")
+    rows = rows.withColumn("block", F.expr(f"id DIV {BLOCK}"))
+    blocks = rows.groupBy("block").agg(F.min("of").alias("least"), F.max("of").alias("most"))
+    x, y = (blocks.select(F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in ("x", "y"))
+    pieces = x.join(y, F.expr("x <= y AND NOT (least_x = most_x AND least_y = most_y AND least_x = least_y)")).select("x", "y")
+    sides = [pieces.withColumn("block", F.col("x")).withColumn("right", F.lit(False)), pieces.withColumn("block", F.col("y")).withColumn("right", F.lit(True))]
+    # few names make many pairs: they aren't left to one task because what it reads is small
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if known is not None:
-        ga = _facing(ga, grams, "g")
-    dot = ga.repartition(n, "g").join(gb.repartition(n, "g"), ["g"] if known is None else ["g", "ofb"]).filter(apart).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("d"))
-    dot = dot.join(norm.select(F.col("id").alias("a"), F.col("nn").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("nn").alias("nb")), "b")
-    dot = dot.select("a", "b", F.round(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
-    ready = rows.withColumn("tokens", T.token_set("form"))
-
-    def sharing(keyed: DataFrame) -> DataFrame:
-        keyed = keyed.repartition(n, "k")
-        x = keyed.select(F.col("id").alias("a"), F.col("of").alias("ofa"), "k")
-        if known is not None:
-            x = _facing(x, keyed, "k")
-        return x.join(keyed.select(F.col("id").alias("b"), F.col("of").alias("ofb"), "k"), ["k"] if known is None else ["k", "ofb"]).filter(apart).select("a", "b")
-
-    tokens = sharing(ready.select("id", "of", F.explode("tokens").alias("k")))
-    short = sharing(rows.filter(F.length("form") <= SHORT).select("id", "of", F.explode(T.deletions("form")).alias("k")))
-    some = dot.select("a", "b").unionByName(tokens).unionByName(short).distinct()
-    a = ready.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("tokens").alias("ta"))
-    b = ready.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("tokens").alias("tb"))
-    both = some.join(a, "a").join(b, "b").join(dot, ["a", "b"], "left")
-    union = F.size(F.array_union("ta", "tb"))
-    jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("ta", "tb")) / union)
-    both = both.withColumns({"same": F.col("fa") == F.col("fb"), "jaccard": jaccard, "distance": T.levenshtein_bounded("fa", "fb", EDIT), "cosine": F.coalesce("cosine", F.lit(0.0))})
-    return both.filter(F.col("same") | (F.col("jaccard") >= JACCARD) | (F.col("distance") <= EDIT) | (F.col("cosine") >= COSINE))
+    facing = sides[0].unionByName(sides[1]).join(rows, "block").select("x", "y", "right", "id", "of", "form").repartition(n, "x", "y")
+
+    def compared(piece: pa.Table) -> pa.Table:
+        left, right = (piece.filter(pc.equal(piece["right"], side)) for side in (False, True))
+        (a, ofa), (b, ofb) = ([side[c].to_numpy() for c in ("id", "of")] for side in (left, right))
+        wanted = (a[:, None] < b[None, :]) & (ofa[:, None] != ofb[None, :])
+        i, j, jaccard, distance, cosine = close(left["form"].to_pylist(), right["form"].to_pylist(), wanted, JACCARD, EDIT, COSINE)
+        if spanning:
+            kept = forest(ofa[i], ofb[j])
+            i, j, jaccard, distance, cosine = i[kept], j[kept], jaccard[kept], distance[kept], cosine[kept]
+        return pa.table({"a": a[i], "b": b[j], "same": distance == 0, "jaccard": jaccard, "distance": distance.astype("int32"), "cosine": cosine})
+
+    found = facing.groupBy("x", "y").applyInArrow(compared, "a long, b long, same boolean, jaccard double, distance int, cosine double")
+    return found.withColumn("cosine", F.round("cosine", 6))
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -99,7 +87,7 @@ def links(rows: DataFrame) -> DataFrame:
     keys = rows.select("id", F.explode(T.deletions("form", 1)).alias("k"))
     first = keys.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     sure = keys.join(first, "k").filter("a < id").select("a", F.col("id").alias("b")).distinct().checkpoint()
-    rest = pairs(rows, label_components(rows.select("id"), sure))
+    rest = pairs(rows, label_components(rows.select("id"), sure), spanning=True)
     return sure.unionByName(rest.select("a", "b"))
 
 

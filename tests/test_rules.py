@@ -451,3 +451,29 @@ def test_links_of_aliases_are_fewer_than_pairs(spark):
     assert some.subtract(every).isEmpty()
     got = lambda found: {tuple(r) for r in aliases.clusters(rows, found).collect()}
     assert got(some) == got(every)
+
+
+def test_pairs_of_aliases_are_compared_in_blocks(spark, monkeypatch):
+    """Pairs of blocks are those of all pairs, with the same measures, and no pair is shuffled; links of pieces connect what all of them do."""
+    import random
+
+    from rulequarry.operators import aliases
+
+    monkeypatch.setattr(aliases, "BLOCK", 32)
+    rng = random.Random(8)
+    names = [f"Supplier#{k:05d}" for k in range(60)] + sorted({"".join(rng.choice("abé_") for _ in range(rng.randint(0, 12))) for _ in range(90)}) + ["z" * 5000, "z" * 5001]
+    rows = aliases.forms(spark.createDataFrame([(n,) for n in names], "name string"))
+    found = aliases.pairs(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    values = lambda df: {(r.a, r.b): (r.same, r.jaccard, r.distance, r.cosine) for r in df.collect()}
+    short = rows.filter("length(form) < 100")
+    every = short.select(F.col("id").alias("a"), F.col("form").alias("fa")).crossJoin(short.select(F.col("id").alias("b"), F.col("form").alias("fb"))).filter("a < b")
+    every = every.withColumns({"same": F.col("fa") == F.col("fb"), "jaccard": T.token_jaccard("fa", "fb"), "distance": T.levenshtein_bounded("fa", "fb", 2), "cosine": F.round(T.trigram_cosine("fa", "fb"), 6)})
+    want, got = values(every.filter("same OR jaccard >= 0.5 OR distance <= 2 OR cosine >= 0.78")), values(found)
+    long = sorted(r.id for r in rows.filter("length(form) > 100").collect())
+    assert got.pop(tuple(long)) == (False, 0.0, 1, 1.0) and got == want
+    apart = rows.select("id", F.col("id").alias("cluster"))
+    some = aliases.pairs(rows, apart, spanning=True).cache()
+    assert some.count() < 63 * 21 and some.select("a", "b").subtract(found.select("a", "b")).isEmpty()
+    assert {tuple(r) for r in aliases.clusters(rows, some).collect()} == {tuple(r) for r in aliases.clusters(rows, found).collect()}
