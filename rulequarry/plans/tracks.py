@@ -31,7 +31,10 @@ def _stored(spark, sf_dir) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("rule_id"), ((F.col("p_size") % 5) / 5.0).alias("consistency"))
     track = F.when(k % 3 == 0, "both").when(k % 3 == 1, "statistical").otherwise("suggested")
     evidence = F.transform(F.sequence(F.lit(0), F.lit(149)), lambda i: F.concat(F.lit("t"), (i % (k % 130 + 1)).cast("string")))
-    return stored_rules(spark, sf_dir).join(part, "rule_id").withColumns({"item_id": k, "support": F.col("confidence"), "track": track, "evidence": evidence})
+    # a small table of parts makes long lists of evidence: the rows aren't left to the few tasks that read them
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rules = stored_rules(spark, sf_dir).repartition(n, "rule_id").join(part.repartition(n, "rule_id"), "rule_id")
+    return rules.withColumns({"item_id": k, "support": F.col("confidence"), "track": track, "evidence": evidence})
 
 
 @query(f"""{_STORED}, s AS (SELECT *, {_score('confidence')} AS final FROM cand WHERE ok)

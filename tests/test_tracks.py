@@ -64,3 +64,26 @@ def test_evidence_is_cut_in_order(spark):
     frame = spark.createDataFrame(rows, "item_id long, description string, support double, consistency double, track string, evidence array<string>")
     row = candidates.merged(frame, frame.select("item_id", F.lit(0).alias("cluster"))).first()
     assert row.evidence == list(dict.fromkeys(e for r in rows for e in r[5]))[: candidates.MAX_EVIDENCE] and row.track == "llm" and row.n == 6
+
+
+def test_repeats_are_merged_without_lists_of_evidence(spark):
+    """The first traces of a group, by numbers and by names as the order, without the group's evidence in one array."""
+    from pyspark.sql import functions as F
+
+    from rulequarry.operators import candidates
+
+    lists = {k: [f"t{(k * 7 + i * i) % 40}" for i in range(k % 9)] for k in range(60)}
+    data = [(k, None if k % 5 == 4 else f"Rule {k % 5}!", "a" if k % 2 else None, k / 60, 1 - k / 60, lists[k]) for k in range(60)] + [(99, "gap", "a", 0.5, 0.5, None)]
+    rows = spark.createDataFrame(data, "item_id long, description string, type string, support double, consistency double, evidence array<string>")
+    named = rows.withColumn("item_id", F.struct(F.lpad(F.col("item_id").cast("string"), 3, "0").alias("name")))
+    want = {}
+    for k, description, kind, *_, evidence in data:
+        found = want.setdefault((kind, description and description.lower().strip("!")), [])
+        found += [t for t in evidence or [] if t not in found]
+    for given in (rows, named):
+        out = candidates.deduplicated(given, most=6)
+        got = {(r.type, r.key): r.evidence for r in out.collect()}
+        assert got.pop(("a", "gap")) is None
+        assert got == {k: v[:6] for k, v in want.items() if k != ("a", "gap")}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("collect_list(struct(__o" in line and "evidence" in line[line.index("collect_list(struct(__o") :].split(")")[0] for line in plan.splitlines())
