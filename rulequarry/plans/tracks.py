@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.operators import candidates
+from rulequarry.plans import patterns
 from rulequarry.plans.mine import _D, union_of_miners
 from rulequarry.plans.registry import ORACLES, query
 from rulequarry.plans.scoring import clarity_sql, tfidf_sql
@@ -64,7 +65,7 @@ def _keys(**given) -> str:
 
 _CAND = f"""WITH RECURSIVE found AS (
   SELECT 'ordering' AS type, 'The agent always calls `' || tool_a || '` before calling `' || tool_b || '`' AS description, round(support, 4) AS support, round(consistency, 4) AS consistency, severity, {_keys(tool_a='tool_a', tool_b='tool_b')} FROM ({ORACLES['mine_ordering']}) WHERE kept
-  UNION ALL SELECT 'ordering', description, support, support, 'medium', {_keys(tool_a="regexp_extract(pattern, '^[^>]*')", tool_b="regexp_extract(pattern, '[^>]*$')")} FROM ({ORACLES['mine_chains']})
+  UNION ALL SELECT 'ordering', description, support, support, 'medium', {_keys(tool_a="regexp_extract(pattern, '^[^>]*')", tool_b="regexp_extract(pattern, '[^>]*$')")} FROM ({patterns.ALL_CHAINS})
   UNION ALL SELECT 'statistical', 'Latency of `' || tool || '` stays under ' || CAST(threshold AS VARCHAR) || ' ms', {_D.format(1)}, round(within_rate, 4), 'low', {_keys(tool='tool', metric="'latency_ms'")} FROM ({ORACLES['latency_p99']})
   UNION ALL SELECT 'statistical', '`' || tool || '` succeeds in 95% of its calls or more', {_D.format(1)}, round(rate, 4), 'medium', {_keys(tool='tool', metric="'success_rate'")} FROM ({ORACLES['success_rate']}) WHERE kept
   UNION ALL SELECT 'statistical', 'The feature `' || feature || '` stays within its usual range', {_D.format(1)}, round(within_rate, 4), 'low', {_keys(metric="'feature_envelope'", feature='feature')} FROM ({ORACLES['feature_envelope']})
@@ -103,5 +104,5 @@ def mine_two_tracks(spark, sf_dir):
         guess(tools, "state", F.concat(F.lit("Once `"), "tool", F.lit("` was called, the visit is over and nothing is paid for")), 0.8, "high", terminator_tool=F.col("tool")),
         guess(pairs, "ordering", F.format_string("A visit looks at things with `%s` some time before `%s` is reached", "a", "b"), 0.9, "medium", tool_a=F.col("a"), tool_b=F.col("b")),
     ]
-    found = candidates.two_tracks(union_of_miners(spark, sf_dir), reduce(DataFrame.unionByName, suggested))
+    found = candidates.two_tracks(union_of_miners(spark, sf_dir, patterns.all_chains), reduce(DataFrame.unionByName, suggested))
     return found.select("type", "description", "severity", "support", "consistency", "n", "track", "cross_val_bonus", "confidence", "status")

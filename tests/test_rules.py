@@ -1,6 +1,7 @@
 """Rules, sources and detectors on small hand-made traces."""
 
 import json
+import random
 import re
 
 import pytest
@@ -90,6 +91,34 @@ def test_subsequences(spark):
     assert sequences.frequent_subsequences(rows.limit(0)).count() == 0
 
 
+def test_closed_subsequences_of_any_length(spark):
+    """Against a plain miner of all frequent subsequences; a long trace that recurs is one pattern, not its parts."""
+    rng = random.Random(2)
+
+    def plain(data, least):
+        every, level = {}, {(): [(t, 0) for t in data]}
+        while level:
+            grown = {}
+            for p, rows in level.items():
+                for t, end in rows:
+                    for x in set(t[end:]):
+                        grown.setdefault((*p, x), []).append((t, t.index(x, end) + 1))
+            level = {p: rows for p, rows in grown.items() if len(rows) >= least}
+            every |= {p: len(rows) for p, rows in level.items()}
+        parts = {(p[:i] + p[i + 1 :], n) for p, n in every.items() for i in range(len(p))}
+        return {p: n for p, n in every.items() if len(p) >= 2 and (p, n) not in parts}
+
+    for tools, length, n, support in (("abcd", 7, 40, 0.05), ("ab", 9, 12, 0.25), ("abcdef", 6, 25, 0.01)):
+        data = [[rng.choice(tools) for _ in range(rng.randrange(length + 1))] for _ in range(n)]
+        rows = spark.createDataFrame(list(enumerate(data)), "trace_id long, tools array<string>")
+        found, want = sequences.closed_subsequences(rows, support).collect(), plain(data, max(1, int(support * n)))
+        assert {tuple(r.pattern): r.n_traces for r in found} == want and len(found) == len(want) and max(map(len, want)) > 3
+    long = [rng.choice("abc") for _ in range(16)]
+    rows = spark.createDataFrame([(0, long), (1, long), (2, ["d"])], "trace_id long, tools array<string>")
+    assert [(r.pattern, r.n_traces) for r in sequences.closed_subsequences(rows).collect()] == [(long, 2)]
+    assert sequences.closed_subsequences(rows.limit(0)).count() == 0
+
+
 def test_drift_detectors(spark):
     falling = spark.createDataFrame([("k", i, 1.0 if i < 100 else 0.0) for i in range(160)], "key string, ord int, x double")
     r = drift.page_hinkley(falling, "key", 2.0, 0.001, 0.05, 10).first()

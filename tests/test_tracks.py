@@ -1,10 +1,14 @@
 """Merging of two tracks and what is made of it, against plain versions."""
 
+import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+import compare
 from rulequarry.operators import candidates
+from rulequarry.plans import catalog
 from rulequarry.schema import PARAMS
 
 SCHEMA = f"type string, description string, support double, consistency double, severity string, params {PARAMS}, evidence array<string>"
@@ -41,6 +45,22 @@ def test_two_tracks(spark):
     assert candidates.two_tracks(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_mine_of_long_chains(spark, tmp_path):
+    """A chain of five tools is a candidate as a whole, and its parts of three or four, which as many traces have, are none."""
+    tools = ["signup", "view", "click", "purchase", "error"]
+    start = datetime.datetime(2024, 1, 1)
+    events = [(5 * u + k, start + datetime.timedelta(minutes=k), u, t, 1.0, '{"k": 1}') for u in range(40) for k, t in enumerate(tools if u < 36 else tools[:2])]
+    frame = pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    frame.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    (tmp_path / "documents.parquet").symlink_to("/root/testdata/sf0.001/documents.parquet")
+    found, con = catalog.queries()["mine_two_tracks"](spark, str(tmp_path)), compare.connection(str(tmp_path))
+    got = found.collect()
+    chains = [(r.description, r.support) for r in got if " then " in r.description]
+    assert chains == [("The agent always calls " + " then ".join(f"`{t}`" for t in tools), 0.9)]
+    out = con.execute(catalog.oracle_sql()["mine_two_tracks"])
+    assert compare.rows(found.columns, got) == compare.rows([d[0] for d in out.description], out.fetchall())
+
+
 def test_agreement_of_every_pair(spark):
     """Random maps of parameters: a cluster stays if no pair of its members has different values of a shared key."""
     rng = random.Random(4)
